@@ -58,3 +58,30 @@ def has_column(df: DataFrame, name: str) -> bool:
 def unit(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the given columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
+
+
+def read_slices(batches, most: int = 4 << 20):
+    """(ids, texts) of Arrow batches of two columns, in slices of at most `most` bytes of text.
+
+    A longer text is a slice of its own, so what a task holds is bounded by its longest text.
+    """
+    import numpy as np
+
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            to = min(to, len(texts))
+            yield ids.slice(at, to - at), texts.slice(at, to - at)
+            at = to
+
+
+def text_bytes(texts):
+    """The UTF-8 bytes of an Arrow string array, and the offsets of its texts in them."""
+    import numpy as np
+
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -2,24 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, packing, quality_classifier, sentencepiece_codec, toxicity
 from .common import read
 from .quality_rules import quality_rules
 from .sharding import shard
 
 
+def _fold(of: int) -> Column:
+    """Remainder of the checksum of the id, which deals documents out to folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text: number and hash of its ids, and whether it came back whole.
+
+    A text that holds U+2581 comes back with a space there, as the format prescribes.
+    """
+    checksum = F.crc32(F.replace(F.col("text"), F.lit("▁"), F.lit(" ")).cast("binary"))
+    docs = read(spark, sf_dir, "documents").select(F.struct("doc_id", checksum.alias("text_crc32")).alias("doc_id"), "text")
+    ids = sentencepiece_codec.encode(docs).select(
+        "doc_id.doc_id", "doc_id.text_crc32", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "ids"
+    )
+    decoded_crc32 = F.crc32(F.col("text").cast("binary"))
+    back = sentencepiece_codec.decode(ids).withColumn("decoded_crc32", decoded_crc32)
+    return back.select("doc_id", "n_ids", "ids_hash", "decoded_crc32", F.col("decoded_crc32").eqNullSafe(F.col("text_crc32")).alias("round_trip"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    network = langid.train(docs.where(_fold(5) != 0))
+    return langid.identify(docs, network).select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").where(_fold(4) != 2))
+    return toxicity.score(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_langid": op2_langid,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
     "op9_sharding": op9_sharding,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 #: DuckDB SQL where it can express the operator; the others are tested against brute force.
