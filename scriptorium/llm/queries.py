@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality_classifier, sentencepiece_codec, toxicity
+from . import langid, ngram_join, packing, quality_classifier, sentencepiece_codec, toxicity
 from .common import read
 from .quality_rules import quality_rules
 from .sharding import shard
@@ -51,6 +51,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op7_ngram_join": op7_ngram_join,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }
