@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ngram_join, packing, quality_classifier, sentencepiece_codec, toxicity
+from . import langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
 from .common import read
 from .quality_rules import quality_rules
 from .sharding import shard
@@ -55,6 +55,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op7_ngram_join": op7_ngram_join,
+    "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }
