@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.llm import ngram_join, packing, pii, quality_classifier
 from scriptorium.llm.common import read, written
 from scriptorium.llm.quality_rules import keep_good
 
@@ -13,8 +14,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are more likely than not of the lowest grade."""
+    return quality_classifier.keep_good(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of copies and near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts pseudonyms in place of personal data."""
+    return pii.pseudonymize(docs)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' pieces in sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("quality_classifier", classifier),
+    ("ngram_join", near_duplicates),
+    ("pii", pseudonyms),
+    ("packing", best_fit),
 ]
 
 #: Regression and packing have no SQL form; the tests compare with brute force.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
+from . import ann, langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
 from .common import read
 from .quality_rules import quality_rules
 from .sharding import shard
@@ -51,6 +51,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_near_vectors": op6_near_vectors,
     "op7_ngram_join": op7_ngram_join,
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
