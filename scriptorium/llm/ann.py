@@ -29,7 +29,7 @@ from .graph import components
 
 THRESHOLD = 0.98
 #: Classes of a shard; links of a node (twice as many in the lowest layer); beams; audited queries.
-SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT, RECALL = 2_000, 12, 48, 24, 48, 0.99
+SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT, RECALL = 8_000, 12, 48, 24, 48, 0.99
 BATCH, ABREAST, EXPAND = 256, 512, 4
 #: Single precision finds candidates down to this much below the threshold.
 SLACK = 1e-4
