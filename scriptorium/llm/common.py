@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs now rather than when the driver next collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Sets how many rows an Arrow batch has; a batch of texts lies in memory on both sides at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def words_of(text: Column) -> Column:
     """Words (maximal runs of non-space characters) of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

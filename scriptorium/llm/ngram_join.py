@@ -24,16 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_slices, text_bytes, written
+from .common import arrow_rows, read_slices, release, text_bytes, written
 from .graph import components
 
 WORDS, THRESHOLD = 5, 75
 #: N-grams after which a task counts what it has seen twice; bound on the frequent n-grams that
 #: get a place of their own in the order; least count of such.
-BLOCK, FREQUENT, LEAST = 2_000_000, 1_000_000, 16
+BLOCK, FREQUENT, LEAST = 1_000_000, 1_000_000, 16
 #: Prefix n-grams of a fragment, about, and least number of fragments.
 PER_FRAGMENT, FRAGMENTS = 1_000_000, 64
 #: An n-gram shared by more nodes than this emits no pairs in its fragment.
@@ -42,6 +42,8 @@ FEW = 8
 SEGMENTS = 8
 #: 64-bit words of the filter that spares texts without a candidate; a fixed size.
 FILTER = 1 << 20
+#: Rows of an Arrow batch and bytes of text hashed at a time; they bound a task's memory.
+ROWS, SLICE = 1_024, 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
@@ -122,16 +124,16 @@ class Order:
         self.ranks[np.lexsort((self.grams, counts[sort]))] = np.arange(len(grams))
 
     def prefix(self, grams: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """The rare and the frequent n-grams of a set's prefix."""
+        """The rare n-grams of a set's prefix, and the ranks of the frequent ones in it."""
         p = prefix_length(len(grams), threshold)
         if not len(self.grams):
-            return grams[:p], grams[:0]
+            return grams[:p], np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         often = self.grams[at] == grams
         rare = grams[~often]
         if len(rare) >= p:
-            return rare[:p], grams[:0]
-        return rare, grams[often][np.argsort(self.ranks[at[often]])[: p - len(rare)]]
+            return rare[:p], np.zeros(0, np.int64)
+        return rare, np.sort(self.ranks[at[often]])[: p - len(rare)]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -160,7 +162,7 @@ def _first_pass(texts: DataFrame) -> DataFrame:
                 [pa.array(np.ones(len(grams), bool)), pa.nulls(len(grams), pa.int64()), pa.array(counts.astype(np.int64)), _signed(grams)], names=names
             )
 
-        for ids, part in read_slices(batches):
+        for ids, part in read_slices(batches, SLICE):
             sets = shingle_sets(part)
             nodes = [node_of(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -195,54 +197,99 @@ def _order(first: DataFrame) -> Order:
 
 
 def _fragments(texts: DataFrame, order: Order, fragments: int, threshold: int) -> DataFrame:
-    """Blobs (fragment, n-grams, nodes, sizes) of prefix n-grams; fragment -1 has the frequent ones."""
-    shift = np.uint64(64 - (fragments.bit_length() - 1))
+    """Blobs of prefix n-grams by fragment, compact because they are what is shuffled most.
+
+    Kind 0: rare n-grams as 32-bit numbers within their fragment (a chance match only adds a
+    candidate), places in the blob's table of nodes, that table, and the sizes of the sets.
+    Kind 1: frequent n-grams, their nodes and sizes.  Kind 2: for each node the place in the order
+    of the last n-gram of its prefix, and its size.  Kinds 1 and 2 are dealt out by hash.
+    """
+    bits = np.uint64(fragments.bit_length() - 1)
+    whole, low = np.uint64(64), np.uint64(0xFFFFFFFF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["f", "grams", "nodes", "sizes"]
-        rows: list[tuple] = []
+        names = ["f", "kind", "grams", "places", "nodes", "sizes"]
+        docs: list[tuple] = []
         seen: set[int] = set()
 
-        def flush() -> pa.RecordBatch:
-            f, g, d, n = (np.concatenate([r[k] for r in rows]) for k in range(4))
-            rows.clear()
+        def cut(f: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
             sort = np.argsort(f, kind="stable")
-            f, g, d, n = f[sort], g[sort], d[sort], n[sort]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(f)) + 1, [len(f)]])
-            parts = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (g, d, n)]
-            return pa.RecordBatch.from_arrays([pa.array(f[cut[:-1]].astype(np.int32)), *[pa.array(p, pa.binary()) for p in parts]], names=names)
+            edge = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(np.diff(f[sort])) + 1, np.full(1, len(f))])
+            return sort, list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if len(f) else []
 
-        for _, part in read_slices(batches):
+        def flush() -> pa.RecordBatch:
+            nodes, sizes = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int32)
+            rows: list[list] = [[] for _ in names]
+
+            def add(*row):
+                for column, v in zip(rows, row, strict=True):
+                    column.append(v)
+
+            g = np.concatenate([d[2] for d in docs])
+            place = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d[2]) for d in docs])
+            f = (g >> (whole - bits)).astype(np.int32)
+            sort, parts = cut(f)
+            g, place, f = ((g << bits) >> np.uint64(32)).astype(np.uint32)[sort], place[sort], f[sort]
+            for x, y in parts:
+                used, at = np.unique(place[x:y], return_inverse=True)
+                add(int(f[x]), 0, g[x:y].tobytes(), at.astype(np.int32).tobytes(), nodes[used].tobytes(), sizes[used].tobytes())
+            last = np.array([d[4] for d in docs], np.int64)
+            rank = np.concatenate([d[3] for d in docs])
+            owner = np.repeat(np.arange(len(docs)), [len(d[3]) for d in docs])
+            for kind, key, own in ((1, -1 - rank, owner), (2, last, np.arange(len(docs)))):
+                f = -1 - (_mix(nodes[own].view(np.uint64) ^ key.view(np.uint64)) % np.uint64(fragments)).astype(np.int32)
+                sort, parts = cut(f)
+                for x, y in parts:
+                    pick = sort[x:y]
+                    add(int(f[pick[0]]), kind, key[pick].tobytes(), b"", nodes[own[pick]].tobytes(), sizes[own[pick]].tobytes())
+            docs.clear()
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
+
+        for _, part in read_slices(batches, SLICE):
             for s in shingle_sets(part):
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
                     rare, often = order.prefix(s, threshold)
-                    g = np.concatenate([rare, often])
-                    where = np.where(np.arange(len(g)) < len(rare), (g >> shift).astype(np.int64), -1)
-                    rows.append((where, g, np.full(len(g), node, np.int64), np.full(len(g), len(s), np.int32)))
-            if sum(len(r[1]) for r in rows) >= BLOCK // 2:
+                    last = (1 << 62) + int(often[-1]) if len(often) else int(rare[-1] >> np.uint64(2))
+                    docs.append((node, len(s), rare, often, last))
+            if sum(len(d[2]) + len(d[3]) for d in docs) >= BLOCK:
                 yield flush()
-        if rows:
+        if docs:
             yield flush()
 
-    return texts.mapInArrow(run, "f int, grams binary, nodes binary, sizes binary")
+    return texts.mapInArrow(run, "f int, kind int, grams binary, places binary, nodes binary, sizes binary")
 
 
 def _join_fragment(threshold: int):
-    """Pairs of a fragment with their partial overlaps, or the postings of n-grams of many nodes."""
+    """Rows (kind, x, y, c) of a fragment: 0 pairs of nodes with their partial overlap, 1 postings
+    (n-gram, node, size) of n-grams that many nodes share, 2 nodes (node, last place, size)."""
 
     def run(table: pa.Table) -> pa.Table:
-        g, d, n = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("grams", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
+        f = int(table["f"][0].as_py())
+        if f < 0:
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for kind, g, d, n in zip(*(table[c].to_pylist() for c in ("kind", "grams", "nodes", "sizes")), strict=True):
+                g, d, n = np.frombuffer(g, np.int64), np.frombuffer(d, np.int64), np.frombuffer(n, np.int32).astype(np.int64)
+                x, y = (g, d) if kind == 1 else (d, g)
+                for column, v in zip(out, (np.full(len(g), kind, np.int32), x, y, n), strict=True):
+                    column.append(v)
+            return pa.table(dict(zip(("kind", "x", "y", "c"), map(np.concatenate, out), strict=True)))
+        blobs = [[np.frombuffer(table[c][k].as_py(), t) for c, t in (("grams", np.uint32), ("places", np.int32), ("nodes", np.int64), ("sizes", np.int32))] for k in range(table.num_rows)]
+        g = np.concatenate([b[0] for b in blobs])
+        d = np.concatenate([b[2][b[1]] for b in blobs])
+        n = np.concatenate([b[3][b[1]] for b in blobs])
         sort = np.lexsort((d, g))
         g, d, n = g[sort], d[sort], n[sort]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])  # the same node from several tasks
         g, d, n = g[new], d[new], n[new]
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-        many = np.repeat(np.diff(np.append(start, len(g))), np.diff(np.append(start, len(g))))
+        start = np.flatnonzero(np.concatenate([np.ones(1, bool), g[1:] != g[:-1]]))
+        size = np.diff(np.append(start, len(g)))
+        many = np.repeat(size, size)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for off in range(1, FEW):
-            i = np.flatnonzero((g[off:] == g[:-off]) & (many[off:] <= FEW)) if len(g) > off else np.zeros(0, np.int64)
+        for off in range(1, min(FEW, len(g))):
+            i = np.flatnonzero((g[off:] == g[:-off]) & (many[off:] <= FEW))
             a, b = n[i].astype(np.int64), n[i + off].astype(np.int64)
             i = i[100 * np.minimum(a, b) >= threshold * np.maximum(a, b)]
             left.append(d[i])
@@ -250,13 +297,13 @@ def _join_fragment(threshold: int):
         x, y = np.concatenate(left), np.concatenate(right)
         sort = np.lexsort((y, x))
         x, y = x[sort], y[sort]
-        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([np.ones(1, bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(x)))
         big = many > FEW
         return pa.table(
             {
-                "posting": np.concatenate([np.zeros(len(first), bool), np.ones(big.sum(), bool)]),
-                "x": np.concatenate([x[first], g[big].view(np.int64)]),
+                "kind": np.concatenate([np.zeros(len(first), np.int32), np.ones(big.sum(), np.int32)]),
+                "x": np.concatenate([x[first], (f << 32) + g[big].astype(np.int64)]),
                 "y": np.concatenate([y[first], d[big]]),
                 "c": np.concatenate([count, n[big].astype(np.int64)]),
             }
@@ -265,13 +312,6 @@ def _join_fragment(threshold: int):
     return run
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            g, d, n = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("grams", np.int64), ("nodes", np.int64), ("sizes", np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(n.astype(np.int64))], names=["gram", "node", "n"])
-
-
 def _filter(nodes: DataFrame) -> np.ndarray:
     """Bit words of a filter of fixed size that holds all the nodes."""
     h = F.xxhash64("node")
@@ -293,7 +333,7 @@ def _segments(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, part in read_slices(batches):
+        for _, part in read_slices(batches, SLICE):
             sets = [(node_of(s), s) for s in shingle_sets(part) if len(s)]
             out: list[list] = [[], [], [], []]
             for node, s in sets:
@@ -346,9 +386,58 @@ def _verified(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFram
     return whole.where(100 * F.col("o") >= threshold * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _alike(threshold: int, n: str = "n", m: str = "m"):
-    """Sizes that still allow the threshold."""
-    return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
+def _can_link(threshold: int, c: Column):
+    """Whether a pair (na, lasta, ua), (nb, lastb, ub) can still reach the threshold, c being its
+    overlap in rare prefix n-grams of few nodes.
+
+    Let a's prefix end no later in the order than b's.  What a's prefix shares with b lies in
+    b's prefix too, so it is counted in c or among the at most min(ua, ub) n-grams of many nodes;
+    the rest of a adds at most its own size.
+    """
+    rest = lambda n: F.floor((threshold * F.col(n) + 99) / 100) - 1
+    need = F.floor((threshold * (F.col("na") + F.col("nb")) + 99 + threshold) / (100 + threshold))
+    most = c + F.least("ua", "ub") + F.when(F.col("lasta") <= F.col("lastb"), rest("na")).otherwise(rest("nb"))
+    return (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (most >= need)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """Those pairs (a, b, c) that can still reach the threshold."""
+    side = lambda k: nodes.select(F.col("node").alias(k), *[F.col(c).alias(c + k) for c in ("n", "last", "u")])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_can_link(threshold, F.col("c"))).select("a", "b")
+
+
+class _Verifier:
+    """Verifies pairs against segments of whole sets, which it reads for nodes when first needed."""
+
+    def __init__(self, texts: DataFrame, threshold: int):
+        self.texts, self.threshold, self.parts, self.nodes = texts, threshold, None, None
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.nodes is not None:
+            want = want.join(self.nodes, "node", "left_anti")
+        want = written(want, "candidates")
+        if not want.isEmpty():
+            fresh = written(_segments(self.texts, want), "segments")
+            self.parts = fresh if self.parts is None else self.parts.unionByName(fresh)
+            self.nodes = want if self.nodes is None else self.nodes.unionByName(want)
+            release(pairs.sparkSession)
+        if self.parts is None:  # no pair at all
+            return pairs
+        return written(_verified(pairs, self.parts, self.threshold), "links")
+
+
+def _united(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    if roots is not None:
+        links = roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return written(components(links), "roots")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose nodes are in different components."""
+    for k in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("component").alias("c" + k)), k, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataFrame:
@@ -356,46 +445,55 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
     order = _order(first)
     total = first.where("not gram").agg(F.sum("n")).first()[0] or 0
     fragments = max(FRAGMENTS, 1 << (total * (100 - threshold) // 100 // PER_FRAGMENT).bit_length())
-    blobs = written(_fragments(texts, order, fragments, threshold), "prefixes")
-    found = written(blobs.where("f >= 0").groupBy("f").applyInArrow(_join_fragment(threshold), "posting boolean, x long, y long, c long"), "fragment-pairs")
-    light = found.where("not posting").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("c").alias("shared")).select("a", "b")
-    often = blobs.where("f < 0").mapInArrow(_spread, "gram long, node long, n long")
-    postings = found.where("posting").select(F.col("x").alias("gram"), F.col("y").alias("node"), F.col("c").alias("n"))
-    postings = written(postings.union(often).distinct(), "postings")
-    leaders = postings.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("many")).where("many > 1")
-    leaders = written(leaders.select("gram", F.col("l.node").alias("a"), F.col("l.n").alias("m")), "leaders")
-
-    stars = postings.join(leaders, "gram").where(F.col("a") != F.col("node")).where(_alike(threshold)).select("a", F.col("node").alias("b"))
-    pairs = written(light.union(stars).distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(postings.select("node"))
-    segments = written(_segments(texts, nodes), "segments")
-    links = written(_verified(pairs, segments, threshold), "links")
-    roots = written(components(links), "roots")
-
-    # Frequent n-grams whose nodes lie in several components: one more leader, then what is left.
+    blobs = _fragments(texts, order, fragments, threshold)
+    found = written(blobs.groupBy("f").applyInArrow(_join_fragment(threshold), "kind int, x long, y long, c long"), "fragments")
+    release(texts.sparkSession)
+    postings = found.where("kind = 1").select(F.col("x").alias("gram"), F.col("y").alias("node"))
+    postings = written(postings.distinct(), "postings")
+    nodes = found.where("kind = 2").groupBy(F.col("x").alias("node")).agg(F.max("c").alias("n"), F.max("y").alias("last"))
+    shared = postings.groupBy("node").agg(F.count("*").alias("u"))
+    nodes = written(nodes.join(shared, "node", "left").withColumn("u", F.coalesce("u", F.lit(0))), "nodes")
+    leaders = postings.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("gram", "a")
+    leaders = written(leaders, "leaders")
+
+    # Partial overlaps are summed per pair; nodes of much shared n-grams meet their leader.
+    light = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "c")
+    stars = postings.join(leaders, "gram").where("a <> node").select("a", F.col("node").alias("b")).distinct().withColumn("c", F.lit(0))
+    pairs = light.union(stars).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    pairs = written(_possible(pairs, nodes, threshold), "pairs")
+    verify = _Verifier(texts, threshold)
+
+    # First one pair of each node, then those of the others that are not yet in one component.
+    some = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs-first")
+    roots = _united(None, verify(some))
+    others = written(_apart(pairs.join(some, ["a", "b"], "left_anti"), roots), "pairs-others")
+    if not others.isEmpty():
+        roots = _united(roots, verify(others))
+    release(texts.sparkSession)
+
+    # N-grams of many nodes that lie in several components: one more leader, then what is left.
+    # The pairs have no rare n-gram in common, or they would be among those above.
+    facts = ("n", "last", "u", "c")
     done = pairs
     for last in (False, True):
-        now = postings.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("c"))
+        now = postings.join(nodes, "node").join(roots, "node", "left").select("gram", "node", "n", "last", "u", F.coalesce("component", "node").alias("c"))
         now = written(now, "postings-now")
         open_ = now.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        rest = written(now.join(open_, "gram"), "postings-open")
+        rest = written(now.join(written(open_, "open"), "gram"), "postings-open")
         if rest.isEmpty():
             break
-        if last:
-            other = rest.select("gram", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca"))
-            more = rest.join(other, "gram").where(F.col("ca") < F.col("c"))
-        else:
-            lead = rest.where("c > low").groupBy("gram").agg(F.min(F.struct("node", "n", "c")).alias("l"))
-            lead = written(lead.select("gram", F.col("l.node").alias("a"), F.col("l.n").alias("m"), F.col("l.c").alias("ca")), "leaders")
-            more = rest.join(lead, "gram").where(F.col("ca") != F.col("c"))
-        more = more.where(_alike(threshold)).select("a", F.col("node").alias("b")).distinct()
-        both = done.union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = written(more.join(both, ["a", "b"], "left_anti"), "pairs")
-        done = done.union(more)
-        fresh = written(_verified(more, segments, threshold), "links")
-        if not fresh.isEmpty():
-            known = roots.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            roots = written(components(known.union(fresh)), "roots")
+        b = rest.select("gram", F.col("node").alias("b"), *[F.col(x).alias(x + "b") for x in facts])
+        a = rest.select("gram", F.col("node").alias("a"), *[F.col(x).alias(x + "a") for x in facts])
+        if not last:
+            lead = rest.where("c > low").groupBy("gram").agg(F.min(F.struct("node", *facts)).alias("l"))
+            a = written(lead.select("gram", F.col("l.node").alias("a"), *[F.col(f"l.{x}").alias(x + "a") for x in facts]), "leaders")
+        apart = F.col("ca") < F.col("cb") if last else F.col("ca") != F.col("cb")
+        more = b.join(a, (b["gram"] == a["gram"]) & apart & _can_link(threshold, F.lit(0)))
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = written(more.join(done, ["a", "b"], "left_anti"), "pairs-more")
+        if not more.isEmpty():
+            done = done.unionByName(more)
+            roots = _united(roots, verify(more))
     return roots
 
 
@@ -405,6 +503,7 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", te
     `threshold` is in hundredths; two documents link when 100 * intersection >= threshold * union.
     """
     texts = _texts(docs, id_col, text_col)
+    arrow_rows(docs.sparkSession, ROWS)
     first = written(_first_pass(texts), "sets")
     rows = first.where("not gram").select("doc_id", "n", F.col("h").alias("node"))
     roots = node_components(texts, first, threshold)
