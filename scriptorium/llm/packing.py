@@ -16,6 +16,7 @@ ids are packed like others; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_slices, written
+from .common import arrow_rows, read_slices, written
 
 LENGTH, END = 2048, 0
-#: Words kept in a task's cache of encoded words.
-CACHE = 400_000
+#: Words kept in a worker's cache of encoded words, bytes of text encoded at a time, rows of an Arrow batch.
+CACHE, SLICE, ROWS = 600_000, 8 << 20, 4_096
 #: Rows of a cell in which pieces of one length are numbered, about; cells a length at most.
 PER_CELL, MAX_CELLS = 256, 65_536
 
@@ -41,40 +42,62 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer whose tokens never cross ASCII white space.
+    """Ids of texts by a lower-casing tokenizer whose tokens never cross ASCII white space.
 
-    Each distinct word (run without ASCII white space) is encoded once and cached.
+    A word (run without ASCII white space) is lower-cased, parted from ASCII punctuation that
+    follows its last letter or digit, and each part is encoded once and cached.  Words that could
+    hold a special token are encoded as they are.
     """
 
+    #: Tail: ASCII punctuation but for the apostrophe, after a letter or digit.
+    PARTS = r"^(?P<core>.*[\p{L}\p{N}])(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
+
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
 
-    def _bytes(self, words: list[str]) -> list[bytes]:
+    def _bytes(self, words: pa.Array) -> list[bytes]:
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.known[w] for w in words]
+            self.known = {"": b""}
+        special = pc.match_substring(words, "<|")
+        words = pc.if_else(special, words, pc.ascii_lower(words))
+        parts = pc.extract_regex(words, self.PARTS)
+        parts = pc.if_else(special, pa.scalar(None, parts.type), parts)
+        core = pc.coalesce(pc.struct_field(parts, "core"), words).to_pylist()
+        tail = pc.fill_null(pc.struct_field(parts, "tail"), "").to_pylist()
+        known = self.known
+        new = list({w for w in core if w not in known} | {w for w in tail if w not in known})
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        return [known[c] + known[t] if t else known[c] for c, t in zip(core, tail, strict=True)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the offsets of the texts in them."""
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
-        made = self._bytes(flat.dictionary.to_pylist())
-        pool, size = np.frombuffer(b"".join(made), "<u4"), np.array([len(x) // 4 for x in made], np.int64)
+        made = self._bytes(flat.dictionary)
+        pool, size = np.frombuffer(b"".join(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made)) // 4
         codes = flat.indices.to_numpy(zero_copy_only=False)
         each = size[codes]
         ends = np.cumsum(each)
         begin = (np.cumsum(size) - size)[codes] - (ends - each) if len(codes) else each
         ids = pool[np.repeat(begin, each) + np.arange(ends[-1] if len(ends) else 0)]
         words = np.cumsum([0, *pc.list_value_length(lists).to_numpy(zero_copy_only=False)])
-        return ids, np.concatenate([[0], ends])[words]
+        return ids, np.append(0, ends)[words]
+
+
+_READY: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """Encoder of a vocabulary file; one a process, so that its cache serves all tasks of a worker."""
+    if path not in _READY:
+        _READY[path] = WordEncoder(path)
+    return _READY[path]
 
 
 PIECES = T.StructType(
@@ -93,10 +116,11 @@ def tokenize(
 ) -> DataFrame:
     """Pieces of all documents: doc_id, piece, start, length, ids (little-endian 32-bit)."""
     path = vocabulary_path or vocabulary()
+    arrow_rows(docs.sparkSession, ROWS)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
-        for doc_ids, texts in read_slices(batches):
+        encode = encoder(path)
+        for doc_ids, texts in read_slices(batches, SLICE):
             ids, at = encode(texts)
             rows: list[list] = [[], [], [], [], []]
             for k, doc in enumerate(doc_ids.to_pylist()):

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_slices
+from .common import arrow_rows, read_slices
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE, SLICE = 800_000, 4 << 20
+CACHE, SLICE, UNITS, ROWS = 600_000, 4 << 20, 40_000, 4_096
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 #: Code points a sort key holds, bits of each.
 PER_KEY, BITS = 3, 21
@@ -244,9 +244,6 @@ class Codec:
         self.made_bytes = np.frombuffer(b"".join(v.bytes), np.uint8)
         self.byte_sizes = np.array([len(x) for x in v.bytes], np.int64)
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
     def _encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of distinct units, as bytes of 32-bit numbers."""
         v, n = self.v, len(self.v.ids)
@@ -337,8 +334,9 @@ class Codec:
             text = text.replace(" ", SPACE)
             rows.append(UNIT.findall(text) if v.apart else [text] if text else [])
         new = sorted({u for r in rows for u in r if u not in self.known})
-        if new:
-            self.known.update(zip(new, self._encode_units(new), strict=True))
+        for at in range(0, len(new), UNITS):
+            part = new[at : at + UNITS]
+            self.known.update(zip(part, self._encode_units(part), strict=True))
         known = self.known
         return [b"".join([known[u] for u in r]) for r in rows]
 
@@ -365,11 +363,13 @@ def codec(path: str | None = None) -> Codec:
     return _READY[path]
 
 
-def encode(docs: DataFrame, model: Codec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int; null for a null text)."""
-    model = model or codec()
+    path = path or vocabulary()
+    arrow_rows(docs.sparkSession, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = codec(path)  # of the worker, with the cache of its former tasks
         for ids, texts in read_slices(batches, SLICE):
             values = texts.to_pylist()
             rows = model.encode([t or "" for t in values])
@@ -385,13 +385,14 @@ def encode(docs: DataFrame, model: Codec | None = None, id_col: str = "doc_id",
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def decode(rows: DataFrame, model: Codec | None = None, ids_col: str = "ids") -> DataFrame:
+def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """`rows` with their column of ids replaced by `text`."""
-    model = model or codec()
+    path = path or vocabulary()
     names = [c for c in rows.columns if c != ids_col]
     out = T.StructType([*[f for f in rows.schema.fields if f.name != ids_col], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = codec(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
