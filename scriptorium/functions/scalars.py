@@ -58,7 +58,7 @@ def local_time(ts: Column) -> Column:
 
 def percent(c: Column) -> Column:
     """One decimal and a percent sign; null becomes the empty string."""
-    return F.coalesce(F.format_string("%.1f%%", c * 100), F.lit(""))
+    return F.when(c.isNull(), "").otherwise(F.format_string("%.1f%%", c.cast("double") * 100))
 
 
 def is_uuid(s: Column) -> Column:

@@ -74,7 +74,7 @@ def predict(queries: DataFrame, model: DataFrame, k: int = config.KNN_K, eps: fl
 def predict_blocks(queries: DataFrame, model: DataFrame, blocks: int, k: int = config.KNN_K, eps: float = config.KNN_EPSILON) -> DataFrame:
     """(q, place, label, share) for a model too large to send: its blocks are searched apart and the best merged."""
     m = model.select("sample_idx", "label", "descriptor", F.pmod(F.xxhash64("sample_idx"), F.lit(blocks)).alias("block"))
-    q = queries.select(F.col("q").cast("long").alias("q"), "descriptor").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    q = queries.select(F.col("q").cast("long").alias("q"), "descriptor").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["q", "sample_idx", "label", "distance"]

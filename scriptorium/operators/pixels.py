@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import kernels
 
-IMG = Window.partitionBy("img")
+def per_image():
+    return Window.partitionBy("img")
+
 
 
 def half_up(x: Column) -> Column:
@@ -26,7 +28,7 @@ def grayscale(rgb: DataFrame) -> DataFrame:
 
 def stretch(px: DataFrame) -> DataFrame:
     """Contrast stretched to 0..255; an image of one value is unchanged."""
-    lo, hi = F.min("v").over(IMG), F.max("v").over(IMG)
+    lo, hi = F.min("v").over(per_image()), F.max("v").over(per_image())
     v = F.when(lo == hi, F.col("v")).otherwise(half_up((F.col("v") - lo) / F.nullif(hi - lo, F.lit(0)) * 255))
     return px.withColumn("v", v.cast("int"))
 
@@ -46,19 +48,19 @@ def otsu(px: DataFrame) -> DataFrame:
     counts = px.groupBy("img", "v").agg(F.count("*").alias("n"))
     spine = counts.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("t"))
     counts = spine.join(counts.withColumnRenamed("v", "t"), ["img", "t"], "left").fillna(0, ["n"])
-    below = IMG.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    below = per_image().orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     c = counts.select(
         "img",
         "t",
         F.coalesce(F.sum("n").over(below), F.lit(0)).alias("w0"),
         F.coalesce(F.sum(F.col("n") * F.col("t")).over(below), F.lit(0)).alias("s0"),
-        F.sum("n").over(IMG).alias("w"),
-        F.sum(F.col("n") * F.col("t")).over(IMG).alias("s"),
+        F.sum("n").over(per_image()).alias("w"),
+        F.sum(F.col("n") * F.col("t")).over(per_image()).alias("s"),
     )
     w1 = F.col("w") - F.col("w0")
     gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / w1
     between = F.when((F.col("w0") > 0) & (w1 > 0), F.col("w0") / F.col("w") * (w1 / F.col("w")) * gap * gap).otherwise(0.0)
-    best = c.withColumn("between", between).withColumn("top", F.max("between").over(IMG))
+    best = c.withColumn("between", between).withColumn("top", F.max("between").over(per_image()))
     ties = best.groupBy("img").agg(
         F.min(F.when((F.col("top") > 0) & (F.col("between") == F.col("top")), F.col("t"))).alias("a"),
         F.max(F.when((F.col("top") > 0) & (F.col("between") == F.col("top")), F.col("t"))).alias("b"),
@@ -72,14 +74,14 @@ def binarize(px: DataFrame, multiplier: float = 1.0) -> DataFrame:
 
 def text_as_foreground(px: DataFrame) -> DataFrame:
     """Inverts an image of which more than half is white."""
-    white = F.sum((F.col("v") == 255).cast("int")).over(IMG)
-    return px.withColumn("v", F.when(white * 2 > F.count("*").over(IMG), 255 - F.col("v")).otherwise(F.col("v")))
+    white = F.sum((F.col("v") == 255).cast("int")).over(per_image())
+    return px.withColumn("v", F.when(white * 2 > F.count("*").over(per_image()), 255 - F.col("v")).otherwise(F.col("v")))
 
 
 def _neighbours(px: DataFrame, radius: int) -> DataFrame:
     """Each pixel with the values around it (edges repeated): img, x, y, dx, dy, w (value)."""
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)])
-    at = px.withColumns({"mx": F.max("x").over(IMG), "my": F.max("y").over(IMG)}).select("img", "x", "y", "mx", "my", F.inline(steps))
+    at = px.withColumns({"mx": F.max("x").over(per_image()), "my": F.max("y").over(per_image())}).select("img", "x", "y", "mx", "my", F.inline(steps))
     clamp = lambda p, d, m: F.least(F.greatest(F.col(p) + F.col(d), F.lit(0)), F.col(m))
     at = at.select("img", "x", "y", "dx", "dy", clamp("x", "dx", "mx").alias("sx"), clamp("y", "dy", "my").alias("sy"))
     source = px.select("img", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("w"))
@@ -102,7 +104,7 @@ def median(px: DataFrame, size: int = 3) -> DataFrame:
 
 def _resample(px: DataFrame, to_source, background: int) -> DataFrame:
     """Each pixel gets the value of the source pixel that `to_source(x, y, cx, cy)` names."""
-    sized = px.withColumns({"cx": (F.max("x").over(IMG) + 1) / 2, "cy": (F.max("y").over(IMG) + 1) / 2})
+    sized = px.withColumns({"cx": (F.max("x").over(per_image()) + 1) / 2, "cy": (F.max("y").over(per_image()) + 1) / 2})
     sx, sy = to_source(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
     at = sized.select("img", "x", "y", half_up(sx).cast("int").alias("sx"), half_up(sy).cast("int").alias("sy"))
     source = px.select("img", F.col("x").alias("sx"), F.col("y").alias("sy"), "v")
@@ -132,7 +134,7 @@ def salt_pepper(px: DataFrame, p: float, seed: int = 0) -> DataFrame:
 def crop_foreground(px: DataFrame) -> DataFrame:
     """The box around value 255, moved to the origin; a blank image becomes one black pixel."""
     on = F.col("v") == 255
-    box = px.withColumns({n: f(F.when(on, F.col(c))).over(IMG) for n, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))})
+    box = px.withColumns({n: f(F.when(on, F.col(c))).over(per_image()) for n, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))})
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     blank = F.col("x0").isNull() & (F.col("x") == 0) & (F.col("y") == 0)
     v = F.when(on, 255).otherwise(0)
@@ -165,7 +167,7 @@ def gradient(px: DataFrame) -> DataFrame:
 
 def hog(px: DataFrame, cols: int = config.HOG_GRID_COLS, rows: int = config.HOG_GRID_ROWS, bins: int = config.HOG_BINS, eps: float = config.HOG_EPSILON) -> DataFrame:
     """(img, region, bin, value), zeros left out; regions and bins are counted from 0."""
-    g = gradient(px).withColumns({"w": F.max("x").over(IMG) + 1, "h": F.max("y").over(IMG) + 1})
+    g = gradient(px).withColumns({"w": F.max("x").over(per_image()) + 1, "h": F.max("y").over(per_image()) + 1})
     part = lambda p, n, k: F.floor(((F.col(p) + 1) * k - 1) / F.col(n))  # noqa: E731  the last part that begins at or before p
     g = g.withColumn("region", (part("y", "h", rows) * cols + part("x", "w", cols)).cast("int"))
     g = g.withColumn("bin", (half_up(F.col("angle") / (180.0 / bins)) % bins).cast("int"))
@@ -202,7 +204,7 @@ def components(px: DataFrame) -> DataFrame:
     the plan stays short.
     """
     spark = px.sparkSession
-    width = F.max("x").over(IMG) + 1
+    width = F.max("x").over(per_image()) + 1
     on = px.withColumn("id", F.col("y").cast("long") * width + F.col("x")).where("v = 255").select("img", "x", "y", "id")
     shift = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy])
     near = on.select("img", "id", F.col("x").alias("px"), F.col("y").alias("py"), F.inline(shift))

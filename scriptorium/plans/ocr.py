@@ -72,9 +72,9 @@ def ocr_documents(images: DataFrame, model: DataFrame, key: str = "path", debug:
                     if debug:
                         row["stages"] = stages(gray)
                 except (TypeError, ValueError) as e:
-                    row = {"error": str(e)} | ({"stages": None} if debug else {})
-                rows.append({key: k} | row)
-            yield pd.DataFrame(rows, columns=out.names)
+                    row = dict.fromkeys(out.names) | {"error": str(e)}
+                rows.append(row | {key: k})
+            yield pd.DataFrame(rows, columns=out.names, dtype=object)
 
     return images.select(key, "width", "height", "gray").mapInPandas(run, out)
 

@@ -832,8 +832,8 @@ def tombstone_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return repository.without_deleted(fixtures.ocr_results(spark, d), gone).groupBy("document_id").agg(F.count("*").alias("n"))
 
 
-@query("""with e as (select o_custkey % 5 document_type, o_orderkey version, o_orderkey % 3 <> 0 active, o_orderkey as at from orders)
-select document_type, version from e qualify row_number() over (partition by document_type order by at desc) = 1 and active""")
+@query("""with e as (select o_custkey % 5 document_type, o_orderkey version, o_orderkey % 3 <> 0 active, o_orderkey stamp from orders)
+select document_type, version from e qualify row_number() over (partition by document_type order by stamp desc) = 1 and active""")
 def active_model(spark: SparkSession, d: str) -> DataFrame:
     o = fixtures.read(spark, d, "orders")
     events = o.select((F.col("o_custkey") % 5).alias("document_type"), F.col("o_orderkey").alias("version"), (F.col("o_orderkey") % 3 != 0).alias("active"), F.col("o_orderkey").alias("at"))

@@ -8,7 +8,7 @@ import uuid
 import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -28,17 +28,12 @@ def read_model(models: DataFrame, document_type: str) -> DataFrame:
     """(sample_idx, label, descriptor) of the one active model of a type, from its JSON."""
     active = models.where((F.col("document_type") == document_type) & F.col("active"))
     parsed = F.from_json("model_data", "samples array<struct<descriptor:array<double>,label:string>>")
-    one = active.select(F.assert_true(F.count("*").over(_all()) <= 1, "more than one active model"), parsed.alias("m"))
+    many = F.count("*").over(Window.partitionBy("document_type")) > 1
+    one = active.select(F.when(many, F.raise_error(F.lit("more than one active model"))).otherwise(parsed).alias("m"))
     rows = one.select(F.posexplode("m.samples").alias("sample_idx", "s"))
     return rows.select("sample_idx", "s.label", F.col("s.descriptor").cast("array<float>").alias("descriptor"))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("document_type")
-
-
 def model_json(model: DataFrame) -> str:
     """The model in its JSON form, samples in order; a model is small by `knn.BROADCAST_VALUES`."""
     rows = model.orderBy("sample_idx").select("descriptor", "label").collect()
