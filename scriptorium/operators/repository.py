@@ -117,12 +117,9 @@ def dashboard(docs: DataFrame, results: DataFrame, validations: DataFrame, model
 
 def dataset_stats(samples: DataFrame) -> DataFrame:
     """(kind, key, n): all samples, by label, by partition."""
-    samples.createOrReplaceTempView("_samples")
-    return samples.sparkSession.sql(
-        """select case grouping_id(label, dataset_partition) when 3 then 'total' when 1 then 'label' else 'partition' end kind,
-                  coalesce(label, dataset_partition, '') key, count(*) n
-           from _samples group by grouping sets ((label), (dataset_partition), ())"""
-    )
+    sets = samples.groupingSets([["label"], ["dataset_partition"], []], "label", "dataset_partition").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    kind = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "label").otherwise("partition")
+    return sets.select(kind.alias("kind"), F.coalesce("label", "dataset_partition", F.lit("")).alias("key"), "n")
 
 
 def pending_counts(items: DataFrame) -> DataFrame:
