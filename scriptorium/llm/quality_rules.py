@@ -252,15 +252,11 @@ def keep_good(
 ) -> DataFrame:
     """The rows of `docs`, all columns, that the rules keep.
 
-    Texts are read twice (once for the estimates, once for the verdicts) and never shuffled.
+    The rows that pass the base rule are written with their vectors, so that texts are looked at
+    once and never shuffled.
     """
     s = F.col("s")
-    group = _group(F.col(lang_col), F.col(source_col)).alias("g")
-    rows = written(
-        docs.select(group, statistics(F.col(text_col)).alias("s")).where(~base_failed(s)).select("g", F.array(*vector(s)).alias("x")),
-        "quality-vectors",
-    )
-    params = estimates(rows)
-    good = docs.select(F.struct("*").alias("row"), group, statistics(F.col(text_col)).alias("s")).where(~base_failed(s))
-    good = good.select("row", "g", F.array(*vector(s)).alias("x"))
-    return _verdict(good, params, [F.col("x")[i] for i in range(P)]).where(F.coalesce("distance", F.lit(0.0)) <= cutoff).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), _group(F.col(lang_col), F.col(source_col)).alias("g"), statistics(F.col(text_col)).alias("s"))
+    rows = written(rows.where(~base_failed(s)).select("row", "g", F.array(*vector(s)).alias("x")), "quality-rows")
+    params = estimates(rows.select("g", "x"))
+    return _verdict(rows, params, [F.col("x")[i] for i in range(P)]).where(F.coalesce("distance", F.lit(0.0)) <= cutoff).select("row.*")

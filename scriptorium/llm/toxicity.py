@@ -32,10 +32,12 @@ from pyspark.sql import types as T
 from .common import read_slices
 
 ORDER, DECAY = 3, 0.6
-LANDMARKS, CLEAN_LANDMARKS = 36, 12
+LANDMARKS, CLEAN_LANDMARKS = 28, 28
 SAMPLE, SAMPLE_BYTES = 5_000, 16_384
 #: Longer units are scored in overlapping parts of UNIT characters.
 UNIT, OVERLAP = 24, 8
+#: Stands before the first character of a unit, so that beginnings resemble beginnings.
+START = "\x02"
 CACHE = 600_000
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 SENTENCE = re.compile(r"[.!?\n]+\s+|\n")
@@ -123,7 +125,7 @@ class Model:
         parts, of = [], []
         for k, u in enumerate(units):
             cuts = range(0, max(1, len(u) - OVERLAP), UNIT - OVERLAP) if len(u) > UNIT else (0,)
-            parts += [u[c : c + UNIT] for c in cuts]
+            parts += [("" if c else START) + u[c : c + UNIT] for c in cuts]
             of += [k] * len(cuts)
         k = kernel(parts, self.landmarks) / self.own / _own(parts)[:, None]
         out = np.full(len(units), -np.inf)
@@ -193,18 +195,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps; y in -1, 1."""
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps with line search; y in -1, 1."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        return float((cost * np.maximum(0, 1 - y * (z @ w)) ** 2).sum() + ridge * w @ w)
+
+    for _ in range(50):
         slack = 1 - y * (z @ w)
         on = slack > 0
-        h = (z[on] * cost[on, None]).T @ z[on] + 1e-3 * np.eye(len(w))
-        new = np.linalg.solve(h, z[on].T @ (cost[on] * y[on]))
-        if np.allclose(new, w, atol=1e-6):
+        grad = -z[on].T @ (cost[on] * y[on] * slack[on]) + ridge * w
+        step = np.linalg.solve((z[on].T * cost[on]) @ z[on] + ridge * np.eye(len(w)), grad)
+        size, now = 1.0, loss(w)
+        while size > 1e-4 and loss(w - size * step) > now - 1e-4 * size * float(grad @ step):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
             break
-        w = 0.5 * w + 0.5 * new if _ > 10 else new
     return w[:-1], float(w[-1])
 
 
@@ -216,28 +225,37 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     flat, of = units_of(pa.array([s for s, _ in sentences], pa.string()))
     units, owner = flat.to_pylist(), np.array([k for _, k in sentences])[of]
     seen: dict[str, set] = {}
-    for u, k in zip(units, owner, strict=True):
+    beside: dict[str, set] = {}
+    for before, u, k in zip(["", *units], units, owner, strict=False):
         if len(u) >= ORDER:
             seen.setdefault(u, set()).add(int(k))
+            if toxic[k]:
+                beside.setdefault(u, set()).add(before)
     bad = int(toxic.sum())
     good = len(texts) - bad
     weight = {}
     for u, ks in seen.items():
-        t = sum(toxic[k] for k in ks)
-        weight[u] = (t, np.log((t + 0.2) / (bad + 1)) - np.log((len(ks) - t + 0.2) / (good + 1)))
+        # In copies of one text a word stands beside the same word; that counts once.
+        t = min(sum(toxic[k] for k in ks), len(beside.get(u, ())))
+        weight[u] = (t, np.log((t + 0.2) / (bad + 1)) - np.log((sum(1 - toxic[k] for k in ks) + 0.2) / (good + 1)))
     # The words that tell most: often in toxic texts, hardly in clean ones.
-    telling = sorted((u for u, (t, lift) in weight.items() if t >= max(3, 0.004 * bad) and lift > 2), key=lambda u: (-weight[u][0] * weight[u][1], u))
+    telling = sorted((u for u, (t, lift) in weight.items() if t >= (3 if bad < 50 else max(5, 0.01 * bad)) and lift > 2), key=lambda u: (-weight[u][0] * weight[u][1], u))
     if not telling:
         return Model([], np.zeros(0), 0.0)
     common = sorted((u for u, (t, lift) in weight.items() if lift < 0.5), key=lambda u: (-len(seen[u]), u))
     # Landmarks: the most telling words that are not too like those chosen before.
+    telling, common = [START + u for u in telling], [START + u for u in common]
     own = _own(telling[: 12 * LANDMARKS])
     alike = kernel(telling[: 12 * LANDMARKS], telling[: 12 * LANDMARKS]) / own / own[:, None]
     chosen: list[int] = []
     for k in range(len(alike)):
         if len(chosen) < LANDMARKS and (not chosen or alike[k, chosen].max() < 0.6):
             chosen.append(k)
-    landmarks = [telling[k] for k in chosen] + common[:CLEAN_LANDMARKS]
+    # And the clean words that are most like them, so that the machine can tell those apart.
+    landmarks = [telling[k] for k in chosen]
+    likeness = kernel(common[:4_000], landmarks) / _own(landmarks) / _own(common[:4_000])[:, None]
+    like = [k for rank in np.argsort(-likeness, axis=0)[:2] for k in rank] + np.argsort(-likeness.max(1)).tolist()
+    landmarks += [common[k] for k in list(dict.fromkeys(like))[:CLEAN_LANDMARKS]]
     own = _own(landmarks)
     among = kernel(landmarks, landmarks) / own / own[:, None]
     value, vector = np.linalg.eigh((among + among.T) / 2 + 1e-6 * np.eye(len(landmarks)))
@@ -245,14 +263,18 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     feature = lambda words: kernel(words, landmarks) / own / _own(words)[:, None] @ root
     # Positive units: the telling words.  Negative units: frequent words of the sentences of
     # clean texts, then those of them that the first machine takes for telling.
-    positive = telling[: 24 * LANDMARKS]
+    # The landmarks are also positive with a character put into them, at a lower cost.
+    plain = telling[: 24 * LANDMARKS]
+    gapped = [w[:c] + "x" + w[c:] for w in (telling[k] for k in chosen) for c in range(3, len(w) - 1)]
+    positive = plain + gapped
     clean = sorted((u for u, (t, lift) in weight.items() if lift < 0.5 and len(u) <= UNIT), key=lambda u: (-len(seen[u]), u))[:12_000]
-    x, z = feature(positive), feature(clean)
+    x, z = feature(positive), feature([START + u for u in clean])
     often = np.array([len(seen[u]) for u in clean], float)
     use = np.arange(len(clean)) < 3_000
     w, b = np.zeros(x.shape[1]), 0.0
     for _ in range(3):
-        cost = np.concatenate([np.full(len(x), max(1.0, use.sum() / len(x))), np.minimum(often[use], 20) / 4])
+        each = max(1.0, use.sum() / len(plain))
+        cost = np.concatenate([np.full(len(plain), each), np.full(len(gapped), each / 20), np.minimum(often[use], 20) / 4])
         w, b = _svm(np.vstack([x, z[use]]), np.concatenate([np.ones(len(x)), -np.ones(use.sum())]), cost)
         use |= z @ w + b > -0.2
     model = Model(landmarks, root @ w, b)
