@@ -386,24 +386,59 @@ def _verified(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFram
     return whole.where(100 * F.col("o") >= threshold * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _can_link(threshold: int, c: Column):
-    """Whether a pair (na, lasta, ua), (nb, lastb, ub) can still reach the threshold, c being its
-    overlap in rare prefix n-grams of few nodes.
+def _need(na: Column, nb: Column, threshold: int) -> Column:
+    """Least overlap of sets of these sizes that reaches the threshold."""
+    return F.floor((threshold * (na + nb) + 99 + threshold) / (100 + threshold))
+
+
+def _rest(n: Column, threshold: int) -> Column:
+    """N-grams of a set beyond its prefix."""
+    return F.floor((threshold * n + 99) / 100) - 1
+
+
+def _missing(threshold: int) -> Column:
+    """Overlap that the prefixes of a pair (na, lasta), (nb, lastb) must have at least.
 
     Let a's prefix end no later in the order than b's.  What a's prefix shares with b lies in
-    b's prefix too, so it is counted in c or among the at most min(ua, ub) n-grams of many nodes;
-    the rest of a adds at most its own size.
+    b's prefix too; the rest of a adds at most its own size.
     """
-    rest = lambda n: F.floor((threshold * F.col(n) + 99) / 100) - 1
-    need = F.floor((threshold * (F.col("na") + F.col("nb")) + 99 + threshold) / (100 + threshold))
-    most = c + F.least("ua", "ub") + F.when(F.col("lasta") <= F.col("lastb"), rest("na")).otherwise(rest("nb"))
-    return (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (most >= need)
+    rest = F.when(F.col("lasta") <= F.col("lastb"), _rest(F.col("na"), threshold)).otherwise(_rest(F.col("nb"), threshold))
+    return _need(F.col("na"), F.col("nb"), threshold) - rest
+
+
+def _alike(threshold: int) -> Column:
+    return 100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Those pairs (a, b, c) that can still reach the threshold."""
+    """Those pairs (a, b, c) that can still reach the threshold: c is their overlap in rare prefix
+    n-grams of few nodes, and they share at most min(ua, ub) n-grams of many nodes."""
     side = lambda k: nodes.select(F.col("node").alias(k), *[F.col(c).alias(c + k) for c in ("n", "last", "u")])
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_can_link(threshold, F.col("c"))).select("a", "b")
+    most = F.col("c") + F.least("ua", "ub")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(threshold) & (most >= _missing(threshold))).select("a", "b")
+
+
+def _listed(postings: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """Open lists of n-grams of many nodes: (gram, pos, node, n, last, u, c, grams).
+
+    A list is open while its nodes lie in several components.  `grams` are all such n-grams of the
+    node, those of short lists first, `pos` the place of `gram` among them.  A pair must share k of
+    them, so its first shared one is among the first u - k + 1 of either; a node stays only in
+    lists where that can hold for some size of partner.
+    """
+    comps = nodes.where("u > 0").join(roots, "node", "left").select("node", "n", "last", "u", F.coalesce("component", "node").alias("c"))
+    size = postings.join(comps, "node").groupBy("gram").agg(F.count("*").alias("many"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    lists = written(size.where("low < high"), "open-lists")
+    order = F.array_sort(F.collect_list(F.struct("many", "gram", "low", "least", "most")))
+    own = postings.join(lists, "gram").groupBy("node").agg(order.alias("lists")).join(comps, "node")
+    own = own.withColumns({"u": F.size("lists"), "grams": F.transform("lists", lambda x: x["gram"])})
+    rows = own.select("node", "n", "last", "u", "c", "grams", F.posexplode("lists").alias("pos", "l"))
+    n = F.col("n")
+    low = F.greatest(F.col("l.least"), F.ceil(n * threshold / 100))
+    high = F.least(F.col("l.most"), F.floor(n * 100 / threshold))
+    k = F.least(_need(n, F.least(low, n), threshold) - _rest(n, threshold), _need(n, F.greatest(high, n), threshold) - _rest(F.greatest(high, n), threshold))
+    kept = rows.where(F.col("pos") <= F.col("u") - F.greatest(k, F.lit(1)))
+    return written(kept.select(F.col("l.gram").alias("gram"), F.col("l.low").alias("low"), "pos", "node", "n", "last", "u", "c", "grams"), "open-postings")
 
 
 class _Verifier:
@@ -472,28 +507,31 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
     release(texts.sparkSession)
 
     # N-grams of many nodes that lie in several components: one more leader, then what is left.
-    # The pairs have no rare n-gram in common, or they would be among those above.
-    facts = ("n", "last", "u", "c")
+    # These pairs have no rare n-gram in common, or they would be among those above, so they must
+    # share enough of the others; that is counted where they meet, and only those that do go on.
+    facts = ("pos", "n", "last", "u", "c", "grams")
     done = pairs
     for last in (False, True):
-        now = postings.join(nodes, "node").join(roots, "node", "left").select("gram", "node", "n", "last", "u", F.coalesce("component", "node").alias("c"))
-        now = written(now, "postings-now")
-        open_ = now.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        rest = written(now.join(written(open_, "open"), "gram"), "postings-open")
+        rest = _listed(postings, nodes, roots, threshold)
         if rest.isEmpty():
             break
         b = rest.select("gram", F.col("node").alias("b"), *[F.col(x).alias(x + "b") for x in facts])
-        a = rest.select("gram", F.col("node").alias("a"), *[F.col(x).alias(x + "a") for x in facts])
-        if not last:
+        if last:
+            a = rest.select("gram", F.col("node").alias("a"), *[F.col(x).alias(x + "a") for x in facts])
+        else:
             lead = rest.where("c > low").groupBy("gram").agg(F.min(F.struct("node", *facts)).alias("l"))
             a = written(lead.select("gram", F.col("l.node").alias("a"), *[F.col(f"l.{x}").alias(x + "a") for x in facts]), "leaders")
         apart = F.col("ca") < F.col("cb") if last else F.col("ca") != F.col("cb")
-        more = b.join(a, (b["gram"] == a["gram"]) & apart & _can_link(threshold, F.lit(0)))
+        k = F.greatest(_missing(threshold), F.lit(1))
+        first = (F.col("posa") <= F.col("ua") - k) & (F.col("posb") <= F.col("ub") - k)
+        enough = F.size(F.array_intersect("gramsa", "gramsb")) >= k
+        more = b.join(a, (b["gram"] == a["gram"]) & apart & _alike(threshold) & first & enough)
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = written(more.join(done, ["a", "b"], "left_anti"), "pairs-more")
         if not more.isEmpty():
             done = done.unionByName(more)
             roots = _united(roots, verify(more))
+        release(texts.sparkSession)
     return roots
 
 
