@@ -557,17 +557,18 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", te
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, but of each component only the row with its least id.
 
-    Of rows that repeat that id one stays; rows without words, and rows whose whole component
-    has null ids, all stay.
+    Ids name documents: of rows that repeat the least id one stays.  Rows without words and rows
+    with a null id all stay.
     """
     found = join(docs, threshold, id_col, text_col)
     gone = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
     twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1")
-    rest = docs.join(gone.select(F.col("doc_id").alias("__gone")), docs[id_col] == F.col("__gone"), "left_anti")
+    gone = gone.withColumnRenamed("doc_id", "dropped_id")
+    rest = docs.join(gone, docs[id_col] == gone["dropped_id"], "left_anti")
     twice = written(twice.select("doc_id"), "repeated")
     if twice.isEmpty():
         return rest
-    twice = twice.select(F.col("doc_id").alias("__twice"))
-    single = rest.join(twice, rest[id_col] == F.col("__twice"), "left_anti")
-    again = rest.join(twice, rest[id_col] == F.col("__twice"), "left_semi")
+    twice = twice.withColumnRenamed("doc_id", "repeated_id")
+    single = rest.join(twice, rest[id_col] == twice["repeated_id"], "left_anti")
+    again = rest.join(twice, rest[id_col] == twice["repeated_id"], "left_semi")
     return single.unionByName(again.dropDuplicates([id_col]))

@@ -169,11 +169,9 @@ def restored(text: Column, key: str = KEY) -> Column:
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, length_col: str | None = "n_chars") -> DataFrame:
     """`docs` with pseudonyms in the text; a column with its length, if there is one, follows it."""
-    out = docs.withColumn(text_col, pseudonymized(F.col(text_col), key))
+    text, new = F.col(text_col), {text_col: pseudonymized(F.col(text_col), key)}
     if length_col in docs.columns:
-        kind = docs.schema[length_col].dataType
         was = F.col(length_col)
-        out = docs.withColumns(
-            {text_col: pseudonymized(F.col(text_col), key), "__length": F.char_length(text_col)}
-        ).withColumn(length_col, F.when(was == F.col("__length"), F.char_length(text_col)).otherwise(was).cast(kind)).drop("__length")
-    return out
+        longer = F.when(text.rlike(HINT) & (was == F.char_length(text)), F.char_length(pseudonymized(text, key))).otherwise(was)
+        new[length_col] = longer.cast(docs.schema[length_col].dataType)
+    return docs.withColumns(new)
