@@ -42,6 +42,8 @@ FEW = 8
 SEGMENTS = 8
 #: 64-bit words of the filter that spares texts without a candidate; a fixed size.
 FILTER = 1 << 20
+#: Bits of the sketch that bounds the overlap of two sets.
+PARITY = 1_024
 #: Rows of an Arrow batch and bytes of text hashed at a time; they bound a task's memory.
 ROWS, SLICE = 1_024, 1 << 20
 
@@ -110,6 +112,15 @@ def node_of(grams: np.ndarray) -> int:
     return int(_mix(total).view(np.int64)[0])
 
 
+def parity_bits(grams: np.ndarray) -> np.ndarray:
+    """PARITY bits as signed 64-bit words: each says whether an odd number of the set's n-grams fall on it.
+
+    Two sets differ in at least as many n-grams as their bits differ.
+    """
+    odd = np.bincount((grams & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n - (threshold * n + 99) // 100 + 1
 
@@ -202,7 +213,7 @@ def _fragments(texts: DataFrame, order: Order, fragments: int, threshold: int) -
     Kind 0: rare n-grams as 32-bit numbers within their fragment (a chance match only adds a
     candidate), places in the blob's table of nodes, that table, and the sizes of the sets.
     Kind 1: frequent n-grams, their nodes and sizes.  Kind 2: for each node the place in the order
-    of the last n-gram of its prefix, and its size.  Kinds 1 and 2 are dealt out by hash.
+    of the last n-gram of its prefix, its parity bits, and its size.  Kinds 1 and 2 are dealt out by hash.
     """
     bits = np.uint64(fragments.bit_length() - 1)
     whole, low = np.uint64(64), np.uint64(0xFFFFFFFF)
@@ -233,7 +244,7 @@ def _fragments(texts: DataFrame, order: Order, fragments: int, threshold: int) -
             for x, y in parts:
                 used, at = np.unique(place[x:y], return_inverse=True)
                 add(int(f[x]), 0, g[x:y].tobytes(), at.astype(np.int32).tobytes(), nodes[used].tobytes(), sizes[used].tobytes())
-            last = np.array([d[4] for d in docs], np.int64)
+            last, bits_of = np.array([d[4] for d in docs], np.int64), np.array([d[5] for d in docs])
             rank = np.concatenate([d[3] for d in docs])
             owner = np.repeat(np.arange(len(docs)), [len(d[3]) for d in docs])
             for kind, key, own in ((1, -1 - rank, owner), (2, last, np.arange(len(docs)))):
@@ -241,7 +252,8 @@ def _fragments(texts: DataFrame, order: Order, fragments: int, threshold: int) -
                 sort, parts = cut(f)
                 for x, y in parts:
                     pick = sort[x:y]
-                    add(int(f[pick[0]]), kind, key[pick].tobytes(), b"", nodes[own[pick]].tobytes(), sizes[own[pick]].tobytes())
+                    extra = bits_of[pick].tobytes() if kind == 2 else b""
+                    add(int(f[pick[0]]), kind, key[pick].tobytes(), extra, nodes[own[pick]].tobytes(), sizes[own[pick]].tobytes())
             docs.clear()
             kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
@@ -252,7 +264,7 @@ def _fragments(texts: DataFrame, order: Order, fragments: int, threshold: int) -
                     seen.add(node)
                     rare, often = order.prefix(s, threshold)
                     last = (1 << 62) + int(often[-1]) if len(often) else int(rare[-1] >> np.uint64(2))
-                    docs.append((node, len(s), rare, often, last))
+                    docs.append((node, len(s), rare, often, last, parity_bits(s)))
             if sum(len(d[2]) + len(d[3]) for d in docs) >= BLOCK:
                 yield flush()
         if docs:
@@ -262,19 +274,24 @@ def _fragments(texts: DataFrame, order: Order, fragments: int, threshold: int) -
 
 
 def _join_fragment(threshold: int):
-    """Rows (kind, x, y, c) of a fragment: 0 pairs of nodes with their partial overlap, 1 postings
-    (n-gram, node, size) of n-grams that many nodes share, 2 nodes (node, last place, size)."""
+    """Rows (kind, x, y, c, bits) of a fragment: 0 pairs of nodes with their partial overlap, 1 postings
+    (n-gram, node, size) of n-grams that many nodes share, 2 nodes (node, last place, size, bits)."""
 
     def run(table: pa.Table) -> pa.Table:
         f = int(table["f"][0].as_py())
         if f < 0:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for kind, g, d, n in zip(*(table[c].to_pylist() for c in ("kind", "grams", "nodes", "sizes")), strict=True):
+            words: list[np.ndarray] = []
+            for kind, g, bits, d, n in zip(*(table[c].to_pylist() for c in ("kind", "grams", "places", "nodes", "sizes")), strict=True):
                 g, d, n = np.frombuffer(g, np.int64), np.frombuffer(d, np.int64), np.frombuffer(n, np.int32).astype(np.int64)
                 x, y = (g, d) if kind == 1 else (d, g)
                 for column, v in zip(out, (np.full(len(g), kind, np.int32), x, y, n), strict=True):
                     column.append(v)
-            return pa.table(dict(zip(("kind", "x", "y", "c"), map(np.concatenate, out), strict=True)))
+                words.append(np.frombuffer(bits, np.int64) if kind == 2 else np.zeros(0, np.int64))
+            kinds = np.concatenate(out[0])
+            ends = np.cumsum(np.where(kinds == 2, PARITY // 64, 0))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate(words)))
+            return pa.table(dict(zip(("kind", "x", "y", "c"), map(np.concatenate, out), strict=True)) | {"bits": lists})
         blobs = [[np.frombuffer(table[c][k].as_py(), t) for c, t in (("grams", np.uint32), ("places", np.int32), ("nodes", np.int64), ("sizes", np.int32))] for k in range(table.num_rows)]
         g = np.concatenate([b[0] for b in blobs])
         d = np.concatenate([b[2][b[1]] for b in blobs])
@@ -306,6 +323,7 @@ def _join_fragment(threshold: int):
                 "x": np.concatenate([x[first], (f << 32) + g[big].astype(np.int64)]),
                 "y": np.concatenate([y[first], d[big]]),
                 "c": np.concatenate([count, n[big].astype(np.int64)]),
+                "bits": pa.nulls(len(first) + int(big.sum()), pa.list_(pa.int64())),
             }
         )
 
@@ -419,26 +437,25 @@ def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 
 
 def _listed(postings: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Open lists of n-grams of many nodes: (gram, pos, node, n, last, u, c, grams).
+    """Open lists of n-grams of many nodes: (gram, low, pos, node, n, last, u, c, bits).
 
-    A list is open while its nodes lie in several components.  `grams` are all such n-grams of the
-    node, those of short lists first, `pos` the place of `gram` among them.  A pair must share k of
-    them, so its first shared one is among the first u - k + 1 of either; a node stays only in
-    lists where that can hold for some size of partner.
+    A list is open while its nodes lie in several components.  u is the number of such n-grams of
+    the node, `pos` the place of `gram` among them, those of short lists first.  A pair must share
+    k of them, so its first shared one is among the first u - k + 1 of either; a node stays only
+    in lists where that can hold for some size of partner.
     """
-    comps = nodes.where("u > 0").join(roots, "node", "left").select("node", "n", "last", "u", F.coalesce("component", "node").alias("c"))
+    comps = nodes.where("u > 0").join(roots, "node", "left").select("node", "n", "last", F.coalesce("component", "node").alias("c"), "bits")
     size = postings.join(comps, "node").groupBy("gram").agg(F.count("*").alias("many"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     lists = written(size.where("low < high"), "open-lists")
     order = F.array_sort(F.collect_list(F.struct("many", "gram", "low", "least", "most")))
     own = postings.join(lists, "gram").groupBy("node").agg(order.alias("lists")).join(comps, "node")
-    own = own.withColumns({"u": F.size("lists"), "grams": F.transform("lists", lambda x: x["gram"])})
-    rows = own.select("node", "n", "last", "u", "c", "grams", F.posexplode("lists").alias("pos", "l"))
+    rows = own.select("node", "n", "last", F.size("lists").alias("u"), "c", "bits", F.posexplode("lists").alias("pos", "l"))
     n = F.col("n")
     low = F.greatest(F.col("l.least"), F.ceil(n * threshold / 100))
     high = F.least(F.col("l.most"), F.floor(n * 100 / threshold))
     k = F.least(_need(n, F.least(low, n), threshold) - _rest(n, threshold), _need(n, F.greatest(high, n), threshold) - _rest(F.greatest(high, n), threshold))
     kept = rows.where(F.col("pos") <= F.col("u") - F.greatest(k, F.lit(1)))
-    return written(kept.select(F.col("l.gram").alias("gram"), F.col("l.low").alias("low"), "pos", "node", "n", "last", "u", "c", "grams"), "open-postings")
+    return written(kept.select(F.col("l.gram").alias("gram"), F.col("l.low").alias("low"), "pos", "node", "n", "last", "u", "c", "bits"), "open-postings")
 
 
 class _Verifier:
@@ -481,11 +498,11 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
     total = first.where("not gram").agg(F.sum("n")).first()[0] or 0
     fragments = max(FRAGMENTS, 1 << (total * (100 - threshold) // 100 // PER_FRAGMENT).bit_length())
     blobs = _fragments(texts, order, fragments, threshold)
-    found = written(blobs.groupBy("f").applyInArrow(_join_fragment(threshold), "kind int, x long, y long, c long"), "fragments")
+    found = written(blobs.groupBy("f").applyInArrow(_join_fragment(threshold), "kind int, x long, y long, c long, bits array<long>"), "fragments")
     release(texts.sparkSession)
     postings = found.where("kind = 1").select(F.col("x").alias("gram"), F.col("y").alias("node"))
     postings = written(postings.distinct(), "postings")
-    nodes = found.where("kind = 2").groupBy(F.col("x").alias("node")).agg(F.max("c").alias("n"), F.max("y").alias("last"))
+    nodes = found.where("kind = 2").groupBy(F.col("x").alias("node")).agg(F.max("c").alias("n"), F.max("y").alias("last"), F.first("bits").alias("bits"))
     shared = postings.groupBy("node").agg(F.count("*").alias("u"))
     nodes = written(nodes.join(shared, "node", "left").withColumn("u", F.coalesce("u", F.lit(0))), "nodes")
     leaders = postings.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("gram", "a")
@@ -508,8 +525,9 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
 
     # N-grams of many nodes that lie in several components: one more leader, then what is left.
     # These pairs have no rare n-gram in common, or they would be among those above, so they must
-    # share enough of the others; that is counted where they meet, and only those that do go on.
-    facts = ("pos", "n", "last", "u", "c", "grams")
+    # share enough of the others.  Where two nodes meet, their parity bits bound their overlap,
+    # and only pairs that can reach the threshold leave the join.
+    facts = ("pos", "n", "last", "u", "c", "bits")
     done = pairs
     for last in (False, True):
         rest = _listed(postings, nodes, roots, threshold)
@@ -524,7 +542,8 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
         apart = F.col("ca") < F.col("cb") if last else F.col("ca") != F.col("cb")
         k = F.greatest(_missing(threshold), F.lit(1))
         first = (F.col("posa") <= F.col("ua") - k) & (F.col("posb") <= F.col("ub") - k)
-        enough = F.size(F.array_intersect("gramsa", "gramsb")) >= k
+        differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+        enough = F.col("na") + F.col("nb") - differ >= 2 * _need(F.col("na"), F.col("nb"), threshold)
         more = b.join(a, (b["gram"] == a["gram"]) & apart & _alike(threshold) & first & enough)
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = written(more.join(done, ["a", "b"], "left_anti"), "pairs-more")
