@@ -55,8 +55,9 @@ def best_match(text: Column, pattern: str, keywords: tuple[str, ...]) -> Column:
     """struct<value, confidence, start>, null without a match: right after a keyword 0.95, nearest
     to one 0.7, the first without any keyword 0.5."""
 
-    def graded(m: Column, confidence: float) -> Column:
-        return F.when(m.isNotNull(), F.struct(m["value"].alias("value"), F.lit(confidence).alias("confidence"), m["start"].alias("start")))
+    def graded(match: Column, confidence: float) -> Column:
+        whole = lambda m: F.when(m.isNotNull(), F.struct(m["value"].alias("value"), F.lit(confidence).alias("confidence"), m["start"].alias("start")))
+        return _let(match, whole)
 
     def choose(found: Column, ends: Column) -> Column:
         after = lambda m: F.exists(ends, lambda e: (m["start"] >= e) & (m["start"] - e <= config.ADJACENT_WINDOW))
@@ -101,8 +102,8 @@ def proveedor_field(lines: Column) -> Column:
 
     named = F.get(F.filter(F.transform(lines, after), lambda r: r["value"].isNotNull()), 0)
     guess = F.get(F.filter(lines, lambda line: line["text"].rlike("[A-Za-z]{3,}")), 0)
-    none = _field(F.lit(None).cast("string"), F.lit(0.0), _region(guess["bbox"]))
-    return _let(named, lambda n: F.when(n.isNotNull(), _field(n["value"], F.lit(0.9), _region(n["b"]))).when(guess.isNotNull(), _field(guess["text"], F.lit(0.5), _region(guess["bbox"]))).otherwise(none))
+    other = lambda g: _field(g["text"], F.when(g.isNotNull(), 0.5), _region(g["bbox"]))
+    return _let(named, lambda n: F.when(n.isNotNull(), _field(n["value"], F.lit(0.9), _region(n["b"]))).otherwise(_let(guess, other)))
 
 
 def extract_fields(ocr: DataFrame) -> DataFrame:
