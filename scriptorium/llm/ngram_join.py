@@ -505,31 +505,39 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
     nodes = found.where("kind = 2").groupBy(F.col("x").alias("node")).agg(F.max("c").alias("n"), F.max("y").alias("last"), F.first("bits").alias("bits"))
     shared = postings.groupBy("node").agg(F.count("*").alias("u"))
     nodes = written(nodes.join(shared, "node", "left").withColumn("u", F.coalesce("u", F.lit(0))), "nodes")
-    leaders = postings.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("gram", "a")
+    # The leader of an n-gram is the node of which the largest share of the prefix is shared by
+    # many: the one nearest to the middle of a group of near copies, so most link with it at once.
+    share = F.col("u") / (F.col("n") - F.floor((threshold * F.col("n") + 99) / 100) + 1)
+    ranked = postings.join(nodes.where("u > 0").select("node", F.struct(share.alias("share"), "node").alias("l")), "node")
+    leaders = ranked.groupBy("gram").agg(F.max("l").alias("l"), F.count("*").alias("many")).where("many > 1").select("gram", "l")
     leaders = written(leaders, "leaders")
+    best = postings.join(leaders, "gram").groupBy("node").agg(F.max("l").alias("l"), F.collect_set("l.node").alias("all"))
+    best = written(best.select("node", F.col("l.node").alias("leader"), "all"), "best-leaders")
 
-    # Partial overlaps are summed per pair; nodes of much shared n-grams meet their leader.
+    # Partial overlaps are summed per pair; nodes of much shared n-grams meet their leaders.
+    pair = lambda x: (F.least(x, "node").alias("a"), F.greatest(x, "node").alias("b"))
     light = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "c")
-    stars = postings.join(leaders, "gram").where("a <> node").select("a", F.col("node").alias("b")).distinct().withColumn("c", F.lit(0))
+    stars = best.select("node", F.explode("all").alias("leader")).where("leader <> node").select(*pair("leader")).distinct().withColumn("c", F.lit(0))
     pairs = light.union(stars).groupBy("a", "b").agg(F.sum("c").alias("c"))
     pairs = written(_possible(pairs, nodes, threshold), "pairs")
     verify = _Verifier(texts, threshold)
 
     # First one pair of each node, then those of the others that are not yet in one component.
-    some = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs-first")
+    some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(best.where("leader <> node").select(*pair("leader")))
+    some = written(pairs.join(some.distinct(), ["a", "b"], "left_semi"), "pairs-first")
     roots = _united(None, verify(some))
     others = written(_apart(pairs.join(some, ["a", "b"], "left_anti"), roots), "pairs-others")
     if not others.isEmpty():
         roots = _united(roots, verify(others))
     release(texts.sparkSession)
 
-    # N-grams of many nodes that lie in several components: one more leader, then what is left.
+    # N-grams of many nodes that lie in several components: more leaders, then what is left.
     # These pairs have no rare n-gram in common, or they would be among those above, so they must
     # share enough of the others.  Where two nodes meet, their parity bits bound their overlap,
     # and only pairs that can reach the threshold leave the join.
     facts = ("pos", "n", "last", "u", "c", "bits")
     done = pairs
-    for last in (False, True):
+    for last in (False, False, True):
         rest = _listed(postings, nodes, roots, threshold)
         if rest.isEmpty():
             break
@@ -537,7 +545,7 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
         if last:
             a = rest.select("gram", F.col("node").alias("a"), *[F.col(x).alias(x + "a") for x in facts])
         else:
-            lead = rest.where("c > low").groupBy("gram").agg(F.min(F.struct("node", *facts)).alias("l"))
+            lead = rest.where("c > low").groupBy("gram").agg(F.max(F.struct("u", "node", *[x for x in facts if x != "u"])).alias("l"))
             a = written(lead.select("gram", F.col("l.node").alias("a"), *[F.col(f"l.{x}").alias(x + "a") for x in facts]), "leaders")
         apart = F.col("ca") < F.col("cb") if last else F.col("ca") != F.col("cb")
         k = F.greatest(_missing(threshold), F.lit(1))
