@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import ngram_join, packing, pii, quality_classifier
-from scriptorium.llm.common import read, written
+from scriptorium.llm.common import discard, read, written
 from scriptorium.llm.quality_rules import keep_good
 
 
@@ -16,21 +16,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are more likely than not of the lowest grade."""
+    discard(spark)  # what the stage before needed; its result is written by now
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of copies and near copies."""
+    discard(spark)  # what the stage before needed; its result is written by now
     return ngram_join.keep_one(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts pseudonyms in place of personal data."""
+    discard(spark)  # what the stage before needed; its result is written by now
     return pii.pseudonymize(docs)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in sequences."""
+    discard(spark)  # what the stage before needed; its result is written by now
     return packing.pack(docs)
 
 
@@ -49,5 +53,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

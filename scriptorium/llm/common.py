@@ -29,14 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Intermediate tables not yet discarded.
+_MADE: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes the intermediate tables so far; for use where all results made from them are written."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """`df`, written as Parquet in the shared folder and read again.
 
     Cuts the lineage (a lost executor costs at most a re-read) and gives the planner the true
-    size of the table, so that it broadcasts it only below its threshold.
+    size of the table, so that it broadcasts it only below its threshold.  `keep` spares the table
+    from `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scriptorium/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     before = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.written(stage(spark, docs, DIR), name)
+        out = corpus_pipeline.written(stage(spark, docs, DIR), name, keep=True)
         assert out.schema.names == docs.schema.names and 0 < out.count() <= docs.count()
         docs = out
     assert docs.count() < before
