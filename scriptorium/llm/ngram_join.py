@@ -424,6 +424,18 @@ def _missing(threshold: int) -> Column:
     return _need(F.col("na"), F.col("nb"), threshold) - rest
 
 
+def _least_missing(n: Column, low: Column, high: Column, threshold: int) -> Column:
+    """A lower bound of `_missing` of a set of n and any partner of low to high n-grams.
+
+    With the rest of n it grows with the partner.  With the partner's rest it falls by
+    threshold^2 / (100 * (100 + threshold)) a size, but both terms are rounded, so a smaller
+    partner may need one less; none that is so far below the largest that it falls by 1.
+    """
+    low, high = F.least(low, n), F.greatest(high, n)
+    sizes = [F.greatest(high - k, low) for k in range(-(-100 * (100 + threshold) // threshold**2))]
+    return F.least(_need(n, low, threshold) - _rest(n, threshold), *[_need(n, m, threshold) - _rest(m, threshold) for m in sizes])
+
+
 def _alike(threshold: int) -> Column:
     return 100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")
 
@@ -453,8 +465,7 @@ def _listed(postings: DataFrame, nodes: DataFrame, roots: DataFrame, threshold:
     n = F.col("n")
     low = F.greatest(F.col("l.least"), F.ceil(n * threshold / 100))
     high = F.least(F.col("l.most"), F.floor(n * 100 / threshold))
-    k = F.least(_need(n, F.least(low, n), threshold) - _rest(n, threshold), _need(n, F.greatest(high, n), threshold) - _rest(F.greatest(high, n), threshold))
-    kept = rows.where(F.col("pos") <= F.col("u") - F.greatest(k, F.lit(1)))
+    kept = rows.where(F.col("pos") <= F.col("u") - F.greatest(_least_missing(n, low, high, threshold), F.lit(1)))
     return written(kept.select(F.col("l.gram").alias("gram"), F.col("l.low").alias("low"), "pos", "node", "n", "last", "u", "c", "bits"), "open-postings")
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scriptorium.llm import ann, ngram_join
 from scriptorium.llm.graph import components
@@ -88,6 +89,29 @@ def test_join_of_odd_rows(spark, odd, none):
     assert kept.count(1) == 1 and kept.count(5) == 1 and 6 not in kept and {2, 3, 4} <= set(kept) and None in kept
 
 
+def test_open_lists_keep_pairs_of_all_sizes(spark):
+    """The bound of open lists holds for each size of partner, by brute force."""
+    need = lambda n, m, t: -(-t * (n + m) // (100 + t))
+    rest = lambda n, t: -(-t * n // 100) - 1
+    for t in (75, 50, 90):
+        cases = [(n, low, high) for n in [*range(1, 60), 399, 980] for low in range(-(-t * n // 100), 100 * n // t + 1, 1 + n // 12) for high in range(low, 100 * n // t + 1, 1 + n // 24)]
+        rows = spark.createDataFrame(cases, "n long, low long, high long").select("*", ngram_join._least_missing(F.col("n"), F.col("low"), F.col("high"), t).alias("k")).collect()
+        for r in rows:
+            assert r.k <= min(need(r.n, m, t) - max(rest(r.n, t), rest(m, t)) for m in range(r.low, r.high + 1)), (t, r)
+
+
+def test_open_lists_of_a_pair_whose_shared_lists_are_longest(spark):
+    a, b = 1, 2  # of 21 and 23 n-grams, 19 shared: two of them in the prefixes of six, in the longest lists
+    postings = [(g, a) for g in (10, 11, 12, 13)] + [(g, b) for g in (20, 21, 22, 23)] + [(g, x) for g in (90, 91) for x in (a, b)]
+    postings += [(g, 100 + 10 * g + i) for g in (10, 11, 12, 13, 20, 21, 22, 23) for i in range(6)] + [(g, 100 + 10 * g + i) for g in (90, 91) for i in range(9)]
+    sizes = {a: 21, b: 23} | {x: 19 + i % 6 for i, x in enumerate(sorted({x for _, x in postings} - {a, b}))}
+    nodes = spark.createDataFrame([(x, n, 1 << 62, 6 if x in (a, b) else 1, [0] * 16) for x, n in sizes.items()], "node long, n long, last long, u long, bits array<long>")
+    roots = spark.createDataFrame([], "node long, component long")
+    kept = ngram_join._listed(spark.createDataFrame(postings, "gram long, node long"), nodes, roots, 75).collect()
+    lists = {x: {r.gram for r in kept if r.node == x} for x in (a, b)}
+    assert lists[a] & lists[b]
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 32)).astype(np.float32)
