@@ -8,7 +8,8 @@
    wider beam; in each task an audit compares a sample of queries with brute force, and the beam
    of all queries is widened until the audit passes or the beam holds the whole shard.
 4. Matches are verified by cosine in double precision.  A task returns the number of vectors
-   that each class links with and a spanning forest of the links, never the links themselves;
+   that each class links with and a spanning forest of the links, never the links themselves, and
+   lists no more matches at once than those of BLOCK vectors;
    the forests are united into components.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and those
@@ -19,6 +20,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,8 @@ THRESHOLD = 0.98
 #: Classes of a shard; links of a node (twice as many in the lowest layer); beams; audited queries.
 SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT, RECALL = 8_000, 12, 48, 24, 48, 0.99
 BATCH, ABREAST, EXPAND = 256, 512, 4
+#: Vectors of which the matches are listed, and pairs that are verified, at a time.
+BLOCK, VERIFY = 64, 65_536
 #: Single precision finds candidates down to this much below the threshold.
 SLACK = 1e-4
 
@@ -177,8 +182,13 @@ class Graph:
         return np.where(ids < 0, -1, self.order[ids]), sims
 
     def within(self, queries: np.ndarray, least: float, size: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) whose similarity is at least `least`; beams full of matches are widened."""
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        """Pairs (query, node) whose similarity is at least `least`."""
+        none = np.zeros(0, np.int64)
+        left, right = zip((none, none), *self.blocks(queries, least, size), strict=True)
+        return np.concatenate(left), np.concatenate(right)
+
+    def blocks(self, queries: np.ndarray, least: float, size: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of `within`, those of a few queries at a time; beams full of matches are widened."""
         todo = np.arange(len(queries))
         while len(todo):
             again = []
@@ -189,25 +199,28 @@ class Graph:
                 full = (sims[:, -1] >= least) & (2 * size < len(self.x))
                 hit = (sims >= least) & (ids >= 0) & ~full[:, None]
                 row, col = np.nonzero(hit)
-                left.append(part[row])
-                right.append(ids[row, col])
+                yield part[row], ids[row, col]
                 again.append(part[full])
             todo, size = np.concatenate(again), min(4 * size, len(self.x))
-        return np.concatenate(left), np.concatenate(right)
 
 
-def matches(graph: Graph, x: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs found with the least beam that passes the audit."""
+def audited(graph: Graph, x: np.ndarray, queries: np.ndarray, least: float) -> int:
+    """The least beam that passes the audit."""
     size = BEAM
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
     true = int((queries[audit] @ x.T >= least).sum())
     while True:
         q, _ = graph.within(queries[audit], least, size)
         if len(q) >= RECALL * true or 2 * size >= len(x):
-            return graph.within(queries, least, size)
+            return size
         size *= 2
 
 
+def matches(graph: Graph, x: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs found with the least beam that passes the audit."""
+    return graph.within(queries, least, audited(graph, x, queries, least))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v.astype(np.float64)
     v = v / np.abs(v).max(1, keepdims=True)
@@ -229,7 +242,11 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    """Task of a pair of shards: links of each class, and a spanning forest of the links."""
+    """Task of a pair of shards: links of each class, and a spanning forest of the links.
+
+    Matches are marked in a matrix of one byte for each pair of the two shards, so that a pair found
+    from both ends counts once; they are listed, verified and united for BLOCK of its rows at a time.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
@@ -242,20 +259,27 @@ def _compare(threshold: float):
         self_pair = half == len(side)
         parts = [(0, half)] if self_pair else [(0, half), (half, len(side))]
         graphs = [Graph(single[a:b], node[a:b].view(np.uint64)) for a, b in parts]
-        left, right = [], []
-        for (a, b), (c, d), graph in [(parts[0], parts[-1], graphs[-1])] + ([] if self_pair else [(parts[1], parts[0], graphs[0])]):
-            q, hit = matches(graph, single[c:d], single[a:b], threshold - SLACK)
-            left.append(q + a)
-            right.append(hit + c)
-        x, y = np.concatenate(left), np.concatenate(right)
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        pair = np.unique(x * len(side) + y)
-        x, y = pair // len(side), pair % len(side)
-        x, y = x[x != y], y[x != y]
-        good = np.concatenate([np.zeros(0, bool), *[np.einsum("ij,ij->i", v[x[k : k + 65536]], v[y[k : k + 65536]]) >= threshold for k in range(0, len(x), 65536)]])
-        x, y = x[good], y[good]
-        links = np.bincount(x, many[y], len(side)) + np.bincount(y, many[x], len(side))
-        root = _forest(x, y, len(side))
+        found = np.zeros((half, half if self_pair else len(side) - half), bool)
+        for back, (a, b), (c, d), graph in [(False, parts[0], parts[-1], graphs[-1])] + ([] if self_pair else [(True, parts[1], parts[0], graphs[0])]):
+            x, queries, least = single[c:d], single[a:b], threshold - SLACK
+            for q, hit in graph.blocks(queries, least, audited(graph, x, queries, least)):
+                if self_pair:
+                    q, hit = np.minimum(q, hit), np.maximum(q, hit)
+                found[(hit, q) if back else (q, hit)] = True
+        if self_pair:
+            np.fill_diagonal(found, False)
+        links, root = np.zeros(len(side)), np.arange(len(side))
+        for at in range(0, half, BLOCK):
+            x, y = np.nonzero(found[at : at + BLOCK])
+            x, y = x + at, y + parts[-1][0]
+            good = np.concatenate([np.zeros(0, bool), *[np.einsum("ij,ij->i", v[x[k : k + VERIFY]], v[y[k : k + VERIFY]]) >= threshold for k in range(0, len(x), VERIFY)]])
+            x, y = x[good], y[good]
+            if not len(x):
+                continue
+            links += np.bincount(x, many[y], len(side)) + np.bincount(y, many[x], len(side))
+            new = root[x] != root[y]
+            if new.any():
+                root = _forest(np.concatenate([x[new], np.arange(len(side))]), np.concatenate([y[new], root]), len(side))
         linked = np.flatnonzero(links)
         child = np.flatnonzero(root != np.arange(len(side)))
         return pa.table(

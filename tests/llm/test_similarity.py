@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scriptorium.llm import ann, ngram_join
@@ -147,3 +149,27 @@ def test_audited_search_finds_wide_groups():
     true = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.98))}
     found = set(zip(q.tolist(), hit.tolist()))
     assert found <= true and len(found) >= 0.97 * len(true)
+
+
+def test_large_group_of_near_copies_is_not_listed_whole():
+    """Counts and components by brute force, of one shard and of two, within memory that the list of pairs exceeds."""
+    rng = np.random.default_rng(6)
+    v = np.vstack([1 + rng.normal(scale=0.05, size=(1500, 16)), rng.normal(size=(100, 16))])
+    node, many = rng.integers(-1 << 63, (1 << 63) - 1, 1600), rng.integers(1, 4, 1600)
+    unit = ann._unit(v)
+    true = unit @ unit.T >= 0.98
+    np.fill_diagonal(true, False)
+    for side in (np.zeros(1600, int), rng.integers(0, 2, 1600)):
+        link = true if not side.any() else true & (side[:, None] != side[None, :])
+        table = pa.table({"side": side, "node": node, "many": many, "embedding": pa.array(v.tolist(), pa.list_(pa.float64()))})
+        tracemalloc.start()
+        out = ann._compare(0.98)(table).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        got = {r["a"]: r["links"] for r in out if r["b"] is None}
+        whole = dict(zip(node.tolist(), (link @ many).tolist()))
+        assert all(got.get(n, 0) <= c for n, c in whole.items()) and sum(got.values()) >= 0.99 * sum(whole.values())
+        edges = [(r["a"], r["b"]) for r in out if r["b"] is not None]
+        names, wanted = roots(node.tolist(), edges), roots(node.tolist(), [(int(node[i]), int(node[j])) for i, j in zip(*np.nonzero(link))])
+        assert sum(names[n] == wanted[n] for n in wanted) >= 0.99 * len(wanted)
+        assert peak < 45e6, peak
