@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,51 +24,75 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where that setting is absent (tests, one machine).
+    Where the setting is absent, a folder of our own is made on a single machine (tests); on a
+    cluster that is an error, since executors would write to disks that others do not see.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-#: Intermediate tables not yet discarded.
-_MADE: list[str] = []
+class Tables:
+    """The intermediate tables of one owner, who drops them when nothing reads them any more."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
-def discard(spark: SparkSession) -> None:
-    """Deletes the intermediate tables so far; for use where all results made from them are written."""
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, spark: SparkSession) -> None:
+        while self.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+_OWNER: ContextVar[Tables | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[Tables]:
+    """Tables written inside belong to the yielded owner; tables without an owner stay."""
+    tables = Tables()
+    token = _OWNER.set(tables)
+    try:
+        yield tables
+    finally:
+        _OWNER.reset(token)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values) -> Iterator[None]:
+    """Settings (with _ for .) that hold for the actions inside only."""
+    names = {k.replace("_", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, arrow_rows: int = 10_000) -> DataFrame:
     """`df`, written as Parquet in the shared folder and read again.
 
     Cuts the lineage (a lost executor costs at most a re-read) and gives the planner the true
-    size of the table, so that it broadcasts it only below its threshold.  `keep` spares the table
-    from `discard`.
+    size of the table, so that it broadcasts it only below its threshold.  The shuffle files of
+    the write go when it ends.  `arrow_rows` bounds the rows of an Arrow batch, of which both
+    sides hold one at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scriptorium/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        _MADE.append(path)
-    df.write.parquet(path)
+    if (owner := _OWNER.get()) is not None:
+        owner.paths.append(path)
+    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxRecordsPerBatch=arrow_rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of finished jobs now rather than when the driver next collects garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Sets how many rows an Arrow batch has; a batch of texts lies in memory on both sides at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def words_of(text: Column) -> Column:
     """Words (maximal runs of non-space characters) of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
@@ -75,10 +103,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def has_column(df: DataFrame, name: str) -> bool:
-    return name in df.columns
-
-
 def unit(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the given columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

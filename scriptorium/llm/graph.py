@@ -39,3 +39,20 @@ def components(edges: DataFrame) -> DataFrame:
             F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         )
         edges = written(joined.select(F.inline(pairs)).where("u <> v").distinct(), "edges")
+
+
+#: A component is large when it holds more than one of so many parts of all rows, so fewer than that many are.
+PARTS = 1_024
+
+
+def named_by_component(classes: DataFrame) -> DataFrame:
+    """`classes` (a written table with `least` and its component `c`) with component_id, the least `least` of its component.
+
+    Large components get it from a broadcast table of fewer than PARTS rows, so none is gathered in one task.
+    """
+    named = written(classes.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("rows")), "named")
+    bound = classes.count() // PARTS
+    large = F.broadcast(named.where(F.col("rows") > bound).select("c", "component_id"))
+    small = named.where(F.col("rows") <= bound).select("c", "component_id")
+    rest = classes.join(large.select("c"), "c", "left_anti").join(small, "c")
+    return classes.join(large, "c").unionByName(rest)

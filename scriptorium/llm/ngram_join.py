@@ -21,14 +21,15 @@ component; rows with a null id belong to their component, which is named by its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, read_slices, release, text_bytes, written
-from .graph import components
+from .common import owned, read_slices, text_bytes, written
+from .graph import components, named_by_component
 
 WORDS, THRESHOLD = 5, 75
 #: N-grams after which a task counts what it has seen twice; bound on the frequent n-grams that
@@ -40,10 +41,10 @@ PER_FRAGMENT, FRAGMENTS = 1_000_000, 64
 FEW = 8
 #: Fragments in which pairs are verified.
 SEGMENTS = 8
-#: 64-bit words of the filter that spares texts without a candidate; a fixed size.
-FILTER = 1 << 20
-#: Bits of the sketch that bounds the overlap of two sets.
-PARITY = 1_024
+#: Bits of the sketch that bounds the overlap of two sets, and to how many it is folded in open lists.
+PARITY, FOLDED = 1_024, 256
+#: Rows (of some 200 bytes) up to which a counted table is broadcast, and ids (of 8) likewise; larger ones are shuffled.
+SMALL, SMALL_IDS = 1 << 17, 1 << 20
 #: Rows of an Arrow batch and bytes of text hashed at a time; they bound a task's memory.
 ROWS, SLICE = 1_024, 1 << 20
 
@@ -330,32 +331,24 @@ def _join_fragment(threshold: int):
     return run
 
 
-def _filter(nodes: DataFrame) -> np.ndarray:
-    """Bit words of a filter of fixed size that holds all the nodes."""
-    h = F.xxhash64("node")
-    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {k}) & 63 as int))")
-    words = (
-        nodes.select(h.alias("h"))
-        .select((F.col("h").bitwiseAND(F.lit(FILTER - 1))).cast("int").alias("w"), bit(24).bitwiseOR(bit(32)).bitwiseOR(bit(40)).alias("bits"))
-        .groupBy("w")
-        .agg(F.bit_or("bits").alias("bits"))
-        .toArrow()  # at most FILTER rows
-    )
-    out = np.zeros(FILTER, np.uint64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
+def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """`df` (a written table) marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def _segments(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, f, n, grams) of the nodes: their whole sets, cut into SEGMENTS fragments of the order."""
+def _segments(texts: DataFrame, owners: DataFrame) -> DataFrame:
+    """(node, f, n, grams) of the texts whose ids are in `owners`: whole sets, cut into SEGMENTS fragments of the order.
+
+    Texts without an id are all taken, since only their text names them.  A node may come several
+    times, from such texts or where ids repeat.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, part in read_slices(batches, SLICE):
-            sets = [(node_of(s), s) for s in shingle_sets(part) if len(s)]
             out: list[list] = [[], [], [], []]
-            for node, s in sets:
-                if node in seen or node not in wanted:
+            for s in shingle_sets(part):
+                if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
                 cut = np.append(np.searchsorted(s, edges), len(s))
@@ -369,39 +362,22 @@ def _segments(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             )
 
     edges = np.array([k << (64 - (SEGMENTS.bit_length() - 1)) for k in range(SEGMENTS)], np.uint64)
-    wanted = _Wanted(_filter(nodes))
-    rows = texts.mapInArrow(run, "node long, f int, n long, grams array<long>")
-    # Copies in several tasks: one of each is kept; the filter's false hits are dropped by the joins.
-    return rows.groupBy("node", "f").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-
-
-class _Wanted:
-    """Membership by the bits of `_filter`, with Spark's hash of a long computed here."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def __contains__(self, node: int) -> bool:
-        h = _xxhash64(node)
-        bits = (1 << ((h >> 24) & 63)) | (1 << ((h >> 32) & 63)) | (1 << ((h >> 40) & 63))
-        return int(self.words[h & (FILTER - 1)]) & bits == bits
-
-
-def _xxhash64(value: int, seed: int = 42) -> int:
-    """The published XXH64 of the eight bytes of a long, as F.xxhash64 gives it."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    wanted = texts.join(_small(owners, SMALL_IDS), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+    return wanted.mapInArrow(run, "node long, f int, n long, grams array<long>")
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
-    """Those pairs (a, b) that reach the threshold: overlaps are counted per fragment and summed."""
+    """Those pairs (a, b) that reach the threshold: overlaps are counted per fragment and summed.
+
+    A node that comes several times in `segments` gives equal counts, of which the set keeps one.
+    """
     right = segments.select(F.col("node").alias("b"), "f", F.col("n").alias("nb"), F.col("grams").alias("gb"))
     left = segments.select(F.col("node").alias("a"), "f", F.col("n").alias("na"), F.col("grams").alias("ga"))
-    parts = pairs.join(right, "b").join(left, ["a", "f"])
-    parts = parts.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
-    whole = parts.groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return whole.where(100 * F.col("o") >= threshold * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    parts = right.join(_small(pairs), "b").join(left, ["a", "f"])
+    parts = parts.select("a", "b", "na", "nb", F.struct("f", F.size(F.array_intersect("ga", "gb")).alias("o")).alias("part"))
+    whole = parts.groupBy("a", "b").agg(F.collect_set("part").alias("parts"), F.max("na").alias("na"), F.max("nb").alias("nb"))  # SEGMENTS parts at most
+    overlap = F.aggregate("parts", F.lit(0), lambda t, x: t + x["o"])
+    return whole.where(100 * overlap >= threshold * (F.col("na") + F.col("nb") - overlap)).select("a", "b")
 
 
 def _need(na: Column, nb: Column, threshold: int) -> Column:
@@ -440,54 +416,71 @@ def _alike(threshold: int) -> Column:
     return 100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Those pairs (a, b, c) that can still reach the threshold: c is their overlap in rare prefix
-    n-grams of few nodes, and they share at most min(ua, ub) n-grams of many nodes."""
-    side = lambda k: nodes.select(F.col("node").alias(k), *[F.col(c).alias(c + k) for c in ("n", "last", "u")])
-    most = F.col("c") + F.least("ua", "ub")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(threshold) & (most >= _missing(threshold))).select("a", "b")
+def _can_reach(x: str, threshold: int) -> Column:
+    """Whether the parity bits (x + "a", x + "b") leave a pair the overlap that it needs."""
+    differ = F.aggregate(F.zip_with(x + "a", x + "b", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, v: t + v)
+    return F.col("na") + F.col("nb") - differ >= 2 * _need(F.col("na"), F.col("nb"), threshold)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int, counted: bool = False) -> DataFrame:
+    """Those pairs (a, b) of a written table that can still reach the threshold by their parity bits.
+
+    If `counted`, c is their overlap in rare prefix n-grams of few nodes, and they share at most
+    min(ua, ub) n-grams of many nodes.
+    """
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
+    facts = _small(written(nodes.join(_small(ids, SMALL_IDS), "node", "left_semi"), "pair-facts"))
+    side = lambda k: facts.select(F.col("node").alias(k), *[F.col(c).alias(c + k) for c in ("n", "last", "u", "bits")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(threshold) & _can_reach("bits", threshold))
+    if counted:
+        both = both.where(F.col("c") + F.least("ua", "ub") >= _missing(threshold))
+    return both.select("a", "b")
 
 
 def _listed(postings: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Open lists of n-grams of many nodes: (gram, low, pos, node, n, last, u, c, bits).
+    """Open lists of n-grams of many nodes: (gram, low, pos, node, n, last, u, c, fold).
 
     A list is open while its nodes lie in several components.  u is the number of such n-grams of
     the node, `pos` the place of `gram` among them, those of short lists first.  A pair must share
     k of them, so its first shared one is among the first u - k + 1 of either; a node stays only
     in lists where that can hold for some size of partner.
     """
-    comps = nodes.where("u > 0").join(roots, "node", "left").select("node", "n", "last", F.coalesce("component", "node").alias("c"), "bits")
+    words = FOLDED // 64
+    fold = F.array(*[reduce(Column.bitwiseXOR, [F.col("bits")[k] for k in range(w, PARITY // 64, words)]) for w in range(words)])
+    comps = nodes.where("u > 0").select("node", "n", "last", fold.alias("fold")).join(roots, "node", "left")
+    comps = comps.select("node", "n", "last", F.coalesce("component", "node").alias("c"), "fold")
     size = postings.join(comps, "node").groupBy("gram").agg(F.count("*").alias("many"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     lists = written(size.where("low < high"), "open-lists")
     order = F.array_sort(F.collect_list(F.struct("many", "gram", "low", "least", "most")))
-    own = postings.join(lists, "gram").groupBy("node").agg(order.alias("lists")).join(comps, "node")
-    rows = own.select("node", "n", "last", F.size("lists").alias("u"), "c", "bits", F.posexplode("lists").alias("pos", "l"))
+    own = postings.join(_small(lists), "gram").groupBy("node").agg(order.alias("lists")).join(comps, "node")
+    rows = own.select("node", "n", "last", F.size("lists").alias("u"), "c", "fold", F.posexplode("lists").alias("pos", "l"))
     n = F.col("n")
     low = F.greatest(F.col("l.least"), F.ceil(n * threshold / 100))
     high = F.least(F.col("l.most"), F.floor(n * 100 / threshold))
     kept = rows.where(F.col("pos") <= F.col("u") - F.greatest(_least_missing(n, low, high, threshold), F.lit(1)))
-    return written(kept.select(F.col("l.gram").alias("gram"), F.col("l.low").alias("low"), "pos", "node", "n", "last", "u", "c", "bits"), "open-postings")
+    return written(kept.select(F.col("l.gram").alias("gram"), F.col("l.low").alias("low"), "pos", "node", "n", "last", "u", "c", "fold"), "open-postings")
 
 
 class _Verifier:
-    """Verifies pairs against segments of whole sets, which it reads for nodes when first needed."""
+    """Verifies pairs against segments of whole sets, which it reads for nodes when first needed.
+
+    `owners` has (node, doc_id): the least id among the texts of a node.
+    """
 
-    def __init__(self, texts: DataFrame, threshold: int):
-        self.texts, self.threshold, self.parts, self.nodes = texts, threshold, None, None
+    def __init__(self, texts: DataFrame, owners: DataFrame, threshold: int):
+        self.texts, self.owners, self.threshold, self.parts, self.nodes = texts, owners, threshold, None, None
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if self.nodes is not None:
-            want = want.join(self.nodes, "node", "left_anti")
-        want = written(want, "candidates")
-        if not want.isEmpty():
-            fresh = written(_segments(self.texts, want), "segments")
-            self.parts = fresh if self.parts is None else self.parts.unionByName(fresh)
-            self.nodes = want if self.nodes is None else self.nodes.unionByName(want)
-            release(pairs.sparkSession)
-        if self.parts is None:  # no pair at all
+        if pairs.isEmpty():
             return pairs
-        return written(_verified(pairs, self.parts, self.threshold), "links")
+        want = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
+        new = want if self.nodes is None else written(want.join(self.nodes, "node", "left_anti"), "candidates-new")
+        ids = written(self.owners.join(_small(new, SMALL_IDS), "node", "left_semi").where("doc_id is not null").select("doc_id"), "owners")
+        fresh = written(_segments(self.texts, ids), "segments", ROWS)
+        self.parts = fresh if self.parts is None else self.parts.unionByName(fresh)
+        self.nodes = new if self.nodes is None else self.nodes.unionByName(new)
+        parts = self.parts.join(_small(want, SMALL_IDS), "node", "left_semi")
+        return written(_verified(pairs, parts, self.threshold), "links")
 
 
 def _united(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -503,14 +496,13 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataFrame:
+def node_components(texts: DataFrame, first: DataFrame, owners: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of the nodes whose component is another node."""
     order = _order(first)
     total = first.where("not gram").agg(F.sum("n")).first()[0] or 0
     fragments = max(FRAGMENTS, 1 << (total * (100 - threshold) // 100 // PER_FRAGMENT).bit_length())
     blobs = _fragments(texts, order, fragments, threshold)
-    found = written(blobs.groupBy("f").applyInArrow(_join_fragment(threshold), "kind int, x long, y long, c long, bits array<long>"), "fragments")
-    release(texts.sparkSession)
+    found = written(blobs.groupBy("f").applyInArrow(_join_fragment(threshold), "kind int, x long, y long, c long, bits array<long>"), "fragments", ROWS)
     postings = found.where("kind = 1").select(F.col("x").alias("gram"), F.col("y").alias("node"))
     postings = written(postings.distinct(), "postings")
     nodes = found.where("kind = 2").groupBy(F.col("x").alias("node")).agg(F.max("c").alias("n"), F.max("y").alias("last"), F.first("bits").alias("bits"))
@@ -522,16 +514,16 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
     ranked = postings.join(nodes.where("u > 0").select("node", F.struct(share.alias("share"), "node").alias("l")), "node")
     leaders = ranked.groupBy("gram").agg(F.max("l").alias("l"), F.count("*").alias("many")).where("many > 1").select("gram", "l")
     leaders = written(leaders, "leaders")
-    best = postings.join(leaders, "gram").groupBy("node").agg(F.max("l").alias("l"), F.collect_set("l.node").alias("all"))
+    best = postings.join(_small(leaders), "gram").groupBy("node").agg(F.max("l").alias("l"), F.collect_set("l.node").alias("all"))
     best = written(best.select("node", F.col("l.node").alias("leader"), "all"), "best-leaders")
 
     # Partial overlaps are summed per pair; nodes of much shared n-grams meet their leaders.
     pair = lambda x: (F.least(x, "node").alias("a"), F.greatest(x, "node").alias("b"))
     light = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "c")
     stars = best.select("node", F.explode("all").alias("leader")).where("leader <> node").select(*pair("leader")).distinct().withColumn("c", F.lit(0))
-    pairs = light.union(stars).groupBy("a", "b").agg(F.sum("c").alias("c"))
-    pairs = written(_possible(pairs, nodes, threshold), "pairs")
-    verify = _Verifier(texts, threshold)
+    met = written(light.union(stars).groupBy("a", "b").agg(F.sum("c").alias("c")), "pairs-met")
+    pairs = written(_possible(met, nodes, threshold, counted=True), "pairs")
+    verify = _Verifier(texts, owners, threshold)
 
     # First one pair of each node, then those of the others that are not yet in one component.
     some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(best.where("leader <> node").select(*pair("leader")))
@@ -540,13 +532,12 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
     others = written(_apart(pairs.join(some, ["a", "b"], "left_anti"), roots), "pairs-others")
     if not others.isEmpty():
         roots = _united(roots, verify(others))
-    release(texts.sparkSession)
 
     # N-grams of many nodes that lie in several components: more leaders, then what is left.
     # These pairs have no rare n-gram in common, or they would be among those above, so they must
     # share enough of the others.  Where two nodes meet, their parity bits bound their overlap,
     # and only pairs that can reach the threshold leave the join.
-    facts = ("pos", "n", "last", "u", "c", "bits")
+    facts = ("pos", "n", "last", "u", "c", "fold")
     done = pairs
     for last in (False, False, True):
         rest = _listed(postings, nodes, roots, threshold)
@@ -561,15 +552,13 @@ def node_components(texts: DataFrame, first: DataFrame, threshold: int) -> DataF
         apart = F.col("ca") < F.col("cb") if last else F.col("ca") != F.col("cb")
         k = F.greatest(_missing(threshold), F.lit(1))
         first = (F.col("posa") <= F.col("ua") - k) & (F.col("posb") <= F.col("ub") - k)
-        differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
-        enough = F.col("na") + F.col("nb") - differ >= 2 * _need(F.col("na"), F.col("nb"), threshold)
-        more = b.join(a, (b["gram"] == a["gram"]) & apart & _alike(threshold) & first & enough)
+        more = b.join(a if last else _small(a), (b["gram"] == a["gram"]) & apart & _alike(threshold) & first & _can_reach("fold", threshold))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = written(more.join(done, ["a", "b"], "left_anti"), "pairs-more")
-        if not more.isEmpty():
-            done = done.unionByName(more)
-            roots = _united(roots, verify(more))
-        release(texts.sparkSession)
+        if more.isEmpty():
+            continue
+        done = done.unionByName(more)
+        roots = _united(roots, verify(written(_possible(more, nodes, threshold), "pairs-possible")))
     return roots
 
 
@@ -579,14 +568,15 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", te
     `threshold` is in hundredths; two documents link when 100 * intersection >= threshold * union.
     """
     texts = _texts(docs, id_col, text_col)
-    arrow_rows(docs.sparkSession, ROWS)
-    first = written(_first_pass(texts), "sets")
+    first = written(_first_pass(texts), "sets", ROWS)
     rows = first.where("not gram").select("doc_id", "n", F.col("h").alias("node"))
-    roots = node_components(texts, first, threshold)
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    classes = written(classes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")), "classes")
-    named = classes.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = written(classes.join(named, "c").select("node", "component_id"), "components")
+    with owned() as work:
+        owners = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node-owners")
+        roots = node_components(texts, first, owners, threshold)
+        classes = owners.join(roots, "node", "left").select("node", F.col("doc_id").alias("least"), F.coalesce("component", "node").alias("c"))
+        named = named_by_component(written(classes, "classes")).select("node", "component_id")
+    named = written(named, "components")
+    work.drop(docs.sparkSession)
     return rows.join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
@@ -602,7 +592,7 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id"
     gone = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
     twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1")
     gone = gone.withColumnRenamed("doc_id", "dropped_id")
-    rest = docs.join(gone, docs[id_col] == gone["dropped_id"], "left_anti")
+    rest = docs.join(_small(gone, SMALL_IDS), docs[id_col] == gone["dropped_id"], "left_anti")
     twice = written(twice.select("doc_id"), "repeated")
     if twice.isEmpty():
         return rest

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, read_slices, written
+from .common import read_slices, written
 
 LENGTH, END = 2048, 0
 #: Words kept in a worker's cache of encoded words, bytes of text encoded at a time, rows of an Arrow batch.
@@ -116,7 +116,6 @@ def tokenize(
 ) -> DataFrame:
     """Pieces of all documents: doc_id, piece, start, length, ids (little-endian 32-bit)."""
     path = vocabulary_path or vocabulary()
-    arrow_rows(docs.sparkSession, ROWS)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -243,13 +242,13 @@ def assign(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 def pack(docs: DataFrame, vocabulary_path: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where each piece lies: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = tokenize(docs, vocabulary_path, length, id_col=id_col, text_col=text_col)
-    pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces", ROWS)
     return assign(pieces, length).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, vocabulary_path: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The packed sequences themselves: sequence_id, ids (array of int), doc_ids in order."""
-    pieces = written(tokenize(docs, vocabulary_path, length, id_col=id_col, text_col=text_col), "pieces")
+    pieces = written(tokenize(docs, vocabulary_path, length, id_col=id_col, text_col=text_col), "pieces", ROWS)
     placed = assign(pieces, length).withColumn("part", F.struct("offset", "doc_id", "ids"))
     rows = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # a sequence is at most `length` ids
 

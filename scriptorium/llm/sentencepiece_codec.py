@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, read_slices
+from .common import read_slices
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE, SLICE, UNITS, ROWS = 600_000, 4 << 20, 40_000, 4_096
+CACHE, SLICE, UNITS = 600_000, 4 << 20, 40_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 #: Code points a sort key holds, bits of each.
 PER_KEY, BITS = 3, 21
@@ -366,7 +366,6 @@ def codec(path: str | None = None) -> Codec:
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int; null for a null text)."""
     path = path or vocabulary()
-    arrow_rows(docs.sparkSession, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)  # of the worker, with the cache of its former tasks

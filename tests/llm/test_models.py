@@ -216,8 +216,8 @@ def test_pseudonyms(spark, odd, none):
         "4845-1681-1440-7329 256.1.1.1 1.2.3.4.5 no 12 or 1234567890123456",
         "", None, "nothing here",
     ]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("p", pii.pseudonymized(F.col("text")))
-    out = df.withColumn("back", pii.restored(F.col("p"))).withColumn("other", pii.pseudonymized(F.col("text"), "another key")).collect()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("p", pii.pseudonymized(F.col("text"), "k"))
+    out = df.withColumn("back", pii.restored(F.col("p"), "k")).withColumn("other", pii.pseudonymized(F.col("text"), "another key")).collect()
     assert [r.back for r in out] == texts
     p = [r.p for r in out]
     assert re.fullmatch(r"Of (\S+@\S+\.example\.com) x \1", p[0]) and "und.34" not in p[0]
@@ -228,11 +228,11 @@ def test_pseudonyms(spark, odd, none):
     assert re.fullmatch(r"on \d{4}-\d\d-\d\d, \d\d/\d\d/\d{4} and 31\.02\.2000", p[3]) and p[3] != texts[3]
     assert p[4].endswith(" 256.1.1.1 1.2.3.4.5 no 12 or 1234567890123456") and luhn(p[4][:19].replace("-", ""))
     assert p[5:] == ["", None, "nothing here"] and out[0].other != p[0]
-    kept = pii.pseudonymize(odd)
-    assert kept.columns == odd.columns and kept.count() == odd.count() and pii.pseudonymize(none).count() == 0
+    kept = pii.pseudonymize(odd, "k")
+    assert kept.columns == odd.columns and kept.count() == odd.count() and pii.pseudonymize(none, "k").count() == 0
 
 
 def test_pseudonyms_are_a_permutation(spark):
     texts = [f"{a}.{b}.7.9" for a in range(1, 12) for b in range(30)] + [f"a.{n:02d}@b.example.com" for n in range(100)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").select(pii.pseudonymized(F.col("text")).alias("p"))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(pii.pseudonymized(F.col("text"), "k").alias("p"))
     assert df.distinct().count() == len(texts)

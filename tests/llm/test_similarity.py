@@ -161,10 +161,13 @@ def test_large_group_of_near_copies_is_not_listed_whole():
     np.fill_diagonal(true, False)
     for side in (np.zeros(1600, int), rng.integers(0, 2, 1600)):
         link = true if not side.any() else true & (side[:, None] != side[None, :])
-        table = pa.table({"side": side, "node": node, "many": many, "embedding": pa.array(v.tolist(), pa.list_(pa.float64()))})
+        left, right = (ann.Shard(node[side == k], many[side == k], unit[side == k]) for k in (0, side.max()))
+        right = left.build() if not side.any() else ann.Shard.load(*right.build().dump())
         tracemalloc.start()
-        out = ann._compare(0.98)(table).to_pylist()
+        out = pa.table(ann._linked(left, right, 0.98)).to_pylist()
         peak = tracemalloc.get_traced_memory()[1]
+        assert out[-1]["recall"] >= ann.RECALL and [r["recall"] for r in out[:-1]] == [None] * (len(out) - 1)
+        out = out[:-1]
         tracemalloc.stop()
         got = {r["a"]: r["links"] for r in out if r["b"] is None}
         whole = dict(zip(node.tolist(), (link @ many).tolist()))
