@@ -7,20 +7,29 @@ else is left alone.  A match becomes a list of symbols, each with the size of it
 permutes the list: in each round one half is shifted, symbol by symbol and modulo its alphabet,
 by a keyed hash of the other half.  The map is a permutation of the values of one format, so
 equal values get equal pseudonyms in all documents and different values different ones; with
-the key it can be undone (`restore`).
+the key it can be undone (`restored`).  Of phone and card numbers only the digits are permuted
+(of phones the last ten), so one number in two layouts stays linked.  The key is always the
+caller's; none is kept in the source.
 
 Edge cases: a null text stays null; texts without a match are unchanged; dates outside
-1900-01-01 + 73200 days, cards without a valid check digit and octets over 255 are unchanged.
+1900-01-01 + 73200 days, cards without a valid check digit and octets over 255 are unchanged;
+repeated rows get equal texts; an empty table gives an empty result; all other columns stay as
+they are, and a length column follows its text only where it held the length before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
 
-KEY, ROUNDS = "scriptorium", 8
+ROUNDS = 8
+#: Setting of the session that holds the key.
+KEY_SETTING = "spark.scriptorium.pseudonym.key"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IN, _OUT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
@@ -104,6 +113,18 @@ def _characters(x: Column, low: Column, high: Column, first: Column | None = Non
     return F.transform(F.regexp_extract_all(x, F.lit("(?s)(.)"), F.lit(1)), lambda c, i: _symbol(c, (i >= low) & (i < high), first))
 
 
+def _digits_in(x: Column, digits: Column) -> Column:
+    """`x` with its digits, in order, replaced by those of the string `digits`; all else stays where it is."""
+    n = F.char_length(digits)
+
+    def place(c: Column, i: Column) -> Column:
+        seen = F.char_length(F.regexp_replace(F.substring(x, F.lit(1), i + 1), r"\D", ""))
+        own = n - F.char_length(F.regexp_replace(x, r"\D", "")) + seen
+        return F.when(c.rlike(r"^\d$") & (own > 0), F.substring(digits, own, F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)(.)"), F.lit(1)), place), "")
+
+
 def _text(v: Column) -> Column:
     return F.array_join(F.transform(v, lambda s: F.when(s["m"] == 1, s["c"]).otherwise(F.substring(s["a"], s["x"] + 1, F.lit(1)))), "")
 
@@ -111,10 +132,10 @@ def _text(v: Column) -> Column:
 def _replace(x: Column, key: str, undo: bool) -> Column:
     """Pseudonym of one match."""
     n = F.char_length(x)
+    everything = F.lit(1 << 30)
     email, secret, phone, ip = x.contains("@"), x.endswith('"'), x.rlike(f"^(?:{PHONE})$"), x.rlike(f"^(?:{IP})$")
     # Local part and all of the domain but its last two labels.
     kept = F.char_length(F.regexp_extract(x, r"([^.@]+\.[^.@]+)$", 1))
-    lead = F.char_length(F.regexp_extract(x, r"^(\+?1[ .-]?)(?=\(|\d{3})", 1))
     small = F.regexp_extract(x, '"(.*)"', 1).rlike("[a-f]")
     hexadecimal = F.when(small, DIGITS + "abcdef").otherwise(DIGITS + "ABCDEF")
     digits = F.regexp_replace(x, r"\D", "")
@@ -125,10 +146,12 @@ def _replace(x: Column, key: str, undo: bool) -> Column:
     def moved(symbols: Column) -> Column:
         return _permuted(symbols, key, undo)
 
-    def card(v: Column) -> Column:
-        body = _text(v)
-        check = F.pmod(-_luhn(F.concat(F.regexp_replace(body, r"\D", ""), F.lit("0"))), F.lit(10))
-        return F.concat(body, check.cast("string"))
+    def number(part: Column) -> Column:
+        return _text(moved(_characters(part, F.lit(0), everything)))
+
+    def card(body: Column) -> Column:
+        check = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10))
+        return _digits_in(x, F.concat(body, check.cast("string")))
 
     def date(v: Column) -> Column:
         d = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(v, 0)["x"] * LOW + F.get(v, 1)["x"])
@@ -140,10 +163,10 @@ def _replace(x: Column, key: str, undo: bool) -> Column:
     return (
         F.when(email, _text(moved(_characters(x, F.lit(0), n - kept))))
         .when(secret, _text(moved(_characters(x, F.instr(x, '"'), n - 1, hexadecimal))))
-        .when(phone, _text(moved(_characters(x, lead, n))))
+        .when(phone, let(number(F.substring(digits, -10, 10)), lambda d: _digits_in(x, d)))
         .when(ip, F.array_join(F.transform(moved(octets), lambda s: s["x"].cast("string")), "."))
         .when((nth >= 0) & (nth < HIGH * LOW), let(moved(dated), date))
-        .when(x.rlike(f"^(?:{CARD})$") & (_luhn(digits) % 10 == 0), let(moved(_characters(F.substring(x, F.lit(1), n - 1), F.lit(0), n - 1)), card))
+        .when(x.rlike(f"^(?:{CARD})$") & (_luhn(digits) % 10 == 0), let(number(F.substring(digits, F.lit(1), F.char_length(digits) - 1)), card))
         .otherwise(x)
     )
 
@@ -157,21 +180,30 @@ def _rewritten(text: Column, key: str, undo: bool) -> Column:
     return F.when(text.rlike(HINT), F.when(text.rlike(PATTERN), joined).otherwise(text)).otherwise(text)
 
 
-def pseudonymized(text: Column, key: str = KEY) -> Column:
+def session_key(spark: SparkSession) -> str:
+    """The key of the session (KEY_SETTING), or a fresh random one.
+
+    With a fresh key pseudonyms link values within this result only, and nobody can undo them.
+    """
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+
+
+def pseudonymized(text: Column, key: str) -> Column:
     """The text with pseudonyms in place of personal data."""
     return _rewritten(text, key, False)
 
 
-def restored(text: Column, key: str = KEY) -> Column:
+def restored(text: Column, key: str) -> Column:
     """The text before `pseudonymized` with the same key."""
     return _rewritten(text, key, True)
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, length_col: str | None = "n_chars") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """`docs` with pseudonyms in the text; a column with its length, if there is one, follows it."""
-    text, new = F.col(text_col), {text_col: pseudonymized(F.col(text_col), key)}
+    new, was = f"_{uuid.uuid4().hex}", F.col(length_col or text_col)
+    out = docs.withColumn(new, pseudonymized(F.col(text_col), key))
+    changed = {text_col: F.col(new)}
     if length_col in docs.columns:
-        was = F.col(length_col)
-        longer = F.when(text.rlike(HINT) & (was == F.char_length(text)), F.char_length(pseudonymized(text, key))).otherwise(was)
-        new[length_col] = longer.cast(docs.schema[length_col].dataType)
-    return docs.withColumns(new)
+        follows = was == F.char_length(text_col)
+        changed[length_col] = F.when(follows, F.char_length(new)).otherwise(was).cast(docs.schema[length_col].dataType)
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
