@@ -3,10 +3,12 @@
 1. Equal vectors of a label are one class; a class is indexed once and weighs as many vectors.
 2. The classes of a label are dealt out to shards of about SHARD by hash, and each shard gets a
    graph: layers of geometrically fewer nodes, each node linked to near and diverse neighbours.
-3. The classes of every shard query the graphs of every shard of their label, in blocks (pairs
-   of shards, both ways in one task).  A query whose beam is full of matches is repeated with a
-   wider beam; in each task an audit compares a sample of queries with brute force, and the beam
-   of all queries is widened until the audit passes or the beam holds the whole shard.
+   Graphs are built once and written.
+3. The classes of every shard query the graph of their own shard and those of the later shards of
+   their label, a pair of shards in a task.  A query whose beam is full of matches is repeated with
+   a wider beam; in each task an audit compares probes at the threshold's distance and a sample of
+   queries with brute force, and the beam of all is widened until the audit passes or holds the
+   whole shard.
 4. Matches are verified by cosine in double precision.  A task returns the number of vectors
    that each class links with and a spanning forest of the links, never the links themselves, and
    lists no more matches at once than those of BLOCK vectors;
@@ -21,18 +23,19 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .graph import components
+from .common import owned, written
+from .graph import components, named_by_component
 
 THRESHOLD = 0.98
 #: Classes of a shard; links of a node (twice as many in the lowest layer); beams; audited queries.
-SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT, RECALL = 8_000, 12, 48, 24, 48, 0.99
+SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT, RECALL = 4_000, 12, 48, 24, 48, 0.99
 BATCH, ABREAST, EXPAND = 256, 512, 4
 #: Vectors of which the matches are listed, and pairs that are verified, at a time.
 BLOCK, VERIFY = 64, 65_536
@@ -204,21 +207,35 @@ class Graph:
             todo, size = np.concatenate(again), min(4 * size, len(self.x))
 
 
-def audited(graph: Graph, x: np.ndarray, queries: np.ndarray, least: float) -> int:
-    """The least beam that passes the audit."""
+def audited(graph: Graph, x: np.ndarray, queries: np.ndarray, least: float, same: bool = False) -> tuple[int, float]:
+    """The least beam that passes the audit, and the recall that the audit measured with it.
+
+    Audited are probes, which lie as far from vectors of the shard as a link just allows, and
+    queries; their links are found by an exact scan.  If `same`, queries are the shard itself and
+    a vector's own hit does not count.
+    """
+    at = np.unique(np.linspace(0, len(x) - 1, min(AUDIT, len(x))).astype(int))
+    own = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
+    away = np.random.default_rng(len(x)).normal(size=(len(at), x.shape[1]))
+    away -= (away * x[at]).sum(1, keepdims=True) * x[at]
+    near = least + 0.05 * (1 - least)
+    probes = near * x[at] + np.sqrt(1 - near * near) * away / np.maximum(np.sqrt((away * away).sum(1, keepdims=True)), 1e-9)
+    sample = np.vstack([probes.astype(np.float32), queries[own]])
+    true = sample @ x.T >= least
+    if same:
+        true[len(at) + np.arange(len(own)), own] = False
     size = BEAM
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    true = int((queries[audit] @ x.T >= least).sum())
     while True:
-        q, _ = graph.within(queries[audit], least, size)
-        if len(q) >= RECALL * true or 2 * size >= len(x):
-            return size
+        q, hit = graph.within(sample, least, size)
+        recall = float(true[q, hit].sum() / max(1, true.sum()))
+        if recall >= RECALL or not true.any() or 2 * size >= len(x):
+            return size, recall if true.any() else 1.0
         size *= 2
 
 
 def matches(graph: Graph, x: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs found with the least beam that passes the audit."""
-    return graph.within(queries, least, audited(graph, x, queries, least))
+    return graph.within(queries, least, audited(graph, x, queries, least)[0])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -241,60 +258,113 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _compare(threshold: float):
-    """Task of a pair of shards: links of each class, and a spanning forest of the links.
+LINKS_OUT = "kind long, s int, shards int, a long, b long, links long, recall double, vectors binary, graph binary"
+
+
+class Shard:
+    """Classes of a shard: names, numbers of vectors, unit vectors, and the graph once it is built."""
+
+    def __init__(self, node: np.ndarray, many: np.ndarray, v: np.ndarray):
+        self.node, self.many, self.v, self.single = node, many, v, v.astype(np.float32)
+        self.graph: Graph | None = None
+
+    def build(self) -> Shard:
+        self.graph = Graph(self.single, self.node.view(np.uint64))
+        return self
 
-    Matches are marked in a matrix of one byte for each pair of the two shards, so that a pair found
-    from both ends counts once; they are listed, verified and united for BLOCK of its rows at a time.
+    def dump(self) -> tuple[bytes, bytes]:
+        """The vectors and the graph, apart, since those that only query need no graph."""
+        vectors, graph = BytesIO(), BytesIO()
+        np.savez(vectors, node=self.node, many=self.many, v=self.v)
+        np.savez(graph, order=self.graph.order, sizes=self.graph.sizes, **{f"links{k}": x.astype(np.int32) for k, x in enumerate(self.graph.links)})
+        return vectors.getvalue(), graph.getvalue()
+
+    @classmethod
+    def load(cls, vectors: bytes, graph: bytes | None = None) -> Shard:
+        with np.load(BytesIO(vectors)) as x:
+            shard = cls(x["node"], x["many"], x["v"])
+        if graph is not None:
+            with np.load(BytesIO(graph)) as x:
+                shard.graph = Graph.__new__(Graph)
+                shard.graph.order, shard.graph.sizes = x["order"], x["sizes"].tolist()
+                shard.graph.x = shard.single[shard.graph.order]
+                shard.graph.links = [x[f"links{k}"].astype(np.int64) for k in range(len(shard.graph.sizes))]
+        return shard
+
+
+def _linked(left: Shard, right: Shard, threshold: float) -> dict[str, pa.Array]:
+    """Links of the classes of `left` with those of `right` (a shard with a graph, or `left` itself),
+    a spanning forest of them, and the recall that the audit measured.
+
+    Matches are marked in a matrix of one byte for each pair, so that a pair found from both ends
+    counts once; they are listed, verified and united for BLOCK of its rows at a time.
     """
+    same, least = left is right, threshold - SLACK
+    half = len(left.node)
+    size, recall = audited(right.graph, right.single, left.single, least, same)
+    found = np.zeros((half, len(right.node)), bool)
+    for q, hit in right.graph.blocks(left.single, least, size):
+        found[(np.minimum(q, hit), np.maximum(q, hit)) if same else (q, hit)] = True
+    if same:
+        np.fill_diagonal(found, False)
+    node, many, v = (x if same else np.concatenate([x, y]) for x, y in ((left.node, right.node), (left.many, right.many), (left.v, right.v)))
+    links, root = np.zeros(len(node)), np.arange(len(node))
+    for at in range(0, half, BLOCK):
+        x, y = np.nonzero(found[at : at + BLOCK])
+        x, y = x + at, y + (0 if same else half)
+        good = np.concatenate([np.zeros(0, bool), *[np.einsum("ij,ij->i", v[x[k : k + VERIFY]], v[y[k : k + VERIFY]]) >= threshold for k in range(0, len(x), VERIFY)]])
+        x, y = x[good], y[good]
+        if not len(x):
+            continue
+        links += np.bincount(x, many[y], len(node)) + np.bincount(y, many[x], len(node))
+        new = root[x] != root[y]
+        if new.any():
+            root = _forest(np.concatenate([x[new], np.arange(len(node))]), np.concatenate([y[new], root]), len(node))
+    linked, child = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(node)))
+    first = np.arange(len(linked) + len(child)) < len(linked)
+    return {
+        "a": pa.array(np.append(np.concatenate([node[linked], node[child]]), 0), mask=np.append(np.zeros(len(first), bool), True)),
+        "b": pa.array(np.concatenate([np.zeros(len(linked), np.int64), node[root[child]], np.zeros(1, np.int64)]), mask=np.append(first, True)),
+        "links": pa.array(np.concatenate([links[linked].astype(np.int64), np.zeros(len(child) + 1, np.int64)])),
+        "recall": pa.array(np.append(np.zeros(len(first)), recall), mask=np.append(np.ones(len(first), bool), False)),
+    }
+
+
+def _within_shard(threshold: float):
+    """Builds the graph of a shard, searches it by its own classes, and passes it on if the label has other shards."""
 
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        order = np.argsort(side, kind="stable")
-        side, node, many = side[order], table["node"].to_numpy()[order], table["many"].to_numpy()[order]
-        vectors = table["embedding"].combine_chunks()
-        v = _unit(vectors.flatten().to_numpy().reshape(len(side), -1)[order])
-        single = v.astype(np.float32)
-        half = int((side == 0).sum())
-        self_pair = half == len(side)
-        parts = [(0, half)] if self_pair else [(0, half), (half, len(side))]
-        graphs = [Graph(single[a:b], node[a:b].view(np.uint64)) for a, b in parts]
-        found = np.zeros((half, half if self_pair else len(side) - half), bool)
-        for back, (a, b), (c, d), graph in [(False, parts[0], parts[-1], graphs[-1])] + ([] if self_pair else [(True, parts[1], parts[0], graphs[0])]):
-            x, queries, least = single[c:d], single[a:b], threshold - SLACK
-            for q, hit in graph.blocks(queries, least, audited(graph, x, queries, least)):
-                if self_pair:
-                    q, hit = np.minimum(q, hit), np.maximum(q, hit)
-                found[(hit, q) if back else (q, hit)] = True
-        if self_pair:
-            np.fill_diagonal(found, False)
-        links, root = np.zeros(len(side)), np.arange(len(side))
-        for at in range(0, half, BLOCK):
-            x, y = np.nonzero(found[at : at + BLOCK])
-            x, y = x + at, y + parts[-1][0]
-            good = np.concatenate([np.zeros(0, bool), *[np.einsum("ij,ij->i", v[x[k : k + VERIFY]], v[y[k : k + VERIFY]]) >= threshold for k in range(0, len(x), VERIFY)]])
-            x, y = x[good], y[good]
-            if not len(x):
-                continue
-            links += np.bincount(x, many[y], len(side)) + np.bincount(y, many[x], len(side))
-            new = root[x] != root[y]
-            if new.any():
-                root = _forest(np.concatenate([x[new], np.arange(len(side))]), np.concatenate([y[new], root]), len(side))
-        linked = np.flatnonzero(links)
-        child = np.flatnonzero(root != np.arange(len(side)))
+        v = table["embedding"].combine_chunks()
+        shard = Shard(table["node"].to_numpy(), table["many"].to_numpy(), _unit(v.flatten().to_numpy().reshape(table.num_rows, -1))).build()
+        out = _linked(shard, shard, threshold)
+        kind, s, shards = (table[c][0].as_py() for c in ("kind", "s", "shards"))
+        n, blobs = len(out["a"]), shard.dump() if shards > 1 else (None, None)
         return pa.table(
-            {
-                "a": pa.array(np.concatenate([node[linked], node[child]])),
-                "b": pa.array(np.concatenate([np.zeros(len(linked), np.int64), node[root[child]]]), mask=np.arange(len(linked) + len(child)) < len(linked)),
-                "links": pa.array(np.concatenate([links[linked].astype(np.int64), np.zeros(len(child), np.int64)])),
-            }
+            {"kind": pa.array([kind] * n, pa.int64()), "s": pa.array([s] * n, pa.int32()), "shards": pa.array([shards] * n, pa.int32())}
+            | out
+            | {c: pa.array([None] * (n - 1) + [x], pa.binary()) for c, x in zip(("vectors", "graph"), blobs, strict=True)}
         )
 
     return run
 
 
+def _across(threshold: float):
+    """Queries the graph of one shard by the classes of another; a row is a pair of shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                queries, vectors, graph = (batch.column(c)[k].as_py() for c in ("queries", "vectors", "graph"))
+                yield pa.RecordBatch.from_pydict(_linked(Shard.load(queries), Shard.load(vectors, graph), threshold))
+
+    return run
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per vector."""
+    """vec_id, n_links, component_id, kept, audited_recall: one row per vector.
+
+    `audited_recall` is the least recall that any audit measured, the same in all rows.
+    """
     v = F.col("embedding")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = F.col("label").isNotNull() & F.coalesce(~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -306,24 +376,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         .groupBy("node")
         .agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
     )
-    classes = written(classes.withColumn("kind", F.xxhash64("label", F.size("embedding"))), "vector-classes")
-    shards = classes.groupBy("kind").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    shards = written(shards, "shards")
-    dealt = classes.join(shards, "kind").withColumn("s", F.pmod(F.xxhash64("node", F.lit("shard")), F.col("shards")).cast("int"))
-    pairs = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(
-        "kind", F.least("s", "t").alias("s1"), F.greatest("s", "t").alias("s2"), (F.col("s") > F.col("t")).cast("int").alias("side"), "node", "many", "embedding"
-    )
-    found = written(pairs.groupBy("kind", "s1", "s2").applyInArrow(_compare(threshold), "a long, b long, links long"), "links")
-    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    roots = written(components(found.where("b is not null").select("a", "b")), "roots")
-    known = classes.select("node", "least", "many").join(links, "node", "left").join(roots, "node", "left")
-    known = written(
-        known.select("node", "least", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("c")), "known"
-    )
-    named = known.groupBy("c").agg(F.min("least").alias("component_id"))
-    known = written(known.join(named, "c").select("node", "n_links", "component_id"), "named")
+    with owned() as work:
+        classes = written(classes.withColumn("kind", F.xxhash64("label", F.size("embedding"))), "vector-classes")
+        shards = written(classes.groupBy("kind").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")), "shards")
+        dealt = classes.join(shards, "kind").withColumn("s", F.pmod(F.xxhash64("node", F.lit("shard")), F.col("shards")).cast("int"))
+        within = written(dealt.groupBy("kind", "s").applyInArrow(_within_shard(threshold), LINKS_OUT), "links-within")
+        # Each pair of shards of a label: the first queries the graph of the second.
+        built = within.where("vectors is not null")
+        queries = built.where("s < shards - 1").select("kind", "s", F.explode(F.sequence(F.col("s") + 1, F.col("shards") - 1)).alias("t"), F.col("vectors").alias("queries"))
+        graphs = built.where("s > 0").select("kind", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("s"), F.col("s").alias("t"), "vectors", "graph")
+        pairs = queries.join(graphs, ["kind", "s", "t"]).select("queries", "vectors", "graph")
+        across = written(pairs.mapInArrow(_across(threshold), "a long, b long, links long, recall double"), "links-across", 1)
+        found = within.select("a", "b", "links", "recall").unionByName(across)
+        links = found.where("a is not null and b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        roots = written(components(found.where("b is not null").select("a", "b")), "roots")
+        known = classes.select("node", "least", "many").join(links, "node", "left").join(roots, "node", "left")
+        known = known.select("node", "least", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("c"))
+        known = named_by_component(written(known, "known")).select("node", "n_links", "component_id")
+        recall = found.agg(F.min("recall")).first()[0]
+    known = written(known, "named-vectors")
+    work.drop(vectors.sparkSession)
     out = rows.select("vec_id", "node").join(known, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id")).withColumn(
-        "kept", F.col("vec_id").eqNullSafe(F.col("component_id"))
-    )
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"))
+    return out.withColumns({"kept": F.col("vec_id").eqNullSafe(F.col("component_id")), "audited_recall": F.lit(recall).cast("double")})
