@@ -4,16 +4,17 @@ The kernel of two strings counts their common subsequences of ORDER characters,
 by DECAY to the power of the lengths that it spans in both, and is normalised; so an insult
 with gaps or inserted characters still resembles the plain one.  LANDMARKS strings, chosen from
 the labelled sentences, give every unit of text (a word, or a run of one-letter words) its
-Nystroem features.  The machine is trained on sentences: those of clean texts are negative, and
-of a toxic text's sentences those that hold its most telling words are positive; a sentence's
-margin is that of its strongest unit.  A text's score is a logistic function of its largest
+Nystroem features.  The machine is trained on sentences, each by its strongest unit: those of
+clean texts are negative; of a toxic text's sentences the strongest is positive, and those beyond
+the margin.  The strongest units are chosen anew by the machine of each round.  A text's score is a logistic function of its largest
 margin and of how many units lie beyond the margin.
 
 Learning is bounded: at most SAMPLE labelled texts of at most SAMPLE_BYTES bytes.  All texts
 are scored whole; each distinct unit is scored once and cached by its task.
 
 Edge cases: null and empty texts have the score of a text without units; null labels are not
-learned from; without labels of both kinds all scores are 0.
+learned from; without labels of both kinds all scores are 0; repeated rows get equal scores; very
+long texts are scored whole; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ UNIT, OVERLAP = 24, 8
 #: Stands before the first character of a unit, so that beginnings resemble beginnings.
 START = "\x02"
 CACHE = 600_000
+#: Frequent clean words among which landmarks are sought; rounds of training; cost that equal sentence
+#: rows have at most; margin that a toxic text's strongest sentence needs to be positive; ridge.
+COMMON, ROUNDS, MOST_EQUAL, WITNESS, RIDGE = 4_000, 4, 100, -0.2, 0.01
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 SENTENCE = re.compile(r"[.!?\n]+\s+|\n")
 THRESHOLD = 0.3
@@ -238,51 +242,75 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         # In copies of one text a word stands beside the same word; that counts once.
         t = min(sum(toxic[k] for k in ks), len(beside.get(u, ())))
         weight[u] = (t, np.log((t + 0.2) / (bad + 1)) - np.log((sum(1 - toxic[k] for k in ks) + 0.2) / (good + 1)))
-    # The words that tell most: often in toxic texts, hardly in clean ones.
-    telling = sorted((u for u, (t, lift) in weight.items() if t >= (3 if bad < 50 else max(5, 0.01 * bad)) and lift > 2), key=lambda u: (-weight[u][0] * weight[u][1], u))
-    if not telling:
-        return Model([], np.zeros(0), 0.0)
-    common = sorted((u for u, (t, lift) in weight.items() if lift < 0.5), key=lambda u: (-len(seen[u]), u))
+    # The words that tell most: often in toxic texts, hardly in clean ones; then all others by their lift.
+    plain = [u for u, (t, lift) in weight.items() if t >= (3 if bad < 50 else max(5, 0.01 * bad)) and lift > 2]
+    telling = sorted(plain, key=lambda u: (-weight[u][0] * weight[u][1], u))
+    if len(telling) < LANDMARKS:
+        telling += sorted((u for u in weight if u not in set(plain)), key=lambda u: (-weight[u][1], -weight[u][0], u))[:LANDMARKS]
+    common = sorted((u for u, (t, lift) in weight.items() if lift < 0.5), key=lambda u: (-len(seen[u]), u))[:COMMON]
+    if not telling:  # no text has a word of ORDER characters
+        telling = ["\x03" * ORDER]
     # Landmarks: the most telling words that are not too like those chosen before.
-    telling, common = [START + u for u in telling], [START + u for u in common]
-    own = _own(telling[: 12 * LANDMARKS])
-    alike = kernel(telling[: 12 * LANDMARKS], telling[: 12 * LANDMARKS]) / own / own[:, None]
+    telling, common = [START + u for u in telling[: 12 * LANDMARKS]], [START + u for u in common]
+    own = _own(telling)
+    alike = kernel(telling, telling) / own / own[:, None]
     chosen: list[int] = []
     for k in range(len(alike)):
         if len(chosen) < LANDMARKS and (not chosen or alike[k, chosen].max() < 0.6):
             chosen.append(k)
     # And the clean words that are most like them, so that the machine can tell those apart.
     landmarks = [telling[k] for k in chosen]
-    likeness = kernel(common[:4_000], landmarks) / _own(landmarks) / _own(common[:4_000])[:, None]
-    like = [k for rank in np.argsort(-likeness, axis=0)[:2] for k in rank] + np.argsort(-likeness.max(1)).tolist()
+    likeness = kernel(common, landmarks) / _own(landmarks) / _own(common)[:, None]
+    like = [k for rank in np.argsort(-likeness, axis=0)[:2] for k in rank] + np.argsort(-likeness.max(1)).tolist() if common else []
     landmarks += [common[k] for k in list(dict.fromkeys(like))[:CLEAN_LANDMARKS]]
     own = _own(landmarks)
     among = kernel(landmarks, landmarks) / own / own[:, None]
     value, vector = np.linalg.eigh((among + among.T) / 2 + 1e-6 * np.eye(len(landmarks)))
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    feature = lambda words: kernel(words, landmarks) / own / _own(words)[:, None] @ root
-    # Positive units: the telling words.  Negative units: frequent words of the sentences of
-    # clean texts, then those of them that the first machine takes for telling.
-    # The landmarks are also positive with a character put into them, at a lower cost.
-    plain = telling[: 24 * LANDMARKS]
-    gapped = [w[:c] + "x" + w[c:] for w in (telling[k] for k in chosen) for c in range(3, len(w) - 1)]
-    positive = plain + gapped
-    clean = sorted((u for u, (t, lift) in weight.items() if lift < 0.5 and len(u) <= UNIT), key=lambda u: (-len(seen[u]), u))[:12_000]
-    x, z = feature(positive), feature([START + u for u in clean])
-    often = np.array([len(seen[u]) for u in clean], float)
-    use = np.arange(len(clean)) < 3_000
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(3):
-        each = max(1.0, use.sum() / len(plain))
-        cost = np.concatenate([np.full(len(plain), each), np.full(len(gapped), each / 20), np.minimum(often[use], 20) / 4])
-        w, b = _svm(np.vstack([x, z[use]]), np.concatenate([np.ones(len(x)), -np.ones(use.sum())]), cost)
-        use |= z @ w + b > -0.2
+    names, place = np.unique(np.array([u[:UNIT] for u in units] or [""]), return_inverse=True)
+    parts = [START + u for u in names]
+    x = kernel(parts, landmarks) / own / _own(parts)[:, None] @ root
+    first = np.array([t * lift if lift > 0 else lift for t, lift in (weight.get(u, (0, -9.0)) for u in names)])
+    w, b = _sentence_machine(x, place[: len(units)], of, np.array([k for _, k in sentences]), toxic, first)
     model = Model(landmarks, root @ w, b)
-    few = min(len(texts), 2_000)
-    model.final = _logistic(model.evidence(pa.array(texts[:few], pa.string())), toxic[:few].astype(float))
+    model.final = _logistic(model.evidence(pa.array(texts, pa.string())), toxic.astype(float))
     return model
 
 
+def _sentence_machine(x: np.ndarray, unit: np.ndarray, sentence: np.ndarray, text: np.ndarray, toxic: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the machine whose rows are sentences.
+
+    `x` has the features of each distinct unit; `unit` and `sentence` say which unit each
+    occurrence is and where; `text` is the text of each sentence, `toxic` the label of each text.
+    A sentence's row is that of its strongest unit: at first by `first`, then by the machine of the
+    round before.  Sentences of clean texts are negative.  A toxic text's label says only that some
+    sentence of it is toxic: its strongest one is positive, in later rounds if its margin is over
+    WITNESS, and so are all that lie beyond the margin.
+    """
+    w, b, strength = np.zeros(x.shape[1]), 0.0, first
+    if not len(unit):
+        return w, b
+    bad = toxic[text].astype(bool)
+    for _ in range(ROUNDS):
+        order = np.lexsort((unit, -strength[unit], sentence))
+        top = order[np.concatenate([[True], np.diff(sentence[order]) > 0])]
+        rows, where = unit[top], sentence[top]  # a row of x for each sentence that has units
+        best = np.full(len(toxic), -np.inf)
+        np.maximum.at(best, text[where], strength[rows])
+        strongest = strength[rows] >= best[text[where]]
+        positive = bad[where] & (strongest if strength is first else (strongest & (strength[rows] > WITNESS)) | (strength[rows] > 1))
+        used = positive | ~bad[where]
+        # Equal sentence rows are one row with a cost.
+        key, many = np.unique(rows[used] * 2 + positive[used], return_counts=True)
+        y, cost = np.where(key % 2, 1.0, -1.0), np.minimum(many, MOST_EQUAL).astype(float)
+        if not (y > 0).any():
+            break
+        cost[y > 0] *= max(1.0, cost[y < 0].sum() / cost[y > 0].sum())
+        w, b = _svm(x[key // 2], y, cost, RIDGE)
+        strength = x @ w + b
+    return w, b
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Model from at most `sample` labelled rows, those whose ids have the least hashes."""
     rated = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic")
@@ -291,7 +319,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .where(F.octet_length("text") <= SAMPLE_BYTES)
         .join(F.broadcast(drawn), "doc_id")  # at most `sample` rows of two numbers
-        .limit(2 * sample)
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))  # ids that repeat count once
         .collect()
     )
     rows = sorted(((r.doc_id, r.toxic, r.text) for r in rows), key=lambda r: (zlib.crc32(str(r[0]).encode()), *r))
