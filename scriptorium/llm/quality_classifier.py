@@ -9,8 +9,9 @@ probability P(grade >= 1), by which documents are selected.
 Trained on the driver on at most SAMPLE labelled texts of at most SAMPLE_BYTES bytes; all
 texts are scored whole, on Arrow buffers, in tasks that hold one slice of text at a time.
 
-Edge cases: a null or empty text has f = 0; labels that are null or lack a document are not
-learned from; labels repeated for a document count each; without labels every document has
+Edge cases: a null or empty text has f = 0; rows whose grade is not known (quality null, or
+quality 1 with toxic null) or that lack a document are not learned from; equal labels repeated for
+a document count once, different ones each; without labels every document has
 tail probability 1 and the highest grade.
 """
 
@@ -142,15 +143,16 @@ def fit(x: np.ndarray, grade: np.ndarray, grades: int = GRADES) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Model from the labelled rows whose ids have the least hashes."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
-    rated = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", grade.alias("grade"))
+    rated = labels.where("doc_id is not null and (quality = 0 or quality = 1 and toxic in (0, 1))").select("doc_id", grade.alias("grade"))
     drawn = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     rows = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .where(F.octet_length("text") <= SAMPLE_BYTES)
         .join(F.broadcast(drawn), "doc_id")  # at most `sample` rows of two numbers
+        .groupBy("doc_id", "grade")
+        .agg(F.min("text").alias("text"))  # ids that repeat count once
         .toArrow()
-        .sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("text", "ascending")])
-        .slice(0, 2 * sample)
+        .sort_by([("doc_id", "ascending"), ("grade", "ascending")])
         .combine_chunks()
     )
     if not rows.num_rows:
