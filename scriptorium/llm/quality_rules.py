@@ -1,18 +1,24 @@
 """Quality rules by robust multivariate outliers (DataFrame functions only).
 
 Every text gives a vector of transformed, smoothed statistics.  For each (lang, source) group
-the minimum covariance determinant estimate of centre and scatter is found by concentration
-steps from a robust start (coordinate medians and quartile spreads): keep the share H of rows
-of least Mahalanobis distance, estimate anew, repeat.  A row is rejected when its squared
-distance exceeds CUTOFF, or when it fails the base rule.
+the minimum covariance determinant estimate of centre and scatter is sought from several starts
+(coordinate medians and quartile spreads of the group and of all rows, and classical moments):
+a concentration step keeps the share H of rows of least Mahalanobis distance and estimates anew;
+steps go on until no determinant falls any more, and the start that ends with the least one wins.
+A row is rejected when its squared distance exceeds the CONFIDENCE quantile of the chi-square law
+of its dimension, or when it fails the base rule.
 
-Each step is one aggregation to (group, distance bin), which is pre-aggregated before its
-shuffle, so a group that holds most rows costs no more than others.  Scatter is regularised by
-a diagonal FLOOR, because most statistics of clean text are zero.  Groups with under MIN_ROWS
-rows that pass the base rule use the estimate over all rows.
+Every group, whatever its size, is estimated in the same way: its kept rows are joined by PRIOR
+pseudo-rows with the moments of all groups' kept rows, so a small group leans on the whole and a
+large one hardly does.  Scatter is regularised by a diagonal FLOOR, because most statistics of
+clean text are zero; that of repeated words is a quarter of what the base rule lets pass.
+
+Each step is one aggregation to (group, start, distance bin), which is pre-aggregated before its
+shuffle, so a group that holds most rows costs no more than others.
 
 Edge cases: a null text has no words and fails the base rule; null lang or source is a group
-of its own; an empty table gives an empty result; repeated rows get the same verdict.
+of its own; an empty table gives an empty result; repeated rows get the same verdict; other
+columns are not looked at, whatever their names, and `keep_good` returns them as they are.
 """
 
 from __future__ import annotations
@@ -23,17 +29,19 @@ from math import exp, lgamma, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, words_of, written
+from .common import let, owned, words_of, written
 
 SHINGLE = 5
-#: Share of rows that a concentration step keeps, number of steps, bins a unit of log distance.
-H, STEPS, BINS = 0.75, 3, 32
-MIN_ROWS = 200
-#: Squared distance beyond which a document is rejected.
-CUTOFF = 75.0
+#: Share of rows that a concentration step keeps, bins a unit of log distance, pseudo-rows of the whole.
+H, BINS, PRIOR = 0.75, 32, 60
+#: Steps at most, and the fall of a log determinant that is worth another.
+STEPS, STILL = 12, 1e-3
+#: Share of ordinary rows that the cutoff keeps.
+CONFIDENCE = 0.999
 #: Spread that each statistic is granted at least (see `vector`).
-FLOOR = (0.08, 0.35, 0.10, 0.05, 0.30, 0.30)
+FLOOR = (0.08, 0.35, 0.11, 0.11, 0.30, 0.30)
 P = len(FLOOR)
+LOW = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def _repeated(words: Column) -> Column:
@@ -105,44 +113,49 @@ def _gamma_p(a: float, x: float) -> float:
     return total * exp(-x + a * log(x) - lgamma(a))
 
 
-def _consistency(p: int, share: float) -> float:
-    """Factor that makes the scatter of the nearest `share` of normal rows that of all."""
-    lo, hi = 0.0, 100.0
+def chi_square_quantile(p: int, share: float) -> float:
+    """Value below which a chi-square variable of p degrees of freedom lies with this probability."""
+    lo, hi = 0.0, 10.0 * p + 100
     while hi - lo > 1e-9:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _gamma_p(p / 2, mid / 2) < share else (lo, mid)
-    return share / _gamma_p(p / 2 + 1, lo / 2)
+    return lo
 
 
-def _square(x: list[Column], at: Column) -> Column:
-    """Squared Mahalanobis distance of `x`, by forward substitution with the factor in `at`."""
+#: Squared distance beyond which a document is rejected.
+CUTOFF = chi_square_quantile(P, CONFIDENCE)
 
-    def solve(k: int, z: list[Column]) -> Column:
-        if k == P:
-            return reduce(lambda a, b: a + b, [v * v for v in z])
-        rest = x[k] - at["mu"][k]
-        for j in range(k):
-            rest = rest - at["chol"][k * (k + 1) // 2 + j] * z[j]
-        return let(rest / at["chol"][k * (k + 1) // 2 + k], lambda v: solve(k + 1, [*z, v]))
 
-    return solve(0, [])
+def _consistency(p: int, share: float) -> float:
+    """Factor that makes the scatter of the nearest `share` of normal rows that of all."""
+    return share / _gamma_p(p / 2 + 1, chi_square_quantile(p, share) / 2)
+
 
+def _squared(df: DataFrame, at: str) -> DataFrame:
+    """Adds `distance`: squared Mahalanobis distance of the array x by the struct `at`, by forward substitution.
 
-def _factor(cov) -> Column:
-    """Cholesky factor, row by row, as an array; cov(i, j) gives the scatter for j <= i."""
+    Each step is a column of its own, so that it is computed once and in generated code.
+    """
+    for k in range(P):
+        rest = F.col("x")[k] - F.col(f"{at}.mu")[k]
+        for j in range(k):
+            rest = rest - F.col(f"{at}.chol")[k * (k + 1) // 2 + j] * F.col(f"z{j}")
+        df = df.withColumn(f"z{k}", rest / F.col(f"{at}.chol")[k * (k + 1) // 2 + k])
+    names = [f"z{k}" for k in range(P)]
+    return df.withColumn("distance", reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in names])).drop(*names)
 
-    def grow(done: Column, i: int, j: int) -> Column:
-        if i == P:
-            return done
-        at = lambda r, c: done[r * (r + 1) // 2 + c]
-        rest = cov(i, j) + (F.lit(FLOOR[i] ** 2) if i == j else 0.0)
-        for k in range(j):
-            rest = rest - at(i, k) * at(j, k)
-        value = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / at(j, j)
-        nxt = (i + 1, 0) if i == j else (i, j + 1)
-        return let(F.concat(done, F.array(value)), lambda d: grow(d, *nxt))
 
-    return grow(F.array().cast("array<double>"), 0, 0)
+def _factored(df: DataFrame, keep: list[str], mu: Column, cov) -> DataFrame:
+    """`keep`, mu and chol: the Cholesky factor, row by row, of the regularised scatter cov(i, j), j <= i."""
+    df = df.withColumn("mu", mu)
+    for i in range(P):
+        for j in range(i + 1):
+            rest = cov(i, j) + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
+            for k in range(j):
+                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+            value = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}_{j}")
+            df = df.withColumn(f"l{i}_{j}", value)
+    return df.select(*keep, "mu", F.array(*[F.col(f"l{i}_{j}") for i, j in LOW]).alias("chol"))
 
 
 def _both(rows: DataFrame) -> DataFrame:
@@ -150,8 +163,19 @@ def _both(rows: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.explode(F.array(F.col("g"), F.lit(None).cast("struct<lang:string,source:string>"))))
 
 
+def _sums(x: list[Column]) -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in LOW]]
+
+
+def _moments(df: DataFrame, factor: float) -> DataFrame:
+    """(k, start, mu, chol) from the columns of `_sums`; the scatter is taken times `factor`."""
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(P)]
+    return _factored(df, ["k", "start"], F.array(*mean), lambda i, j: (F.col(f"s{i}_{j}") / F.col("n") - F.col("mu")[i] * F.col("mu")[j]) * factor)
+
+
 def _start(rows: DataFrame) -> DataFrame:
-    """Coordinate medians and quartile spreads, from histograms with bins of 1/256."""
+    """(k, start, mu, chol) of the starts: 0 coordinate medians and quartile spreads, from histograms
+    with bins of 1/256; 1 those of all rows; 2 classical moments."""
     cells = (
         rows.select("k", F.posexplode("x").alias("d", "v"))
         .groupBy("k", "d", F.floor(F.col("v") * 256).alias("b"))
@@ -162,41 +186,43 @@ def _start(rows: DataFrame) -> DataFrame:
     share = F.sum("n").over(seen) / F.sum("n").over(w)
     at = lambda q: F.min(F.when(F.col("s") >= q, F.col("b"))) / 256.0
     dims = cells.withColumn("s", share).groupBy("k", "d").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("sd"))
-    spread = dims.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("d", "m", "sd"))).alias("q"))
-    return spread.select(
-        "k",
-        F.transform("q", lambda q: q["m"]).alias("mu"),
-        _factor(lambda i, j: F.col("q")[i]["sd"] ** 2 if i == j else F.lit(0.0)).alias("chol"),
-    )
+    spread = dims.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("d", "m", "sd"))).alias("q"))  # P entries
+    spread = spread.withColumn("start", F.lit(0))
+    medians = _factored(spread, ["k", "start"], F.transform("q", lambda q: q["m"]), lambda i, j: F.col("q")[i]["sd"] ** 2 if i == j else F.lit(0.0))
+    medians = written(medians, "mcd-medians")
+    whole = F.broadcast(medians.where("k is null").select("mu", "chol"))  # one row
+    classical = _moments(rows.groupBy("k").agg(*_sums([F.col("x")[i] for i in range(P)])).withColumn("start", F.lit(2)), 1.0)
+    return medians.unionByName(medians.select("k", F.lit(1).alias("start")).join(whole)).unionByName(classical)
 
 
 def _with(rows: DataFrame, params: DataFrame, key: str) -> DataFrame:
     """Rows with `at`, the parameters of their group; rows of hot groups are not gathered."""
-    params = params.select(F.col("k").alias("pk"), F.struct("mu", "chol").alias("at"))
+    params = params.select(F.col("k").alias("pk"), F.struct("start", "mu", "chol").alias("at"))
     return rows.join(params, rows[key].eqNullSafe(params["pk"])).drop("pk")
 
 
 def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: new centre and factor of every group."""
+    """One concentration step: new centre and factor of every group and start."""
     x = [F.col("x")[i] for i in range(P)]
-    low = [(i, j) for i in range(P) for j in range(i + 1)]
     binned = (
-        _with(rows, params, "k")
-        .withColumn("b", F.floor(F.log(_square(x, F.col("at")) + 1e-9) * BINS))
-        .groupBy("k", "b")
-        .agg(F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in low])
+        _squared(_with(rows, params, "k"), "at")
+        .withColumn("b", F.floor(F.log(F.col("distance") + 1e-9) * BINS))
+        .groupBy("k", F.col("at.start").alias("start"), "b")
+        .agg(*_sums(x))
     )
-    w = Window.partitionBy("k")
+    w = Window.partitionBy("k", "start")
     before = F.coalesce(F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = binned.withColumn("before", before).withColumn("all", F.sum("n").over(w)).where(F.col("before") < H * F.col("all"))
-    sums = near.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in binned.columns if c.startswith("s")])
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(P)]
-    c = _consistency(P, H)
-    return sums.select(
-        "k",
-        F.array(*mean).alias("mu"),
-        _factor(lambda i, j: (F.col(f"s{i}_{j}") / F.col("n") - mean[i] * mean[j]) * c).alias("chol"),
-    )
+    names = ["n", *[c for c in binned.columns if c.startswith("s") and c != "start"]]
+    sums = written(near.groupBy("k", "start").agg(*[F.sum(c).alias(c) for c in names]), "mcd-sums")
+    whole = F.broadcast(sums.where("k is null").select("start", F.struct(*names).alias("whole")))  # a row a start
+    share = F.when(F.col("k").isNull(), 0.0).otherwise(PRIOR / F.col("whole.n"))
+    leaned = sums.join(whole, "start").select("k", "start", *[(F.col(c) + share * F.col(f"whole.{c}")).alias(c) for c in names])
+    return _moments(leaned, _consistency(P, H))
+
+
+def _log_determinant(chol: Column) -> Column:
+    return 2 * reduce(lambda a, b: a + b, [F.log(chol[i * (i + 3) // 2]) for i in range(P)])
 
 
 def _group(lang: Column, source: Column) -> Column:
@@ -204,25 +230,31 @@ def _group(lang: Column, source: Column) -> Column:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Centre and factor per group, from rows (g, x) that pass the base rule.
-
-    `k` is the group; the row with null `k` is over all rows, for small groups.
-    """
+    """(k, mu, chol): centre and factor of every group, from rows (g, x) that pass the base rule."""
     both = _both(rows)
-    params = written(_start(both), "mcd-start")
-    for step in range(STEPS):
-        params = written(_concentrate(both, params), f"mcd-{step}")
-    large = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS)
-    own = params.join(large, params["k"].eqNullSafe(large["g"]), "left_semi")
-    return written(own.unionByName(params.where("k is null")), "mcd")
-
-
-def _verdict(rows: DataFrame, params: DataFrame, x: list[Column]) -> DataFrame:
-    """Adds `distance` (squared) by the group's estimate, or else by that over all rows."""
-    whole = params.where("k is null").select(F.struct("mu", "chol").alias("whole"))
-    own = params.where("k is not null").select(F.col("k").alias("pk"), F.struct("mu", "chol").alias("own"))
-    joined = rows.join(own, rows["g"].eqNullSafe(own["pk"]), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
-    return joined.withColumn("distance", let(F.coalesce("own", "whole"), lambda at: _square(x, at))).drop("pk", "own", "whole")
+    with owned() as work:
+        params = written(_start(both), "mcd-start")
+        for step in range(STEPS):
+            new = written(_concentrate(both, params), "mcd-step")
+            key = lambda df, name: df.select("k", "start", _log_determinant(F.col("chol")).alias(name))
+            old = key(params, "old").withColumnsRenamed({"k": "ok", "start": "os"})
+            pairs = key(new, "new").join(old, F.col("k").eqNullSafe(F.col("ok")) & (F.col("start") == F.col("os")))
+            fall = pairs.agg(F.max(F.col("old") - F.col("new"))).first()[0]
+            params = new
+            if step and (fall is None or fall < STILL):
+                break
+        least = F.min_by(F.struct("mu", "chol"), _log_determinant(F.col("chol")))
+        best = params.where("k is not null").groupBy("k").agg(least.alias("at")).select("k", "at.mu", "at.chol")
+    best = written(best, "mcd")
+    work.drop(rows.sparkSession)
+    return best
+
+
+def _verdict(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Adds `distance` (squared) by the estimate of the group; null where no row of the group passed the base rule."""
+    own = params.select(F.col("k").alias("pk"), F.struct("mu", "chol").alias("own"))
+    joined = rows.join(own, rows["g"].eqNullSafe(own["pk"]), "left")
+    return _squared(joined, "own").drop("pk", "own")
 
 
 def quality_rules(
@@ -237,7 +269,7 @@ def quality_rules(
         "quality-statistics",
     )
     params = estimates(rows.where(~F.col("failed")).select("g", "x"))
-    judged = _verdict(rows, params, [F.col("x")[i] for i in range(P)])
+    judged = _verdict(rows, params)
     return judged.select(
         "doc_id",
         *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -259,4 +291,4 @@ def keep_good(
     rows = docs.select(F.struct("*").alias("row"), _group(F.col(lang_col), F.col(source_col)).alias("g"), statistics(F.col(text_col)).alias("s"))
     rows = written(rows.where(~base_failed(s)).select("row", "g", F.array(*vector(s)).alias("x")), "quality-rows")
     params = estimates(rows.select("g", "x"))
-    return _verdict(rows, params, [F.col("x")[i] for i in range(P)]).where(F.coalesce("distance", F.lit(0.0)) <= cutoff).select("row.*")
+    return _verdict(rows, params).where(F.coalesce("distance", F.lit(0.0)) <= cutoff).select("row.*")

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -61,16 +62,37 @@ def test_outliers_are_rejected_and_clean_documents_kept(spark, odd, none):
     assert quality_rules.keep_good(clash).columns == clash.columns
 
 
-def test_concentration_lowers_the_determinant(spark):
-    docs, _ = corpus(spark, 400)
-    s = quality_rules.statistics(F.col("text"))
-    rows = docs.select(quality_rules._group(F.col("lang"), F.col("source")).alias("g"), F.array(*quality_rules.vector(s)).alias("x"))
-    both = quality_rules._both(rows)
-    first = quality_rules._concentrate(both, quality_rules.written(quality_rules._start(both), "t"))
-    second = quality_rules._concentrate(both, quality_rules.written(first, "t"))
-    det = lambda df: {str(r.k): np.prod([r.chol[i * (i + 3) // 2] for i in range(quality_rules.P)]) for r in df.collect()}
-    a, b = det(first), det(second)
-    assert a.keys() == b.keys() and all(b[k] <= a[k] * 1.05 for k in a)
+def test_estimates_are_the_least_determinant_of_all_subsets(spark, monkeypatch):
+    """Brute force over all subsets of small groups, with outliers planted in each."""
+    monkeypatch.setattr(quality_rules, "PRIOR", 0)
+    rng = np.random.default_rng(3)
+    floor = np.array(quality_rules.FLOOR)
+    rows, sets = [], {}
+    for g in range(3):
+        x = rng.normal(size=(9, quality_rules.P)) * 0.4 + g
+        x[:2] += rng.choice([-4, 4], (2, quality_rules.P))
+        sets[f"s{g}"] = x
+        rows += [(("en", f"s{g}"), [float(v) for v in r]) for r in x]
+    rows = spark.createDataFrame(rows, "g struct<lang:string,source:string>, x array<double>")
+    got = {r.k.source: r for r in quality_rules.estimates(rows).collect()}
+    factor = quality_rules._consistency(quality_rules.P, quality_rules.H)
+    for name, x in sets.items():
+        found = []
+        for subset in itertools.combinations(range(9), 7):  # 7 = ceil(0.75 * 9)
+            cov = np.cov(x[list(subset)].T, bias=True) * factor + np.diag(floor**2)
+            found.append((np.linalg.slogdet(cov)[1], subset))
+        least, subset = min(found)
+        assert np.allclose(got[name].mu, x[list(subset)].mean(0))
+        assert np.isclose(2 * sum(np.log(got[name].chol[i * (i + 3) // 2]) for i in range(quality_rules.P)), least)
+        assert set(subset) == set(range(2, 9))
+
+
+def test_a_small_group_leans_on_the_whole(spark):
+    rng = np.random.default_rng(4)
+    rows = [(("en", "big"), [float(v) for v in r]) for r in rng.normal(size=(400, quality_rules.P))] + [(("en", "one"), [3.0] * quality_rules.P)]
+    got = {r.k.source: r for r in quality_rules.estimates(spark.createDataFrame(rows, "g struct<lang:string,source:string>, x array<double>")).collect()}
+    assert max(abs(np.array(got["one"].mu))) < 0.6 and max(abs(np.array(got["big"].mu))) < 0.3
+    assert abs(quality_rules.CUTOFF - 22.4577) < 1e-3  # 0.999 of six degrees, as printed in tables
 
 
 # --- language ---
