@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,71 +34,58 @@ def validations_report(validations: DataFrame, profiles: DataFrame) -> DataFrame
     return named.select("document_id", "line_no", "part", "position", "field", "before", "after", F.coalesce("email", F.lit("")).alias("editor"), "validated_at")
 
 
-def hog_svg(descriptor, cols: int = config.HOG_GRID_COLS, rows: int = config.HOG_GRID_ROWS, bins: int = config.HOG_BINS, cell: int = 24) -> str:
-    """Drawing of a descriptor: in each cell one stroke for each positive bin."""
-    if len(descriptor) != cols * rows * bins:
-        raise ValueError(f"{cols * rows * bins} values are needed, not {len(descriptor)}")
-    w, h = cols * cell, rows * cell
-    stroke = 'stroke="#e2e8f0" stroke-width="1"'
-    parts = [f'<line x1="{x * cell}" y1="0" x2="{x * cell}" y2="{h}" {stroke} />' for x in range(cols + 1)]
-    parts += [f'<line x1="0" y1="{y * cell}" x2="{w}" y2="{y * cell}" {stroke} />' for y in range(rows + 1)]
-    for k, value in enumerate(descriptor):
-        if value > 0:
-            region, b = divmod(k, bins)
-            row, column = divmod(region, cols)
-            cx, cy = (column + 0.5) * cell, (row + 0.5) * cell
-            angle, size = math.radians((b + 0.5) * 180 / bins), min(1.0, float(value)) * cell / 2
-            dx, dy = math.cos(angle) * size, -math.sin(angle) * size
-            ends = f'x1="{cx - dx:.2f}" y1="{cy - dy:.2f}" x2="{cx + dx:.2f}" y2="{cy + dy:.2f}"'
-            parts.append(f'<line {ends} stroke="#1d4ed8" stroke-width="1.5" stroke-linecap="round" opacity="{min(1.0, float(value)):.3f}" />')
-    frame = f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}"><rect x="0" y="0" width="{w}" height="{h}" fill="#0f172a" />'
-    return frame + "".join(parts) + "</svg>"
+def hog_svg(descriptor, cols: int = config.HOG_GRID_COLS, rows: int = config.HOG_GRID_ROWS, bins: int = config.HOG_BINS, size: int = 120) -> str:
+    """Drawing of a descriptor as one rose a region: its radius at an angle, and opposite to it, is the bin's value."""
+    values = np.asarray(descriptor, float)
+    if values.size != cols * rows * bins:
+        raise ValueError(f"a descriptor of {cols} x {rows} x {bins} values is needed, this has {values.size}")
+    turn = np.pi * np.arange(2 * bins) / bins
+    radius = np.tile(np.clip(np.nan_to_num(values), 0, 1).reshape(rows * cols, bins), 2) / 2
+    roses = []
+    for k in np.flatnonzero(radius.any(1)):
+        x, y = k % cols + 0.5 + radius[k] * np.cos(turn), k // cols + 0.5 + radius[k] * np.sin(turn)
+        points = " ".join(f"{u:.3f},{v:.3f}" for u, v in zip(x, y, strict=True))
+        roses.append(f'<polygon points="{points}"/>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {cols} {rows}" width="{size * cols // max(cols, rows)}"><g fill="teal" fill-opacity="0.7">{"".join(roses)}</g></svg>'
 
 
-def _percent(v: float) -> str:
-    return f"{v * 100:.1f}%"
+def _table(head: list[str], rows: list[tuple]) -> str:
+    cell = lambda v: f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    return "\n".join(["| " + " | ".join(head) + " |", "|" + "-|" * len(head), *["| " + " | ".join(map(cell, r)) + " |" for r in rows]])
 
 
 def evaluation_report(name: str, day: str, characters: dict, fields: dict, speed: dict, repeat: dict) -> str:
-    """Text of an evaluation, from results that are already computed (a few rows each).
+    """Markdown text of an evaluation, from results that are already computed (a few rows each).
 
     characters: accuracy, correct, total, per_class {label: share}, confusions [(actual, predicted, n)];
     fields: accuracy, f1, documents, rows [(field, accuracy, precision, recall, f1, confidence)],
     errors [(field, error, n)]; speed: documents, mean, p95, p99, throughput, bottleneck, stages {name: ms};
     repeat: same_text, same_fields, score, confidence_variance, value_variance.
     """
-    mark = lambda ok: "✅" if ok else "❌"
-    rule = "─" * 65
-    out = ["═" * 65, f"OCR EVALUATION — {name} — {day}", "═" * 65, "", "1. CHARACTER RECOGNITION", rule]
-    out.append(f"   Accuracy: {_percent(characters['accuracy'])} ({characters['correct']}/{characters['total']})")
-    out += [f"     '{k}': {_percent(v)}" for k, v in sorted(characters["per_class"].items())] or ["     (no test samples)"]
-    out += [f"     {a} → {p}: {n}" for a, p, n in characters["confusions"][:10]]
-    out += ["", "2. FIELD EXTRACTION", rule, f"   Accuracy: {_percent(fields['accuracy'])}, F1 {fields['f1']:.3f}, documents {fields['documents']}"]
-    out += [f"     {f:<10} accuracy={_percent(a)} precision={p:.2f} recall={r:.2f} f1={s:.2f} confidence={c:.2f}" for f, a, p, r, s, c in fields["rows"]]
-    out += [f"     {f}: {e} ({n})" for f, e, n in fields["errors"][:10]]
-    fast = speed["mean"] < config.TARGET_MS
-    out += ["", "3. PERFORMANCE", rule, f"   Documents: {speed['documents']}, mean {speed['mean']:.1f} ms {mark(fast)} (target < {config.TARGET_MS} ms)"]
-    whole = sum(speed["stages"].values()) or 1
-    out += [f"     {s:<13} {v:.1f} ms ({_percent(v / whole)}){' ← bottleneck' if s == speed['bottleneck'] else ''}" for s, v in speed["stages"].items()]
-    out.append(f"   P95 {speed['p95']:.1f} ms, P99 {speed['p99']:.1f} ms {mark(speed['p99'] < config.TARGET_MS)}, {speed['throughput']:.2f} documents a second")
-    out += ["", "4. REPRODUCIBILITY", rule, f"   Same text {mark(repeat['same_text'])}, same fields {mark(repeat['same_fields'])}, score {_percent(repeat['score'])}"]
-    out.append(f"   Variance: confidence {repeat['confidence_variance']:.6f}, values {repeat['value_variance']:.6f}")
-    checks = [
-        ("Character recognition", characters["accuracy"] >= config.TARGET_CHARACTER_ACCURACY),
-        ("Field extraction", fields["accuracy"] >= config.TARGET_FIELD_ACCURACY),
-        ("Performance", fast),
-        ("Reproducibility", repeat["score"] >= config.TARGET_REPRODUCIBILITY),
+    goals = [
+        ("character accuracy", characters["accuracy"], ">=", config.TARGET_CHARACTER_ACCURACY),
+        ("field accuracy", fields["accuracy"], ">=", config.TARGET_FIELD_ACCURACY),
+        ("mean milliseconds a document", speed["mean"], "<", config.TARGET_MS),
+        ("equal results of repeated runs", repeat["score"], ">=", config.TARGET_REPRODUCIBILITY),
+    ]
+    met = lambda v, how, goal: v < goal if how == "<" else v >= goal
+    whole = sum(speed["stages"].values())
+    figures = [
+        ("characters right", f"{characters['correct']} of {characters['total']}"),
+        ("documents with fields", fields["documents"]), ("field F1", float(fields["f1"])),
+        ("documents timed", speed["documents"]), ("p95 ms", float(speed["p95"])), ("p99 ms", float(speed["p99"])), ("documents a second", float(speed["throughput"])),
+        ("same text", repeat["same_text"]), ("same fields", repeat["same_fields"]),
+        ("confidence variance", float(repeat["confidence_variance"])), ("value variance", float(repeat["value_variance"])),
+    ]
+    weak = sorted(characters["per_class"].items(), key=lambda x: (x[1], x[0]))
+    parts = [
+        f"# Evaluation of {name}, {day}",
+        _table(["goal", "measured", "wanted", "met"], [(g, float(v), f"{how} {goal}", "yes" if met(v, how, goal) else "no") for g, v, how, goal in goals]),
+        _table(["figure", "value"], figures),
+        "## Classes, weakest first\n\n" + _table(["label", "share right"], [(k, float(v)) for k, v in weak]),
+        "## Taken for another\n\n" + _table(["actual", "predicted", "times"], characters["confusions"]),
+        "## Fields\n\n" + _table(["field", "accuracy", "precision", "recall", "F1", "confidence"], fields["rows"]),
+        "## Field errors\n\n" + _table(["field", "error", "times"], fields["errors"]),
+        "## Time by stage\n\n" + _table(["stage", "ms", "share"], [(k, float(v), v / whole if whole else 0.0) for k, v in sorted(speed["stages"].items(), key=lambda x: -x[1])]),
     ]
-    out += ["", "SUMMARY", rule, *[f"{mark(ok)} {title}" for title, ok in checks], "", "RECOMMENDATIONS"]
-    tips = []
-    if characters["confusions"]:
-        a, p, n = characters["confusions"][0]
-        tips.append(f"Most frequent confusion: '{a}' → '{p}' ({n}); add labelled samples of both.")
-    if fields["documents"] and fields["rows"]:
-        f, a, *_ = min(fields["rows"], key=lambda r: r[1])
-        tips.append(f"Weakest field: '{f}' ({_percent(a)}); review its pattern and keywords.")
-    if speed["documents"]:
-        tips.append(f"Slowest stage: '{speed['bottleneck']}'.")
-    if not (repeat["same_text"] and repeat["same_fields"]):
-        tips.append("Runs differ on the same image; find the source of chance first.")
-    return "\n".join(out + [f"{i}. {t}" for i, t in enumerate(tips, 1)])
+    return "\n\n".join(parts) + "\n"
