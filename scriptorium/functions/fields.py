@@ -42,9 +42,16 @@ def keyword_pattern(keywords: tuple[str, ...]) -> str:
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<value, start>> of all matches, left to right; start counts from 0."""
-    joined = lambda a, n: F.char_length(F.array_join(F.slice(a, F.lit(1), n), ""))
-    whole = lambda g: lambda m: F.transform(m, lambda v, i: F.struct(v.alias("value"), (joined(g, i + 1) + joined(m, i)).alias("start")))
-    return _let(F.split(text, pattern, -1), lambda g: _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), whole(g)))
+
+    def starts(gaps: Column, found: Column) -> Column:
+        """Start of each match: one running sum over the lengths of gaps and matches."""
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, p: F.struct((acc["at"] + p["g"] + p["m"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + p["g"])).alias("out"))
+        return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+    joined = lambda g, m: F.zip_with(m, starts(g, m), lambda v, at: F.struct(v.alias("value"), at.alias("start")))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _let(F.split(text, pattern, -1), lambda g: joined(g, m)))
 
 
 def keyword_ends(text: Column, keywords: tuple[str, ...]) -> Column:
@@ -69,10 +76,15 @@ def best_match(text: Column, pattern: str, keywords: tuple[str, ...]) -> Column:
 
 def region_at(lines: Column, start: Column) -> Column:
     """Box of the line that holds an offset of the joined text; a newline belongs to the line before it."""
-    ends = F.transform(
-        lines, lambda line, i: F.struct((F.char_length(F.array_join(F.transform(F.slice(lines, F.lit(1), i + 1), lambda x: x["text"]), "")) + i).alias("end"), line["bbox"].alias("b"))
-    )
-    return _region(F.get(F.filter(ends, lambda e: e["end"] >= start), 0)["b"])
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(-1).alias("hit"))
+
+    def step(acc: Column, line: Column) -> Column:
+        end = acc["at"] + F.char_length(line["text"])
+        hit = F.when((acc["hit"] < 0) & (end >= start), acc["i"]).otherwise(acc["hit"])
+        return F.struct((end + 1).alias("at"), (acc["i"] + 1).alias("i"), hit.alias("hit"))
+
+    hit = F.aggregate(lines, zero, step, lambda acc: acc["hit"])
+    return _let(hit, lambda i: _region(F.get(lines, i)["bbox"]))
 
 
 def _region(b: Column) -> Column:

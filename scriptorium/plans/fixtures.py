@@ -26,8 +26,13 @@ def amounts(orders: DataFrame) -> DataFrame:
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, raw_text, lines): invoices with some keywords or lines missing, by o_orderkey % 7."""
-    orders = amounts(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+    """(doc_id, raw_text, lines): invoices with some keywords or lines missing, by o_orderkey % 7.
+
+    The four narrow columns are dealt out before texts are made of them, since a small file is one
+    partition and the work on each text is what takes time.
+    """
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    orders = amounts(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").repartition(tasks, "o_orderkey"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     kind = F.col("o_orderkey") % 7
     nit = (F.col("o_custkey") + 900000000).cast("string")
