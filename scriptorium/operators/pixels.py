@@ -1,21 +1,46 @@
 """Image operators as DataFrame plans over a pixel table (img, x, y, v).
 
-One row a pixel, so every operator partitions by image and no image must fit in one row.  All
-rounding is half up.
+One row a pixel, so every operator partitions by image.  Those that look at neighbours
+(`by_image`) run the raster kernels in Arrow, an image at a time.  All rounding is half up.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import kernels
 
+
 def per_image():
     return Window.partitionBy("img")
 
 
+def by_image(px: DataFrame, kernel, columns: str) -> DataFrame:
+    """(img, x, y, ...columns): `kernel` of each whole image, which is put together in one task by one shuffle.
+
+    `kernel` takes a 2-D array and gives {column: 2-D array} and a mask or None; pixels outside the
+    mask are left out.  Pixels that the table lacks count as 0 and are not returned.
+    """
+    kinds = dict(px.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, v = (table[c].to_numpy() for c in ("x", "y", "v"))
+        image = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.uint8)
+        image[y, x] = v
+        made, keep = kernel(image)
+        at = np.flatnonzero(keep[y, x]) if keep is not None else np.arange(len(x))
+        out = table.select(["img", "x", "y"]).take(pa.array(at))
+        for name, values in made.items():
+            out = out.append_column(name, pa.array(values[y[at], x[at]]))
+        return out
+
+    schema = f"img {kinds['img']}, x {kinds['x']}, y {kinds['y']}, {columns}"
+    return px.select("img", "x", "y", "v").groupBy("img").applyInArrow(run, schema)
+
 
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
@@ -78,28 +103,13 @@ def text_as_foreground(px: DataFrame) -> DataFrame:
     return px.withColumn("v", F.when(white * 2 > F.count("*").over(per_image()), 255 - F.col("v")).otherwise(F.col("v")))
 
 
-def _neighbours(px: DataFrame, radius: int) -> DataFrame:
-    """Each pixel with the values around it (edges repeated): img, x, y, dx, dy, w (value)."""
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)])
-    at = px.withColumns({"mx": F.max("x").over(per_image()), "my": F.max("y").over(per_image())}).select("img", "x", "y", "mx", "my", F.inline(steps))
-    clamp = lambda p, d, m: F.least(F.greatest(F.col(p) + F.col(d), F.lit(0)), F.col(m))
-    at = at.select("img", "x", "y", "dx", "dy", clamp("x", "dx", "mx").alias("sx"), clamp("y", "dy", "my").alias("sy"))
-    source = px.select("img", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("w"))
-    return at.join(source, ["img", "sx", "sy"])
-
-
 def blur(px: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """3 x 3 Gaussian; the sum runs in row-major order."""
-    k = kernels.gaussian_weights(sigma)
-    weights = F.array(*[F.lit(float(v)) for v in k.ravel()])
-    near = _neighbours(px, 1).groupBy("img", "x", "y").agg(F.array_sort(F.collect_list(F.struct("dy", "dx", "w"))).alias("n"))
-    total = F.aggregate(F.zip_with("n", weights, lambda a, b: a["w"] * b), F.lit(0.0), lambda s, v: s + v)
-    return near.select("img", "x", "y", F.least(F.greatest(half_up(total), F.lit(0)), F.lit(255)).cast("int").alias("v"))
+    """3 x 3 Gaussian; edges are repeated."""
+    return by_image(px, lambda img: ({"v": kernels.blur(img, sigma).astype(np.int32)}, None), "v int")
 
 
 def median(px: DataFrame, size: int = 3) -> DataFrame:
-    near = _neighbours(px, size // 2).groupBy("img", "x", "y").agg(F.sort_array(F.collect_list("w")).alias("n"))
-    return near.select("img", "x", "y", F.get("n", F.lit(size * size // 2)).alias("v"))
+    return by_image(px, lambda img: ({"v": kernels.median(img, size).astype(np.int32)}, None), "v int")
 
 
 def _resample(px: DataFrame, to_source, background: int) -> DataFrame:
@@ -126,9 +136,10 @@ def skew(px: DataFrame, dx: float, dy: float, background: int = 255) -> DataFram
 
 
 def salt_pepper(px: DataFrame, p: float, seed: int = 0) -> DataFrame:
-    """Inverts each pixel with probability `p`, by a hash of image and place."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), "img", "x", "y"), F.lit(1 << 31)) / float(1 << 31)
-    return px.withColumn("v", F.when(draw < p, 255 - F.col("v")).otherwise(F.col("v")))
+    """Inverts each pixel with probability `p`, by the MD5 digest of seed, image and place."""
+    draw = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("img", "x", "y")])), 1, 8)
+    bound = f"{round(p * (1 << 32)):08x}"  # hexadecimal digits of equal length are ordered like their numbers
+    return px.withColumn("v", F.when((draw < bound) | F.lit(p >= 1), 255 - F.col("v")).otherwise(F.col("v")))
 
 
 def crop_foreground(px: DataFrame) -> DataFrame:
@@ -158,11 +169,7 @@ def fit_square(px: DataFrame, size: int = config.CHAR_SIZE) -> DataFrame:
 
 def gradient(px: DataFrame) -> DataFrame:
     """(img, x, y, magnitude, angle) by central differences, angle in degrees in [0, 180]."""
-    near = _neighbours(px, 1).where("dx = 0 or dy = 0").groupBy("img", "x", "y")
-    at = lambda dx, dy: F.max(F.when((F.col("dx") == dx) & (F.col("dy") == dy), F.col("w")))
-    g = near.agg((at(1, 0) - at(-1, 0)).cast("double").alias("gx"), (at(0, 1) - at(0, -1)).cast("double").alias("gy"))
-    angle = F.degrees(F.atan2("gy", "gx"))
-    return g.select("img", "x", "y", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("magnitude"), F.when(angle < 0, angle + 180).otherwise(angle).alias("angle"))
+    return by_image(px, lambda img: (dict(zip(("magnitude", "angle"), kernels.gradient(img), strict=True)), None), "magnitude double, angle double")
 
 
 def hog(px: DataFrame, cols: int = config.HOG_GRID_COLS, rows: int = config.HOG_GRID_ROWS, bins: int = config.HOG_BINS, eps: float = config.HOG_EPSILON) -> DataFrame:
@@ -198,43 +205,12 @@ def lines(px: DataFrame, least: int = config.HORIZONTAL_VALLEY_THRESHOLD) -> Dat
 
 
 def components(px: DataFrame) -> DataFrame:
-    """(img, x, y, component): 8-connected components of value 255, numbered in raster order.
+    """(img, x, y, component): 8-connected components of value 255, numbered in raster order."""
 
-    Labels are passed to neighbours and shortened until none changes; each round is written, so
-    the plan stays short.
-    """
-    spark = px.sparkSession
-    width = F.max("x").over(per_image()) + 1
-    on = px.withColumn("id", F.col("y").cast("long") * width + F.col("x")).where("v = 255").select("img", "x", "y", "id")
-    shift = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy])
-    near = on.select("img", "id", F.col("x").alias("px"), F.col("y").alias("py"), F.inline(shift))
-    near = near.select("img", "id", (F.col("px") + F.col("dx")).alias("x"), (F.col("py") + F.col("dy")).alias("y"))
-    edges = near.join(on.withColumnRenamed("id", "to"), ["img", "x", "y"]).select("img", "id", "to")
-    label = on.select("img", "id", F.col("id").alias("label"))
-    _checkpoints(spark)
-    edges, label = edges.checkpoint(), label.checkpoint()
-    while True:
-        passed = edges.join(label, ["img", "id"]).groupBy("img", F.col("to").alias("id")).agg(F.min("label").alias("m"))
-        lower = label.join(passed, ["img", "id"], "left").select("img", "id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("was"))
-        jump = lower.select("img", F.col("id").alias("label"), F.col("label").alias("root"))
-        new = lower.join(jump, ["img", "label"]).select("img", "id", F.least("label", "root").alias("label"), "was").checkpoint()
-        changed = not new.where("label <> was").isEmpty()
-        label = new.select("img", "id", "label")
-        if not changed:
-            break
-    number = F.dense_rank().over(Window.partitionBy("img").orderBy("label")) - 1
-    return on.join(label, ["img", "id"]).select("img", "x", "y", number.alias("component"))
-
-
-def _checkpoints(spark) -> None:
-    """Makes sure of a checkpoint folder: that of the session, or one of our own on a single machine."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            import tempfile
-
-            path = tempfile.mkdtemp(prefix="scriptorium-")
-        spark.sparkContext.setCheckpointDir(path)
+    def label(image: np.ndarray):
+        return {"component": kernels.components(image).astype(np.int32)}, image == 255
+
+    return by_image(px, label, "component int")
 
 
 def boxes(parts: DataFrame) -> DataFrame:

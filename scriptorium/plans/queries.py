@@ -477,10 +477,9 @@ def lab_debug_stats(spark: SparkSession, d: str) -> DataFrame:
 
 _NEAR = """nb as (select a.img, a.x, a.y, dx, dy, b.v w from px a, (values (-1), (0), (1)) u(dx), (values (-1), (0), (1)) t(dy), px b
   where b.img = a.img and b.x = least(greatest(a.x + dx, 0), 7) and b.y = least(greatest(a.y + dy, 0), 7))"""
-_W = kernels.gaussian_weights()
 
 
-@query(f"""with {PIXELS}, {_NEAR} select img, x, y, cast(least(greatest(floor(sum(w * case abs(dx) + abs(dy) when 0 then {_W[1, 1]:.17e} when 1 then {_W[0, 1]:.17e} else {_W[0, 0]:.17e} end) + 0.5), 0), 255) as int) v
+@query(f"""with {PIXELS}, {_NEAR} select img, x, y, cast(least(greatest(floor(sum(w * (exp(-(dx * dx + dy * dy) / 2.0::double) / (1 + 4 * exp(-0.5::double) + 4 * exp(-1.0::double)))) + 0.5), 0), 255) as int) v
 from nb group by img, x, y""")
 def gaussian_blur(spark: SparkSession, d: str) -> DataFrame:
     return pixels.blur(fixtures.images8(spark, d))
@@ -551,7 +550,7 @@ def hog(spark: SparkSession, d: str) -> DataFrame:
     return pixels.hog(fixtures.images8(spark, d), cols=2, rows=2).select("img", "region", "bin", r("value", 4).alias("value"))
 
 
-@query()
+@query(f"""with {PIXELS} select img, x, y, case when substr(md5('0|' || img || '|' || x || '|' || y), 1, 8) < '{round(config.NOISE_LEVEL * (1 << 32)):08x}' then 255 - v else v end v from px""")
 def salt_pepper(spark: SparkSession, d: str) -> DataFrame:
     return pixels.salt_pepper(fixtures.images8(spark, d), config.NOISE_LEVEL)
 
