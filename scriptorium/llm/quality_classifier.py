@@ -32,6 +32,8 @@ BUCKETS, SMOOTH = 8_192, 40
 #: Bounds on what the driver learns from.
 SAMPLE, SAMPLE_BYTES = 3_000, 16_384
 GRADES, STEPS, RATE, DECAY = 3, 150, 0.3, 1e-4
+#: Texts whose n-grams the driver holds at a time.
+AT_ONCE = 64
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +77,15 @@ def _repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """Dense feature rows (for training)."""
-    data, offsets = text_bytes(texts)
-    bucket, inside = _grams(data, offsets)
-    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    """Dense feature rows (for training), made of a few texts at a time."""
     x = np.zeros((len(texts), BUCKETS), np.float32)
-    np.add.at(x, (doc[inside], bucket[inside]), 1)
-    x /= x.sum(1, keepdims=True) + SMOOTH
-    x[:, -1] = _repeats(data, offsets)
+    for at in range(0, len(texts), AT_ONCE):
+        data, offsets = text_bytes(texts.slice(at, AT_ONCE))
+        bucket, inside = _grams(data, offsets)
+        for k, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), at):
+            own = np.bincount(bucket[begin:end][inside[begin:end]], minlength=BUCKETS)
+            x[k] = own / (own.sum() + SMOOTH)
+        x[at : at + AT_ONCE, -1] = _repeats(data, offsets)
     return x
 
 
