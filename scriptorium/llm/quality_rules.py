@@ -33,7 +33,7 @@ from .common import let, owned, words_of, written
 
 SHINGLE = 5
 #: Share of rows that a concentration step keeps, bins a unit of log distance, pseudo-rows of the whole.
-H, BINS, PRIOR = 0.75, 32, 60
+H, BINS, PRIOR = 0.75, 16, 60
 #: Steps at most, and the fall of a log determinant that is worth another.
 STEPS, STILL = 12, 1e-3
 #: Share of ordinary rows that the cutoff keeps.
