@@ -227,7 +227,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         return Model([], np.zeros(0), 0.0)
     sentences = [(s, k) for k, t in enumerate(texts) for s in SENTENCE.split(t) if s.strip()]
     flat, of = units_of(pa.array([s for s, _ in sentences], pa.string()))
-    units, owner = flat.to_pylist(), np.array([k for _, k in sentences])[of]
+    coded = flat.dictionary_encode()
+    distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    units, text = [distinct[k] for k in place.tolist()], np.array([k for _, k in sentences] or [0])
+    owner = text[of]
     seen: dict[str, set] = {}
     beside: dict[str, set] = {}
     for before, u, k in zip(["", *units], units, owner, strict=False):
@@ -267,11 +270,13 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     among = kernel(landmarks, landmarks) / own / own[:, None]
     value, vector = np.linalg.eigh((among + among.T) / 2 + 1e-6 * np.eye(len(landmarks)))
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    names, place = np.unique(np.array([u[:UNIT] for u in units] or [""]), return_inverse=True)
-    parts = [START + u for u in names]
-    x = kernel(parts, landmarks) / own / _own(parts)[:, None] @ root
-    first = np.array([t * lift if lift > 0 else lift for t, lift in (weight.get(u, (0, -9.0)) for u in names)])
-    w, b = _sentence_machine(x, place[: len(units)], of, np.array([k for _, k in sentences]), toxic, first)
+    parts = [START + u[:UNIT] for u in distinct]
+    x = kernel(parts, landmarks)
+    x /= own
+    x /= _own(parts)[:, None]
+    first = np.array([t * lift if lift > 0 else lift for t, lift in (weight.get(u, (0, -9.0)) for u in distinct)])
+    del units, seen, beside, owner
+    w, b = _sentence_machine(x @ root, place, of, text, toxic, first)
     model = Model(landmarks, root @ w, b)
     model.final = _logistic(model.evidence(pa.array(texts, pa.string())), toxic.astype(float))
     return model
