@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
 from .common import read
-from .quality_rules import quality_rules
+from .quality_rules import base_failed, quality_rules, statistics
 from .sharding import shard
 
 
@@ -52,7 +52,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return ann.near_duplicates(read(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the base rule of op4, which SQL can state."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", statistics(F.col("text")).alias("s"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", *[F.col("s")[c].alias(c) for c in names], base_failed(F.col("s")).alias("base_failed"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_langid": op2_langid,
@@ -84,7 +91,35 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
+    "quality_statistics": quality_statistics,
 }
 
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_REACH = """reach as (select id, id r from nodes union select e.y, reach.r from reach join edges e on e.x = reach.id),
+component as (select id, min(r) component_id from reach group by id)"""
+
 #: DuckDB SQL where it can express the operator; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_near_vectors": f"""with recursive v as (select vec_id, label, embedding::double[] e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edges as (select a.vec_id x, b.vec_id y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+nodes as (select vec_id id from embeddings), {_REACH}
+select id vec_id, (select count(*) from edges where x = id) n_links, component_id, id = component_id kept from component""",
+    "op7_ngram_join": f"""with recursive w as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ws from documents),
+sets as (select doc_id, list_distinct(case when len(ws) >= 5 then list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))
+  when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) g from w),
+grams as (select doc_id, len(g) n, unnest(g) s from sets),
+shared as (select a.doc_id x, b.doc_id y, a.n na, b.n nb, count(*) o from grams a join grams b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+edges as (select x, y from shared where 100 * o >= 75 * (na + nb - o)),
+nodes as (select doc_id id from documents), {_REACH}
+select doc_id, len(g) n_shingles, component_id from sets join component on id = doc_id""",
+    "quality_statistics": f"""with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} ws from documents),
+windows as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') g from (select doc_id, ws, unnest(generate_series(1, len(ws) - 4)) i from w)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) c from windows) where c > 1),
+covered as (select doc_id, count(distinct i + k) n from twice, range(5) r(k) group by doc_id),
+line as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) l from documents),
+again as (select doc_id, sum(c - 1) n from (select doc_id, l, count(*) c from line where regexp_matches(l, '[^\x20\x09-\x0D]') group by all) group by doc_id),
+base as (select w.doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(regexp_replace(array_to_string(ws, ''), '[^#*$%&|<>]+', '', 'g')) n_symbols,
+  cast(coalesce(again.n, 0) as bigint) n_dup_lines, coalesce(covered.n, 0) n_repeat_words from w left join covered using (doc_id) left join again using (doc_id))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from base""",
+}

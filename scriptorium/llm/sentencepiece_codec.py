@@ -385,10 +385,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """`rows` with their column of ids replaced by `text`."""
+    """`rows` with their column of ids replaced by `text`, which takes the place of a column of that name."""
     path = path or vocabulary()
-    names = [c for c in rows.columns if c != ids_col]
-    out = T.StructType([*[f for f in rows.schema.fields if f.name != ids_col], T.StructField("text", T.StringType())])
+    names = [c for c in rows.columns if c not in (ids_col, "text")]
+    out = T.StructType([*[f for f in rows.schema.fields if f.name in names], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)

@@ -122,7 +122,21 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write `docs` under `path`/shard=N in the order of the slots; ids must be unique."""
-    places = shard(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(places, id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the rows of `docs`, all columns, under `path`/shard=N in the order of the slots.
 
+    Rows are matched with their places by id and text.  Rows that agree in both (repeated rows, or
+    null ids with one text) are numbered, so each gets one place; a column `shard` or `slot` of
+    `docs` gives way to the new one.
+    """
+    same = Window.partitionBy("_id", "_crc", "_size").orderBy("_id")  # only rows that repeat meet here
+    text = F.col(text_col)
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    rows = docs.select("*", F.col(id_col).alias("_id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_crc"), size.alias("_size")).drop("shard", "slot")
+    places = shard(docs, shards, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", "slot")
+    left, right = (df.withColumn("_n", F.row_number().over(same)) for df in (rows, places))
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in ("_id", "_crc", "_size", "_n")], "shard", "slot")
+    match = left["_id"].eqNullSafe(right["_id_"])
+    for c in ("_crc", "_size", "_n"):
+        match = match & (left[c] == right[f"{c}_"])
+    out = left.join(right, match).select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -28,3 +28,8 @@ def test_round_trip_frames(spark, odd, none):
     back = {(r.doc_id, r.text) for r in sc.decode(ids).collect()}
     assert back == {(r.doc_id, r.text) for r in odd.collect()}
     assert sc.decode(sc.encode(none)).count() == 0
+
+
+def test_decode_takes_the_place_of_a_clashing_column(spark, odd):
+    ids = sc.encode(odd).selectExpr("doc_id", "ids", "'old' as text")
+    assert {(r.doc_id, r.text) for r in sc.decode(ids).collect()} == {(r.doc_id, r.text) for r in odd.collect()}

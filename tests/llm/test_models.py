@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from scriptorium.llm import langid, pii, quality_classifier, quality_rules, toxicity
+from scriptorium.llm import langid, pii, quality_classifier, quality_rules, queries, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALPHABETS = {"aa": "abcde", "bb": "uvwxyzö"}
@@ -258,3 +258,21 @@ def test_pseudonyms_are_a_permutation(spark):
     texts = [f"{a}.{b}.7.9" for a in range(1, 12) for b in range(30)] + [f"a.{n:02d}@b.example.com" for n in range(100)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select(pii.pseudonymized(F.col("text"), "k").alias("p"))
     assert df.distinct().count() == len(texts)
+
+
+def test_numbers_stay_linked_across_layouts(spark):
+    texts = ["555-123-4567", "(555) 123-4567", "+1 555.123.4567", "4111 1111 1111 1111", "4111111111111111"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii.pseudonymized(F.col("text"), "k").alias("p"))
+    out = {r.text: r.p for r in df.withColumn("back", pii.restored(F.col("p"), "k")).where("back = text").collect()}
+    digits = lambda t: re.sub(r"\D", "", out[t])
+    assert set(out) == set(texts) and all(out[t] != t and len(out[t]) == len(t) for t in texts)
+    assert digits(texts[0]) == digits(texts[1]) == digits(texts[2])[1:] and digits(texts[3]) == digits(texts[4])
+    assert re.sub(r"\d", "#", out[texts[3]]) == "#### #### #### ####"
+
+
+def test_folds_of_the_queries(spark):
+    d = "/root/testdata/sf0.001"
+    for query, of, left in ((queries.op2_langid, 5, 0), (queries.op3_toxicity, 4, 2)):
+        out = query(spark, d).collect()
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % of == left) and 0 <= r.score <= 1 for r in out)
+        assert len(out) == spark.read.parquet(f"{d}/documents.parquet").count()

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scriptorium.llm import packing
+from scriptorium.llm import packing, sharding
+from scriptorium.llm.common import owned, written
 from scriptorium.llm.sharding import shard
 
 
@@ -80,3 +81,24 @@ def test_sequences_hold_the_ids(odd):
     tok = Tokenizer.from_file(packing.vocabulary())
     assert sum(len(r.ids) for r in out) == sum(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
     assert odd.select(F.count("*")).first()[0] <= sum(len(r.doc_ids) for r in out)
+
+
+def test_written_shards_hold_every_row_once_in_order(spark, odd, tmp_path):
+    rows = odd.withColumn("slot", F.lit("mine"))
+    sharding.write_shards(rows, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    key = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    assert key(back) == key(odd)
+    slots = [(r.shard, r.slot) for r in back.select("shard", "slot").collect()]
+    assert len(set(slots)) == len(slots)
+
+
+def test_dropped_tables_are_those_of_their_owner_only(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    unread = shard(docs)
+    with owned() as tables:
+        mine = written(docs, "mine")
+    assert mine.count() == 50
+    tables.drop(spark)
+    assert unread.count() == 50 and tables.paths == []
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
