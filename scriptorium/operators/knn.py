@@ -23,16 +23,36 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("descriptors differ in length"))).otherwise(F.sqrt(total))
 
 
+#: Queries and model samples that one task compares.
+QUERY_ROWS, MODEL_ROWS = 4_096, 16_384
+
+
 def topk(queries: DataFrame, model: DataFrame, k: int = config.KNN_K) -> DataFrame:
-    """(q, rank, sample_idx, label, distance): plain plan for small models.
+    """(q, rank, sample_idx, label, distance), for models of any size.
 
-    `queries` has (q, descriptor), `model` has (sample_idx, label, descriptor).
+    `queries` has (q, descriptor), `model` has (sample_idx, label, descriptor).  Both are dealt out
+    to blocks, whose numbers follow their rows; each pair of blocks is searched in a task of its
+    own, and the best of each are merged.
     """
-    m = model.select("sample_idx", "label", F.col("descriptor").alias("_m"))
-    pairs = queries.select("q", F.col("descriptor").alias("_q")).crossJoin(F.broadcast(m))
-    pairs = pairs.select("q", "sample_idx", "label", euclidean(F.col("_q"), F.col("_m")).alias("distance"))
+    qs, ms = (max(1, -(-df.count() // rows)) for df, rows in ((queries, QUERY_ROWS), (model, MODEL_ROWS)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.select(F.col("q").cast("long").alias("q"), "descriptor", block("q", qs).alias("qb"), every(ms).alias("mb"))
+    right = model.select("sample_idx", "label", "descriptor", block("sample_idx", ms).alias("mb"), every(qs).alias("qb"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["q", "sample_idx", "label", "distance"]
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=columns)
+        right = right.sort_values("sample_idx")
+        near = Neighbours(np.array(right.descriptor.tolist(), np.float32), right.label.tolist(), k).nearest(np.array(left.descriptor.tolist(), np.float32))
+        index, labels = right.sample_idx.to_numpy(), right.label.to_numpy()
+        rows = [(q, index[i], labels[i], d) for q, (ids, ds) in zip(left.q, near, strict=True) for i, d in zip(ids, ds, strict=True)]
+        return pd.DataFrame(rows, columns=columns)
+
+    found = left.groupBy("qb", "mb").cogroup(right.groupBy("qb", "mb")).applyInPandas(run, "q long, sample_idx long, label string, distance double")
     order = Window.partitionBy("q").orderBy("distance", "sample_idx")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def vote(nearest: DataFrame, eps: float = config.KNN_EPSILON) -> DataFrame:
@@ -45,11 +65,11 @@ def vote(nearest: DataFrame, eps: float = config.KNN_EPSILON) -> DataFrame:
     )
 
 
-def collect_model(model: DataFrame, k: int = config.KNN_K, eps: float = config.KNN_EPSILON) -> Neighbours:
-    """The model as one matrix; refused when it is over the size that may be sent to all executors."""
+def collect_model(model: DataFrame, k: int = config.KNN_K, eps: float = config.KNN_EPSILON) -> Neighbours | None:
+    """The model as one matrix; None when it is over the size that may be sent to all executors."""
     values = model.agg(F.sum(F.size("descriptor"))).first()[0] or 0
     if values > BROADCAST_VALUES:
-        raise ValueError(f"the model has {values} values, over {BROADCAST_VALUES}; use `predict_blocks`")
+        return None
     rows = model.select("sample_idx", "label", "descriptor").orderBy("sample_idx").collect()
     return Neighbours(np.array([r.descriptor for r in rows], np.float32), [r.label for r in rows], k, eps)
 
@@ -58,8 +78,15 @@ PREDICTION = "q long, label string, confidence double, distances array<double>,
 
 
 def predict(queries: DataFrame, model: DataFrame, k: int = config.KNN_K, eps: float = config.KNN_EPSILON) -> DataFrame:
-    """Prediction of each query by a matrix kernel; no shuffle, the model is sent once."""
+    """Prediction of each query by a matrix kernel; no shuffle, the model is sent once.  A model that is too large to send is searched by blocks."""
     neighbours = collect_model(model, k, eps)
+    if neighbours is None:
+        near = topk(queries, model, k)
+        votes = vote(near, eps).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "label", "share"))).alias("v"))  # k entries at most
+        distances = near.groupBy("q").agg(F.array_sort(F.collect_list("distance")).alias("distances"))
+        best = F.col("v")[0]
+        top = F.transform("v", lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share"))).alias("top")
+        return votes.join(distances, "q").select("q", best["label"].alias("label"), best["share"].alias("confidence"), "distances", top)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -71,21 +98,6 @@ def predict(queries: DataFrame, model: DataFrame, k: int = config.KNN_K, eps: fl
     return queries.select(F.col("q").cast("long").alias("q"), "descriptor").mapInPandas(run, PREDICTION)
 
 
-def predict_blocks(queries: DataFrame, model: DataFrame, blocks: int, k: int = config.KNN_K, eps: float = config.KNN_EPSILON) -> DataFrame:
+def predict_blocks(queries: DataFrame, model: DataFrame, k: int = config.KNN_K, eps: float = config.KNN_EPSILON) -> DataFrame:
     """(q, place, label, share) for a model too large to send: its blocks are searched apart and the best merged."""
-    m = model.select("sample_idx", "label", "descriptor", F.pmod(F.xxhash64("sample_idx"), F.lit(blocks)).alias("block"))
-    q = queries.select(F.col("q").cast("long").alias("q"), "descriptor").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["q", "sample_idx", "label", "distance"]
-        if not len(left) or not len(right):
-            return pd.DataFrame([], columns=columns)
-        right = right.sort_values("sample_idx")
-        near = Neighbours(np.array(right.descriptor.tolist(), np.float32), right.label.tolist(), k, eps).nearest(np.array(left.descriptor.tolist(), np.float32))
-        index = right.sample_idx.to_numpy()
-        rows = [(q, index[i], right.label.iloc[i], d) for q, (ids, ds) in zip(left.q, near, strict=True) for i, d in zip(ids, ds, strict=True)]
-        return pd.DataFrame(rows, columns=columns)
-
-    found = q.groupBy("block").cogroup(m.groupBy("block")).applyInPandas(run, "q long, sample_idx long, label string, distance double")
-    order = Window.partitionBy("q").orderBy("distance", "sample_idx")
-    return vote(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), eps)
+    return vote(topk(queries, model, k), eps)

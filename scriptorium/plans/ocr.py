@@ -60,6 +60,8 @@ def ocr_documents(images: DataFrame, model: DataFrame, key: str = "path", debug:
     The model is sent once, behind a check of its size.  A bad image becomes a row with an error.
     """
     neighbours = collect_model(model)
+    if neighbours is None:
+        raise ValueError("the model is too large to send to all executors; describe the characters and use `knn.topk`")
     out = T.StructType([images.schema[key], *RESULT, *([T.StructField("stages", STAGES)] if debug else [])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

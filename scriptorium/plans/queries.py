@@ -295,7 +295,7 @@ def knn_vote(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {VOTES} select q, place, label, round(share, 6) share from shares")
 def knn_topn_labels(spark: SparkSession, d: str) -> DataFrame:
     test, train = _split(spark, d)
-    return knn.predict_blocks(_queries(test), train, 4).select("q", "place", "label", r("share").alias("share"))
+    return knn.predict_blocks(_queries(test), train).select("q", "place", "label", r("share").alias("share"))
 
 
 @query("""select a.vec_id, round(list_distance(a.embedding::double[], b.embedding::double[]), 6) distance from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")

@@ -177,3 +177,16 @@ def test_component_in_two_lines_counts_in_both():
 
 def test_constants():
     assert len(config.OCR_ALPHABET) == 62 and len(config.AUDIT_ACTIONS) == 14
+
+
+def test_large_models_are_searched_by_blocks(spark, monkeypatch):
+    from scriptorium.operators import knn
+
+    rng = np.random.default_rng(7)
+    model = spark.createDataFrame([(i, f"l{i % 5}", rng.random(6).tolist()) for i in range(120)], "sample_idx long, label string, descriptor array<float>")
+    asked = spark.createDataFrame([(i, rng.random(6).tolist()) for i in range(40)], "q long, descriptor array<float>")
+    rows = lambda: {r.q: (r.label, round(r.confidence, 9), [round(d, 9) for d in r.distances]) for r in knn.predict(asked, model).collect()}
+    sent = rows()
+    for name, value in (("BROADCAST_VALUES", 1), ("QUERY_ROWS", 16), ("MODEL_ROWS", 50)):
+        monkeypatch.setattr(knn, name, value)
+    assert knn.collect_model(model) is None and rows() == sent
