@@ -85,6 +85,11 @@ def field_json(data: Column, field: str) -> Column:
     return F.coalesce(F.to_json(F.try_variant_get(data, f"$.{field}", "variant")), F.lit("null"))
 
 
+def field_value(data: Column, field: str, kind: str, part: str = "value") -> Column:
+    """Value (or another part) of one extracted field of a VARIANT object; null if missing or not of that kind."""
+    return F.try_variant_get(data, f"$.{field}.{part}", kind)
+
+
 def edited(original: Column, validated: Column, field: str) -> Column:
     """Whether a field differs, by value and type."""
     return field_json(original, field) != field_json(validated, field)

@@ -95,6 +95,11 @@ def benchmark(timings: DataFrame) -> DataFrame:
     return out.fillna(0, zero)
 
 
+def run_means(timings: DataFrame) -> DataFrame:
+    """Stage times averaged over the runs of each document (doc_id)."""
+    return timings.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in (*STAGES, "total")])
+
+
 def reproducibility(runs: DataFrame) -> DataFrame:
     """Per document over its runs (run from 0, raw_text, confidence, six values): agreement and variance."""
     values = F.struct(*[F.col(f) for f in config.VALIDATION_FIELDS])

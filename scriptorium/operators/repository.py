@@ -33,7 +33,11 @@ def page(number: float | None = None, size: float | None = None) -> tuple[int, i
 
 
 def filtered(docs: DataFrame, results: DataFrame, f: Filters, uuid_ids: bool = True) -> DataFrame:
-    """Documents that pass all filters given; conditions on results must hold on one result row."""
+    """Documents that pass all filters given; conditions on results must hold on one result row.
+
+    Provider and amount are read from the JSON in `extracted_data` if the results have it (amounts
+    compare as numbers, also when written as text), else from `proveedor` and `total`.
+    """
     if f.owner_id is not None:
         docs = docs.where(F.col("owner_id") == f.owner_id)
     if f.status:
@@ -45,13 +49,17 @@ def filtered(docs: DataFrame, results: DataFrame, f: Filters, uuid_ids: bool = T
         docs = docs.where(F.col("created_at") < to + F.expr("interval 1 day") if f.inclusive_day else F.col("created_at") <= to)
     if f.document_id and (not uuid_ids or re.match(scalars.UUID, f.document_id.strip())):
         docs = docs.where(F.col("id").cast("string") == f.document_id.strip())
+    provider, amount = F.col("proveedor") if "proveedor" in results.columns else None, F.col("total") if "total" in results.columns else None
+    if "extracted_data" in results.columns:
+        data = F.try_parse_json("extracted_data")
+        provider, amount = scalars.field_value(data, "proveedor", "string"), scalars.field_value(data, "total", "decimal(38,10)")
     on: list[Column] = []
     if f.provider:
-        on.append(F.col("proveedor").ilike(f"%{f.provider}%"))
+        on.append(provider.ilike(f"%{f.provider}%"))
     if f.min_amount is not None:
-        on.append(F.col("total") >= f.min_amount)
+        on.append(amount >= f.min_amount)
     if f.max_amount is not None:
-        on.append(F.col("total") <= f.max_amount)
+        on.append(amount <= f.max_amount)
     if on:
         for c in on:
             results = results.where(c)
@@ -65,6 +73,17 @@ def list_documents(docs: DataFrame, results: DataFrame, f: Filters = Filters(),
     return filtered(docs, results, f, uuid_ids).orderBy(F.desc("created_at"), "id").offset((number - 1) * size).limit(size)
 
 
+def list_with_total(docs: DataFrame, results: DataFrame, f: Filters = Filters(), number: int = 1, size: int = config.DEFAULT_PAGE_SIZE, uuid_ids: bool = True) -> DataFrame:
+    """One page as `list_documents` gives it; `exact_total` counts the documents of all pages."""
+    total = filtered(docs, results, f, uuid_ids).agg(F.count("*"))
+    return list_documents(docs, results, f, number, size, uuid_ids).withColumn("exact_total", total.scalar())
+
+
+def with_owner(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Documents with the e-mail of their owner, null if there is no profile."""
+    return docs.join(profiles.select(F.col("id").alias("owner_id"), F.col("email").alias("owner_email")), "owner_id", "left")
+
+
 def with_results(docs: DataFrame, results: DataFrame) -> DataFrame:
     """Documents with all their results (confidence, created_at), an empty array if none."""
     own = results.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("created_at", "line_no", "part", "confidence"))).alias("ocr_results"))
@@ -92,6 +111,11 @@ def daily_buckets(rows: DataFrame, ts: str, days: int, now: str, edited: str | N
     return spine.join(counts, "day", "left").fillna(0)
 
 
+def chart_maximum(buckets: DataFrame) -> DataFrame:
+    """One row: the scale of a chart of `total`, 1 at least."""
+    return buckets.agg(F.greatest(F.lit(1), F.coalesce(F.max("total"), F.lit(1))).cast("long").alias("maximum"))
+
+
 def field_edits(validations: DataFrame) -> DataFrame:
     """One row: how often each field was edited (by typed JSON value), and in all."""
     v = validations.select(F.parse_json("original").alias("o"), F.parse_json("validated").alias("v"))
@@ -99,6 +123,18 @@ def field_edits(validations: DataFrame) -> DataFrame:
     return one.withColumn("total_edited", sum((F.col(f) for f in config.VALIDATION_FIELDS), F.lit(0)))
 
 
+def fields_by_edits(validations: DataFrame) -> DataFrame:
+    """(place, field, edits) of the six fields, most edited first; ties keep the order of the fields."""
+    entry = F.array(*[F.struct((-F.col(f)).alias("k"), F.lit(i).alias("i"), F.lit(f).alias("field"), F.col(f).alias("edits")) for i, f in enumerate(config.VALIDATION_FIELDS)])
+    return field_edits(validations).select(F.posexplode(F.array_sort(entry)).alias("place", "e")).select("place", "e.field", "e.edits")
+
+
+def validation_totals(validations: DataFrame) -> DataFrame:
+    """One row: validations, how many were edited by hand, and their percentage (0 if there are none)."""
+    edited = F.count_if("manually_edited")
+    return validations.agg(F.count("*").alias("total"), edited.alias("edited"), F.coalesce(F.try_divide(edited * 100.0, F.count("*")), F.lit(0.0)).alias("edited_pct"))
+
+
 def validator_stats(validations: DataFrame, names: DataFrame) -> DataFrame:
     """(validated_by, email, total, edited): the e-mail is looked up after the counts."""
     counts = validations.groupBy("validated_by").agg(F.count("*").alias("total"), F.count_if("manually_edited").alias("edited"))
@@ -161,6 +197,21 @@ def document_detail(docs: DataFrame, results: DataFrame, validations: DataFrame)
     return docs.join(r, "id", "left").join(v, "id", "left")
 
 
+def document_fields(results: DataFrame) -> DataFrame:
+    """(document_id, position, field, value_str, value_num, confidence): the six fields in each document's
+    latest result; a missing field has null and 0, a result without data has no rows."""
+    last = latest(results, "document_id", "created_at", "line_no", "part").withColumn("data", F.try_parse_json("extracted_data")).where("data is not null")
+
+    def row(i: int, f: str) -> Column:
+        number = f in config.NUMERIC_VALIDATION_FIELDS
+        text = F.lit(None).cast("string") if number else scalars.field_value(F.col("data"), f, "string")
+        value = scalars.field_value(F.col("data"), f, "double") if number else F.lit(None).cast("double")
+        confidence = F.coalesce(scalars.field_value(F.col("data"), f, "double", "confidence"), F.lit(0.0))
+        return F.struct(F.lit(i).alias("position"), F.lit(f).alias("field"), text.alias("value_str"), value.alias("value_num"), confidence.alias("confidence"))
+
+    return last.select("document_id", F.inline(F.array(*[row(i, f) for i, f in enumerate(config.VALIDATION_FIELDS)])))
+
+
 # --- row-level visibility ---
 
 

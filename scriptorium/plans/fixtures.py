@@ -117,6 +117,17 @@ def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def extracted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results with JSON text in place of the flat values: totals of second lines are text, those of
+    third lines are missing, fourth lines hold no JSON."""
+    whole = ocr_results(spark, sf_dir)
+    text = F.col("total").cast("string")
+    total = F.when(F.col("line_no") == 2, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+    tail = F.when(F.col("line_no") == 3, "}").otherwise(F.concat(F.lit(',"total":{"value":'), total, F.lit(',"confidence":0.95}}')))
+    json = F.concat(F.lit('{"proveedor":{"value":"'), F.col("proveedor"), F.lit('","confidence":0.9}'), tail)
+    return whole.withColumn("extracted_data", F.when(F.col("line_no") == 4, "none").otherwise(json)).drop("proveedor", "total")
+
+
 def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, line_no, part, original, validated, manually_edited, validated_by, validated_at); JSON text."""
     li = read(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'R')")

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import kernels
+from ..functions import fields, kernels
 from ..functions.kernels import Neighbours
 from ..operators.knn import collect_model
+from ..operators.metrics import field_metrics
 
 BOX = T.StructType([T.StructField(n, T.IntegerType()) for n in ("x", "y", "width", "height")])
 LINE = T.StructType([T.StructField("text", T.StringType()), T.StructField("bbox", BOX), T.StructField("confidence", T.DoubleType())])
@@ -108,3 +109,9 @@ def repeat_runs(images: DataFrame, model: DataFrame, runs: int = 5, key: str = "
     many = images.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("_key", F.struct(key, "run"))
     out = ocr_documents(many, model, "_key")
     return out.select(F.col(f"_key.{key}").alias("doc_id"), "_key.run", "raw_text", "lines", "confidence", "timing")
+
+
+def evaluate_fields(images: DataFrame, model: DataFrame, truth: DataFrame, key: str = "path") -> DataFrame:
+    """Metrics of the six fields from images to values, against truth (doc_id, field, value_str, value_num)."""
+    read = ocr_documents(images, model, key).where("error is null").withColumnRenamed(key, "doc_id")
+    return field_metrics(fields.long_fields(fields.extract_fields(read)), truth)

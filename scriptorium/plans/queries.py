@@ -623,6 +623,16 @@ def reproducibility(spark: SparkSession, d: str) -> DataFrame:
     return metrics.reproducibility(found)
 
 
+@query("""select *, 2 n, 0 tp, 0 fp, 2 fn, 0::double confidence, 0::double accuracy, 1::double "precision", 0::double recall, 0::double f1
+from (values (0, 'proveedor'), (1, 'nit'), (2, 'fecha'), (3, 'iva'), (4, 'valor'), (5, 'total')) t(position, field)""")
+def field_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn pages hold no field, so each one of the truth is missed."""
+    rows = [(doc, f, "x", None) for doc in ("drawn", "blank") for f in config.VALIDATION_FIELDS]
+    truth = spark.createDataFrame(rows, "doc_id string, field string, value_str string, value_num double")
+    m = ocr.evaluate_fields(_pages(spark).where("error is null"), _shape_model(spark), truth)
+    return m.select("position", "field", "n", "tp", "fp", "fn", *[r(c).alias(c) for c in ("confidence", "accuracy", "precision", "recall", "f1")])
+
+
 @query()
 def synthesize(spark: SparkSession, d: str) -> DataFrame:
     made = training.synthesize(spark, ["1", "7", "A"], per_character=8, fonts=("Arial", "Courier New"))
@@ -647,6 +657,20 @@ def benchmark_stats(spark: SparkSession, d: str) -> DataFrame:
     return m.select("documents", *rounded, "bottleneck", r("throughput").alias("throughput"))
 
 
+@query(ORACLE_SQL["benchmark_stats"].replace("sum(l_", "avg(l_"))
+def benchmark_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each line of an order is a run of its document."""
+    li = fixtures.read(spark, d, "lineitem")
+    runs = li.select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").alias("preprocess"), (F.col("l_discount") * 100).alias("segmentation"),
+        (F.col("l_extendedprice") / 100).alias("recognition"), (F.col("l_tax") * 10).alias("extraction"),
+    )
+    whole = runs.withColumn("total", F.col("preprocess") + F.col("segmentation") + F.col("recognition") + F.col("extraction"))
+    m = metrics.benchmark(metrics.run_means(whole))
+    rounded = [r(c, 3 if c == "total_ms" else 6).alias(c) for c in ("total_ms", "mean_ms", *metrics.STAGES, "p95", "p99")]
+    return m.select("documents", *rounded, "bottleneck", r("throughput").alias("throughput"))
+
+
 # --- documents ---
 
 
@@ -667,6 +691,24 @@ def list_by_amount(spark: SparkSession, d: str) -> DataFrame:
     return repository.filtered(fixtures.documents(spark, d), fixtures.ocr_results(spark, d), f).select("id", "status")
 
 
+@query(f"""with {DOCS}, hits as (select id, status, created_at from docs where status = 'validated' and created_at < timestamp '1999-01-01')
+select id, (select count(*) from hits) exact_total from hits order by created_at desc, id limit 50 offset 100""")
+def list_with_total(spark: SparkSession, d: str) -> DataFrame:
+    f = repository.Filters(status="validated", date_to="1998-12-31", inclusive_day=True)
+    return repository.list_with_total(fixtures.documents(spark, d), fixtures.ocr_results(spark, d), f, 3, 50).select("id", "exact_total")
+
+
+@query(f"with {DOCS}, {RESULTS} select id, status from docs where id in (select document_id from res where line_no not in (3, 4) and proveedor ilike '%7%' and total >= 20000 and total <= 30000)")
+def list_by_json_path(spark: SparkSession, d: str) -> DataFrame:
+    f = repository.Filters(provider="7", min_amount=20000, max_amount=30000)
+    return repository.filtered(fixtures.documents(spark, d), fixtures.extracted_results(spark, d), f).select("id", "status")
+
+
+@query(f"with {DOCS}, {PROFILES} select docs.id, email owner_email from docs left join prof on prof.id = owner_id")
+def list_with_owner(spark: SparkSession, d: str) -> DataFrame:
+    return repository.with_owner(fixtures.documents(spark, d), fixtures.profiles(spark, d)).select("id", "owner_email")
+
+
 @query(f"with {DOCS}, {RESULTS} select id, count(document_id) n, coalesce(round(sum(cast(confidence as double)), 6), 0) total_confidence from docs left join res on document_id = id group by id")
 def list_with_confidence(spark: SparkSession, d: str) -> DataFrame:
     rows = repository.with_results(fixtures.documents(spark, d), fixtures.ocr_results(spark, d))
@@ -682,6 +724,14 @@ def document_detail(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "status", F.col("confidence").cast("double").alias("confidence"), "proveedor", F.col("total").cast("double").alias("total"), "manually_edited", ts("validated_at").alias("validated_at"))
 
 
+@query(f"""with {LATEST} select document_id, u.position, u.field, u.value_str, u.value_num, u.confidence from lastres, lateral (values
+  (0, 'proveedor', proveedor, null::double, 0.9::double), (1, 'nit', null, null, 0), (2, 'fecha', null, null, 0), (3, 'iva', null, null, 0), (4, 'valor', null, null, 0),
+  (5, 'total', null, case when line_no <> 3 then cast(total as double) end, case when line_no <> 3 then 0.95 else 0 end)) u(position, field, value_str, value_num, confidence)
+where line_no <> 4""")
+def document_fields(spark: SparkSession, d: str) -> DataFrame:
+    return repository.document_fields(fixtures.extracted_results(spark, d))
+
+
 @query("select * from (values (null::double, null::double, 1, 20), (0, 500, 1, 100), (2.9, 3.7, 2, 3), (-4, 0, 1, 1)) t(asked_page, asked_size, page, size)")
 def page_clamp(spark: SparkSession, d: str) -> DataFrame:
     asked = [(None, None), (0.0, 500.0), (2.9, 3.7), (-4.0, 0.0)]
@@ -748,6 +798,23 @@ def field_edit_stats(spark: SparkSession, d: str) -> DataFrame:
     return repository.field_edits(fixtures.validations(spark, d))
 
 
+@query(f"""with {VALIDATIONS}, e as (select unnest(['proveedor', 'nit', 'fecha', 'iva', 'valor', 'total']) field, unnest(range(6)) i,
+  unnest([0, count(*) filter (nit <> nit_after), 0, 0, 0, count(*) filter (total <> total_after)]) edits from val)
+select row_number() over (order by edits desc, i) - 1 place, field, edits from e""")
+def fields_by_edits(spark: SparkSession, d: str) -> DataFrame:
+    return repository.fields_by_edits(fixtures.validations(spark, d))
+
+
+@query(f"with {VALIDATIONS} select count(*) total, count(*) filter (manually_edited) edited, round(coalesce(100.0 * count(*) filter (manually_edited) / nullif(count(*), 0), 0), 6) edited_pct from val")
+def validation_totals(spark: SparkSession, d: str) -> DataFrame:
+    return repository.validation_totals(fixtures.validations(spark, d)).withColumn("edited_pct", r("edited_pct"))
+
+
+@query("""select greatest(1, coalesce(max(n), 1)) maximum from (select count(*) n from events where cast(ts as date) between date '2024-01-24' and date '2024-01-30' group by cast(ts as date))""")
+def chart_maximum(spark: SparkSession, d: str) -> DataFrame:
+    return repository.chart_maximum(repository.daily_buckets(fixtures.read(spark, d, "events"), "ts", 7, "2024-01-30"))
+
+
 @query("""select cast(day as varchar) as day, count(event_id) total from (select unnest(generate_series(date '2024-01-24', date '2024-01-30', interval 1 day))::date as day) s
 left join events on cast(ts as date) = s.day group by all""")
 def daily_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -807,6 +874,12 @@ def rls_owner(spark: SparkSession, d: str) -> DataFrame:
     return repository.visible(fixtures.documents(spark, d), 7, repository.is_admin(p, 7)).select("id", "status")
 
 
+@query(f"with {DOCS} select id, status from docs")
+def rls_owner_admin(spark: SparkSession, d: str) -> DataFrame:
+    p = fixtures.profiles(spark, d)
+    return repository.visible(fixtures.documents(spark, d), 100, repository.is_admin(p, 100)).select("id", "status")
+
+
 @query(f"with {DOCS}, {RESULTS} select document_id, line_no, part from res where document_id in (select id from docs where owner_id = 7)")
 def rls_via_parent(spark: SparkSession, d: str) -> DataFrame:
     return repository.visible_via_parent(fixtures.ocr_results(spark, d), fixtures.documents(spark, d), 7, False).select("document_id", "line_no", "part")
