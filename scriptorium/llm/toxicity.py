@@ -19,9 +19,11 @@ long texts are scored whole; other columns are not looked at, whatever their nam
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,35 +92,98 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
     return out
 
 
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, code points) of the words of each length, in slices of bounded size."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(size[size > 0]).tolist():
+        same, most = np.flatnonzero(size == n), max(16, (1 << 21) // max(n * n, math.comb(n, ORDER)))
+        for at in range(0, len(same), most):
+            places = same[at : at + most]
+            points = "".join([words[k] for k in places.tolist()]).encode("utf-32-le", "surrogatepass")
+            yield places, np.frombuffer(points, np.uint32).reshape(-1, n)
+
+
 def _own(words: list[str]) -> np.ndarray:
     """Square roots of the kernel of each word with itself."""
     out = np.zeros(len(words))
-    for size in {len(w) for w in words}:
-        same = [k for k, w in enumerate(words) if len(w) == size]
-        for at in range(0, len(same), 64):
-            part = [words[k] for k in same[at : at + 64]]
-            out[same[at : at + 64]] = _self_kernel(part)
+    for places, codes in _by_length(words):
+        out[places] = _self_kernel(codes)
     return np.sqrt(np.maximum(out, 1e-12))
 
 
-def _self_kernel(words: list[str]) -> np.ndarray:
-    """Kernel of each word with itself, words of one length."""
-    a = _codes(words, len(words[0]) or 1)
-    match = ((a[:, :, None] == a[:, None, :]) & (a[:, :, None] != 0)) * DECAY**2
+def _self_kernel(a: np.ndarray) -> np.ndarray:
+    """Kernel of each word with itself, for the code points of words of one length."""
     n = a.shape[1]
+    match = ((a[:, :, None] == a[:, None, :]) & (a[:, :, None] != 0)) * DECAY**2
     gap = np.tril(DECAY ** np.maximum(np.arange(n)[:, None] - np.arange(n)[None, :] - 1, 0), -1)
     found = match
     for _ in range(ORDER - 1):
-        found = match * (gap @ found @ gap.T)
+        # All factors are symmetric, so two products of flat tables give gap @ found @ gap.T.
+        half = (found.reshape(-1, n) @ gap.T).reshape(-1, n, n).transpose(0, 2, 1)
+        found = match * (half.reshape(-1, n) @ gap.T).reshape(-1, n, n)
     return found.sum((1, 2))
 
 
+@lru_cache(maxsize=None)  # one entry for each length, at most UNIT + 1
+def _triples(n: int) -> tuple[np.ndarray, ...]:
+    """First and second places of all pairs in n places; pair, third place and weight of all triples."""
+    first, second = np.triu_indices(n, 1)
+    pair, third = np.nonzero(second[:, None] < np.arange(n)[None, :])
+    return first, second, pair, third, DECAY ** (third - first[pair] + 1.0)
+
+
+class Expansion:
+    """The sum of weighted kernels with the landmarks, as weights of subsequences.
+
+    The kernel is a sum over subsequences of three characters (ORDER), so a weighted sum of
+    kernels is linear in the subsequences of the other string: no landmark is visited again.
+    """
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray):
+        points = np.frombuffer("".join(landmarks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.alphabet = np.unique(points[points > 0])
+        self.letters = len(self.alphabet) + 1  # 0 stands for all other characters
+        keys, thirds, values = [], [], []
+        for places, codes in _by_length(landmarks):
+            a = self.numbers(codes)
+            first, second, pair, third, decay = _triples(a.shape[1])
+            known = (a[:, first][:, pair] > 0) & (a[:, second][:, pair] > 0) & (a[:, third] > 0)
+            keys.append((a[:, first] * self.letters + a[:, second])[:, pair][known])
+            thirds.append(a[:, third][known])
+            values.append((weights[places][:, None] * decay)[known])
+        keys, thirds, values = (np.concatenate(v) if v else np.zeros(0, int) for v in (keys, thirds, values))
+        pairs, pair = np.unique(keys, return_inverse=True)
+        self.pair = np.zeros(self.letters**2, np.int32)
+        self.pair[pairs] = np.arange(1, len(pairs) + 1)
+        self.value = np.bincount((pair + 1) * self.letters + thirds, values, (len(pairs) + 1) * self.letters)
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of code points in the alphabet of the landmarks."""
+        if not len(self.alphabet):
+            return np.zeros(codes.shape, np.int32)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at + 1, 0).astype(np.int32)
+
+    def normalised(self, words: list[str]) -> np.ndarray:
+        """The weighted sum of each word, divided by the word's own length in the kernel's space."""
+        out = np.zeros(len(words))
+        for places, codes in _by_length(words):
+            if codes.shape[1] < ORDER:
+                continue
+            a = self.numbers(codes)
+            first, second, pair, third, decay = _triples(a.shape[1])
+            row = self.pair[a[:, first] * self.letters + a[:, second]] * self.letters
+            total = self.value[row[:, pair] + a[:, third]] @ decay
+            out[places] = total / np.sqrt(np.maximum(_self_kernel(codes), 1e-12))
+        return out
+
+
 class Model:
     """Landmarks, the weights of their normalised kernels, and the logistic function of a text."""
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float):
-        self.landmarks, self.own = landmarks, _own(landmarks)
-        self.weights, self.bias = weights, bias
+        self.landmarks, self.weights, self.bias = landmarks, weights, bias
+        self.expansion = Expansion(landmarks, weights / _own(landmarks))
         self.final, self.known = np.zeros(4), {}
 
     def __getstate__(self):
@@ -131,9 +196,8 @@ class Model:
             cuts = range(0, max(1, len(u) - OVERLAP), UNIT - OVERLAP) if len(u) > UNIT else (0,)
             parts += [("" if c else START) + u[c : c + UNIT] for c in cuts]
             of += [k] * len(cuts)
-        k = kernel(parts, self.landmarks) / self.own / _own(parts)[:, None]
         out = np.full(len(units), -np.inf)
-        np.maximum.at(out, of, k @ self.weights + self.bias)
+        np.maximum.at(out, of, self.expansion.normalised(parts) + self.bias)
         return out
 
     def of(self, units: list[str]) -> np.ndarray:
@@ -254,7 +318,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     if not telling:  # no text has a word of ORDER characters
         telling = ["\x03" * ORDER]
     # Landmarks: the most telling words that are not too like those chosen before.
-    telling, common = [START + u for u in telling[: 12 * LANDMARKS]], [START + u for u in common]
+    telling, common = [START + u[:UNIT] for u in telling[: 12 * LANDMARKS]], [START + u[:UNIT] for u in common]
     own = _own(telling)
     alike = kernel(telling, telling) / own / own[:, None]
     chosen: list[int] = []

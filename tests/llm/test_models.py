@@ -168,6 +168,19 @@ def test_subsequence_kernel_equals_brute_force():
     assert np.allclose(toxicity._own(words) ** 2, [max(brute_kernel(w, w), 1e-12) for w in words], rtol=1e-4)
 
 
+def test_subsequence_weights_equal_the_sum_of_kernels():
+    landmarks, weights = ["\x02idiot", "banana", "ab", "añadir", "", "\x00a\x00b\x00c"], np.array([1.0, -2.0, 3.0, 0.5, 1.0, 1.0])
+    words = ["idiot", "\x02i-d-i-o-t", "bandana", "ana", "", "ab", "zzz", "ñañaña", "\x00a\x00b\x00c", "a" * 25]
+    got = toxicity.Expansion(landmarks, weights).normalised(words)
+    plain = [w.replace("\x00", "") for w in landmarks]
+    for word, value in zip(words, got, strict=True):
+        if "\x00" not in word:
+            want = sum(w * brute_kernel(word, v) for w, v in zip(weights[:5], plain[:5], strict=True))
+            assert np.isclose(value, want / np.sqrt(max(brute_kernel(word, word), 1e-12)))
+    assert np.isfinite(got).all()
+    assert (toxicity.Expansion([], np.zeros(0)).normalised(words) == 0).all()
+
+
 def test_toxicity_by_held_out_accuracy(spark, none):
     rng = random.Random(2)
     insults, rows, labels = ["scumbag", "nitwit", "dimwit"], [], []
