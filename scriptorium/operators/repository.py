@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -170,6 +170,23 @@ def class_progress(saved: DataFrame, pending: DataFrame, target: int = config.LA
     return out.withColumn("total", F.col("saved") + F.col("pending")).withColumn("met", F.col("total") >= target)
 
 
+def numbered(rows: DataFrame, key: str, ranges: int = 64) -> DataFrame:
+    """`rows` with idx, their place from 0 in the order of the number `key`, nulls first; equal keys in any order.
+
+    Quantiles of the key cut the rows into ranges, which are counted and numbered apart, so where
+    keys hardly repeat no
+    task holds more than a few times its share.
+    """
+    cuts = sorted(set(rows.approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
+    cell = sum((F.coalesce(F.col(key) >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    dealt = rows.withColumn("_cell", cell)
+    counts = dealt.groupBy("_cell").agg(F.count("*").alias("_n"))  # a row a range at most
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_cell").orderBy(key))
+    placed = dealt.withColumn("_own", own).join(F.broadcast(counts.select("_cell", before.alias("_before"))), "_cell")
+    return placed.withColumn("idx", F.col("_before") + F.col("_own") - 1).drop("_cell", "_own", "_before")
+
+
 def next_pending(items: DataFrame, after: int) -> DataFrame:
     """One row: the first unlabelled, undiscarded idx after `after`, around the end; null if there is none."""
     n = F.lit(items.count())

@@ -10,7 +10,7 @@ import os
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
@@ -846,9 +846,8 @@ def class_progress(spark: SparkSession, d: str) -> DataFrame:
 @query("""with n as (select count(*) n from embeddings), i as (select row_number() over (order by vec_id) - 1 idx, label, vec_id from embeddings)
 select min_by(idx, (idx - 7 - 1 + n) % n) next_idx from i, n where label = 3 and vec_id % 2 = 0""")
 def next_pending(spark: SparkSession, d: str) -> DataFrame:
-    e = fixtures.read(spark, d, "embeddings")
-    idx = (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long")
-    items = e.select(idx.alias("idx"), F.when(F.col("label") == 3, "").otherwise("x").alias("label"), (F.col("vec_id") % 2 != 0).alias("discarded"))
+    e = repository.numbered(fixtures.read(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    items = e.select("idx", F.when(F.col("label") == 3, "").otherwise("x").alias("label"), (F.col("vec_id") % 2 != 0).alias("discarded"))
     return repository.next_pending(items, 7)
 
 

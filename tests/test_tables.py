@@ -50,6 +50,14 @@ def test_buckets(spark):
     assert out == [("2024-01-05", 2, 50.0), ("2024-01-06", 0, 0.0), ("2024-01-07", 1, 0.0)]
 
 
+def test_rows_are_numbered_in_order(spark):
+    keys = [None, 5, -3, 5, 1 << 40, 0, None, *range(100, 400, 3)]
+    rows = spark.createDataFrame([(k, "x") for k in keys], "k long, other string").repartition(5)
+    got = {r.idx: r.k for r in repository.numbered(rows, "k", 7).collect()}
+    assert [got[k] for k in range(len(keys))] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert repository.numbered(rows.limit(0), "k").columns == ["k", "other", "idx"] and repository.numbered(rows.limit(0), "k").isEmpty()
+
+
 def test_progress_and_pending(spark):
     items = spark.createDataFrame([(0, "a", False), (1, "", True), (2, "", False), (3, "", False)], "idx long, label string, discarded boolean")
     assert [repository.next_pending(items, k).first().next_idx for k in (0, 2, 3)] == [2, 3, 2]
