@@ -174,8 +174,7 @@ def numbered(rows: DataFrame, key: str, ranges: int = 64) -> DataFrame:
     """`rows` with idx, their place from 0 in the order of the number `key`, nulls first; equal keys in any order.
 
     Quantiles of the key cut the rows into ranges, which are counted and numbered apart, so where
-    keys hardly repeat no
-    task holds more than a few times its share.
+    keys hardly repeat no task holds more than a few times its share.
     """
     cuts = sorted(set(rows.approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
     cell = sum((F.coalesce(F.col(key) >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
