@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
+from . import ann, filter_audit, langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
 from .common import read
 from .quality_rules import base_failed, quality_rules, statistics
 from .sharding import shard
@@ -73,6 +73,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = filter_audit.failures(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return filter_audit.audit(flagged).where("part is not null")
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics and the base rule of op4, which SQL can state."""
     rows = read(spark, sf_dir, "documents").select("doc_id", statistics(F.col("text")).alias("s"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_filter_audit": op12_filter_audit,
     "quality_statistics": quality_statistics,
 }
 
@@ -113,6 +119,20 @@ shared as (select a.doc_id x, b.doc_id y, a.n na, b.n nb, count(*) o from grams
 edges as (select x, y from shared where 100 * o >= 75 * (na + nb - o)),
 nodes as (select doc_id id from documents), {_REACH}
 select doc_id, len(g) n_shingles, component_id from sets join component on id = doc_id""",
+    "op12_filter_audit": f"""with w as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, {_WORDS.format("coalesce(text, '')")} ws from documents),
+lab as (select doc_id, max(quality = 1) good, max(toxic = 1) toxic from labels group by doc_id),
+f as (select part, len(ws) < 200 a, 100 * len(list_distinct(ws)) < 50 * len(ws) b, 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) c, regexp_matches(t, '[#$%&*|]') d,
+  coalesce(doc_id > min(doc_id) over (partition by t), false) e, coalesce(good, false) good, coalesce(toxic, false) toxic from w left join lab using (doc_id)),
+cell as (select part, [a, b, c, d, e] fails, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from f group by all),
+letters as (select * from (values (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')) t(k, l)),
+orders as (select o.l || p.l || q.l || r.l || s.l filter_order, [o.k, p.k, q.k, r.k, s.k] ks from letters o, letters p, letters q, letters r, letters s
+  where len(list_distinct([o.k, p.k, q.k, r.k, s.k])) = 5),
+step as (select filter_order, cast(i as int) step, ks[i] own, ks[1:i - 1] earlier, list_filter([1, 2, 3, 4, 5], lambda k: k <> ks[i]) others from orders, range(1, 6) t(i)),
+run as (select part, filter_order, step, own, fails[own] own_fails, len(list_filter(earlier, lambda k: fails[k])) > 0 gone, len(list_filter(others, lambda k: fails[k])) > 0 other_fails, n, good, toxic from cell, step),
+out as (select part, filter_order, step, own, cast(coalesce(sum(n) filter (not gone and not own_fails), 0) as bigint) kept, cast(coalesce(sum(n) filter (not gone and own_fails), 0) as bigint) removed,
+  cast(coalesce(sum(n) filter (gone and own_fails), 0) as bigint) redundant, cast(coalesce(sum(n) filter (own_fails and not other_fails), 0) as bigint) unique_fails,
+  cast(coalesce(sum(good) filter (not gone and own_fails), 0) as bigint) good_lost, cast(coalesce(sum(toxic) filter (not gone and own_fails), 0) as bigint) toxic_lost from run group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) shapley from out""",
     "quality_statistics": f"""with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} ws from documents),
 windows as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') g from (select doc_id, ws, unnest(generate_series(1, len(ws) - 4)) i from w)),
 twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) c from windows) where c > 1),
