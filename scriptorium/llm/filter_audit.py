@@ -14,7 +14,7 @@ runs over counts by (part, flags), at most 32 a part.
 
 Edge cases: a null text is empty; a null source is the part "", together with an empty one; a
 document without a label is neither good nor toxic, one with several is what any of them says; a
-null id is no smaller id, and no copy; rows that repeat an id are no copies of one another; other
+null id is no smaller id, no copy, and has no label; rows that repeat an id are no copies of one another; other
 columns are not looked at, whatever their names; an empty table gives an empty result.
 """
 

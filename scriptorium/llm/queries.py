@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, filter_audit, langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
+from . import ann, decontamination, filter_audit, langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
 from .common import read
 from .quality_rules import base_failed, quality_rules, statistics
 from .sharding import shard
@@ -78,6 +78,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(flagged).where("part is not null")
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics and the base rule of op4, which SQL can state."""
     rows = read(spark, sf_dir, "documents").select("doc_id", statistics(F.col("text")).alias("s"))
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
     "op12_filter_audit": op12_filter_audit,
+    "op13_decontamination": op13_decontamination,
     "quality_statistics": quality_statistics,
 }
 
@@ -133,6 +139,15 @@ out as (select part, filter_order, step, own, cast(coalesce(sum(n) filter (not g
   cast(coalesce(sum(n) filter (gone and own_fails), 0) as bigint) redundant, cast(coalesce(sum(n) filter (own_fails and not other_fails), 0) as bigint) unique_fails,
   cast(coalesce(sum(good) filter (not gone and own_fails), 0) as bigint) good_lost, cast(coalesce(sum(toxic) filter (not gone and own_fails), 0) as bigint) toxic_lost from run group by all)
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) shapley from out""",
+    "op13_decontamination": r"""with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+i as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+win as (select distinct item, m, array_to_string(ws[k:k + m - 1], ' ') g from (select item, ws, least(len(ws), 10) m, unnest(generate_series(1, greatest(len(ws) - 9, 1))) k from i where len(ws) > 0)),
+place as (select r, m, k, array_to_string(ws[k:k + m - 1], ' ') g from (select r, ws, m, unnest(generate_series(1, len(ws) - m + 1)) k from d, (select distinct m from win))),
+hits as (select r, place.m, k, item from place join win using (m, g)),
+word as (select r, count(distinct k + o) n_hit from hits, range(10) t(o) where o < m group by r),
+ids as (select r, count(*) n_items, string_agg(item, ',' order by item) s from (select distinct r, item from hits where item is not null) group by r)
+select doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join word using (r) left join ids using (r)""",
     "quality_statistics": f"""with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} ws from documents),
 windows as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') g from (select doc_id, ws, unnest(generate_series(1, len(ws) - 4)) i from w)),
 twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) c from windows) where c > 1),

@@ -16,8 +16,8 @@ def brute(rows, labels):
         if r.doc_id is not None:
             t = r.text or ""
             texts[t] = min(texts.get(t, r.doc_id), r.doc_id)
-    good = {r[0] for r in labels if r[1] == 1}
-    toxic = {r[0] for r in labels if r[2] == 1}
+    good = {r[0] for r in labels if r[1] == 1} - {None}
+    toxic = {r[0] for r in labels if r[2] == 1} - {None}
     parts = {}
     for r in rows:
         t = r.text or ""
