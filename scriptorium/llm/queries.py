@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, filter_audit, langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
+from . import ann, conversation_repair, decontamination, filter_audit, langid, ngram_join, packing, pii, quality_classifier, sentencepiece_codec, toxicity
 from .common import read
 from .quality_rules import base_failed, quality_rules, statistics
 from .sharding import shard
@@ -73,6 +73,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    found = conversation_repair.repair_report(conversation_repair.damage(rows), rows.select(F.col("conv_id").alias("conv")))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = filter_audit.failures(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return filter_audit.audit(flagged).where("part is not null")
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
     "op13_decontamination": op13_decontamination,
     "quality_statistics": quality_statistics,
@@ -125,6 +132,30 @@ shared as (select a.doc_id x, b.doc_id y, a.n na, b.n nb, count(*) o from grams
 edges as (select x, y from shared where 100 * o >= 75 * (na + nb - o)),
 nodes as (select doc_id id from documents), {_REACH}
 select doc_id, len(g) n_shingles, component_id from sets join component on id = doc_id""",
+    "op11_conversation_repair": r"""with recursive k as (select row_number() over () rid, conv_id, turn, coalesce(role, ' ') ro, coalesce(text, ' ') tx, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') s from conversations),
+crc as (select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(s, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: case when b >= 0 then xor(c, b) when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) % 20 h from k),
+hurt as (select conv_id, turn, case when h = 4 then 'user' else ro end ro, case when h = 1 then '' when h = 2 then regexp_replace(tx, '[.!?]', '', 'g') else tx end tx, unnest(range(case when h = 3 then 2 else 1 end)) c from crc where h <> 0),
+ranked as (select conv_id, turn, ro, tx, row_number() over (partition by conv_id order by turn nulls first, ro, md5(tx)) n, regexp_extract(tx, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) z from hurt),
+coded as (select *, coalesce(nullif(regexp_extract(ro, '^[sua]'), ''), 'x') i, case when z = '' then 'b' when row_number() over (partition by conv_id, ro, tx order by n) > 1 then 'd' when z not in ('.', '!', '?') then 't' else 'o' end f from ranked),
+sig as (select conv_id, string_agg(i || f, '' order by n) g, max(turn) - min(turn) + 1 - count(distinct turn) gaps from coded group by conv_id),
+ins as (select * from (values (0, '', 0), (0, 'I', 2), (0, 'II', 3), (0, 'III', 2), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (1, 'III', 2), (2, '', 2), (2, 'I', 3), (2, 'II', 2), (2, 'III', 3), (3, '', 3), (3, 'I', 2), (3, 'II', 3), (3, 'III', 2)) t(q, e, q1)),
+ed as (select i, f, q1, q2, e, c + case when f = 't' and e <> 'D' then 5 else 0 end c from
+  (select i, f, q1, q1 q2, 'D' e, 2 c from (values ('s'), ('u'), ('a'), ('x')) a(i), (values ('b'), ('d'), ('t'), ('o')) b(f), range(4) r(q1)
+   union all select i, f, q1, case q1 when 2 then 3 else 2 end, 'R', 1 from (values ('s'), ('u'), ('a'), ('x')) a(i), (values ('t'), ('o')) b(f), range(4) r(q1)
+   union all select i, f, q1, q2, 'K', 0 from (values ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) a(i, q1, q2), (values ('t'), ('o')) b(f))),
+walk as (select distinct g, 0 p, 0::bigint q, {'c': 0::bigint, 'e': ''} b from sig
+  union all
+  select g, p + 1, q2::bigint, min({'c': b.c + 5 * length(ins.e) + ed.c, 'e': b.e || ins.e || ed.e}) from walk join ins on ins.q = walk.q join ed on ed.q1 = ins.q1 and ed.i || ed.f = substr(g, 2 * p + 1, 2) where 2 * p < length(g) group by all),
+best as (select g, min({'c': b.c + 5 * length(ins.e), 'e': b.e || ins.e}) b from walk join ins on ins.q = walk.q where 2 * p = length(g) and ins.q1 in (0, 3) group by g),
+plan as (select conv_id, unnest(range(1, length(b.e) + 1)) p, b.e e from sig join best using (g)),
+put as (select conv_id, p, substr(e, p, 1) x, length(replace(substr(e, 1, p), 'I', '')) n, length(replace(substr(e, 1, p - 1), 'D', '')) o from plan),
+made as (select put.*, ro, tx, max(case when x = 'K' and i = 's' then 1 else 0 end) over (partition by put.conv_id) sys from put left join coded on coded.conv_id is not distinct from put.conv_id and coded.n = put.n and x <> 'I'),
+sha as (select conv_id, sha256(string_agg(case when x = 'K' then ro when (o - sys) % 2 = 0 then 'user' else 'assistant' end || ':' || coalesce(tx, ''), chr(10) order by p)) h from made where x <> 'D' group by conv_id),
+ids as (select distinct conv_id from conversations)
+select ids.conv_id, coalesce(gaps, 0) gaps, length(g) - length(replace(g, 'b', '')) blank, length(g) - length(replace(g, 'd', '')) duplicate, length(g) - length(replace(g, 't', '')) truncated,
+  len(list_filter(range(1, length(g) // 2), lambda k: substr(g, 2 * k - 1, 1) || substr(g, 2 * k + 1, 1) not in ('su', 'ua', 'au'))) illegal, b.c as cost, b.e as audit, coalesce(h, sha256('')) repaired_sha256
+from ids left join sig s on s.conv_id is not distinct from ids.conv_id left join best using (g) left join sha on sha.conv_id is not distinct from ids.conv_id""",
     "op12_filter_audit": f"""with w as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, {_WORDS.format("coalesce(text, '')")} ws from documents),
 lab as (select doc_id, max(quality = 1) good, max(toxic = 1) toxic from labels group by doc_id),
 f as (select part, len(ws) < 200 a, 100 * len(list_distinct(ws)) < 50 * len(ws) b, 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) c, regexp_matches(t, '[#$%&*|]') d,
