@@ -40,36 +40,62 @@ def keyword_pattern(keywords: tuple[str, ...]) -> str:
     return r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(map(either, keywords)) + r")(?![A-Za-z0-9_])"
 
 
+def running_sums(numbers: Column) -> Column:
+    """Sums of all numbers up to each one, by doubling: step k adds what lies 2^k places before, so
+    n numbers take log2(n) passes over the array."""
+    powers = F.array(*[F.lit(1 << k) for k in range(31)])
+    places = F.slice(powers, F.lit(1), F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int"))
+    add = lambda acc, d: F.transform(acc, lambda v, i: v + F.when(i >= d, F.get(acc, i - d)).otherwise(0))
+    return F.aggregate(places, numbers, add)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<value, start>> of all matches, left to right; start counts from 0."""
 
-    def starts(gaps: Column, found: Column) -> Column:
-        """Start of each match: one running sum over the lengths of gaps and matches."""
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, p: F.struct((acc["at"] + p["g"] + p["m"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + p["g"])).alias("out"))
-        return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def placed(gaps: Column, found: Column) -> Column:
+        """A match ends where the lengths of the gaps and matches so far end."""
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.char_length(g) + F.char_length(m))
+        return F.zip_with(found, running_sums(lengths), lambda m, end: F.struct(m.alias("value"), (end - F.char_length(m)).alias("start")))
 
-    joined = lambda g, m: F.zip_with(m, starts(g, m), lambda v, at: F.struct(v.alias("value"), at.alias("start")))
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _let(F.split(text, pattern, -1), lambda g: joined(g, m)))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _let(F.split(text, pattern, -1), lambda g: placed(g, m)))
 
 
 def keyword_ends(text: Column, keywords: tuple[str, ...]) -> Column:
     return F.transform(matches(text, keyword_pattern(keywords)), lambda k: k["start"] + F.char_length(k["value"]))
 
 
+#: Farther than any distance within a text.
+_FAR = 1 << 40
+
+
 def best_match(text: Column, pattern: str, keywords: tuple[str, ...]) -> Column:
     """struct<value, confidence, start>, null without a match: right after a keyword 0.95, nearest
-    to one 0.7, the first without any keyword 0.5."""
-
-    def graded(match: Column, confidence: float) -> Column:
-        whole = lambda m: F.when(m.isNotNull(), F.struct(m["value"].alias("value"), F.lit(confidence).alias("confidence"), m["start"].alias("start")))
-        return _let(match, whole)
+    to one 0.7, the first without any keyword 0.5.
+
+    One sweep over the ends of keywords and the starts of matches, in order of place: the only
+    keywords that count for a match are the last end before it and the first end after it.
+    """
+    whole = lambda m, confidence: F.struct(m["value"].alias("value"), confidence.alias("confidence"), m["start"].alias("start"))
+    event = lambda at, kind, i: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"), i.alias("i"))  # noqa: E731  an end comes before a match at its place
+    start = F.struct(*[F.lit(v).cast(kind).alias(n) for n, kind, v in (("end", "long", -_FAR), ("match", "long", -_FAR), ("last", "int", -1), ("after", "int", -1), ("d", "long", _FAR), ("near", "int", -1))])
+
+    def step(s: Column, e: Column) -> Column:
+        found = e["kind"] == 1
+        d, i = F.when(found, e["at"] - s["end"]).otherwise(e["at"] - s["match"]), F.when(found, e["i"]).otherwise(s["last"])
+        closer = (d < s["d"]) | ((d == s["d"]) & (i < s["near"]))
+        return F.struct(
+            F.when(found, s["end"]).otherwise(e["at"]).alias("end"),
+            F.when(found, e["at"]).otherwise(s["match"]).alias("match"),
+            F.when(found, e["i"]).otherwise(s["last"]).alias("last"),
+            F.when(found & (s["after"] < 0) & (d <= config.ADJACENT_WINDOW), e["i"]).otherwise(s["after"]).alias("after"),
+            F.when(closer, d).otherwise(s["d"]).alias("d"),
+            F.when(closer, i).otherwise(s["near"]).alias("near"),
+        )
 
     def choose(found: Column, ends: Column) -> Column:
-        after = lambda m: F.exists(ends, lambda e: (m["start"] >= e) & (m["start"] - e <= config.ADJACENT_WINDOW))
-        near = F.array_min(F.flatten(F.transform(found, lambda m, i: F.transform(ends, lambda e: F.struct(F.abs(m["start"] - e).alias("d"), i.alias("i"))))))
-        return F.coalesce(graded(F.get(F.filter(found, after), 0), 0.95), graded(F.get(found, near["i"]), 0.7), graded(F.get(found, 0), 0.5))
+        events = F.array_sort(F.concat(F.transform(found, lambda m, i: event(m["start"], 1, i)), F.transform(ends, lambda e: event(e, 0, F.lit(-1)))))
+        pick = lambda s: F.when(s["after"] >= 0, whole(F.get(found, s["after"]), F.lit(0.95))).otherwise(F.when(s["near"] >= 0, whole(F.get(found, s["near"]), F.lit(0.7))).otherwise(whole(F.get(found, 0), F.lit(0.5))))
+        return F.when(F.size(found) > 0, F.aggregate(events, start, step, pick))
 
     return _let(matches(text, pattern), lambda found: _let(keyword_ends(text, keywords), lambda ends: choose(found, ends)))
 

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +49,50 @@ def test_offsets(spark):
     assert [(m.value, m.start) for m in row.m] == [("1", 1), ("22", 3), ("333", 6)]
 
 
+def plain_best(found, ends):
+    """Index and confidence by comparing every match with every keyword end."""
+    if not found:
+        return None
+    after = [i for i, s in enumerate(found) if any(0 <= s - e <= 15 for e in ends)]
+    if after:
+        return after[0], 0.95
+    near = min(((abs(s - e), i) for i, s in enumerate(found) for e in ends), default=None)
+    return (near[1], 0.7) if near else (0, 0.5)
+
+
+def test_best_match_equals_all_pairs(spark):
+    rng = random.Random(1)
+    texts = ["", "1.00", "Total"] + ["".join(rng.choice(["Total", "1.23", "77,10 ", " ", "x" * 9, " y " * 6, "\n", "ñ🙂 "]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fields.best_match(F.col("t"), fields.MONEY_PATTERN, ("Total",)).alias("b")).collect()
+    kinds = set()
+    for r in rows:
+        t = texts[r.i]
+        found = [(m.group(), m.start()) for m in re.finditer(r"[0-9]+[.,][0-9]{2}", t)]
+        want = plain_best([s for _, s in found], [m.end() for m in re.finditer(r"(?<![A-Za-z0-9_])Total(?![A-Za-z0-9_])", t)])
+        kinds.add(want and want[1])
+        assert (r.b and tuple(r.b)) == (want and (found[want[0]][0], want[1], found[want[0]][1])), t
+    assert kinds == {None, 0.95, 0.7, 0.5}
+
+
+def test_best_match_is_linear_in_the_text(spark):
+    """Eight times as many matches and keywords take far less than 64 times as long."""
+
+    def seconds(n):
+        text = "y Total " + "z" * 30 + " 12.34 " + "w" * 40
+        rows = spark.createDataFrame([(text * n,)], "t string").cache()
+        query = rows.select(fields.best_match(F.col("t"), fields.MONEY_PATTERN, ("Total",)).alias("b"))
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert query.first().b.confidence == 0.7
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    seconds(100)
+    small, large = seconds(2_000), seconds(16_000)
+    assert large < 24 * small
+
+
 def test_metrics_of_fields(spark):
     found = [(1, "nit", "9", None, 0.9), (2, "nit", "8", None, 0.8), (3, "nit", None, None, 0.0), (1, "iva", None, 1.0049, 0.5), (2, "iva", None, 1.006, 0.5), (3, "iva", None, None, 0.0)]
     truth = [(d, f, "9" if f == "nit" else None, None if f == "nit" else 1.0) for d in (1, 2, 3) for f in ("nit", "iva")]
