@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.kernels import Neighbours
+from ..sources import scratch
 
-#: Descriptor values of a model that is sent to all executors at most (8 bytes each).
-BROADCAST_VALUES = 64 << 20
+#: Descriptor values of a model that is sent to all executors at most; 8 bytes each, there and on the driver.
+BROADCAST_VALUES = 8 << 20
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -23,22 +25,117 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("descriptors differ in length"))).otherwise(F.sqrt(total))
 
 
-#: Queries and model samples that one task compares.
-QUERY_ROWS, MODEL_ROWS = 4_096, 16_384
+#: Queries and model samples that one task compares; vectors that stand for the regions of a model,
+#: and blocks of a model, at most.
+QUERY_ROWS, MODEL_ROWS, PIVOTS, MAX_BLOCKS = 4_096, 16_384, 1_024, 65_536
+#: Share by which bounds are widened against rounding.
+SLACK = 1e-6
 
 
-def topk(queries: DataFrame, model: DataFrame, k: int = config.KNN_K) -> DataFrame:
-    """(q, rank, sample_idx, label, distance), for models of any size.
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of an Arrow list array as doubles of single-precision values."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32).astype(np.float64)
+    if len(values) % max(1, len(vectors)):
+        raise ValueError("descriptors differ in length")
+    return values.reshape(len(vectors), -1)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+
 
-    `queries` has (q, descriptor), `model` has (sample_idx, label, descriptor).  Both are dealt out
-    to blocks, whose numbers follow their rows; each pair of blocks is searched in a task of its
-    own, and the best of each are merged.
+class Blocks:
+    """A model cut into blocks that the triangle inequality can rule out.
+
+    A sample belongs to the region of its nearest pivot; regions are cut into rings by the distance
+    from the pivot, and rings of too many samples (copies) by a hash.  All samples of a block lie
+    between `low` and `high` from its pivot, so a query at distance d from the pivot is at least
+    max(d - high, low - d) and at most d + high from each of them.  On the driver are the pivots, a
+    bounded sample of the model, and a row a block, at most about MAX_BLOCKS.
     """
-    qs, ms = (max(1, -(-df.count() // rows)) for df, rows in ((queries, QUERY_ROWS), (model, MODEL_ROWS)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = queries.select(F.col("q").cast("long").alias("q"), "descriptor", block("q", qs).alias("qb"), every(ms).alias("mb"))
-    right = model.select("sample_idx", "label", "descriptor", block("sample_idx", ms).alias("mb"), every(qs).alias("qb"))
+
+    def __init__(self, model: DataFrame, block_rows: int | None = None):
+        spark, n = model.sparkSession, model.count()
+        rows = max(block_rows or MODEL_ROWS, -(-n // MAX_BLOCKS))
+        drawn = model.select("descriptor", F.xxhash64("sample_idx").alias("h"), "sample_idx").orderBy("h", "sample_idx").limit(min(PIVOTS, max(1, -(-n // rows))))
+        self.pivots = _matrix(drawn.select("descriptor").toArrow()["descriptor"].combine_chunks())
+        pivots = spark.sparkContext.broadcast(self.pivots)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    d = _distances(_matrix(b["descriptor"]), pivots.value)
+                    near = d.argmin(1)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(b)), near])], [*b.schema.names, "pivot", "away"])
+
+        own = model.select("sample_idx", "label", "descriptor")
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+        placed = scratch.written(own.mapInArrow(place, f"{kinds}, pivot int, away double"), "knn-placed")
+        cuts = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("away", [k / 64 for k in range(1, 64)], 1_000).alias("q"))
+        rings = F.least(F.lit(64), F.ceil(F.col("n") / rows)).cast("int")
+        edges = F.transform(F.sequence(F.lit(1), rings - 1), lambda k: F.get("q", F.floor(k * 64 / rings).cast("int") - 1))
+        cuts = F.broadcast(cuts.select("pivot", F.when(rings > 1, edges).otherwise(F.array().cast("array<double>")).alias("edges")))  # at most PIVOTS rows
+        ringed = placed.join(cuts, "pivot").withColumn("ring", F.size(F.filter("edges", lambda e: e <= F.col("away")))).drop("edges")
+        many = F.broadcast(ringed.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / (2 * rows)).cast("int").alias("parts")))  # at most 64 a pivot
+        self.samples = scratch.written(ringed.join(many, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("sample_idx"), F.col("parts"))).drop("parts"), "knn-blocks")
+        key = ["pivot", "ring", "part"]
+        stats = self.samples.groupBy(*key).agg(F.count("*").alias("rows"), F.min("away").alias("low"), F.max("away").alias("high")).orderBy(*key).toArrow()
+        self.pivot, self.rows, self.low, self.high = (stats[c].to_numpy() for c in ("pivot", "rows", "low", "high"))
+        named = spark.createDataFrame(stats.select(key).append_column("block", pa.array(np.arange(len(stats), dtype=np.int32))))
+        self.samples = self.samples.join(F.broadcast(named), key).select("block", "sample_idx", "label", "descriptor")
+
+    def _routed(self, queries: DataFrame, k: int, limits: bool) -> DataFrame:
+        """(q, descriptor, block): the blocks that must hold k of the nearest upper bounds; with `limits`
+        (column `limit`: distance of the k-th neighbour found there) the other blocks that may be nearer."""
+        sent = queries.sparkSession.sparkContext.broadcast((self.pivots, self.pivot, self.rows, self.low, self.high))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivots, pivot, rows, low, high = sent.value
+            for whole in batches:
+                for at in range(0, len(whole), 256):
+                    b = whole.slice(at, 256)
+                    d = _distances(_matrix(b["descriptor"]), pivots)[:, pivot]
+                    order = np.argsort(d + high, axis=1, kind="stable")
+                    held = np.cumsum(rows[order], axis=1)
+                    first = np.zeros(d.shape, bool)
+                    np.put_along_axis(first, order, held - rows[order] < k, axis=1)
+                    if limits:
+                        least, limit = np.maximum(np.maximum(d - high, low - d), 0), b["limit"].to_numpy(zero_copy_only=False)
+                        first = ~first & (least <= (limit + SLACK * (1 + limit))[:, None])
+                    q, block = np.nonzero(first)
+                    q = pa.array(q)
+                    yield pa.RecordBatch.from_arrays([b["q"].take(q), b["descriptor"].take(q), pa.array(block.astype(np.int32))], ["q", "descriptor", "block"])
+
+        kind = queries.schema["descriptor"].dataType.simpleString()
+        return queries.mapInArrow(run, f"q long, descriptor {kind}, block int")
+
+    def _searched(self, pairs: DataFrame, k: int) -> DataFrame:
+        """(q, sample_idx, label, distance): the k best of each query in each of its blocks.  The queries of
+        a block are dealt out to as many tasks as they need."""
+        parts = F.broadcast(pairs.groupBy("block").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts")))  # a row a block
+        left = pairs.join(parts, "block").select("q", "descriptor", "block", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("p"))
+        parts = parts.select(F.col("block").alias("_block"), F.col("parts").alias("_parts"))
+        right = self.samples.join(parts, self.samples["block"] == parts["_block"]).drop("_block").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        return left.groupBy("block", "p").cogroup(right.groupBy("block", "p")).applyInPandas(_nearest(k), FOUND)
+
+    def search(self, queries: DataFrame, k: int = config.KNN_K) -> DataFrame:
+        """(q, sample_idx, label, distance): at least the k nearest of each query, exactly.  A first round
+        bounds the distance of the k-th, a second one searches the blocks that may hold nearer ones."""
+        queries = queries.select(F.col("q").cast("long").alias("q"), "descriptor")
+        first = scratch.written(self._searched(self._routed(queries, k, False), k), "knn-first")
+        return first.unionByName(self._searched(self.second_round(queries, first, k), k))
+
+    def second_round(self, queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
+        """(q, descriptor, block) that the first round's neighbours do not rule out."""
+        limits = _best(first, k).groupBy("q").agg(F.max("distance").alias("limit"))
+        return self._routed(queries.join(limits, "q"), k, True)
+
+
+FOUND = "q long, sample_idx long, label string, distance double"
+
+
+def _nearest(k: int):
+    """Search of the queries of a group in the samples of the same group."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["q", "sample_idx", "label", "distance"]
@@ -50,11 +147,30 @@ def topk(queries: DataFrame, model: DataFrame, k: int = config.KNN_K) -> DataFra
         rows = [(q, index[i], labels[i], d) for q, (ids, ds) in zip(left.q, near, strict=True) for i, d in zip(ids, ds, strict=True)]
         return pd.DataFrame(rows, columns=columns)
 
-    found = left.groupBy("qb", "mb").cogroup(right.groupBy("qb", "mb")).applyInPandas(run, "q long, sample_idx long, label string, distance double")
+    return run
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("q").orderBy("distance", "sample_idx")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def topk(queries: DataFrame, model: DataFrame, k: int = config.KNN_K, block_rows: int | None = None) -> DataFrame:
+    """(q, rank, sample_idx, label, distance), for models of any size.
+
+    `queries` has (q, descriptor), `model` has (sample_idx, label, descriptor).  A model of more than
+    one block is searched by blocks (`Blocks`), of which the triangle inequality rules out most where
+    vectors lie in clusters; the best of each are merged.
+    """
+    block_rows = block_rows or MODEL_ROWS
+    if model.count() > block_rows:
+        return _best(Blocks(model, block_rows).search(queries, k), k)
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
+    left = queries.select(F.col("q").cast("long").alias("q"), "descriptor", F.pmod(F.xxhash64("q"), F.lit(parts)).alias("p"))
+    right = model.select("sample_idx", "label", "descriptor", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"))
+    return _best(left.groupBy("p").cogroup(right.groupBy("p")).applyInPandas(_nearest(k), FOUND), k)
+
+
 def vote(nearest: DataFrame, eps: float = config.KNN_EPSILON) -> DataFrame:
     """(q, place, label, share) of all labels among the neighbours; place 1 is the prediction."""
     w = 1 / (F.col("distance") + eps)
@@ -70,8 +186,8 @@ def collect_model(model: DataFrame, k: int = config.KNN_K, eps: float = config.K
     values = model.agg(F.sum(F.size("descriptor"))).first()[0] or 0
     if values > BROADCAST_VALUES:
         return None
-    rows = model.select("sample_idx", "label", "descriptor").orderBy("sample_idx").collect()
-    return Neighbours(np.array([r.descriptor for r in rows], np.float32), [r.label for r in rows], k, eps)
+    rows = model.select("sample_idx", "label", "descriptor").toArrow().sort_by("sample_idx")
+    return Neighbours(_matrix(rows["descriptor"].combine_chunks()).astype(np.float32), rows["label"].to_pylist(), k, eps)
 
 
 PREDICTION = "q long, label string, confidence double, distances array<double>, top array<struct<label:string,share:double>>"

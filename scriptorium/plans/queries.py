@@ -286,6 +286,13 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return knn.topk(_queries(test), train).select("q", "rank", "sample_idx", "label", r("distance").alias("distance"))
 
 
+@query(ORACLE_SQL["knn_topk"])
+def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same neighbours by blocks of few samples, which the triangle inequality rules out."""
+    test, train = _split(spark, d)
+    return knn.topk(_queries(test), train, block_rows=64).select("q", "rank", "sample_idx", "label", r("distance").alias("distance"))
+
+
 @query(f"with {VOTES} select q, predicted label, round(share, 6) confidence from pairs")
 def knn_vote(spark: SparkSession, d: str) -> DataFrame:
     test, train = _split(spark, d)

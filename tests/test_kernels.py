@@ -190,3 +190,23 @@ def test_large_models_are_searched_by_blocks(spark, monkeypatch):
     for name, value in (("BROADCAST_VALUES", 1), ("QUERY_ROWS", 16), ("MODEL_ROWS", 50)):
         monkeypatch.setattr(knn, name, value)
     assert knn.collect_model(model) is None and rows() == sent
+
+
+def test_blocks_that_cannot_hold_a_neighbour_are_not_searched(spark):
+    from scriptorium.operators import knn
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 8)) * 50
+    vectors = np.concatenate([centres[k % 40] + rng.normal(size=8) * 0.5 for k in range(2000)]).reshape(-1, 8)
+    vectors[:300] = vectors[0]  # copies, which no ring parts
+    model = spark.createDataFrame([(i, f"l{i % 5}", v.tolist()) for i, v in enumerate(vectors)], "sample_idx long, label string, descriptor array<float>")
+    asked = spark.createDataFrame([(i, (centres[i % 40] + rng.normal(size=8) * 0.5).tolist()) for i in range(80)], "q long, descriptor array<float>")
+    plain = lambda df: sorted((r.q, r.rank, r.sample_idx, round(r.distance, 9)) for r in df.collect())
+    assert plain(knn.topk(asked, model, 3, block_rows=50)) == plain(knn.topk(asked, model, 3))
+    blocks = knn.Blocks(model, 50)
+    routed = blocks._routed(asked, 3, False)
+    second = blocks.second_round(asked, blocks._searched(routed, 3), 3)
+    searched = routed.select("q", "block").union(second.select("q", "block")).collect()
+    assert len(searched) == len(set(searched))
+    assert len(blocks.rows) >= 40 and blocks.rows.max() <= 400 and blocks.rows.sum() == 2000
+    assert len(searched) < 0.35 * 80 * len(blocks.rows)
