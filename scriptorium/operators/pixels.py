@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import kernels
+from ..sources import scratch
 
 
 def per_image():
@@ -42,6 +43,38 @@ def by_image(px: DataFrame, kernel, columns: str) -> DataFrame:
     return px.select("img", "x", "y", "v").groupBy("img").applyInArrow(run, schema)
 
 
+#: Side of the tiles that large images are cut into.
+TILE = 512
+
+
+def by_tile(px: DataFrame, kernel, columns: str, halo: int, tile: int = TILE) -> DataFrame:
+    """As `by_image` without a mask, for images of any size: a task holds a tile and the `halo` pixels
+    around it, which are all that the kernel may look at.  At the border of the image there are none,
+    so a kernel that repeats edges repeats those of the image.
+    """
+    kinds = dict(px.dtypes)
+    size = px.groupBy("img").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    near = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int"))
+    dealt = px.select("img", "x", "y", "v", near("x").alias("_xs"), near("y").alias("_ys"))
+    dealt = dealt.withColumn("_tx", F.explode("_xs")).withColumn("_ty", F.explode("_ys")).drop("_xs", "_ys").join(size, "img")
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, v = (table[c].to_numpy() for c in ("x", "y", "v"))
+        tx, ty, w, h = (table[c][0].as_py() for c in ("_tx", "_ty", "_w", "_h"))
+        left, top = max(tx * tile - halo, 0), max(ty * tile - halo, 0)
+        image = np.zeros((min((ty + 1) * tile + halo, h) - top, min((tx + 1) * tile + halo, w) - left), np.uint8)
+        image[y - top, x - left] = v
+        at = np.flatnonzero((x // tile == tx) & (y // tile == ty))
+        out = table.select(["img", "x", "y"]).take(pa.array(at))
+        for name, values in kernel(image)[0].items():
+            out = out.append_column(name, pa.array(values[y[at] - top, x[at] - left]))
+        return out
+
+    inside = (F.col("_tx") >= 0) & (F.col("_ty") >= 0) & (F.col("_tx") * tile < F.col("_w")) & (F.col("_ty") * tile < F.col("_h"))
+    schema = f"img {kinds['img']}, x {kinds['x']}, y {kinds['y']}, {columns}"
+    return dealt.where(inside).groupBy("img", "_tx", "_ty").applyInArrow(run, schema)
+
+
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
@@ -103,13 +136,15 @@ def text_as_foreground(px: DataFrame) -> DataFrame:
     return px.withColumn("v", F.when(white * 2 > F.count("*").over(per_image()), 255 - F.col("v")).otherwise(F.col("v")))
 
 
-def blur(px: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """3 x 3 Gaussian; edges are repeated."""
-    return by_image(px, lambda img: ({"v": kernels.blur(img, sigma).astype(np.int32)}, None), "v int")
+def blur(px: DataFrame, sigma: float = 1.0, tile: int | None = None) -> DataFrame:
+    """3 x 3 Gaussian; edges are repeated.  Images larger than a task are cut into tiles of side `tile`."""
+    kernel = lambda img: ({"v": kernels.blur(img, sigma).astype(np.int32)}, None)
+    return by_tile(px, kernel, "v int", 1, tile) if tile else by_image(px, kernel, "v int")
 
 
-def median(px: DataFrame, size: int = 3) -> DataFrame:
-    return by_image(px, lambda img: ({"v": kernels.median(img, size).astype(np.int32)}, None), "v int")
+def median(px: DataFrame, size: int = 3, tile: int | None = None) -> DataFrame:
+    kernel = lambda img: ({"v": kernels.median(img, size).astype(np.int32)}, None)
+    return by_tile(px, kernel, "v int", size // 2, tile) if tile else by_image(px, kernel, "v int")
 
 
 def _resample(px: DataFrame, to_source, background: int) -> DataFrame:
@@ -213,6 +248,72 @@ def components(px: DataFrame) -> DataFrame:
     return by_image(px, label, "component int")
 
 
+def components_tiled(px: DataFrame, tile: int = TILE) -> DataFrame:
+    """As `components`, for images of any size.
+
+    Each tile is labelled in a task of its own.  Only fragments at the seams between tiles can be parts
+    of one component: pixels that touch across a seam are their edges, and the components of that
+    graph, for one image in one task, name them.  The graph has fewer than 4 edges a seam pixel.
+    """
+    kinds = dict(px.dtypes)
+    on = px.where("v = 255").select("img", "x", "y", F.floor(F.col("x") / tile).cast("int").alias("tx"), F.floor(F.col("y") / tile).cast("int").alias("ty"))
+
+    def label(table: pa.Table) -> pa.Table:
+        x, y = table["x"].to_numpy(), table["y"].to_numpy()
+        image = np.zeros((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), np.uint8)
+        image[y - y.min(), x - x.min()] = 255
+        return table.append_column("part", pa.array(kernels.components(image)[y - y.min(), x - x.min()].astype(np.int32)))
+
+    schema = f"img {kinds['img']}, x {kinds['x']}, y {kinds['y']}, tx int, ty int, part int"
+    parts = scratch.written(on.groupBy("img", "tx", "ty").applyInArrow(label, schema), "tile-parts")
+    node = F.struct("ty", "tx", "part")
+    fragments = parts.groupBy("img", node.alias("node")).agg(F.min(F.struct("y", "x")).alias("first"))
+
+    # Pixels of the last column or row of a tile look at their neighbours across the seam.
+    right, below = F.col("x") % tile == tile - 1, F.col("y") % tile == tile - 1
+    step = lambda dx, dy: F.struct((F.col("x") + dx).cast("int").alias("nx"), (F.col("y") + dy).cast("int").alias("ny"))
+    steps = lambda on_seam, *moves: F.when(on_seam, F.array(*[step(*m) for m in moves])).otherwise(F.array().cast("array<struct<nx:int,ny:int>>"))
+    across = F.concat(steps(right, (1, -1), (1, 0), (1, 1)), steps(below, (-1, 1), (0, 1), (1, 1)))
+    asked = parts.select("img", node.alias("a"), F.inline(across))
+    rim = (F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1)
+    seam = parts.where(rim).select("img", F.col("x").cast("int").alias("nx"), F.col("y").cast("int").alias("ny"), node.alias("b"))
+    edges = asked.join(seam, ["img", "nx", "ny"]).where("a <> b").select("img", "a", "b").distinct()
+    named = scratch.written(_seam_components(edges, kinds["img"]), "tile-seams")
+    own = fragments.join(named, ["img", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    order = Window.partitionBy("img").orderBy("first")
+    numbers = own.groupBy("img", "root").agg(F.min("first").alias("first")).withColumn("component", F.row_number().over(order) - 1)
+    found = own.join(numbers.select("img", "root", "component"), ["img", "root"]).select("img", "node", "component")
+    pixels_ = parts.select("img", "x", "y", node.alias("node"))
+    return pixels_.join(found, ["img", "node"]).select("img", "x", "y", "component")
+
+
+def _seam_components(edges: DataFrame, kind: str) -> DataFrame:
+    """(img, node, root) of the nodes that have edges (img, a, b): the same root within a component."""
+    name = "struct<ty:int,tx:int,part:int>"
+
+    def unite(table: pa.Table) -> pa.Table:
+        flat = lambda c: np.stack([table[c].combine_chunks().field(f).to_numpy() for f in ("ty", "tx", "part")], 1)
+        nodes, index = np.unique(np.concatenate([flat("a"), flat("b")]), axis=0, return_inverse=True)
+        a, b = index.ravel()[: len(table)], index.ravel()[len(table) :]
+        root = np.arange(len(nodes))
+        while True:  # every node takes the least root of its neighbours, and roots are shortened
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            for side in (a, b):
+                np.minimum.at(new, side, low)
+                np.minimum.at(new, root[side], low)
+            while not np.array_equal(shorter := new[new], new):
+                new = shorter
+            if (new == root).all():
+                break
+            root = new
+        as_struct = lambda m: pa.StructArray.from_arrays([pa.array(m[:, k].astype(np.int32)) for k in range(3)], ["ty", "tx", "part"])
+        images = pa.chunked_array([table["img"].combine_chunks().take(pa.array(np.zeros(len(nodes), np.int64)))])
+        return pa.table({"img": images, "node": as_struct(nodes), "root": as_struct(nodes[root])})
+
+    return edges.groupBy("img").applyInArrow(unite, f"img {kind}, node {name}, root {name}")
+
+
 def boxes(parts: DataFrame) -> DataFrame:
     """(img, component, x0, x1, y0, y1, n) of labelled pixels."""
     return parts.groupBy("img", "component").agg(
@@ -220,11 +321,28 @@ def boxes(parts: DataFrame) -> DataFrame:
     )
 
 
-def line_components(lines_: DataFrame, boxes_: DataFrame) -> DataFrame:
+#: Length of the bins that intervals are dealt to.
+BIN = 64
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: int = BIN) -> DataFrame:
+    """Pairs of rows that agree in `keys` and whose intervals (low, high), ends included, overlap.
+
+    An interval goes to every bin it touches and meets only those that share one; the pair is kept in
+    the first bin that both touch.  `left` and `right` share no columns but `keys`.
+    """
+    first = lambda c: F.floor(F.col(c) / width)
+    bins = lambda df, i: df.withColumn("_bin", F.explode(F.sequence(first(i[0]), first(i[1]))))
+    pairs = bins(left, a).join(bins(right, b), [*keys, "_bin"])
+    here = F.col("_bin") == F.greatest(first(a[0]), first(b[0]))
+    return pairs.where(here & (F.col(b[0]) <= F.col(a[1])) & (F.col(b[1]) >= F.col(a[0]))).drop("_bin")
+
+
+def line_components(lines_: DataFrame, boxes_: DataFrame, width: int = BIN) -> DataFrame:
     """Lines with the components that overlap them; one component may be in several, a line may have none."""
-    b = boxes_.withColumnRenamed("img", "i")
-    on = (lines_["img"] == b["i"]) & (b["y0"] <= lines_["high"]) & (b["y1"] >= lines_["low"])
-    return lines_.join(b, on, "left").drop("i")
+    pairs = overlapping(lines_, boxes_, ["img"], ("low", "high"), ("y0", "y1"), width)
+    none = lines_.join(pairs.select("img", "line").distinct(), ["img", "line"], "left_anti")
+    return pairs.unionByName(none, allowMissingColumns=True)
 
 
 def words(lines_: DataFrame, parts: DataFrame, least: int = config.VERTICAL_VALLEY_THRESHOLD) -> DataFrame:
@@ -234,10 +352,10 @@ def words(lines_: DataFrame, parts: DataFrame, least: int = config.VERTICAL_VALL
     return islands(columns, ["img", "line"], "x", least).select("img", "line", F.col("run").alias("word"), "low", "high")
 
 
-def word_components(words_: DataFrame, members: DataFrame) -> DataFrame:
+def word_components(words_: DataFrame, members: DataFrame, width: int = BIN) -> DataFrame:
     """Words with the components of their line that overlap them in x, in reading order."""
     m = members.where("component is not null").select("img", "line", "component", "x0", "x1", "y0", "y1")
-    both = words_.join(m, ["img", "line"]).where("x0 <= high and x1 >= low")
+    both = overlapping(words_, m, ["img", "line"], ("low", "high"), ("x0", "x1"), width)
     order = Window.partitionBy("img", "line", "word").orderBy("x0", "component")
     return both.withColumn("char", F.row_number().over(order) - 1)
 

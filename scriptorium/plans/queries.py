@@ -438,6 +438,12 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return pixels.components(fixtures.binary8(spark, d))
 
 
+@query(ORACLE_SQL["connected_components"])
+def components_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """The same components from tiles of 3 x 3 pixels and the graph of their seams."""
+    return pixels.components_tiled(fixtures.binary8(spark, d), 3)
+
+
 @query(f"with recursive {BOXED} select img, line, component from overlap")
 def component_line_overlap(spark: SparkSession, d: str) -> DataFrame:
     px = fixtures.binary8(spark, d)
@@ -497,6 +503,17 @@ def median_filter(spark: SparkSession, d: str) -> DataFrame:
     return pixels.median(fixtures.images8(spark, d))
 
 
+@query(ORACLE_SQL["gaussian_blur"])
+def blur_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """The same blur from tiles of 3 x 3 pixels with a rim of one."""
+    return pixels.blur(fixtures.images8(spark, d), tile=3)
+
+
+@query(ORACLE_SQL["median_filter"])
+def median_tiled(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.median(fixtures.images8(spark, d), tile=3)
+
+
 def _moved(sx: str, sy: str) -> str:
     return f"""with {PIXELS} select a.img, a.x, a.y, coalesce(b.v, 255) v from (select img, x, y, cast(floor({sx} + 0.5) as bigint) sx, cast(floor({sy} + 0.5) as bigint) sy from px) a
 left join px b on b.img = a.img and b.x = a.sx and b.y = a.sy"""

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra.numpy import arrays
+from pyspark.sql import functions as F
 
 from scriptorium import config
 from scriptorium.functions import kernels as k
@@ -210,3 +211,31 @@ def test_blocks_that_cannot_hold_a_neighbour_are_not_searched(spark):
     assert len(searched) == len(set(searched))
     assert len(blocks.rows) >= 40 and blocks.rows.max() <= 400 and blocks.rows.sum() == 2000
     assert len(searched) < 0.35 * 80 * len(blocks.rows)
+
+
+@pytest.mark.parametrize("tile", [1, 2, 5, 7, 64])
+def test_tiles_of_any_size_give_the_same(spark, tile):
+    rng = np.random.default_rng(tile)
+    spiral = np.zeros((23, 23), np.uint8)
+    for k in range(0, 12, 2):  # rings that meet at one corner each
+        spiral[k, k : 23 - k] = spiral[22 - k, k : 23 - k] = 255
+        spiral[k : 23 - k, k] = spiral[k + 2 : 23 - k, 22 - k] = 255
+    images_ = [spiral, np.where(rng.random((19, 31)) < 0.45, 255, 0).astype(np.uint8), np.zeros((9, 9), np.uint8), np.full((12, 5), 255, np.uint8)]
+    rows = [(k, x, y, int(v)) for k, m in enumerate(images_) for (y, x), v in np.ndenumerate(m)]
+    px = spark.createDataFrame(rows, "img long, x int, y int, v int").repartition(5)
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(pixels.components_tiled(px, tile)) == as_set(pixels.components(px))
+    grey = px.withColumn("v", (F.col("v") + F.col("x") * 7 + F.col("y") * 13) % 256).where("img < 2 or x > 1")
+    assert as_set(pixels.blur(grey, tile=tile)) == as_set(pixels.blur(grey))
+    assert as_set(pixels.median(grey, 5, tile=tile)) == as_set(pixels.median(grey, 5))
+
+
+@pytest.mark.parametrize("width", [1, 4, 64])
+def test_intervals_meet_once_in_a_shared_bin(spark, width):
+    rng = np.random.default_rng(width)
+    interval = lambda: sorted(int(v) for v in rng.integers(-40, 40, 2))
+    left, right = [(int(rng.integers(3)), k, *interval()) for k in range(40)], [(int(rng.integers(3)), k, *interval()) for k in range(60)]
+    found = pixels.overlapping(spark.createDataFrame(left, "g int, a int, low int, high int"), spark.createDataFrame(right, "g int, b int, y0 int, y1 int"), ["g"], ("low", "high"), ("y0", "y1"), width)
+    pairs = [(r.a, r.b) for r in found.collect()]
+    want = {(l[1], r[1]) for l in left for r in right if l[0] == r[0] and r[2] <= l[3] and r[3] >= l[2]}  # noqa: E741
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
