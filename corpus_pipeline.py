@@ -2,61 +2,32 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import ngram_join, packing, pii, quality_classifier
 from scriptorium.llm.common import Tables, owned, read, written
 from scriptorium.llm.quality_rules import keep_good
 
-#: Intermediate tables of the stage that ran last over a folder.
-_LAST: dict[str, Tables] = {}
-
-
-def _stage(function):
-    """Stage that owns its intermediate tables.
-
-    The next stage over the same folder drops them: its input, the result made from them, is
-    written by then.  Those of the last stage stay, since its result may be unread.
-    """
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        before = _LAST.pop(sf_dir, None)
-        if before is not None and run_stage is not STAGES[0][1]:
-            before.drop(spark)
-        with owned() as _LAST[sf_dir]:
-            return function(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rule or are outliers among their language and source."""
     return keep_good(docs)
 
 
-@_stage
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are more likely than not of the lowest grade."""
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of copies and near copies."""
     return ngram_join.keep_one(docs)
 
 
-@_stage
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts pseudonyms in place of personal data."""
-    return pii.pseudonymize(docs, pii.session_key(spark))
+    return pii.pseudonymize(docs, pii.stored_keys(spark))
 
 
-@_stage
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in sequences."""
     return packing.pack(docs)
@@ -75,10 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`.  Each stage's intermediate tables are dropped when its result is
+    written, and each result when that of the next is; what the last one reads stays.  A stage that
+    is called alone drops nothing, since its result may still be unread."""
     docs, before = read(spark, sf_dir, "documents"), Tables()
     for name, stage in STAGES[:-1]:
+        with owned() as work:
+            made = stage(spark, docs, sf_dir)
         with owned() as result:
-            docs = written(stage(spark, docs, sf_dir), name)
+            docs = written(made, name)
+        work.drop(spark)
         before.drop(spark)
         before = result
     return STAGES[-1][1](spark, docs, sf_dir)

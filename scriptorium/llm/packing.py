@@ -10,12 +10,14 @@
 3. Pieces are numbered within their length, in salted cells, and take the places of the plan.
 
 Edge cases: a null text counts as empty (its only id is the end id); repeated rows and null
-ids are packed like others; an empty table gives an empty result.
+ids are packed like others; an empty table gives an empty result; other columns of the documents
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
+import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -214,29 +216,33 @@ def _places(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]
 
 
 def assign(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`pieces` (any columns besides doc_id, piece and length) with sequence_id and offset."""
+    """`pieces` (doc_id, piece, start, length and any other columns) with sequence_id and offset, which
+    take the place of columns of these names."""
     counts = {x.length: x.n for x in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = _places(plan(counts, length))  # bounded by the number of lengths, whatever the input
     cells = min(MAX_CELLS, max(16, sum(counts.values()) // PER_CELL))
-    pieces = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
-    before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.groupBy("length", "cell").agg(F.count("*").alias("n")).select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "start")
-    ranked = pieces.join(starts, ["length", "cell"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1).drop("cell", "before")
-    out = T.StructType([*ranked.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    cell, n, before, rank = (f"_{uuid.uuid4().hex}" for _ in range(4))  # no column of the caller's has these names
+    pieces = pieces.withColumn(cell, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
+    earlier = Window.partitionBy("length").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.groupBy("length", cell).agg(F.count("*").alias(n)).select("length", cell, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy("length", cell).orderBy("doc_id", "piece", "start")
+    ranked = pieces.join(starts, ["length", cell]).withColumn(rank, F.col(before) + F.row_number().over(within) - 1).drop(cell, before)
+    kept = [f for f in ranked.schema.fields if f.name not in ("sequence_id", "offset")]
+    ranked = ranked.select(*[F.col(f"`{f.name}`") for f in kept])
+    out = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            for v in np.unique(n):
-                own, runs = np.flatnonzero(n == v), places[int(v)]
-                run = runs[np.searchsorted(runs[:, 0], rank[own], "right") - 1]
-                k = rank[own] - run[:, 0]
+            size, nth = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", rank))
+            sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+            for v in np.unique(size):
+                own, runs = np.flatnonzero(size == v), places[int(v)]
+                run = runs[np.searchsorted(runs[:, 0], nth[own], "right") - 1]
+                k = nth[own] - run[:, 0]
                 sequence[own], offset[own] = run[:, 2] + k // run[:, 1], run[:, 3] + k % run[:, 1] * v
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], names=out.names)
 
-    return ranked.mapInArrow(place, out).drop("rank")
+    return ranked.mapInArrow(place, out).drop(rank)
 
 
 def pack(docs: DataFrame, vocabulary_path: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,8 +8,13 @@ permutes the list: in each round one half is shifted, symbol by symbol and modul
 by a keyed hash of the other half.  The map is a permutation of the values of one format, so
 equal values get equal pseudonyms in all documents and different values different ones; with
 the key it can be undone (`restored`).  Of phone and card numbers only the digits are permuted
-(of phones the last ten), so one number in two layouts stays linked.  The key is always the
-caller's; none is kept in the source.
+(of phones the last ten), so one number in two layouts stays linked.
+
+The key is the caller's.  Keys of the rounds are derived from it and lie in a one-row table in the
+shared folder that only the owner may read; plans, event logs and Spark's pages show its path, never
+a key.  `session_key` is an error where no key is set.  The registered query and the pipeline take
+`stored_keys`: without a setting, a random key that is made once and kept in the shared folder, so
+that all runs over it are linked and can be undone.
 
 Edge cases: a null text stays null; texts without a match are unchanged; dates outside
 1900-01-01 + 73200 days, cards without a valid check digit and octets over 255 are unchanged;
@@ -19,13 +24,15 @@ they are, and a length column follows its text only where it held the length bef
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import secrets
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, shared_dir
 
 ROUNDS = 8
 #: Setting of the session that holds the key.
@@ -81,7 +88,7 @@ def _number(x: Column, m: int) -> Column:
     return F.struct(F.lit("").alias("c"), x.cast("int").alias("x"), F.lit(m).alias("m"), F.lit("").alias("a"))
 
 
-def _permuted(v: Column, key: str, undo: bool) -> Column:
+def _permuted(v: Column, key: Column, undo: bool) -> Column:
     """The Feistel network over a list of symbols."""
     for r in range(ROUNDS - 1, -1, -1) if undo else range(ROUNDS):
         step = lambda s: _round(s, r, key, undo)  # noqa: B023, E731  (called at once)
@@ -89,11 +96,11 @@ def _permuted(v: Column, key: str, undo: bool) -> Column:
     return v
 
 
-def _round(s: Column, r: int, key: str, undo: bool) -> Column:
+def _round(s: Column, r: int, key: Column, undo: bool) -> Column:
     half = F.floor(F.size(s) / 2).cast("int")
     first = r % 2 == 0
     other = F.slice(s, half + 1, F.size(s) - half) if first else F.slice(s, F.lit(1), half)
-    digest = F.concat_ws("|", F.lit(key), F.lit(str(r)), F.size(s).cast("string"), F.array_join(F.transform(other, lambda t: t["x"].cast("string")), ","))
+    digest = F.concat_ws("|", key[r], F.size(s).cast("string"), F.array_join(F.transform(other, lambda t: t["x"].cast("string")), ","))
 
     def shift(d: Column) -> Column:
         def one(t: Column, i: Column) -> Column:
@@ -129,7 +136,7 @@ def _text(v: Column) -> Column:
     return F.array_join(F.transform(v, lambda s: F.when(s["m"] == 1, s["c"]).otherwise(F.substring(s["a"], s["x"] + 1, F.lit(1)))), "")
 
 
-def _replace(x: Column, key: str, undo: bool) -> Column:
+def _replace(x: Column, key: Column, undo: bool) -> Column:
     """Pseudonym of one match."""
     n = F.char_length(x)
     everything = F.lit(1 << 30)
@@ -171,7 +178,7 @@ def _replace(x: Column, key: str, undo: bool) -> Column:
     )
 
 
-def _rewritten(text: Column, key: str, undo: bool) -> Column:
+def _rewritten(text: Column, key: Column, undo: bool) -> Column:
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     gaps = F.split(text, PATTERN, -1)
     joined = F.array_join(
@@ -181,29 +188,70 @@ def _rewritten(text: Column, key: str, undo: bool) -> Column:
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key of the session (KEY_SETTING), or a fresh random one.
-
-    With a fresh key pseudonyms link values within this result only, and nobody can undo them.
-    """
-    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
-
-
-def pseudonymized(text: Column, key: str) -> Column:
-    """The text with pseudonyms in place of personal data."""
-    return _rewritten(text, key, False)
-
-
-def restored(text: Column, key: str) -> Column:
-    """The text before `pseudonymized` with the same key."""
-    return _rewritten(text, key, True)
-
-
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """`docs` with pseudonyms in the text; a column with its length, if there is one, follows it."""
-    new, was = f"_{uuid.uuid4().hex}", F.col(length_col or text_col)
-    out = docs.withColumn(new, pseudonymized(F.col(text_col), key))
+    """The key of the session (KEY_SETTING); an error without one."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to the key of the pseudonyms")
+    return key
+
+
+def _table(spark: SparkSession, name: str, key: str) -> DataFrame:
+    """(keys): one row of the keys of the rounds, written at first use and read by its owner only."""
+    path = f"{shared_dir(spark)}/scriptorium-keys/{name}"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm.Path(f"{path}/_SUCCESS")):
+        rounds = [hmac.new(key.encode(), f"round {r}".encode(), hashlib.sha256).hexdigest() for r in range(ROUNDS)]
+        new = f"{path}.{uuid.uuid4().hex}"
+        spark.createDataFrame([(rounds,)], "keys array<string>").coalesce(1).write.parquet(new)
+        for file in fs.listStatus(jvm.Path(new)):
+            fs.setPermission(file.getPath(), jvm.permission.FsPermission("600"))
+        fs.setPermission(jvm.Path(new), jvm.permission.FsPermission("700"))
+        if not fs.rename(jvm.Path(new), at) or fs.exists(jvm.Path(f"{path}/{new.rpartition('/')[2]}")):
+            fs.delete(jvm.Path(f"{path}/{new.rpartition('/')[2]}"), True)  # another run was first
+            fs.delete(jvm.Path(new), True)
+    return spark.read.schema("keys array<string>").parquet(path)
+
+
+def key_table(spark: SparkSession, key: str) -> DataFrame:
+    """(keys): the keys of the rounds that belong to `key`."""
+    if not key:
+        raise ValueError("a key is needed")
+    return _table(spark, hashlib.sha256(b"name" + key.encode()).hexdigest()[:32], key)
+
+
+def stored_keys(spark: SparkSession) -> DataFrame:
+    """(keys) of the session's key, or, where none is set, of the random key that the shared folder keeps."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key_table(spark, key) if key else _table(spark, "shared", secrets.token_hex(32))
+
+
+def pseudonymized(text: Column, keys: Column) -> Column:
+    """The text with pseudonyms in place of personal data; `keys` are those of the rounds."""
+    return _rewritten(text, keys, False)
+
+
+def restored(text: Column, keys: Column) -> Column:
+    """The text before `pseudonymized` with the same keys."""
+    return _rewritten(text, keys, True)
+
+
+def _with_text(docs: DataFrame, keys: DataFrame, rewrite, text_col: str, length_col: str | None) -> DataFrame:
+    new, key, was = f"_{uuid.uuid4().hex}", f"_{uuid.uuid4().hex}", F.col(length_col or text_col)
+    out = docs.withColumn(key, keys.scalar()).withColumn(new, rewrite(F.col(text_col), F.col(key)))
     changed = {text_col: F.col(new)}
     if length_col in docs.columns:
         follows = was == F.char_length(text_col)
         changed[length_col] = F.when(follows, F.char_length(new)).otherwise(was).cast(docs.schema[length_col].dataType)
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+
+
+def pseudonymize(docs: DataFrame, keys: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """`docs` with pseudonyms in the text, by a table of keys; a column with its length, if there is one, follows it."""
+    return _with_text(docs, keys, pseudonymized, text_col, length_col)
+
+
+def restore(docs: DataFrame, keys: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """`docs` as they were before `pseudonymize` with the same keys."""
+    return _with_text(docs, keys, restored, text_col, length_col)

@@ -61,7 +61,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymize(docs, pii.session_key(spark))
+    return pii.pseudonymize(docs, pii.stored_keys(spark))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

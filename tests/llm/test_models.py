@@ -1,3 +1,6 @@
+import datetime
+import hashlib
+import hmac
 import itertools
 import random
 import re
@@ -6,6 +9,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from scriptorium.llm import langid, pii, quality_classifier, quality_rules, queries, toxicity
@@ -251,8 +256,8 @@ def test_pseudonyms(spark, odd, none):
         "4845-1681-1440-7329 256.1.1.1 1.2.3.4.5 no 12 or 1234567890123456",
         "", None, "nothing here",
     ]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("p", pii.pseudonymized(F.col("text"), "k"))
-    out = df.withColumn("back", pii.restored(F.col("p"), "k")).withColumn("other", pii.pseudonymized(F.col("text"), "another key")).collect()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = under(df, "k", another="another key", back=True).collect()
     assert [r.back for r in out] == texts
     p = [r.p for r in out]
     assert re.fullmatch(r"Of (\S+@\S+\.example\.com) x \1", p[0]) and "und.34" not in p[0]
@@ -263,20 +268,133 @@ def test_pseudonyms(spark, odd, none):
     assert re.fullmatch(r"on \d{4}-\d\d-\d\d, \d\d/\d\d/\d{4} and 31\.02\.2000", p[3]) and p[3] != texts[3]
     assert p[4].endswith(" 256.1.1.1 1.2.3.4.5 no 12 or 1234567890123456") and luhn(p[4][:19].replace("-", ""))
     assert p[5:] == ["", None, "nothing here"] and out[0].other != p[0]
-    kept = pii.pseudonymize(odd, "k")
-    assert kept.columns == odd.columns and kept.count() == odd.count() and pii.pseudonymize(none, "k").count() == 0
+    keys = pii.key_table(spark, "k")
+    kept = pii.pseudonymize(odd, keys)
+    assert kept.columns == odd.columns and kept.count() == odd.count() and pii.pseudonymize(none, keys).count() == 0
+    clashing = odd.withColumns({"keys": F.lit("x"), "key": F.lit(1)})
+    assert sorted(map(str, pii.restore(pii.pseudonymize(clashing, keys), keys).collect())) == sorted(map(str, clashing.collect()))
+
+
+def under(df, key, another=None, back=False):
+    """Adds p, the pseudonymized text; with `back` what it is restored to, with `another` key `other`."""
+    spark = df.sparkSession
+    out = df.withColumn("k", pii.key_table(spark, key).scalar()).withColumn("p", pii.pseudonymized(F.col("text"), F.col("k")))
+    if back:
+        out = out.withColumn("back", pii.restored(F.col("p"), F.col("k")))
+    if another:
+        out = out.withColumn("k2", pii.key_table(spark, another).scalar()).withColumn("other", pii.pseudonymized(F.col("text"), F.col("k2")))
+    return out
+
+
+class PlainFeistel:
+    """The same permutation, written in plain Python."""
+
+    def __init__(self, key):
+        self.keys = [hmac.new(key.encode(), f"round {r}".encode(), hashlib.sha256).hexdigest() for r in range(8)]
+
+    def permute(self, xs, ms):
+        xs = list(xs)
+        half = len(xs) // 2
+        for r in range(8):
+            other = xs[half:] if r % 2 == 0 else xs[:half]
+            digest = "|".join([self.keys[r], str(len(xs)), ",".join(map(str, other))])
+            for i in range(len(xs)):
+                if (i < half) == (r % 2 == 0) and ms[i] > 1:
+                    hashed = hashlib.sha256(f"{digest}|{i // 16}".encode()).hexdigest()
+                    xs[i] = (xs[i] + int(hashed[i % 16 * 4 : i % 16 * 4 + 4], 16)) % ms[i]
+        return xs
+
+    def string(self, text, low, high, alphabets):
+        own = [next((a for a in alphabets if c in a), "") if low <= i < high else "" for i, c in enumerate(text)]
+        xs = self.permute([a.index(c) if a else 0 for a, c in zip(own, text, strict=True)], [max(1, len(a)) for a in own])
+        return "".join(a[x] if a else c for a, x, c in zip(own, xs, text, strict=True))
+
+    def layout(self, text, digits):
+        """The last digits of a text replaced by others."""
+        skip = sum(c in pii.DIGITS for c in text) - len(digits)
+        out, k = [], 0
+        for c in text:
+            if c in pii.DIGITS:
+                out.append(digits[k - skip] if k >= skip else c)
+                k += 1
+            else:
+                out.append(c)
+        return "".join(out)
+
+    def match(self, x):
+        digits = re.sub(r"[^0-9]", "", x)
+        if "@" in x:
+            return self.string(x, 0, len(x) - len(re.search(r"[^.@]+\.[^.@]+$", x)[0]), pii.ALPHABETS)
+        if x.endswith('"'):
+            inner = re.search('"(.*)"', x)[1]
+            letters = "abcdef" if re.search("[a-f]", inner) else "ABCDEF"
+            return self.string(x, x.index('"') + 1, len(x) - 1, (pii.DIGITS + letters, "ABCDEF"))
+        if regex.fullmatch(pii.PHONE, x):
+            return self.layout(x, self.string(digits[-10:], 0, 10, [pii.DIGITS]))
+        if regex.fullmatch(pii.IP, x):
+            return ".".join(map(str, self.permute(map(int, x.split(".")), [256] * 4)))
+        for form in ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y"):
+            try:
+                nth = (datetime.datetime.strptime(x, form).date() - datetime.date(1900, 1, 1)).days
+            except ValueError:
+                continue
+            if 0 <= nth < 400 * 183:
+                a, b = self.permute([nth // 183, nth % 183], [400, 183])
+                return (datetime.date(1900, 1, 1) + datetime.timedelta(a * 183 + b)).strftime(form)
+        if regex.fullmatch(pii.CARD, x) and luhn(digits):
+            body = self.string(digits[:-1], 0, 99, [pii.DIGITS])
+            return self.layout(x, body + next(c for c in pii.DIGITS if luhn(body + c)))
+        return x
+
+    def text(self, text):
+        return regex.sub(pii.PATTERN, lambda m: self.match(m[0]), text)
+
+
+def test_pseudonyms_equal_a_plain_feistel_network(spark):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    def card():
+        body = digits(15)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+    kinds = [
+        lambda: f"{rng.choice(['jo', 'Ann-Marie', 'müller', 'x_y'])}.{digits(2)}@mail{digits(1)}.{rng.choice(['a-b.', ''])}example.org", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"+1 {digits(3)}.{digits(3)}.{digits(4)}", card, lambda: "-".join(re.findall("....", card())), lambda: ".".join(str(rng.randrange(300)) for _ in range(4)),
+        lambda: f"{rng.randrange(1850, 2120)}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 32):02d}", lambda: f"{rng.randrange(1, 32):02d}/{rng.randrange(1, 13):02d}/{rng.randrange(1890, 2110)}",
+        lambda: f"{rng.randrange(1, 32):02d}.{rng.randrange(1, 13):02d}.2001", lambda: f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(20))}"', lambda: f'API_KEY: "{digits(9)}"',
+        lambda: "plain words", lambda: digits(16),
+    ]
+    texts = [" ".join(rng.choice(kinds)() for _ in range(rng.randrange(1, 7))) + rng.choice([".", "", " x"]) for _ in range(250)]
+    plain = PlainFeistel("a key")
+    got = {r.i: r.p for r in under(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "a key").collect()}
+    assert got == {i: plain.text(t) for i, t in enumerate(texts)}
+    assert sum(plain.text(t) != t for t in texts) > 150
+
+
+def test_keys_are_in_no_plan_and_needed(spark, capsys):
+    docs = spark.createDataFrame([(1, "a.b@c.example.com", 17)], "doc_id long, text string, n_chars long")
+    out = pii.pseudonymize(docs, pii.key_table(spark, "very-secret"))
+    rounds = pii.key_table(spark, "very-secret").first()["keys"]
+    out.explain(True)
+    out.count()
+    shown = capsys.readouterr().out + out._jdf.queryExecution().toString()
+    assert "scalar-subquery" in shown and not any(k in shown for k in ["very-secret", *rounds])
+    for bad in (lambda: pii.session_key(spark), lambda: pii.key_table(spark, "")):
+        with pytest.raises(ValueError, match="key"):
+            bad()
+    assert pii.stored_keys(spark).collect() == pii.stored_keys(spark).collect() != pii.key_table(spark, "very-secret").collect()
 
 
 def test_pseudonyms_are_a_permutation(spark):
     texts = [f"{a}.{b}.7.9" for a in range(1, 12) for b in range(30)] + [f"a.{n:02d}@b.example.com" for n in range(100)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").select(pii.pseudonymized(F.col("text"), "k").alias("p"))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    df = under(df, "k").select("p")
     assert df.distinct().count() == len(texts)
 
 
 def test_numbers_stay_linked_across_layouts(spark):
     texts = ["555-123-4567", "(555) 123-4567", "+1 555.123.4567", "4111 1111 1111 1111", "4111111111111111"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii.pseudonymized(F.col("text"), "k").alias("p"))
-    out = {r.text: r.p for r in df.withColumn("back", pii.restored(F.col("p"), "k")).where("back = text").collect()}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = {r.text: r.p for r in under(df, "k", back=True).where("back = text").collect()}
     digits = lambda t: re.sub(r"\D", "", out[t])
     assert set(out) == set(texts) and all(out[t] != t and len(out[t]) == len(t) for t in texts)
     assert digits(texts[0]) == digits(texts[1]) == digits(texts[2])[1:] and digits(texts[3]) == digits(texts[4])

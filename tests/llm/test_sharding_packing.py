@@ -102,3 +102,10 @@ def test_dropped_tables_are_those_of_their_owner_only(spark):
     tables.drop(spark)
     assert unread.count() == 50 and tables.paths == []
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_columns_of_the_caller_survive_packing(spark):
+    names = ("cell", "rank", "before", "n", "kept")
+    pieces = spark.createDataFrame([(i, 0, 0, 5 + i % 3) for i in range(40)], "doc_id long, piece int, start long, length long").withColumns({c: F.lit(c) for c in names})
+    out = packing.assign(pieces).collect()
+    assert len(out) == 40 and all(r[c] == c for r in out for c in names)
