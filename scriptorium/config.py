@@ -64,6 +64,7 @@ DOCUMENT_STATUS_LABELS = {
 }
 VALIDATION_FIELD_LABELS = {"proveedor": "Proveedor", "nit": "NIT", "fecha": "Fecha", "iva": "IVA", "valor": "Valor", "total": "Total"}
 DOCUMENTS_REPORT_HEADERS = ("ID", "Tipo", "Status", "Accuracy", "ValidadoEn", "UsuarioValidó", "FechaCreación")
+DOCUMENTS_REPORT_NAME, VALIDATIONS_REPORT_NAME = "documentos", "validaciones"
 VALIDATIONS_REPORT_HEADERS = ("DocumentoID", "Campo", "ValorOCR", "ValorValidado", "EditadoPor", "FechaValidación")
 
 TARGET_CHARACTER_ACCURACY = 0.85

@@ -136,9 +136,9 @@ def validation_totals(validations: DataFrame) -> DataFrame:
 
 
 def validator_stats(validations: DataFrame, names: DataFrame) -> DataFrame:
-    """(validated_by, email, total, edited): the e-mail is looked up after the counts."""
+    """(validated_by, email, total, edited), most validations first; the e-mail is looked up after the counts."""
     counts = validations.groupBy("validated_by").agg(F.count("*").alias("total"), F.count_if("manually_edited").alias("edited"))
-    return counts.join(names.select(F.col("id").alias("validated_by"), "email"), "validated_by", "left")
+    return counts.join(names.select(F.col("id").alias("validated_by"), "email"), "validated_by", "left").orderBy(F.desc("total"), "validated_by")
 
 
 def dashboard(docs: DataFrame, results: DataFrame, validations: DataFrame, models: DataFrame) -> DataFrame:

@@ -83,6 +83,13 @@ def images8(spark: SparkSession, sf_dir: str, table: str = "embeddings") -> Data
     return px.select("img", (F.col("p") % 8).cast("int").alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), v.alias("v"))
 
 
+def pictures8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, name, width, height, gray): the images of `images8`, a row each."""
+    level = lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 1) * 127.5)))
+    gray = F.unhex(F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(level(e)), 2, "0")), ""))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.format_string("%d.png", "vec_id").alias("name"), F.lit(8).alias("width"), F.lit(8).alias("height"), gray.alias("gray"))
+
+
 def binary8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of which value 255 marks what is over the middle grey."""
     return images8(spark, sf_dir).withColumn("v", F.when(F.col("v") >= 128, 255).otherwise(0))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import fields, kernels, scalars
 from ..operators import knn, metrics, pixels, repository, training
-from ..sources import images, tables
+from ..sources import files, images, scratch, tables
 from . import fixtures, ocr, reports
 
 QUERIES: dict = {}
@@ -352,6 +352,42 @@ def top_misclassifications(spark: SparkSession, d: str) -> DataFrame:
     return metrics.top_misclassifications(_pairs(spark, d), "sample_idx")
 
 
+@query(f"""with {VOTES} select (select count(*) from m) samples, count(*) total, count(*) filter (expected = predicted) correct, round(avg(case when expected = predicted then 1.0 else 0 end), 6) accuracy from pairs""")
+def train_on_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """The model of the train partition, stored in parts, read again and judged on the test partition."""
+    test, train = _split(spark, d)
+    tables.save_model_parts(train, root := scratch.new_path(spark, "models"), "invoice_es", "v1")
+    model = tables.read_model_parts(spark, root, "invoice_es", "v1")
+    judged = metrics.accuracy(training.predictions(test, model), 0.0)
+    return judged.withColumn("samples", model.agg(F.count("*")).scalar()).select("samples", "total", "correct", r("accuracy").alias("accuracy"))
+
+
+_STRATIFIED = """s as (select *, row_number() over (partition by label order by vec_id) <= floor(count(*) over (partition by label) * 0.8 + 0.5) train from embeddings),
+q as (select vec_id, label, embedding::double[] e from s where not train), m as (select vec_id, label, embedding::double[] e from s where train),
+dist as"""
+
+
+@query(f"with {MATRIX.replace(MATRIX[: MATRIX.index('dist as')] + 'dist as', _STRATIFIED)}, rs as (select actual label, sum(n) t, sum(n) filter (actual = predicted) h from matrix group by all), cs as (select predicted label, sum(n) t from matrix group by all) select label, round(case when cs.t = 0 then 0 else h / cs.t end, 6) \"precision\", round(case when rs.t = 0 then 0 else h / rs.t end, 6) recall from rs join cs using (label)")
+def train_and_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    """Training with a stratified split: precision and recall of each label on what was held out."""
+    done = training.train(fixtures.descriptors(spark, d))
+    return done["by_label"].select("label", r("precision").alias("precision"), r("recall").alias("recall"))
+
+
+@query(f"with {VOTES} select q sample_idx, expected, predicted, round(share, 6) confidence from pairs")
+def evaluate_active(spark: SparkSession, d: str) -> DataFrame:
+    """The test partition by the model that is active, of two that are stored."""
+    s, root = fixtures.descriptors(spark, d), scratch.new_path(spark, "models")
+    train = s.where("dataset_partition = 'train'")
+    tables.save_model_parts(train.where("sample_idx % 2 = 0"), root, "invoice_es", "half")
+    tables.save_model_parts(train, root, "invoice_es", "whole")
+    tables.activate(spark, root, "invoice_es", "half")
+    tables.activate(spark, root, "invoice_es", "whole")
+    active = repository.active_model(tables.scan(spark, root, "model_events")).first()
+    found = training.evaluate_active(tables.read_model_parts(spark, root, active.document_type, active.version), s)
+    return found.select("sample_idx", "expected", "predicted", r("confidence").alias("confidence"))
+
+
 @query("""select vec_id sample_idx, cast(label as varchar) label, row_number() over (partition by label order by vec_id) <= floor(count(*) over (partition by label) * 0.8 + 0.5) train from embeddings""")
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return training.stratified_split(fixtures.descriptors(spark, d)).select("sample_idx", "label", "train")
@@ -579,6 +615,37 @@ def salt_pepper(spark: SparkSession, d: str) -> DataFrame:
     return pixels.salt_pepper(fixtures.images8(spark, d), config.NOISE_LEVEL)
 
 
+@query(f"""with {GRADIENT}, c as (select img, cast(case when y < 2 then 0 when y < 5 then 1 else 2 end * 4 + x // 2 as int) region, cast(floor(angle / 20 + 0.5) as int) % 9 bin, sum(magnitude) m from grad group by all having sum(magnitude) > 0)
+select img, region, bin, round(m / sqrt(sum(m * m) over (partition by img, region) + 0.000001), 4) as value from c""")
+def hog_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The default grid of 4 x 3 regions."""
+    return pixels.hog(fixtures.images8(spark, d)).select("img", "region", "bin", r("value", 4).alias("value"))
+
+
+@query(f"""with {PIXELS} select img, case when img % 50 <> 0 then 8 end width, case when img % 50 <> 0 then 8 end height, case when img % 50 <> 0 then cast(sum(v) as bigint) end total, img % 50 = 0 failed from px group by img""")
+def png_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every picture as a PNG file written by tasks and read again; each fiftieth file is cut short."""
+    made = tables.png_files(fixtures.pictures8(spark, d))
+    whole = F.regexp_extract("name", r"\d+", 0).cast("long") % 50 != 0
+    files.write_files(made.withColumn("content", F.when(whole, F.col("content")).otherwise(F.substring("content", 1, 30))), path := scratch.new_path(spark, "png"))
+    back = images.read_images(spark, path)
+    byte = lambda i: F.conv(F.hex(F.substring("gray", i, F.lit(1))), 16, 10).cast("long")
+    total = F.aggregate(F.sequence(F.lit(1), F.octet_length("gray")), F.lit(0).cast("long"), lambda s, i: s + byte(i))
+    return back.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("img"), "width", "height", total.alias("total"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("select vec_id from embeddings where vec_id % 5 = 0 or vec_id % 7 = 0")
+def orphan_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of every picture: each fifth was never inserted, each seventh document was deleted."""
+    root = scratch.new_path(spark, "uploads")
+    made = tables.png_files(fixtures.pictures8(spark, d)).withColumn("id", F.regexp_extract("name", r"\d+", 0).cast("long"))
+    tables.create_document(made.where("id % 5 <> 0"), root)
+    files.write_files(made.where("id % 5 = 0"), f"{root}/files/failed")
+    tables.delete_document(made.where("id % 7 = 0").select("id"), root)
+    found = tables.orphans(spark, root, tables.scan(spark, root, "documents"), tables.scan(spark, root, "tombstones"))
+    return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("vec_id"))
+
+
 @query()
 def hog_svg(spark: SparkSession, d: str) -> DataFrame:
     e = fixtures.read(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 36).alias("h"))
@@ -803,6 +870,37 @@ def csv_lines(spark: SparkSession, d: str) -> DataFrame:
     return _report(spark, d).select("id", scalars.csv_line(*cells, F.lit('a "b", c')).alias("line"))
 
 
+@query(f"""{_REPORT} select 'ID,Tipo,Status,Accuracy,ValidadoEn,UsuarioValidó,FechaCreación' line
+union all select id || ',' || document_type || ',' || status || ',' || accuracy || ',' || coalesce(validated_at, '') || ',' || validator || ',' || created_at from rep""")
+def documents_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the download, written by tasks and read again."""
+    path = tables.documents_csv(_report(spark, d), scratch.new_path(spark, "reports"), "2024-01-31")
+    return spark.read.option("lineSep", "\r\n").text(path).where("value <> ''").select(F.col("value").alias("line"))
+
+
+@query(f"""with {VALIDATIONS}, {PROFILES}, u as (select val.*, coalesce(email, '') editor, unnest(['Proveedor', 'NIT', 'Fecha', 'IVA', 'Valor', 'Total']) field,
+  unnest([proveedor, nit, '', iva, '', cast(total as varchar)]) before, unnest([proveedor, trim(nit_after, '"'), '', iva, '', cast(total_after as varchar)]) after_ from val left join prof on prof.id = validated_by)
+select 'DocumentoID,Campo,ValorOCR,ValorValidado,EditadoPor,FechaValidación' line union all
+select document_id || ',' || field || ',' || before || ',' || after_ || ',' || editor || ',' || {_T.format('validated_at')} from u""")
+def validations_csv(spark: SparkSession, d: str) -> DataFrame:
+    rows = reports.validations_report(fixtures.validations(spark, d), fixtures.profiles(spark, d)).withColumn("validated_at", ts("validated_at"))
+    path = tables.validations_csv(rows, scratch.new_path(spark, "reports"), "2024-01-31")
+    return spark.read.option("lineSep", "\r\n").text(path).where("value <> ''").select(F.col("value").alias("line"))
+
+
+@query(f"""with {VALIDATIONS} select 'document_validations' as "table", '' entry, count(*) n from val union all select 'status_events', 'validated', count(*) from val
+union all select 'audit_logs', case when manually_edited then 'OCR_CORRECTED' else 'OCR_VALIDATED' end, count(*) from val group by 2
+union all select 'ocr_results', '', count(*) from lineitem union all select 'status_events', 'processed', count(*) from lineitem union all select 'audit_logs', 'OCR_COMPLETED', count(*) from lineitem""")
+def saved_units(spark: SparkSession, d: str) -> DataFrame:
+    """What one write of validations and one of results leave in each table."""
+    root = scratch.new_path(spark, "journal")
+    tables.save_validation(fixtures.validations(spark, d), root)
+    tables.save_ocr_result(fixtures.ocr_results(spark, d), root)
+    entry = {"document_validations": F.lit(""), "ocr_results": F.lit(""), "status_events": F.col("status"), "audit_logs": F.col("action")}
+    counts = [tables.entries(spark, root, t).groupBy(F.lit(t).alias("table"), e.alias("entry")).agg(F.count("*").alias("n")) for t, e in entry.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
 def _models(spark: SparkSession) -> DataFrame:
     rows = [("invoice_es", f"v{k}", k == 3, f"2024-01-0{k}") for k in range(1, 5)]
     return spark.createDataFrame(rows, "document_type string, version string, active boolean, created_at string").withColumn("model_data", F.lit("{}"))

@@ -1,11 +1,14 @@
+import datetime
 import json
+import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import metrics, repository, training
 from scriptorium.plans import reports
-from scriptorium.sources import images, tables
+from scriptorium.sources import files, images, tables
 from scriptorium.streaming import ingest
 
 
@@ -129,21 +132,83 @@ def test_storage(spark, tmp_path):
     assert repository.active_model(tables.scan(spark, root, "model_events")).count() == 0
     v = spark.createDataFrame([("d", True)], "document_id string, manually_edited boolean")
     tables.save_validation(v, root)
-    assert [r.action for r in tables.scan(spark, root, "audit_logs").collect()] == ["OCR_CORRECTED"]
+    assert [r.action for r in tables.entries(spark, root, "audit_logs").collect()] == ["OCR_CORRECTED"]
     tables.save_ocr_result(spark.createDataFrame([("d", 0.8765, 12.5)], "document_id string, confidence double, processing_ms double"), root)
-    r = tables.scan(spark, root, "ocr_results").first()
+    r = tables.entries(spark, root, "ocr_results").first()
     assert (str(r.confidence), r.processing_ms) == ("0.877", 13)
     assert tables.audit(v, "/proc/none", "LOGIN") is False
     gone = spark.createDataFrame([("d",)], "id string")
     tables.delete_document(gone, root)
-    assert repository.without_deleted(tables.scan(spark, root, "ocr_results"), tables.scan(spark, root, "tombstones")).count() == 0
+    assert repository.without_deleted(tables.entries(spark, root, "ocr_results"), tables.scan(spark, root, "tombstones")).count() == 0
     tables.create_document(gone, root)
     assert tables.scan(spark, root, "documents").first().status == "uploaded"
 
 
-def test_text_outputs(spark):
+def test_a_unit_that_fails_half_way_leaves_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.range(40).repartition(8).select(F.concat(F.lit("d"), "id").alias("document_id"), (F.col("id") % 4 == 0).alias("manually_edited"))
+    tables.save_validation(rows, root)
+    counts = lambda: {t: tables.entries(spark, root, t).count() for t in ("document_validations", "status_events", "audit_logs")}
+    assert set(counts().values()) == {40}
+    assert {(r.action, r.n) for r in tables.entries(spark, root, "audit_logs").groupBy("action").agg(F.count("*").alias("n")).collect()} == {("OCR_CORRECTED", 10), ("OCR_VALIDATED", 30)}
+    bad = rows.withColumn("manually_edited", F.when(F.col("document_id") == "d33", F.raise_error(F.lit("half-way")).cast("boolean")).otherwise(F.col("manually_edited")))
+    with pytest.raises(Exception, match="half-way"):
+        tables.save_validation(bad, root)
+    assert set(counts().values()) == {40}
+    with pytest.raises(Exception, match="half-way"):
+        tables.save_ocr_result(bad.select(F.when(F.col("manually_edited"), "x").otherwise("y").alias("document_id"), F.lit(0.5).alias("confidence"), F.lit(1.0).alias("processing_ms")), root)
+    assert not (tmp_path / "journal" / "kind=ocr_results").exists() and set(counts().values()) == {40}
+
+
+def test_models_of_many_parts(spark, tmp_path):
+    root = str(tmp_path)
+    model = spark.range(0, 9000, 3).select(F.col("id").alias("sample_idx"), F.when(F.col("id") % 2 == 0, 'a"').otherwise("b").alias("label"), F.array(F.rand(3), F.lit(-1e-7), F.col("id") / 7).cast("array<float>").alias("descriptor"))
+    model = spark.createDataFrame(model.collect(), model.schema).repartition(3)
+    tables.save_model_parts(model, root, "invoice_es", "v1")
+    tables.save_model_parts(model.limit(10), root, "invoice_es", "v2")
+    assert tables.scan(spark, root, "ocr_model_parts").where("version = 'v1'").count() == 10
+    as_set = lambda df: {(r.sample_idx, r.label, *r.descriptor) for r in df.collect()}
+    assert as_set(tables.read_model_parts(spark, root, "invoice_es", "v1")) == as_set(model)
+    whole = tables.scan(spark, root, "ocr_model_parts").where("version = 'v1'")
+    for k, damaged in enumerate((whole.where("part <> 4"), whole.where("part <> -1"), whole.withColumn("payload", F.replace("payload", F.lit("1"), F.lit("2"))), whole.union(whole))):
+        damaged.write.parquet(f"{root}/{k}/ocr_model_parts")
+        with pytest.raises(ValueError, match="not whole"):
+            tables.read_model_parts(spark, f"{root}/{k}", "invoice_es", "v1")
+
+
+def test_files_of_no_live_document_are_swept(spark, tmp_path):
+    root = str(tmp_path)
+    new = spark.createDataFrame([(k, f"{k}.png", bytes([k])) for k in range(6)], "id long, name string, content binary")
+    tables.create_document(new.where("id < 4"), root)
+    with pytest.raises(Exception, match="refused"):
+        tables.create_document(new.where("id >= 4").withColumn("id", F.when(F.col("id") == 5, F.raise_error(F.lit("refused")).cast("long")).otherwise(F.col("id"))), root)
+    tables.delete_document(new.where("id = 2").select("id"), root)
+    documents, gone = tables.scan(spark, root, "documents"), tables.scan(spark, root, "tombstones")
+    assert {r.status for r in documents.collect()} == {"uploaded"} and documents.count() == 4
+    name = lambda rows: sorted(Path(r.path).name for r in rows.collect())
+    assert name(tables.orphans(spark, root, documents, gone)) == ["2.png", "4.png", "5.png"]
+    assert name(tables.orphans(spark, root, documents, gone, datetime.datetime(2000, 1, 1))) == []
+    assert tables.sweep(spark, root) == 3 and tables.sweep(spark, root) == 0
+    assert name(files.list_files(spark, f"{root}/files")) == ["0.png", "1.png", "3.png"]
+
+
+def test_text_outputs(spark, tmp_path):
     rows = spark.createDataFrame([(2, 'a"b', None), (1, "x,y", "z")], "n int, s string, t string")
-    assert tables.csv_text(rows, ["N", "S, quoted", "T"], ["n"]) == 'N,"S, quoted",T\r\n1,"x,y",z\r\n2,"a""b",'
+    for many in (rows.repartition(5), rows.coalesce(1)):
+        path = files.write_csv(many, ["N", "S, quoted", "T"], str(tmp_path), f"r{uuid.uuid4().hex}", "2024-01-01", ("n",))
+        assert path.endswith("-2024-01-01.csv")
+        assert b"".join(p.read_bytes() for p in sorted(Path(path).iterdir())) == b'N,"S, quoted",T\r\n1,"x,y",z\r\n2,"a""b",'
+    empty = files.write_csv(rows.where("false"), ["N"], str(tmp_path), "none", "2024-01-01", ("n",))
+    assert b"".join(p.read_bytes() for p in sorted(Path(empty).iterdir())) == b"N"
+    big = spark.range(5000).select("id", F.lit("é\n").alias("t")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    path = files.write_csv(big, ["ID", "T"], str(tmp_path), "big", "2024-01-01", (F.desc("id"),))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(Path(path).iterdir())) > 2
+    assert b"".join(p.read_bytes() for p in sorted(Path(path).iterdir())).decode() == "ID,T" + "".join(f'\r\n{i},"é\n"' for i in reversed(range(5000)))
+    with pytest.raises(Exception, match="broken"):
+        files.write_csv(big.withColumn("t", F.when(F.col("id") == 77, F.raise_error(F.lit("broken"))).otherwise("x")), ["ID", "T"], str(tmp_path), "bad", "2024-01-01", ("id",))
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("bad")]
     one = json.loads(tables.stats_json(spark.range(1).select(F.lit(3).alias("total")), spark.sql("select date'2024-01-01' day, 2 total")))
     assert one == {"total": 3, "documents_per_day": [{"day": "2024-01-01", "total": 2}]}
     svg = reports.hog_svg([0.5] + [0.0] * 107)
