@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import fields, kernels, scalars
-from ..operators import knn, metrics, pixels, repository, training
+from ..operators import knn, metrics, paging, pixels, repository, training
 from ..sources import files, images, scratch, tables
 from . import fixtures, ocr, reports
 
@@ -789,6 +789,20 @@ def list_with_total(spark: SparkSession, d: str) -> DataFrame:
     return repository.list_with_total(fixtures.documents(spark, d), fixtures.ocr_results(spark, d), f, 3, 50).select("id", "exact_total")
 
 
+_PAGES = (1, 3, 100, 10_000_000)
+
+
+@query(f"""with {DOCS}, hits as (select id, status, row_number() over (order by created_at desc, id) - 1 as position from docs where status <> 'uploaded'),
+p as (select unnest([{', '.join(map(str, _PAGES))}]) page)
+select cast(page as int) page, (select count(*) from hits) exact_total, position, id, status from p left join hits on position >= (page - 1) * 40 and position < page * 40""")
+def page_index(spark: SparkSession, d: str) -> DataFrame:
+    """Near and far pages of a filtered listing from its index; the last is empty, but knows the total."""
+    rows = fixtures.documents(spark, d).where("status <> 'uploaded'").select("id", "status", "created_at")
+    index = paging.PageIndex.build(rows, scratch.new_path(spark, "pages"))
+    pages = [index.page(n, 40).select("page", "exact_total", "position", "id", "status") for n in _PAGES]
+    return pages[0].union(pages[1]).union(pages[2]).union(pages[3])
+
+
 @query(f"with {DOCS}, {RESULTS} select id, status from docs where id in (select document_id from res where line_no not in (3, 4) and proveedor ilike '%7%' and total >= 20000 and total <= 30000)")
 def list_by_json_path(spark: SparkSession, d: str) -> DataFrame:
     f = repository.Filters(provider="7", min_amount=20000, max_amount=30000)

@@ -1,12 +1,14 @@
 import datetime
 import json
+import random
+import re
 import uuid
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import metrics, repository, training
+from scriptorium.operators import metrics, paging, repository, training
 from scriptorium.plans import reports
 from scriptorium.sources import files, images, tables
 from scriptorium.streaming import ingest
@@ -35,6 +37,26 @@ def test_filters(docs, results):
     assert [len(r.ocr_results) for r in repository.with_results(docs, results).orderBy("id").collect()] == [0, 2, 0]
 
 
+def test_pages_of_an_index(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, f"t{i % 3}", datetime.datetime(2024, 1, 1 + rng.randrange(5))) for i in range(237)]
+    want = [r[0] for r in sorted(rows, key=lambda r: (-r[2].timestamp(), r[0]))]
+    df = spark.createDataFrame(rows, "id long, kind string, created_at timestamp")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    index = paging.PageIndex.build(df.repartition(3), str(tmp_path / "a"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index._index().count() > 2 and index.total() == 237
+    for number in range(1, 9):
+        got = index.page(number, 30).orderBy("position").collect()
+        assert [r.id for r in got] == want[30 * number - 30 : 30 * number] and {r.exact_total for r in got} == {237}
+        assert [r.position for r in got] == list(range(30 * number - 30, min(237, 30 * number)))
+    assert [tuple(r) for r in index.page(99, 30).collect()] == [(99, 237, None, None, None, None)]
+    scans = [x for x in index.page(5, 30)._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+    assert len(scans) == 1 and re.search(r"PartitionFilters: \[[^\]]*_range", scans[0])
+    none = paging.PageIndex.build(df.where("false"), str(tmp_path / "b"))
+    assert [tuple(r) for r in none.page(1, 10).collect()] == [(1, 0, None, None, None, None)]
+
+
 def test_latest_and_detail(docs, results, spark):
     assert repository.latest(results, "document_id", "created_at").first().confidence == 0.87
     v = spark.createDataFrame([], "document_id string, line_no int, part int, original string, validated string, manually_edited boolean, validated_by int, validated_at timestamp")
