@@ -25,26 +25,17 @@ def amounts(orders: DataFrame) -> DataFrame:
     return orders.withColumns({"valor_c": valor, "iva_c": iva}).withColumn("total_c", F.col("valor_c") + F.col("iva_c"))
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, raw_text, lines): invoices with some keywords or lines missing, by o_orderkey % 7.
-
-    The four narrow columns are dealt out before texts are made of them, since a small file is one
-    partition and the work on each text is what takes time.
-    """
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    orders = amounts(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").repartition(tasks, "o_orderkey"))
-    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    kind = F.col("o_orderkey") % 7
-    nit = (F.col("o_custkey") + 900000000).cast("string")
+def _written(rows: DataFrame) -> DataFrame:
+    """(doc_id, raw_text, lines): invoices with some keywords or lines missing, by `kind` from 0 to 6."""
+    kind, nit = F.col("kind"), F.col("nit").cast("string")
     lines = [
-        F.when(kind != 6, F.concat(F.lit("Proveedor: "), F.col("c_name"))),
+        F.when(kind != 6, F.concat(F.lit("Proveedor: "), F.col("name"))),
         F.when(kind.isin(1, 6), nit).otherwise(F.concat(F.lit("NIT "), nit)),
-        F.when(kind != 2, F.concat(F.when(kind != 6, "Fecha ").otherwise(""), F.date_format("o_orderdate", "yyyy-MM-dd"))),
+        F.when(kind != 2, F.concat(F.when(kind != 6, "Fecha ").otherwise(""), F.col("day"))),
         F.concat(F.when(kind.isin(5, 6), "").otherwise("IVA "), _money(F.col("iva_c"))),
         F.concat(F.when(kind == 6, "").otherwise("Valor "), _money(F.col("valor_c"))),
         F.when(~kind.isin(4, 6), F.concat(F.when(kind == 3, "Total a pagar por el cliente ").otherwise("Total "), _money(F.col("total_c")))),
     ]
-    joined = orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
     texts = F.array_compact(F.array(*lines))
     boxed = F.transform(
         texts,
@@ -54,26 +45,62 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(0.9).alias("confidence"),
         ),
     )
-    return joined.select(F.col("o_orderkey").alias("doc_id"), F.array_join(texts, "\n").alias("raw_text"), boxed.alias("lines"))
+    return rows.select("doc_id", F.array_join(texts, "\n").alias("raw_text"), boxed.alias("lines"))
 
 
-def invoice_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _truth(rows: DataFrame) -> DataFrame:
     """(doc_id, field, value_str, value_num)."""
-    orders = amounts(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
-    rows = orders.join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     none = F.lit(None)
     row = lambda f, s, n: F.struct(F.lit(f).alias("field"), s.cast("string").alias("value_str"), n.cast("double").alias("value_num"))
-    return rows.select(
-        F.col("o_orderkey").alias("doc_id"),
-        F.inline(
-            F.array(
-                row("proveedor", F.col("c_name"), none),
-                row("nit", (F.col("o_custkey") + 900000000), none),
-                row("fecha", F.date_format("o_orderdate", "yyyy-MM-dd"), none),
-                *[row(f, none, F.col(f"{f}_c") / 100) for f in ("iva", "valor", "total")],
-            )
-        ),
-    )
+    fields = [row("proveedor", F.col("name"), none), row("nit", F.col("nit"), none), row("fecha", F.col("day"), none), *[row(f, none, F.col(f"{f}_c") / 100) for f in ("iva", "valor", "total")]]
+    return rows.select("doc_id", F.inline(F.array(*fields)))
+
+
+def _order_values(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    joined = amounts(orders).join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    return joined.select(
+        F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 7).alias("kind"), F.col("c_name").alias("name"), (F.col("o_custkey") + 900000000).alias("nit"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "iva_c", "valor_c", "total_c",
+    )
+
+
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+
+
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw_text, lines) of the orders.
+
+    The four narrow columns are dealt out before texts are made of them, since a small file is one
+    partition and the work on each text is what takes time.
+    """
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    orders = read(spark, sf_dir, "orders").select(*_ORDER_COLUMNS).repartition(tasks, "o_orderkey")
+    return _written(_order_values(orders, read(spark, sf_dir, "customer")))
+
+
+def invoice_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, field, value_str, value_num) of the orders."""
+    return _truth(_order_values(read(spark, sf_dir, "orders").select(*_ORDER_COLUMNS), read(spark, sf_dir, "customer")))
+
+
+def _supplier_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("s_suppkey") % 300).cast("int"))
+    rows = s.select(
+        F.col("s_suppkey").alias("doc_id"), (F.col("s_suppkey") % 7).alias("kind"), F.col("s_name").alias("name"), (F.col("s_suppkey") + 900000000).alias("nit"),
+        F.date_format(day, "yyyy-MM-dd").alias("day"), F.abs(cents(F.col("s_acctbal"))).alias("valor_c"),
+    )
+    return rows.withColumn("iva_c", F.floor(F.col("valor_c") * 19 / 100).cast("bigint")).withColumn("total_c", F.col("valor_c") + F.col("iva_c"))
+
+
+def supplier_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw_text, lines) of the suppliers, few enough to be drawn as pages and read again."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _written(_supplier_values(spark, sf_dir).repartition(tasks, "doc_id"))
+
+
+def supplier_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truth(_supplier_values(spark, sf_dir))
 
 
 def images8(spark: SparkSession, sf_dir: str, table: str = "embeddings") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from scriptorium import config
 from scriptorium.functions import kernels as k
 from scriptorium.operators import pixels
-from scriptorium.plans import ocr, queries
+from scriptorium.plans import ocr
+from scriptorium.sources import images, tables
 
 
 def art(*rows):
@@ -162,8 +163,25 @@ def test_components_by_flood_fill(img):
     assert (k.components(img) == want).all()
 
 
-def test_image_to_text(spark):
-    out = {r.path: r for r in ocr.ocr_documents(queries._pages(spark), queries._shape_model(spark)).collect()}
+def drawn_invoice():
+    """A page with two bars, far apart, on a line and one diagonal stroke below."""
+    img = np.full((140, 240), 230, np.uint8)
+    for x in (30, 110):
+        img[20:50, x : x + 12] = 20
+    for i in range(30):
+        img[80 + i, 40 + i : 52 + i] = 20
+    return img
+
+
+def test_image_to_text(spark, tmp_path):
+    chars = k.characters(k.preprocess(drawn_invoice()))
+    shapes = [(i, label, k.hog(k.fit_square(c["raster"])).tolist()) for i, (label, c) in enumerate((("1", chars[0]), ("7", chars[-1])))]
+    model = spark.createDataFrame(shapes, "sample_idx long, label string, descriptor array<float>")
+    for name, img in (("drawn", drawn_invoice()), ("blank", np.full((40, 60), 230, np.uint8))):
+        (tmp_path / f"{name}.png").write_bytes(tables.png(img.tobytes(), img.shape[1], img.shape[0]))
+    (tmp_path / "corrupt.png").write_bytes(b"no image")
+    read = images.read_images(spark, str(tmp_path)).withColumn("path", F.regexp_extract("path", r"(\w+)\.png$", 1))
+    out = {r.path: r for r in ocr.ocr_documents(read, model).collect()}
     assert out["drawn"].raw_text == "1 1\n7" and len(out["drawn"].lines) == 2 and out["drawn"].confidence > 0.9
     assert out["blank"].raw_text == "" and out["blank"].confidence == 0 and out["blank"].lines == []
     assert out["corrupt"].error is not None and out["corrupt"].raw_text is None
