@@ -32,6 +32,15 @@ def page(number: float | None = None, size: float | None = None) -> tuple[int, i
     return max(1, number), min(max(1, size), config.MAX_PAGE_SIZE)
 
 
+def clamped(number: Column, size: Column) -> tuple[Column, Column]:
+    """As `page`, for columns of what was asked."""
+    whole = lambda c, none: F.coalesce(F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)), F.lit(none))
+    return (
+        F.greatest(F.lit(1), whole(number, 1)).cast("int").alias("page"),
+        F.least(F.lit(config.MAX_PAGE_SIZE), F.greatest(F.lit(1), whole(size, config.DEFAULT_PAGE_SIZE))).cast("int").alias("size"),
+    )
+
+
 def filtered(docs: DataFrame, results: DataFrame, f: Filters, uuid_ids: bool = True) -> DataFrame:
     """Documents that pass all filters given; conditions on results must hold on one result row.
 

@@ -13,7 +13,7 @@ from .. import config
 from ..functions import fields, scalars
 from ..operators import knn, metrics, paging, pixels, repository, training
 from ..sources import files, images, scratch, tables
-from . import fixtures, ocr, reports, script
+from . import debugging, fixtures, ocr, reports, script
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -510,6 +510,22 @@ def char_height_filter(spark: SparkSession, d: str) -> DataFrame:
     return pixels.fit_height(pixels.boxes(pixels.components(fixtures.binary8(spark, d))), 2, 6).select("img", "component", "x0", "x1", "y0", "y1")
 
 
+@query(f"""with recursive {WORDS}, c as (select w.img, w.line, w.word, w.low, w.high, component, row_number() over (partition by w.img, w.line, word order by x0, component) - 1 ch, y1 - y0 + 1 h
+  from words_ w left join overlap o on o.img = w.img and o.line = w.line and x0 <= w.high and x1 >= w.low),
+size_ as (select img, count(*) filter (v = 255) white from bw group by img)
+select s.img, white, l.line, l.low line_low, l.high line_high, w.word, w.low word_low, w.high word_high, c.ch as "char", c.component, case when c.component is not null then 108 end n_values, c.component is not null as read
+from size_ s left join lines_ l on l.img = s.img left join words_ w on w.img = l.img and w.line = l.line left join c on c.img = w.img and c.line = w.line and c.word = w.word and c.h between 2 and 6""")
+def debug_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The levels of the debug report of every picture, a row a character; nulls where a level is empty."""
+    model = fixtures.descriptors(spark, d).where("sample_idx % 10 = 0").select("sample_idx", "label", F.flatten(F.array("descriptor", F.slice("descriptor", 1, 44))).alias("descriptor"))
+    report = debugging.debug_report(fixtures.binary8(spark, d), model, 3, 2, 2, 6)
+    line = report.select("img", "white", F.explode_outer("lines").alias("l"))
+    word = line.select("img", "white", "l.line", F.col("l.low").alias("line_low"), F.col("l.high").alias("line_high"), F.explode_outer("l.words").alias("w"))
+    char = word.select("img", "white", "line", "line_low", "line_high", "w.word", F.col("w.low").alias("word_low"), F.col("w.high").alias("word_high"), F.explode_outer("w.characters").alias("c"))
+    n_values = F.when(F.col("c").isNotNull(), F.size("c.descriptor"))
+    return char.select(*char.columns[:-1], "c.char", "c.component", n_values.alias("n_values"), F.coalesce(F.col("c.confidence") > 0, F.lit(False)).alias("read"))
+
+
 @query(f"""with {BINARY}, p as (select img, count(*) filter (v = 255) raw from bw group by img),
 f as (select bw.img, x, y, case when 2 * raw > 64 then 255 - v else v end v from bw join p using (img)),
 rw as (select img, y, count(*) filter (v = 255) n from f group by all),
@@ -817,10 +833,12 @@ def document_fields(spark: SparkSession, d: str) -> DataFrame:
     return repository.document_fields(fixtures.extracted_results(spark, d))
 
 
-@query("select * from (values (null::double, null::double, 1, 20), (0, 500, 1, 100), (2.9, 3.7, 2, 3), (-4, 0, 1, 1)) t(asked_page, asked_size, page, size)")
+@query("""with a as (select p_partkey id, case when p_partkey % 11 <> 0 then p_size / 3.0 - 5 end asked_page, case when p_partkey % 13 <> 0 then p_partkey % 160 - 8.5 end asked_size from part)
+select id, cast(greatest(1, coalesce(trunc(asked_page), 1)) as int) page, cast(least(100, greatest(1, coalesce(trunc(asked_size), 20))) as int) size from a""")
 def page_clamp(spark: SparkSession, d: str) -> DataFrame:
-    asked = [(None, None), (0.0, 500.0), (2.9, 3.7), (-4.0, 0.0)]
-    return spark.createDataFrame([(*a, *repository.page(*a)) for a in asked], "asked_page double, asked_size double, page int, size int")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    asked = fixtures.read(spark, d, "part").select(key.alias("id"), F.when(key % 11 != 0, size / 3.0 - 5).alias("page"), F.when(key % 13 != 0, key % 160 - 8.5).alias("size"))
+    return asked.select("id", *repository.clamped(F.col("page"), F.col("size")))
 
 
 @query(f"with {LATEST} select document_id, line_no, part, cast(confidence as double) confidence, {_T.format('created_at')} created_at from lastres")
@@ -1027,25 +1045,39 @@ def active_model(spark: SparkSession, d: str) -> DataFrame:
     return repository.active_model(events)
 
 
-@query("select * from (values ('v4', '2024-01-04'), ('v3', '2024-01-03'), ('v2', '2024-01-02'), ('v1', '2024-01-01')) t(version, created_at)")
+@query("select 'v' || p_partkey version, strftime(date '2024-01-01' + p_size, '%Y-%m-%d') created_at from part where p_type like '%BRASS%' or p_type = (select min(p_type) from part)")
 def model_list(spark: SparkSession, d: str) -> DataFrame:
-    return repository.model_list(_models(spark), "invoice_es").select("version", "created_at")
+    """Models of one type out of many, without their samples."""
+    p = fixtures.read(spark, d, "part")
+    mine = F.col("p_type").like("%BRASS%") | (F.col("p_type") == p.agg(F.min("p_type")).scalar())
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size"))
+    models = p.select(F.when(mine, "invoice_es").otherwise("other").alias("document_type"), F.concat(F.lit("v"), "p_partkey").alias("version"), day.cast("string").alias("created_at"), F.lit("{}").alias("model_data"))
+    return repository.model_list(models, "invoice_es").select("version", "created_at")
+
+
+def _uploads(spark: SparkSession, d: str) -> DataFrame:
+    """(id, content, length, mime): PNG, JPEG and other bytes, declared as this and that, some missing or too large."""
+    k = F.col("vec_id")
+    head = F.when(k % 3 == 0, "89504E470D0A1A0A").when(k % 3 == 1, "FFD8FFE0").otherwise("74657874")
+    content = F.when(k % 11 == 0, F.lit(None)).otherwise(F.concat(F.unhex(head), F.unhex(F.hex("label"))))
+    length = F.when(k % 13 == 0, (11 << 20)).when(k % 17 == 0, 0).otherwise(F.octet_length(content))
+    mime = F.when(k % 7 == 0, "image/gif").when(k % 5 < 3, "image/png").otherwise("image/jpeg")
+    return fixtures.read(spark, d, "embeddings").select(k.alias("id"), content.alias("content"), length.cast("long").alias("length"), mime.alias("mime"))
 
 
-def _uploads(spark: SparkSession) -> DataFrame:
-    png, jpeg = bytes.fromhex("89504E470D0A1A0A00"), bytes.fromhex("FFD8FFE0")
-    rows = [(0, None, 0, "image/png"), (1, b"", 0, "image/png"), (2, png, 11 << 20, "image/png"), (3, png, 9, "image/gif"), (4, png, 9, "image/jpeg"), (5, png, 9, "image/png"), (6, jpeg, 4, "image/jpeg"), (7, b"text", 4, "image/png")]
-    return spark.createDataFrame(rows, "id int, content binary, length long, mime string")
+_SNIFFED = """u as (select vec_id id, case vec_id % 3 when 0 then 'image/png' when 1 then 'image/jpeg' end found, vec_id % 11 = 0 gone, case when vec_id % 13 = 0 then 11534336 when vec_id % 17 = 0 then 0 else 9 end n,
+  case when vec_id % 7 = 0 then 'image/gif' when vec_id % 5 < 3 then 'image/png' else 'image/jpeg' end mime from embeddings)"""
 
 
-@query("""select * from (values (0, 'FILE_MISSING', 'png'), (1, 'FILE_MISSING', 'png'), (2, 'FILE_TOO_LARGE', 'png'), (3, 'MIME_NOT_ALLOWED', 'jpg'), (4, 'MIME_MISMATCH', 'jpg'), (5, null, 'png'), (6, null, 'jpg'), (7, 'MIME_MISMATCH', 'png')) t(id, error, extension)""")
+@query(f"""with {_SNIFFED} select id, case when gone or n = 0 then 'FILE_MISSING' when n > 10485760 then 'FILE_TOO_LARGE' when mime = 'image/gif' then 'MIME_NOT_ALLOWED' when found is distinct from mime then 'MIME_MISMATCH' end error,
+  case mime when 'image/png' then 'png' else 'jpg' end extension from u""")
 def upload_validation(spark: SparkSession, d: str) -> DataFrame:
-    return _uploads(spark).select("id", images.upload_error(F.col("content"), F.col("length"), F.col("mime")).alias("error"), images.extension(F.col("mime")).alias("extension"))
+    return _uploads(spark, d).select("id", images.upload_error(F.col("content"), F.col("length"), F.col("mime")).alias("error"), images.extension(F.col("mime")).alias("extension"))
 
 
-@query("select * from (values (0, null), (1, null), (2, 'image/png'), (3, 'image/png'), (4, 'image/png'), (5, 'image/png'), (6, 'image/jpeg'), (7, null)) t(id, mime)")
+@query(f"with {_SNIFFED} select id, case when not gone then found end mime from u")
 def magic_sniff(spark: SparkSession, d: str) -> DataFrame:
-    return _uploads(spark).select("id", images.sniff_mime(F.col("content")).alias("mime"))
+    return _uploads(spark, d).select("id", images.sniff_mime(F.col("content")).alias("mime"))
 
 
 @query("select p_partkey id, p_size * 20 * 480 >= 307200 ok from part")
