@@ -13,6 +13,7 @@ from .. import config
 from ..functions import fields, scalars
 from ..operators import knn, metrics, paging, pixels, repository, training
 from ..sources import files, images, scratch, tables
+from ..streaming import profiles
 from . import debugging, fixtures, ocr, reports, script
 
 QUERIES: dict = {}
@@ -985,6 +986,27 @@ def next_pending(spark: SparkSession, d: str) -> DataFrame:
     return repository.next_pending(items, 7)
 
 
+_NEW_USERS = f"""select user_id, 'USER' as role, {_T.format('min(ts)')} created_at, min_by(event_type, (ts, event_id)) first_event, {_T.format('max(ts)')} updated_at from events where user_id is not null group by user_id"""
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.withColumns({"created_at": ts("created_at"), "updated_at": ts("updated_at")})
+
+
+@query(_NEW_USERS)
+def new_user_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(profiles.profiles(profiles.fold(fixtures.read(spark, d, "events"))))
+
+
+@query(_NEW_USERS)
+def new_user_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same profiles from a stream, which is given all events twice."""
+    schema, root = fixtures.read(spark, d, "events").schema, scratch.new_path(spark, "profiles")
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    profiles.start(stream.unionByName(stream), root, availableNow=True).awaitTermination()
+    return _shown(profiles.stored(spark, root))
+
+
 @query("""with o as (select o_orderkey id, o_orderkey % 4 k from orders)
 select id document_id, case when k = 0 then null else 'a' end total_before, case when k = 0 then 'b' when k = 1 then null when k = 2 then 'a' else 'a' end total_after,
   case when k in (0, 1) then 'total' else '' end edited, k in (0, 1) manually_edited from o""")

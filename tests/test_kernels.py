@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium import config
 from scriptorium.functions import kernels as k
 from scriptorium.operators import pixels
-from scriptorium.plans import ocr
+from scriptorium.plans import debugging, ocr, script
 from scriptorium.sources import images, tables
 
 
@@ -257,3 +257,19 @@ def test_intervals_meet_once_in_a_shared_bin(spark, width):
     pairs = [(r.a, r.b) for r in found.collect()]
     want = {(l[1], r[1]) for l in left for r in right if l[0] == r[0] and r[2] <= l[3] and r[3] >= l[2]}  # noqa: E741
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_debug_report_reads_a_page(spark):
+    text = ["Ab1 zz9.", "00-42 Xy#q:"]
+    pages = [k.preprocess(script.page(text)), np.zeros((5, 9), np.uint8)]
+    rows = [(i, x, y, int(v)) for i, m in enumerate(pages) for (y, x), v in np.ndenumerate(m)]
+    px = spark.createDataFrame(rows, "img long, x int, y int, v int")
+    report = {r.img: r for r in debugging.debug_report(px, script.model(spark)).collect()}
+    assert (report[1].width, report[1].height, report[1].white, report[1].lines) == (9, 5, 0, [])
+    page = report[0]
+    assert (page.height, page.width) == pages[0].shape and page.white == int((pages[0] == 255).sum())
+    assert [" ".join("".join(c.label for c in w.characters) for w in line.words) for line in page.lines] == text
+    plain = k.characters(pages[0])
+    found = [c for line in page.lines for w in line.words for c in w.characters]
+    assert [(c.x0, c.y0) for c in found] == [(c["x"], c["y"]) for c in plain]
+    assert all(np.allclose(c.descriptor, k.hog(k.fit_square(p["raster"])), atol=1e-6) and c.confidence > 0.9 for c, p in zip(found, plain, strict=True))

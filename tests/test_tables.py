@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import metrics, paging, repository, training
 from scriptorium.plans import reports
 from scriptorium.sources import files, images, tables
-from scriptorium.streaming import ingest
+from scriptorium.streaming import ingest, profiles
 
 
 def test_pages():
@@ -270,3 +270,24 @@ def test_streams_equal_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").outputMode("complete").queryName("days").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(str(r.day), r.event_type, r.n) for r in spark.table("days").collect()} == {("2024-01-01", "x", 2), ("2024-01-04", "y", 1)}
+
+
+def test_profiles_from_a_stream_survive_replays(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, datetime.datetime(2024, 1, 1 + rng.randrange(20), rng.randrange(24)), rng.choice([None, *range(12)]), rng.choice("abc")) for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    want = {tuple(r) for r in profiles.profiles(profiles.fold(events)).collect()}
+    first = {}
+    for i, at, user, kind in sorted(rows, key=lambda r: (r[1], r[0])):
+        if user is not None:
+            first.setdefault(user, (at, kind))
+    assert {(r[0], r[2], r[3]) for r in want} == {(u, *v) for u, v in first.items()}
+    for k in range(3):  # the third file repeats the first
+        events.where(f"event_id % 2 = {k % 2}").coalesce(1).write.parquet(str(tmp_path / f"{k}"))
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "[0-9]"))
+        profiles.start(source, str(tmp_path / "out"), availableNow=True).awaitTermination()
+    assert {tuple(r) for r in profiles.stored(spark, str(tmp_path / "out")).collect()} == want
+    written = spark.read.parquet(str(tmp_path / "out" / "folds"))
+    written.write.mode("append").parquet(str(tmp_path / "again"))
+    written.write.mode("append").parquet(str(tmp_path / "again"))
+    assert {tuple(r) for r in profiles.profiles(spark.read.parquet(str(tmp_path / "again"))).collect()} == want
