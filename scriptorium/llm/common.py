@@ -126,6 +126,19 @@ def read_slices(batches, most: int = 4 << 20):
             at = to
 
 
+def release() -> None:
+    """Gives memory that is free in this worker back to the machine, which other workers share."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def text_bytes(texts):
     """The UTF-8 bytes of an Arrow string array, and the offsets of its texts in them."""
     import numpy as np

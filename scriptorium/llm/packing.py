@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_slices, written
+from .common import read_slices, release, written
 
 LENGTH, END = 2048, 0
 #: Words kept in a worker's cache of encoded words, bytes of text encoded at a time, rows of an Arrow batch.
-CACHE, SLICE, ROWS = 600_000, 8 << 20, 4_096
+CACHE, SLICE, ROWS = 600_000, 4 << 20, 4_096
 #: Rows of a cell in which pieces of one length are numbered, about; cells a length at most.
 PER_CELL, MAX_CELLS = 256, 65_536
 
@@ -133,6 +133,8 @@ def tokenize(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=PIECES.names
             )
+            del ids, rows
+            release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(pieces, PIECES)
 
