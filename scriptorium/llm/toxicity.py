@@ -2,8 +2,8 @@
 
 The kernel of two strings counts their common subsequences of ORDER characters, each weighted
 by DECAY to the power of the lengths that it spans in both, and is normalised; so an insult
-with gaps or inserted characters still resembles the plain one.  LANDMARKS strings, chosen from
-the labelled sentences, give every unit of text (a word, or a run of one-letter words) its
+with gaps or inserted characters still resembles the plain one.  LANDMARKS strings, words that are
+much more frequent in toxic texts than in clean ones and clean words that are like them, give every unit of text (a word, or a run of one-letter words) its
 Nystroem features.  The machine is trained on sentences, each by its strongest unit: those of
 clean texts are negative; of a toxic text's sentences the strongest is positive, and those beyond
 the margin.  The strongest units are chosen anew by the machine of each round.  A text's score is a logistic function of its largest
@@ -44,7 +44,8 @@ START = "\x02"
 CACHE = 600_000
 #: Frequent clean words among which landmarks are sought; rounds of training; cost that equal sentence
 #: rows have at most; margin that a toxic text's strongest sentence needs to be positive; ridge.
-COMMON, ROUNDS, MOST_EQUAL, WITNESS, RIDGE = 4_000, 4, 100, -0.2, 0.01
+#: Chosen by three-fold cross-validation on learning rows.
+COMMON, ROUNDS, MOST_EQUAL, WITNESS, RIDGE = 4_000, 4, 100, 0.0, 0.1
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 SENTENCE = re.compile(r"[.!?\n]+\s+|\n")
 THRESHOLD = 0.3
@@ -132,6 +133,13 @@ def _triples(n: int) -> tuple[np.ndarray, ...]:
     return first, second, pair, third, DECAY ** (third - first[pair] + 1.0)
 
 
+def parts_of(unit: str) -> list[str]:
+    """The unit with START before it; a long one in overlapping parts."""
+    if len(unit) <= UNIT:
+        return [START + unit]
+    return [("" if c else START) + unit[c : c + UNIT] for c in range(0, len(unit) - OVERLAP, UNIT - OVERLAP)]
+
+
 class Expansion:
     """The sum of weighted kernels with the landmarks, as weights of subsequences.
 
@@ -191,11 +199,8 @@ class Model:
 
     def margins(self, units: list[str]) -> np.ndarray:
         """Margin of each unit; a long one has that of its strongest part."""
-        parts, of = [], []
-        for k, u in enumerate(units):
-            cuts = range(0, max(1, len(u) - OVERLAP), UNIT - OVERLAP) if len(u) > UNIT else (0,)
-            parts += [("" if c else START) + u[c : c + UNIT] for c in cuts]
-            of += [k] * len(cuts)
+        own = [parts_of(u) for u in units]
+        parts, of = [p for ps in own for p in ps], np.repeat(np.arange(len(units)), [len(ps) for ps in own])
         out = np.full(len(units), -np.inf)
         np.maximum.at(out, of, self.expansion.normalised(parts) + self.bias)
         return out
@@ -293,32 +298,34 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     flat, of = units_of(pa.array([s for s, _ in sentences], pa.string()))
     coded = flat.dictionary_encode()
     distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    units, text = [distinct[k] for k in place.tolist()], np.array([k for _, k in sentences] or [0])
+    text = np.array([k for _, k in sentences] or [0])
     owner = text[of]
+    # Parts of units stand for them, as they do when texts are scored.
+    own_parts = [parts_of(u) for u in distinct]
     seen: dict[str, set] = {}
     beside: dict[str, set] = {}
-    for before, u, k in zip(["", *units], units, owner, strict=False):
-        if len(u) >= ORDER:
-            seen.setdefault(u, set()).add(int(k))
-            if toxic[k]:
-                beside.setdefault(u, set()).add(before)
+    for before, u, k in zip([-1, *place.tolist()], place.tolist(), owner, strict=False):
+        if len(distinct[u]) >= ORDER:
+            for p in own_parts[u]:
+                seen.setdefault(p, set()).add(int(k))
+                if toxic[k]:
+                    beside.setdefault(p, set()).add(before)
     bad = int(toxic.sum())
     good = len(texts) - bad
     weight = {}
-    for u, ks in seen.items():
+    for p, ks in seen.items():
         # In copies of one text a word stands beside the same word; that counts once.
-        t = min(sum(toxic[k] for k in ks), len(beside.get(u, ())))
-        weight[u] = (t, np.log((t + 0.2) / (bad + 1)) - np.log((sum(1 - toxic[k] for k in ks) + 0.2) / (good + 1)))
+        t = min(sum(toxic[k] for k in ks), len(beside.get(p, ())))
+        weight[p] = (t, np.log((t + 0.2) / (bad + 1)) - np.log((sum(1 - toxic[k] for k in ks) + 0.2) / (good + 1)))
     # The words that tell most: often in toxic texts, hardly in clean ones; then all others by their lift.
-    plain = [u for u, (t, lift) in weight.items() if t >= (3 if bad < 50 else max(5, 0.01 * bad)) and lift > 2]
+    plain = {u for u, (t, lift) in weight.items() if t > 2 + 0.01 * bad and lift > 2}
     telling = sorted(plain, key=lambda u: (-weight[u][0] * weight[u][1], u))
-    if len(telling) < LANDMARKS:
-        telling += sorted((u for u in weight if u not in set(plain)), key=lambda u: (-weight[u][1], -weight[u][0], u))[:LANDMARKS]
+    telling += sorted((u for u in weight if u not in plain), key=lambda u: (-weight[u][1], -weight[u][0], u))
     common = sorted((u for u, (t, lift) in weight.items() if lift < 0.5), key=lambda u: (-len(seen[u]), u))[:COMMON]
     if not telling:  # no text has a word of ORDER characters
         telling = ["\x03" * ORDER]
     # Landmarks: the most telling words that are not too like those chosen before.
-    telling, common = [START + u[:UNIT] for u in telling[: 12 * LANDMARKS]], [START + u[:UNIT] for u in common]
+    telling = telling[: 12 * LANDMARKS]
     own = _own(telling)
     alike = kernel(telling, telling) / own / own[:, None]
     chosen: list[int] = []
@@ -334,12 +341,17 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     among = kernel(landmarks, landmarks) / own / own[:, None]
     value, vector = np.linalg.eigh((among + among.T) / 2 + 1e-6 * np.eye(len(landmarks)))
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    parts = [START + u[:UNIT] for u in distinct]
+    parts, part = np.unique([p for ps in own_parts for p in ps] or [START], return_inverse=True)
+    parts, many = parts.tolist(), np.array([len(ps) for ps in own_parts], int)
     x = kernel(parts, landmarks)
     x /= own
     x /= _own(parts)[:, None]
-    first = np.array([t * lift if lift > 0 else lift for t, lift in (weight.get(u, (0, -9.0)) for u in distinct)])
-    del units, seen, beside, owner
+    first = np.array([t * lift if lift > 0 else lift for t, lift in (weight.get(p, (0, -9.0)) for p in parts)])
+    if len(place):  # each occurrence of a unit is one of each of its parts
+        n, begin = many[place], np.cumsum(many) - many
+        place = part[np.repeat(begin[place], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        of = np.repeat(of, n)
+    del seen, beside, owner, own_parts
     w, b = _sentence_machine(x @ root, place, of, text, toxic, first)
     model = Model(landmarks, root @ w, b)
     model.final = _logistic(model.evidence(pa.array(texts, pa.string())), toxic.astype(float))
