@@ -233,6 +233,13 @@ def audited(graph: Graph, x: np.ndarray, queries: np.ndarray, least: float, same
         size *= 2
 
 
+def scanned(x: np.ndarray, queries: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (query, node) whose similarity is at least `least`, those of some queries at a time."""
+    for at in range(0, len(queries), BATCH):
+        q, node = np.nonzero(queries[at : at + BATCH] @ x.T >= least)
+        yield q + at, node
+
+
 def matches(graph: Graph, x: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs found with the least beam that passes the audit."""
     return graph.within(queries, least, audited(graph, x, queries, least)[0])
@@ -294,7 +301,8 @@ class Shard:
 
 def _linked(left: Shard, right: Shard, threshold: float) -> dict[str, pa.Array]:
     """Links of the classes of `left` with those of `right` (a shard with a graph, or `left` itself),
-    a spanning forest of them, and the recall that the audit measured.
+    a spanning forest of them, and the recall that the audit measured; where it is under RECALL, all
+    pairs are compared instead.
 
     Matches are marked in a matrix of one byte for each pair, so that a pair found from both ends
     counts once; they are listed, verified and united for BLOCK of its rows at a time.
@@ -303,7 +311,10 @@ def _linked(left: Shard, right: Shard, threshold: float) -> dict[str, pa.Array]:
     half = len(left.node)
     size, recall = audited(right.graph, right.single, left.single, least, same)
     found = np.zeros((half, len(right.node)), bool)
-    for q, hit in right.graph.blocks(left.single, least, size):
+    searched = right.graph.blocks(left.single, least, size)
+    if recall < RECALL:  # no beam passed the audit: every pair is compared
+        searched, recall = scanned(right.single, left.single, least), 1.0
+    for q, hit in searched:
         found[(np.minimum(q, hit), np.maximum(q, hit)) if same else (q, hit)] = True
     if same:
         np.fill_diagonal(found, False)
