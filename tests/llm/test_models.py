@@ -207,6 +207,70 @@ def test_toxicity_by_held_out_accuracy(spark, none):
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, marks.where("false"))).collect()} == {0.0}
 
 
+def test_sentence_machine_equals_plain_rounds():
+    """Strongest units, positives and costs, written out sentence by sentence."""
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        x = rng.normal(size=(14, 4))
+        toxic = np.array([1, 0, 0, 1, 0, 1, 0])
+        sentences = [(int(rng.integers(7)), rng.integers(0, 14, rng.integers(1, 5)).tolist()) for _ in range(25)]
+        first = rng.normal(size=14)
+        unit = np.array([u for _, us in sentences for u in us])
+        sentence_of = np.array([k for k, (_, us) in enumerate(sentences) for _ in us])
+        w, b = toxicity._sentence_machine(x, unit, sentence_of, np.array([t for t, _ in sentences]), toxic, first)
+        strength = first
+        for n in range(toxicity.ROUNDS):
+            tops = [(t, max(us, key=lambda u: (strength[u], -u))) for t, us in sentences]
+            cost: dict = {}
+            for t, u in tops:
+                if not toxic[t]:
+                    cost[u, -1.0] = cost.get((u, -1.0), 0) + 1
+                    continue
+                strongest = strength[u] >= max(strength[v] for s, v in tops if s == t)
+                if strongest if n == 0 else (strongest and strength[u] > toxicity.WITNESS) or strength[u] > 1:
+                    cost[u, 1.0] = cost.get((u, 1.0), 0) + 1
+            rows = sorted(cost, key=lambda k: (k[0], k[1]))
+            y, c = np.array([r[1] for r in rows]), np.array([min(cost[r], toxicity.MOST_EQUAL) for r in rows], float)
+            if not (y > 0).any():
+                break
+            c[y > 0] *= max(1.0, c[y < 0].sum() / c[y > 0].sum())
+            plain, bias = toxicity._svm(x[[r[0] for r in rows]], y, c, toxicity.RIDGE)
+            strength = x @ plain + bias
+        assert np.allclose(w, plain) and np.isclose(b, bias)
+
+
+def test_long_units_are_learned_whole():
+    """A long unit that is toxic by its end teaches as it is scored."""
+    rng = random.Random(6)
+    texts, toxic = [], []
+    for i in range(300):
+        words, bad = sentence(rng, "abehotrl", 30).split(), i % 3 == 0
+        words.insert(5, "abehotrl" * 4 + ("zqkwvzqkwv" if bad else "xyjuxxyjux"))
+        texts.append(" ".join(words))
+        toxic.append(int(bad))
+    assert [len(toxicity.parts_of("x" * n)) for n in (1, 24, 25, 40, 41)] == [1, 1, 2, 2, 3]
+    model = toxicity.fit(texts[:200], np.array(toxic[:200]))
+    found = model.score(pa.array(texts[200:])) >= 0.5
+    assert np.mean(found == np.array(toxic[200:])) > 0.95
+
+
+def test_languages_and_toxicity_of_odd_documents(spark, odd):
+    names = ("lang_pred", "score", "predicted", "held_out", "labels", "at", "doc")
+    docs = odd.withColumns({c: F.lit("x") for c in names})
+    network = langid.train(docs.where("doc_id is not null and lang is not null"))
+    marks = spark.createDataFrame([(1, 1, 1), (5, 1, 0), (6, 1, 0), (8, 1, 1), *[(10 + i, 1, i % 2) for i in range(12)]], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    for out, columns in ((langid.identify(docs, network), ["doc_id", "lang_pred", "score"]), (toxicity.score(docs, model), ["doc_id", "score", "predicted"])):
+        rows = out.collect()
+        assert set(columns) <= set(out.columns) and len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+        by_id = {}
+        for r in rows:
+            by_id.setdefault(r.doc_id, set()).add(tuple(r))
+        assert all(len(v) == 1 for v in by_id.values())  # repeated rows agree
+        same = {tuple(r)[1:] for r in rows if r.doc_id in (5, 6)}  # a very long text, twice
+        assert len(same) == 1
+
+
 # --- quality classifier ---
 
 
@@ -231,6 +295,32 @@ def test_classifier_by_held_out_accuracy(spark, odd, none):
     assert all(r.kept for r in quality_classifier.score(odd, free).collect())
 
 
+def test_first_step_goes_down_the_numerical_gradient(monkeypatch):
+    """One step of Adam moves each weight against the sign of its gradient; at the end those of the thresholds vanish."""
+    rng = np.random.default_rng(5)
+    x, grade = rng.normal(size=(60, 6)).astype(np.float32), rng.integers(0, 3, 60)
+    monkeypatch.setattr(quality_classifier, "STEPS", 0)
+    start = quality_classifier.fit(x, grade)
+    monkeypatch.setattr(quality_classifier, "STEPS", 1)
+    moved = quality_classifier.fit(x, grade)
+
+    def loss(w, thresholds):
+        th = np.concatenate([[-np.inf], thresholds, [np.inf]])
+        f = x @ w
+        return -np.log(1 / (1 + np.exp(-(th[grade + 1] - f))) - 1 / (1 + np.exp(-(th[grade] - f)))).mean() + quality_classifier.DECAY / 200 * (w * w).sum()
+
+    def numerical(at, shift):
+        return (loss(*at(shift)) - loss(*at(-shift))) / (2 * shift)
+
+    for k in range(6):
+        g = numerical(lambda e, k=k: (start.weights + e * np.eye(6)[k], start.thresholds), 1e-5)
+        assert np.sign(moved.weights[k] - start.weights[k]) == -np.sign(g)
+    monkeypatch.setattr(quality_classifier, "STEPS", 1000)
+    end = quality_classifier.fit(x, grade)
+    at_end = [numerical(lambda e, k=k: (end.weights, end.thresholds + e * np.eye(2)[k]), 1e-4) for k in range(2)]
+    assert np.abs(at_end).max() < 0.02 and loss(end.weights, end.thresholds) < loss(start.weights, start.thresholds)
+
+
 def test_line_is_the_same_in_any_batch():
     texts = ["abc def", "", "and and and", "é" * 50, "x", "the quick brown"]
     model = quality_classifier.Model(np.random.default_rng(0).normal(size=quality_classifier.BUCKETS), np.zeros(2))

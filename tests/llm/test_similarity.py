@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from scriptorium.llm import ann, ngram_join
+from scriptorium.llm import ann, ngram_join, sharding
 from scriptorium.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,3 +176,32 @@ def test_large_group_of_near_copies_is_not_listed_whole():
         names, wanted = roots(node.tolist(), edges), roots(node.tolist(), [(int(node[i]), int(node[j])) for i, j in zip(*np.nonzero(link))])
         assert sum(names[n] == wanted[n] for n in wanted) >= 0.99 * len(wanted)
         assert peak < 45e6, peak
+
+
+def test_a_failed_audit_falls_back_to_a_scan(monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 16))
+    v = np.concatenate([v, v[:90] + rng.normal(size=(90, 16)) * 0.01])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    shard = ann.Shard(np.arange(390), np.ones(390, np.int64), v).build()
+    want = (v @ v.T >= 0.98).sum() - 390
+    assert want >= 180
+    monkeypatch.setattr(ann.Graph, "blocks", lambda *a, **k: iter([]))
+    monkeypatch.setattr(ann, "audited", lambda *a, **k: (ann.BEAM, 0.5))
+    out = ann._linked(shard, shard, 0.98)
+    assert sum(x for x in out["links"].to_pylist()) == want
+    assert [x for x in out["recall"].to_pylist() if x is not None] == [1.0]
+
+
+def test_columns_of_other_names_do_not_clash(spark, odd):
+    """Extra columns named like those of the plans change nothing."""
+    names = ("node", "h", "n", "gram", "c", "component_id", "n_shingles", "least", "many", "f", "links", "s", "kind", "shard", "slot", "r")
+    docs = odd.withColumns({c: F.lit("x") for c in names})
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(ngram_join.join(docs)) == key(ngram_join.join(odd))
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and key(kept.select("doc_id", "text")) == key(ngram_join.keep_one(odd).select("doc_id", "text"))
+    assert key(sharding.shard(docs)) == key(sharding.shard(odd))
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, None, 1), (None, [1.0, 0.0], 1), (5, [1.0, 0.0], None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert key(ann.near_duplicates(vectors.withColumns({c: F.lit("x") for c in names}))) == key(ann.near_duplicates(vectors))
