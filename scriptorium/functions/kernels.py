@@ -5,6 +5,8 @@ They hold what column expressions cannot: convolution, resampling, components, d
 
 from __future__ import annotations
 
+from math import floor
+
 import numpy as np
 
 from .. import config
@@ -24,7 +26,7 @@ def stretch(img: np.ndarray) -> np.ndarray:
     lo, hi = int(img.min()), int(img.max())
     if lo == hi:
         return img.copy()
-    return half_up((img.astype(np.float64) - lo) / (hi - lo) * 255).astype(np.uint8)
+    return half_up(np.clip(np.arange(256.0) - lo, 0, hi - lo) / (hi - lo) * 255).astype(np.uint8)[img]
 
 
 def gaussian_weights(sigma: float = 1.0) -> np.ndarray:
@@ -36,11 +38,12 @@ def gaussian_weights(sigma: float = 1.0) -> np.ndarray:
 def blur(img: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     w, p = gaussian_weights(sigma), np.pad(img.astype(np.float64), 1, mode="edge")
     h, v = img.shape
-    total = np.zeros(img.shape)
+    total, part = np.zeros(img.shape), np.empty(img.shape)
     for dy in range(3):  # row-major order of the sum
         for dx in range(3):
-            total += p[dy : dy + h, dx : dx + v] * w[dy, dx]
-    return np.clip(half_up(total), 0, 255).astype(np.uint8)
+            total += np.multiply(p[dy : dy + h, dx : dx + v], w[dy, dx], out=part)
+    total += 0.5
+    return np.clip(np.floor(total, out=total), 0, 255, out=total).astype(np.uint8)
 
 
 def median(img: np.ndarray, size: int = 3) -> np.ndarray:
@@ -119,19 +122,20 @@ def fit_square(img: np.ndarray, size: int = config.CHAR_SIZE) -> np.ndarray:
     """Nearest resize that keeps the aspect, centred on black."""
     h, w = img.shape
     ratio = w / h
-    nw = max(1, size if ratio >= 1 else int(half_up(size * ratio)))
-    nh = max(1, int(half_up(size / ratio)) if ratio >= 1 else size)
+    nw = max(1, size if ratio >= 1 else floor(size * ratio + 0.5))
+    nh = max(1, floor(size / ratio + 0.5) if ratio >= 1 else size)
     sy, sx = np.minimum(h - 1, np.arange(nh) * h // nh), np.minimum(w - 1, np.arange(nw) * w // nw)
     out = np.zeros((size, size), np.uint8)
     oy, ox = (size - nh) // 2, (size - nw) // 2
-    out[oy : oy + nh, ox : ox + nw] = img[np.ix_(sy, sx)]
+    out[oy : oy + nh, ox : ox + nw] = img[sy[:, None], sx]
     return out
 
 
 def components(binary: np.ndarray) -> np.ndarray:
     """Labels of the 8-connected components of value 255, numbered in raster order; -1 is background.
 
-    Runs of each row are joined to touching runs of the row above by union-find.
+    Runs of each row are joined to touching runs of the row above: the larger of two roots is hung
+    below the smaller one, for all pairs at once, until no pair has two roots.
     """
     h, w = binary.shape
     out = np.full((h, w), -1, np.int64)
@@ -142,29 +146,21 @@ def components(binary: np.ndarray) -> np.ndarray:
     end = np.nonzero(edge == -1)[1]
     if not len(row):
         return out
-    parent = np.arange(len(row))
-
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    first = np.searchsorted(row, np.arange(h + 1))
-    for y in range(1, h):
-        a, stop = first[y - 1], first[y]
-        for k in range(first[y], first[y + 1]):
-            while a < stop and end[a] < start[k]:
-                a += 1
-            b = a
-            while b < stop and start[b] <= end[k]:
-                p, q = find(b), find(k)
-                parent[max(p, q)] = min(p, q)
-                b += 1
-    roots = np.array([find(k) for k in range(len(row))])
-    ids = np.unique(roots, return_inverse=True)[1]
-    for y, a, b, i in zip(row, start, end, ids, strict=True):
-        out[y, a:b] = i
+    above = (row - 1) * (w + 2)  # places of the row above, in one order over all rows
+    first = np.searchsorted(row * (w + 2) + end, above + start)
+    count = np.maximum(np.searchsorted(row * (w + 2) + start, above + end, "right") - first, 0)
+    q = np.repeat(np.arange(len(row)), count)
+    p = np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count) + first[q]
+    root = np.arange(len(row))
+    while len(p):
+        a, b = root[p], root[q]
+        two = a != b
+        p, q, a, b = p[two], q[two], a[two], b[two]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    ids = np.unique(root, return_inverse=True)[1]
+    out[binary == 255] = np.repeat(ids, end - start)
     return out
 
 
@@ -174,68 +170,114 @@ def runs(counts: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
-def gradient(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Magnitude and angle in degrees in [0, 180]."""
-    p = np.pad(img.astype(np.float64), 1, mode="edge")
-    gx, gy = p[1:-1, 2:] - p[1:-1, :-2], p[2:, 1:-1] - p[:-2, 1:-1]
+def _slopes(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences across each pixel of an image or a stack, to the right and down."""
+    p = np.pad(img.astype(np.int16), [(0, 0)] * (img.ndim - 2) + [(1, 1)] * 2, mode="edge")
+    return p[..., 1:-1, 2:] - p[..., 1:-1, :-2], p[..., 2:, 1:-1] - p[..., :-2, 1:-1]
+
+
+def _polar(gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gx, gy = gx.astype(np.float64), gy.astype(np.float64)
     angle = np.arctan2(gy, gx) * 180 / np.pi
     return np.sqrt(gx * gx + gy * gy), np.where(angle < 0, angle + 180, angle)
 
 
-def hog(img: np.ndarray, cols: int = config.HOG_GRID_COLS, rows: int = config.HOG_GRID_ROWS, bins: int = config.HOG_BINS, eps: float = config.HOG_EPSILON) -> np.ndarray:
-    """Descriptor of cols * rows * bins numbers; sums are single precision, row-major in a region."""
-    h, w = img.shape
-    magnitude, angle = gradient(img)
+def gradient(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Magnitude and angle in degrees in [0, 180]."""
+    return _polar(*_slopes(img))
+
+
+def hogs(stack: np.ndarray, cols: int = config.HOG_GRID_COLS, rows: int = config.HOG_GRID_ROWS, bins: int = config.HOG_BINS, eps: float = config.HOG_EPSILON) -> np.ndarray:
+    """Descriptors, of cols * rows * bins numbers each, of images of one size; sums are single
+    precision, row-major in a region."""
+    n, h, w = stack.shape
+    gx, gy = _slopes(stack)
+    steep = np.flatnonzero(gx | gy)  # the others add nothing
+    magnitude, angle = _polar(gx.ravel()[steep], gy.ravel()[steep])
     which = half_up(angle / (180 / bins)).astype(np.int64) % bins
-    out = np.zeros((rows, cols, bins), np.float32)
-    for r in range(rows):
-        for c in range(cols):
-            part = np.s_[r * h // rows : (r + 1) * h // rows, c * w // cols : (c + 1) * w // cols]
-            np.add.at(out[r, c], which[part].ravel(), magnitude[part].ravel().astype(np.float32))
-            v = out[r, c].astype(np.float64)
-            out[r, c] = v / np.sqrt((v * v).sum() + eps * eps)
-    return out.ravel()
+    region = lambda k, size: np.searchsorted([i * size // k for i in range(1, k)], np.arange(size), "right")
+    place = (region(rows, h)[:, None] * cols + region(cols, w)).ravel()
+    which += (place[steep % (h * w)] + steep // (h * w) * (rows * cols)) * bins
+    sums = np.zeros(n * rows * cols * bins, np.float32)
+    np.add.at(sums, which, magnitude.astype(np.float32))
+    v = sums.astype(np.float64).reshape(n, rows * cols, bins)
+    return (v / np.sqrt((v * v).sum(-1, keepdims=True) + eps * eps)).astype(np.float32).reshape(n, -1)
 
 
-class Neighbours:
-    """k nearest of a fixed set of descriptors, and the weighted vote of their labels.
+def hog(img: np.ndarray, cols: int = config.HOG_GRID_COLS, rows: int = config.HOG_GRID_ROWS, bins: int = config.HOG_BINS, eps: float = config.HOG_EPSILON) -> np.ndarray:
+    """Descriptor of one image."""
+    return hogs(img[None], cols, rows, bins, eps)[0]
+
+
+#: Queries and samples that are compared at a time, and pairs whose distances are computed anew.
+TILE_QUERIES, TILE_SAMPLES, TILE_PAIRS = 256, 4_096, 16_384
+
+
+def unfound(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k nearest of n queries before any sample is seen."""
+    return np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), np.inf)
+
 
-    A matrix product narrows each query to a superset; the distances of that are computed anew in
-    double precision, so order and ties are those of the plain scan (lower index first).
+def improve(ids: np.ndarray, best: np.ndarray, q: np.ndarray, x: np.ndarray, names: np.ndarray) -> None:
+    """Puts the samples `x`, named `names`, among the k nearest so far (`unfound`) of each query, lower name first in a tie.
+
+    A matrix product narrows a tile of queries and samples to a superset; the distances of that are
+    computed anew in double precision, so order and ties are those of the plain scan.  However many
+    samples there are, one tile of distances is held.
     """
+    k = ids.shape[1]
+    for at in range(0, len(q), TILE_QUERIES):
+        to = slice(at, at + TILE_QUERIES)
+        part, known, far = q[to].astype(np.float64), ids[to], best[to]
+        own = (part * part).sum(1)
+        for low in range(0, len(x), TILE_SAMPLES):
+            tile, tile_names = x[low : low + TILE_SAMPLES].astype(np.float64), names[low : low + TILE_SAMPLES]
+            d2 = own[:, None] + (tile * tile).sum(1) - 2 * part @ tile.T
+            limit = far[:, -1] ** 2 + 1e-6 * (1 + own)
+            close = d2 <= limit[:, None]
+            if len(tile) > k and close.sum() > 4 * k * len(part):
+                close &= d2 <= (np.partition(d2, k - 1, axis=1)[:, k - 1] + 1e-6 * (1 + own))[:, None]
+            row, near = np.nonzero(close)
+            if not len(row):
+                continue
+            d = np.empty(len(row))
+            for i in range(0, len(row), TILE_PAIRS):
+                pair = slice(i, i + TILE_PAIRS)
+                diff = part[row[pair]] - tile[near[pair]]
+                d[pair] = np.sqrt(np.add.accumulate(diff * diff, axis=1)[:, -1])
+            rows = np.unique(row)
+            d, name = np.concatenate([far[rows].ravel(), d]), np.concatenate([known[rows].ravel(), tile_names[near]])
+            row = np.concatenate([np.repeat(rows, k), row])
+            order = np.lexsort((name, d, row))
+            order = order[np.searchsorted(row[order], rows)[:, None] + np.arange(k)]
+            known[rows], far[rows] = name[order], d[order]
+
+
+class Neighbours:
+    """k nearest of a fixed set of descriptors, and the weighted vote of their labels; order and ties
+    are those of the plain scan (lower index first)."""
 
     def __init__(self, descriptors: np.ndarray, labels: list[str], k: int = config.KNN_K, eps: float = config.KNN_EPSILON):
         if not len(descriptors):
             raise ValueError("the model has no samples")
         if len(descriptors) != len(labels):
             raise ValueError("as many labels as descriptors are needed")
-        self.x, self.labels, self.k, self.eps = np.asarray(descriptors, np.float32).astype(np.float64), labels, k, eps
-        self.norm = (self.x * self.x).sum(1)
+        self.x, self.labels, self.k, self.eps = np.asarray(descriptors, np.float32), labels, k, eps
 
     def nearest(self, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        q = np.asarray(q, np.float32).astype(np.float64)
+        q = np.asarray(q, np.float32)
         if q.shape[1] != self.x.shape[1]:
             raise ValueError("descriptors differ in length")
-        k, out = min(self.k, len(self.x)), []
-        for at in range(0, len(q), 256):
-            part = q[at : at + 256]
-            own = (part * part).sum(1)
-            d2 = own[:, None] + self.norm - 2 * part @ self.x.T
-            kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-            for row, limit, vector in zip(d2, kth + 1e-6 * (1 + own), part, strict=True):
-                near = np.flatnonzero(row <= limit)
-                diff = vector - self.x[near]
-                d = np.sqrt(np.add.accumulate(diff * diff, axis=1)[:, -1])
-                best = np.lexsort((near, d))[:k]
-                out.append((near[best], d[best]))
-        return out
+        ids, best = unfound(len(q), min(self.k, len(self.x)))
+        improve(ids, best, q, self.x, np.arange(len(self.x)))
+        return list(zip(ids, best, strict=True))
 
     def predict(self, q: np.ndarray) -> list[tuple[str, float, list[float], list[tuple[str, float]]]]:
         """Label, confidence, distances, and all labels with their shares, for each query."""
         out = []
         for ids, d in self.nearest(q):
             votes: dict[str, float] = {}
-            for i, v in zip(ids, d, strict=True):
+            for i, v in zip(ids.tolist(), d.tolist(), strict=True):
                 votes[self.labels[i]] = votes.get(self.labels[i], 0.0) + 1 / (v + self.eps)
             whole = sum(votes.values())
             ranked = sorted(votes.items(), key=lambda t: -t[1])
@@ -257,8 +299,9 @@ def characters(binary: np.ndarray, line_least: int = config.HORIZONTAL_VALLEY_TH
     n = int(label.max()) + 1
     if not n:
         return []
-    y, x = np.nonzero(label >= 0)
-    own = label[y, x]
+    at = np.flatnonzero(binary == 255)
+    y, x = np.divmod(at, binary.shape[1])
+    own = label.ravel()[at]
     order = np.argsort(own, kind="stable")
     y, x, own = y[order], x[order], own[order]
     cut = np.searchsorted(own, np.arange(n + 1))

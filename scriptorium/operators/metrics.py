@@ -101,16 +101,25 @@ def run_means(timings: DataFrame) -> DataFrame:
 
 
 def reproducibility(runs: DataFrame) -> DataFrame:
-    """Per document over its runs (run from 0, raw_text, confidence, six values): agreement and variance."""
+    """Per document over its runs (run from 0, raw_text, confidence, six values): agreement and variance.
+
+    The runs are read once: the first run and the fields that all runs have are looked up within the
+    document, and the variance over several fields is put together from their counts, means and variances.
+    """
     values = F.struct(*[F.col(f) for f in config.VALIDATION_FIELDS])
-    first = runs.where("run = 0").select("doc_id", F.col("raw_text").alias("text0"), values.alias("values0"))
-    rows = runs.withColumn("values", values).join(first, "doc_id")
-    text, same = F.col("raw_text").eqNullSafe(F.col("text0")), F.col("values").eqNullSafe(F.col("values0"))
+    doc = Window.partitionBy("doc_id")
+    first = F.max(F.when(F.col("run") == 0, F.struct(F.col("raw_text").alias("text0"), values.alias("values0")))).over(doc)
+    rows = runs.withColumn("values", values).withColumn("first", first).where("first is not null")
+    text, same = F.col("raw_text").eqNullSafe(F.col("first.text0")), F.col("values").eqNullSafe(F.col("first.values0"))
+    numbers = config.NUMERIC_VALIDATION_FIELDS
     out = rows.groupBy("doc_id").agg(
         F.bool_and(text).alias("same_text"), F.bool_and(same).alias("same_fields"), F.avg((text & same).cast("double")).alias("score"), F.var_pop("confidence").alias("confidence_variance"),
-        *[F.bool_and(F.col(f).isNotNull()).alias(f"_{f}") for f in config.NUMERIC_VALIDATION_FIELDS],
-    )
-    numbers = runs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in config.NUMERIC_VALIDATION_FIELDS])))
-    always = numbers.groupBy("doc_id", "f").agg(F.bool_and(F.col("v").isNotNull()).alias("all"))
-    pooled = numbers.join(always.where("all"), ["doc_id", "f"]).groupBy("doc_id").agg(F.var_pop("v").alias("value_variance"))
-    return out.select("doc_id", "same_text", "same_fields", "score", "confidence_variance").join(pooled, "doc_id", "left").fillna(0, ["value_variance"])
+        F.count("*").alias("_n"), *[F.count(f).alias(f"_n_{f}") for f in numbers], *[F.avg(f).alias(f"_m_{f}") for f in numbers], *[F.var_pop(f).alias(f"_v_{f}") for f in numbers],
+    )
+    moments = F.array(*[F.when(F.col(f"_n_{f}") == F.col("_n"), F.struct(F.col(f"_m_{f}").alias("m"), F.col(f"_v_{f}").alias("v"))) for f in numbers])
+    out = out.withColumn("_all", F.array_compact(moments))  # of equal counts, so plain means of means
+    total = lambda of: F.aggregate("_all", F.lit(0.0), lambda s, x: s + of(x))
+    n = F.size("_all")
+    out = out.withColumn("_mean", F.try_divide(total(lambda x: x["m"]), n))
+    spread = F.try_divide(total(lambda x: x["v"] + (x["m"] - F.col("_mean")) * (x["m"] - F.col("_mean"))), n)
+    return out.select("doc_id", "same_text", "same_fields", "score", "confidence_variance", F.coalesce(spread, F.lit(0.0)).alias("value_variance"))

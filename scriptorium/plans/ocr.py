@@ -29,6 +29,10 @@ RESULT = [
 STAGES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("gray", T.BinaryType())]))
 
 
+#: Images whose results a task holds at a time.
+IMAGES = 16
+
+
 def recognise(gray: np.ndarray, model: Neighbours, **limits: int) -> dict:
     """Text of one image, its lines with boxes and confidences, and the times of the stages."""
     t0 = time.perf_counter()
@@ -36,7 +40,7 @@ def recognise(gray: np.ndarray, model: Neighbours, **limits: int) -> dict:
     t1 = time.perf_counter()
     chars = kernels.characters(binary, **limits)
     t2 = time.perf_counter()
-    found = model.predict(np.array([kernels.hog(kernels.fit_square(c["raster"])) for c in chars])) if chars else []
+    found = model.predict(kernels.hogs(np.array([kernels.fit_square(c["raster"]) for c in chars]))) if chars else []
     lines, scores = [], [f[1] for f in found]
     for n in dict.fromkeys(c["line"] for c in chars):
         own = [k for k, c in enumerate(chars) if c["line"] == n]
@@ -66,7 +70,7 @@ def ocr_documents(images: DataFrame, model: DataFrame, key: str = "path", debug:
     out = T.StructType([images.schema[key], *RESULT, *([T.StructField("stages", STAGES)] if debug else [])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[at : at + IMAGES] for b in batches for at in range(0, len(b), IMAGES)):
             rows = []
             for k, w, h, data in zip(batch[key], batch.width, batch.height, batch.gray, strict=True):
                 try:

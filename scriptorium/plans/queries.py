@@ -684,7 +684,7 @@ SUPPLIER_FIELDS = ",\n".join((SUPPLIER_INVOICES, _PROVEEDOR, _NIT, _FECHA, _IVA,
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages of the suppliers' invoices: drawn, written as PNG files by tasks, read again.  Each fortieth file is cut short."""
-    made = tables.png_files(script.drawn(fixtures.supplier_invoices(spark, d)))
+    made = script.png_pages(fixtures.supplier_invoices(spark, d))
     whole = F.regexp_extract("name", r"\d+", 0).cast("long") % 40 != 0
     files.write_files(made.withColumn("content", F.when(whole, F.col("content")).otherwise(F.substring("content", 1, 40))), path := scratch.new_path(spark, "pages"))
     return images.read_images(spark, path).withColumn("path", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long"))

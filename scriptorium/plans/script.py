@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import kernels
+from ..sources.tables import png
 
 #: The characters that can be written, in order.
 CHARACTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.:#-"
@@ -47,15 +48,22 @@ def page(lines: list[str]) -> np.ndarray:
     return out
 
 
-def drawn(documents: DataFrame) -> DataFrame:
-    """(name, width, height, gray): pages of documents (doc_id, raw_text), drawn in tasks."""
+#: Pages that a task holds at a time.
+PAGES = 16
+
+
+def png_pages(documents: DataFrame) -> DataFrame:
+    """(name, content): PNG files of the pages of documents (doc_id, raw_text), drawn and encoded in
+    tasks, a few at a time; raw pages do not leave the task."""
 
     def run(batches):
-        for b in batches:
-            pages = [page(t.split("\n")) for t in b.raw_text]
-            yield pd.DataFrame({"name": [f"{i}.png" for i in b.doc_id], "width": [p.shape[1] for p in pages], "height": [p.shape[0] for p in pages], "gray": [p.tobytes() for p in pages]})
+        for whole in batches:
+            for at in range(0, len(whole), PAGES):
+                b = whole.iloc[at : at + PAGES]
+                pages = [page(t.split("\n")) for t in b.raw_text]
+                yield pd.DataFrame({"name": [f"{i}.png" for i in b.doc_id], "content": [png(p.tobytes(), p.shape[1], p.shape[0]) for p in pages]})
 
-    return documents.select("doc_id", "raw_text").mapInPandas(run, "name string, width int, height int, gray binary")
+    return documents.select("doc_id", "raw_text").mapInPandas(run, "name string, content binary")
 
 
 def model(spark: SparkSession) -> DataFrame:
