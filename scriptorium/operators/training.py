@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import kernels
+from ..sources import scratch
 from . import knn, metrics
 
 
@@ -107,7 +108,7 @@ def train(samples: DataFrame, k: int = config.KNN_K, ratio: float = config.TRAIN
     model = split.where("train").drop("train")
     if model.isEmpty():
         raise ValueError("there is nothing to train on")
-    pairs = predictions(split.where("not train"), model, k)
+    pairs = scratch.written(predictions(split.where("not train"), model, k), "training-pairs")  # read for accuracy and matrix
     matrix = metrics.confusion_matrix(pairs, model.select("label").distinct())
     share = metrics.accuracy(pairs).first().accuracy
     low = share is not None and share < config.MIN_ACCURACY_THRESHOLD
