@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,50 +65,46 @@ def keyword_ends(text: Column, keywords: tuple[str, ...]) -> Column:
     return F.transform(matches(text, keyword_pattern(keywords)), lambda k: k["start"] + F.char_length(k["value"]))
 
 
-#: Farther than any distance within a text.
-_FAR = 1 << 40
+_MATCH = pa.struct([("value", pa.string()), ("confidence", pa.float64()), ("start", pa.int32())])
+
+
+def _best(text: str | None, pattern: re.Pattern, keys: re.Pattern) -> dict | None:
+    """One sweep over the matches and the ends of keywords, in order of place: the only keywords that
+    count for a match are the last end before it and the first end after it."""
+    found = list(pattern.finditer(text or ""))
+    ends = [k.end() for k in keys.finditer(text)] if found else []
+    at, least, near, confidence = 0, None, found[0] if found else None, 0.5
+    for m in found if ends else ():
+        while at < len(ends) and ends[at] <= m.start():
+            at += 1
+        if at and m.start() - ends[at - 1] <= config.ADJACENT_WINDOW:
+            near, confidence = m, 0.95
+            break
+        d = min(abs(m.start() - e) for e in ends[max(at - 1, 0) : at + 1])
+        if least is None or d < least:
+            least, near, confidence = d, m, 0.7
+    return near and {"value": near[0], "confidence": confidence, "start": near.start()}
 
 
 def best_match(text: Column, pattern: str, keywords: tuple[str, ...]) -> Column:
     """struct<value, confidence, start>, null without a match: right after a keyword 0.95, nearest
-    to one 0.7, the first without any keyword 0.5.
-
-    One sweep over the ends of keywords and the starts of matches, in order of place: the only
-    keywords that count for a match are the last end before it and the first end after it.
-    """
-    whole = lambda m, confidence: F.struct(m["value"].alias("value"), confidence.alias("confidence"), m["start"].alias("start"))
-    event = lambda at, kind, i: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"), i.alias("i"))  # noqa: E731  an end comes before a match at its place
-    start = F.struct(*[F.lit(v).cast(kind).alias(n) for n, kind, v in (("end", "long", -_FAR), ("match", "long", -_FAR), ("last", "int", -1), ("after", "int", -1), ("d", "long", _FAR), ("near", "int", -1))])
-
-    def step(s: Column, e: Column) -> Column:
-        found = e["kind"] == 1
-        d, i = F.when(found, e["at"] - s["end"]).otherwise(e["at"] - s["match"]), F.when(found, e["i"]).otherwise(s["last"])
-        closer = (d < s["d"]) | ((d == s["d"]) & (i < s["near"]))
-        return F.struct(
-            F.when(found, s["end"]).otherwise(e["at"]).alias("end"),
-            F.when(found, e["at"]).otherwise(s["match"]).alias("match"),
-            F.when(found, e["i"]).otherwise(s["last"]).alias("last"),
-            F.when(found & (s["after"] < 0) & (d <= config.ADJACENT_WINDOW), e["i"]).otherwise(s["after"]).alias("after"),
-            F.when(closer, d).otherwise(s["d"]).alias("d"),
-            F.when(closer, i).otherwise(s["near"]).alias("near"),
-        )
-
-    def choose(found: Column, ends: Column) -> Column:
-        events = F.array_sort(F.concat(F.transform(found, lambda m, i: event(m["start"], 1, i)), F.transform(ends, lambda e: event(e, 0, F.lit(-1)))))
-        pick = lambda s: F.when(s["after"] >= 0, whole(F.get(found, s["after"]), F.lit(0.95))).otherwise(F.when(s["near"] >= 0, whole(F.get(found, s["near"]), F.lit(0.7))).otherwise(whole(F.get(found, 0), F.lit(0.5))))
-        return F.when(F.size(found) > 0, F.aggregate(events, start, step, pick))
-
-    return _let(matches(text, pattern), lambda found: _let(keyword_ends(text, keywords), lambda ends: choose(found, ends)))
+    to one 0.7, the first without any keyword 0.5.  Texts go through Arrow, a batch at a time."""
+    sought, keys = re.compile(pattern, re.ASCII), re.compile(keyword_pattern(keywords), re.ASCII)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_best(t, sought, keys) for t in texts.to_pylist()], _MATCH)
+
+    return F.arrow_udf(run, "value string, confidence double, start int")(text)
 
 
 def region_at(lines: Column, start: Column) -> Column:
     """Box of the line that holds an offset of the joined text; a newline belongs to the line before it."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(-1).alias("hit"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(-1).alias("hit"), start.cast("int").alias("start"))
 
     def step(acc: Column, line: Column) -> Column:
         end = acc["at"] + F.char_length(line["text"])
-        hit = F.when((acc["hit"] < 0) & (end >= start), acc["i"]).otherwise(acc["hit"])
-        return F.struct((end + 1).alias("at"), (acc["i"] + 1).alias("i"), hit.alias("hit"))
+        hit = F.when((acc["hit"] < 0) & (end >= acc["start"]), acc["i"]).otherwise(acc["hit"])
+        return F.struct((end + 1).alias("at"), (acc["i"] + 1).alias("i"), hit.alias("hit"), acc["start"].alias("start"))
 
     hit = F.aggregate(lines, zero, step, lambda acc: acc["hit"])
     return _let(hit, lambda i: _region(F.get(lines, i)["bbox"]))
@@ -122,12 +119,13 @@ def _field(value: Column, confidence: Column, region: Column) -> Column:
 
 
 def string_field(text: Column, lines: Column, pattern: str, keywords: tuple[str, ...]) -> Column:
-    return _let(best_match(text, pattern, keywords), lambda m: _field(m["value"], m["confidence"], region_at(lines, m["start"])))
+    m = best_match(text, pattern, keywords)
+    return _field(m["value"], m["confidence"], region_at(lines, m["start"]))
 
 
 def money_field(text: Column, lines: Column, keywords: tuple[str, ...]) -> Column:
-    number = lambda m: F.replace(m["value"], F.lit(","), F.lit(".")).cast("double")
-    return _let(best_match(text, MONEY_PATTERN, keywords), lambda m: _field(number(m), m["confidence"], region_at(lines, m["start"])))
+    m = best_match(text, MONEY_PATTERN, keywords)
+    return _field(F.replace(m["value"], F.lit(","), F.lit(".")).cast("double"), m["confidence"], region_at(lines, m["start"]))
 
 
 def proveedor_field(lines: Column) -> Column:
@@ -138,7 +136,8 @@ def proveedor_field(lines: Column) -> Column:
         rests = [F.regexp_replace(r, rf"^{_BLANK}+|{_BLANK}+$", "") for r in rests]
         return F.struct(F.coalesce(*[F.nullif(r, F.lit("")) for r in rests]).alias("value"), line["bbox"].alias("b"))
 
-    named = F.get(F.filter(F.transform(lines, after), lambda r: r["value"].isNotNull()), 0)
+    keyed = F.filter(lines, lambda line: line["text"].rlike(keyword_pattern(PROVEEDOR_KEYWORDS)))
+    named = F.get(F.filter(F.transform(keyed, after), lambda r: r["value"].isNotNull()), 0)
     guess = F.get(F.filter(lines, lambda line: line["text"].rlike("[A-Za-z]{3,}")), 0)
     other = lambda g: _field(g["text"], F.when(g.isNotNull(), 0.5), _region(g["bbox"]))
     return _let(named, lambda n: F.when(n.isNotNull(), _field(n["value"], F.lit(0.9), _region(n["b"]))).otherwise(_let(guess, other)))

@@ -68,3 +68,14 @@ def test_pages_and_results_leave_tasks_a_few_at_a_time(spark):
     page = script.page(["A7"])
     assert {r.name: r.size for r in sizes}["7.png"] == f"{page.shape[1]:08X}{page.shape[0]:08X}"
     assert script.PAGES <= 16 and ocr.IMAGES <= 16
+
+
+def test_fields_are_found_without_sweeps_of_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from scriptorium.functions import fields
+
+    rows = spark.createDataFrame([(1, "x 1.00 Total 2.00"), (2, "é 3.00"), (3, None), (4, "5.00 ááááááááááááááááááááá TOTAL"), (5, "")], "i int, t string")
+    found = rows.select("i", fields.best_match(F.col("t"), fields.MONEY_PATTERN, ("Total",)).alias("b"))
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.b and tuple(r.b) for r in found.collect()} == {1: ("2.00", 0.95, 13), 2: ("3.00", 0.5, 2), 3: None, 4: ("5.00", 0.7, 0), 5: None}
