@@ -6,8 +6,11 @@ One row a pixel, so every operator partitions by image.  Those that look at neig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,46 @@ def by_image(px: DataFrame, kernel, columns: str) -> DataFrame:
     return px.select("img", "x", "y", "v").groupBy("img").applyInArrow(run, schema)
 
 
+def by_group(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """`run` (table to table) of the rows of each key, which one task holds at a time.
+
+    Rows are sorted by key within their tasks and cut in Arrow, many groups a batch, so a small group
+    does not cost a round trip of its own.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # pieces of the group that may go on
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            change = np.zeros(len(table), bool)
+            for k in keys:
+                c = table[k].combine_chunks()
+                change[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(change).tolist(), len(table)]
+            done: list[pa.Table] = []
+            for a, b in zip(starts, starts[1:]):
+                part = table.slice(a, b - a)
+                if a == 0:
+                    key = tuple(table[k][0].as_py() for k in keys)
+                    if held and key != last:
+                        done.append(run(pa.concat_tables(held).combine_chunks()))
+                        held = []
+                    held.append(part)
+                else:
+                    done.append(run(pa.concat_tables(held).combine_chunks() if len(held) > 1 else held[0]))
+                    held = [part]
+            last = tuple(table[k][len(table) - 1].as_py() for k in keys)
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if held:
+            yield from run(pa.concat_tables(held).combine_chunks()).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(cut, schema)
+
+
 #: Side of the tiles that large images are cut into.
 TILE = 512
 
@@ -72,7 +115,7 @@ def by_tile(px: DataFrame, kernel, columns: str, halo: int, tile: int = TILE) ->
 
     inside = (F.col("_tx") >= 0) & (F.col("_ty") >= 0) & (F.col("_tx") * tile < F.col("_w")) & (F.col("_ty") * tile < F.col("_h"))
     schema = f"img {kinds['img']}, x {kinds['x']}, y {kinds['y']}, {columns}"
-    return dealt.where(inside).groupBy("img", "_tx", "_ty").applyInArrow(run, schema)
+    return by_group(dealt.where(inside), ["img", "_tx", "_ty"], run, schema)
 
 
 def half_up(x: Column) -> Column:

@@ -79,3 +79,31 @@ def test_fields_are_found_without_sweeps_of_expressions(spark):
     found = rows.select("i", fields.best_match(F.col("t"), fields.MONEY_PATTERN, ("Total",)).alias("b"))
     assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.i: r.b and tuple(r.b) for r in found.collect()} == {1: ("2.00", 0.95, 13), 2: ("3.00", 0.5, 2), 3: None, 4: ("5.00", 0.7, 0), 5: None}
+
+
+def test_small_groups_share_batches_and_large_ones_span_them(spark):
+    import pyarrow as pa
+
+    from scriptorium.operators import pixels
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(t):
+        calls.add(1)
+        return pa.table({"k": t["k"][:1], "n": pa.array([len(t)], pa.int64()), "total": pa.array([sum(t["v"].to_pylist())], pa.int64())})
+
+    rows = spark.range(25_000).selectExpr("case when id < 21000 then 0 when id = 24999 then null else id div 7 end k", "id v")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        found = {r.k: (r.n, r.total) for r in pixels.by_group(rows, ["k"], run, "k long, n long, total long").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {r.k: (r.n, r.total) for r in rows.groupBy("k").agg({"*": "count", "v": "sum"}).toDF("k", "a", "b").selectExpr("k", "least(a, b) n", "greatest(a, b) total").collect()}
+    assert found == want and calls.value == len(want)
+
+
+def test_validations_are_dealt_out_before_they_are_parsed(spark):
+    from scriptorium.plans import fixtures
+
+    v = fixtures.validations(spark, "/root/testdata/sf0.001")
+    assert v.rdd.getNumPartitions() >= 1 and "Exchange" in v._jdf.queryExecution().executedPlan().toString()
