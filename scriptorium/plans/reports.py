@@ -27,11 +27,10 @@ def validations_report(validations: DataFrame, profiles: DataFrame) -> DataFrame
     o, v = F.parse_json("original"), F.parse_json("validated")
     text = lambda data, f: F.coalesce(F.try_variant_get(data, f"$.{f}", "string"), F.lit(""))
     one = lambda i, f: F.struct(F.lit(i).alias("position"), F.lit(config.VALIDATION_FIELD_LABELS[f]).alias("field"), text(F.col("o"), f).alias("before"), text(F.col("v"), f).alias("after"))
-    rows = validations.withColumns({"o": o, "v": v}).select(
-        "document_id", "line_no", "part", "validated_by", "validated_at", F.inline(F.array(*[one(i, f) for i, f in enumerate(config.VALIDATION_FIELDS)]))
+    named = validations.join(profiles.select(F.col("id").alias("validated_by"), "email"), "validated_by", "left")  # a row a validation, not six
+    return named.withColumns({"o": o, "v": v}).select(
+        "document_id", "line_no", "part", F.inline(F.array(*[one(i, f) for i, f in enumerate(config.VALIDATION_FIELDS)])), F.coalesce("email", F.lit("")).alias("editor"), "validated_at"
     )
-    named = rows.join(profiles.select(F.col("id").alias("validated_by"), "email"), "validated_by", "left")
-    return named.select("document_id", "line_no", "part", "position", "field", "before", "after", F.coalesce("email", F.lit("")).alias("editor"), "validated_at")
 
 
 def hog_svg(descriptor, cols: int = config.HOG_GRID_COLS, rows: int = config.HOG_GRID_ROWS, bins: int = config.HOG_BINS, size: int = 120) -> str:

@@ -11,13 +11,15 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 from ..functions import scalars
+from . import scratch
 
 
 class _FolderWriter(DataSourceWriter):
@@ -54,11 +56,12 @@ class _BlobWriter(_FolderWriter):
         return WriterCommitMessage()
 
 
-class _LinesWriter(_FolderWriter):
+class _LinesWriter(_FolderWriter, DataSourceArrowWriter):
     """Every line comes with the break before it, so that none follows the last one."""
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        self._put(f"part-{TaskContext.get().partitionId() + 1:06d}", (f"\r\n{row.line}".encode() for row in iterator))
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        chunks = ("\r\n".join(["", *b.column(0).to_pylist()]).encode() for b in iterator if len(b))
+        self._put(f"part-{TaskContext.get().partitionId() + 1:06d}", chunks)
         return WriterCommitMessage()
 
     def commit(self, messages: list) -> None:
@@ -105,6 +108,7 @@ def write_csv(rows: DataFrame, headers: list[str], folder: str, name: str, day:
     spark.dataSource.register(OrderedLines)
     cells = [F.col(c) for c in rows.columns if not c.startswith("_")]
     header = spark.range(1).select(scalars.csv_line(*[F.lit(h) for h in headers])).first()[0]
+    rows = scratch.written(rows, "csv-rows")  # the ranges of the order are sampled first, so rows are read twice
     lines = rows.orderBy(*order).select(scalars.csv_line(*cells).alias("line"))
     lines.write.format("ordered_lines").option("header", header).mode("append").save(path)
     return path
