@@ -26,7 +26,7 @@ from __future__ import annotations
 from functools import reduce
 from math import exp, lgamma, log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import let, owned, words_of, written
@@ -145,16 +145,38 @@ def _squared(df: DataFrame, at: str) -> DataFrame:
     return df.withColumn("distance", reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in names])).drop(*names)
 
 
+def _distance(x: Column, mu: Column, chol: Column) -> Column:
+    """`distance` of `_squared` as one expression, each step bound once: for filters, which are pushed below
+    columns and would take a copy of every earlier step into each later one."""
+
+    def solved(z: list[Column]) -> Column:
+        k = len(z)
+        if k == P:
+            return reduce(lambda a, b: a + b, [v * v for v in z])
+        rest = x[k] - mu[k]
+        for j in range(k):
+            rest = rest - chol[k * (k + 1) // 2 + j] * z[j]
+        return let(rest / chol[k * (k + 1) // 2 + k], lambda v: solved([*z, v]))
+
+    return solved([])
+
+
 def _factored(df: DataFrame, keep: list[str], mu: Column, cov) -> DataFrame:
-    """`keep`, mu and chol: the Cholesky factor, row by row, of the regularised scatter cov(i, j), j <= i."""
+    """`keep`, mu and chol: the Cholesky factor, row by row, of the regularised scatter cov(i, j), j <= i.
+
+    It is made column by column, each in two steps (its diagonal, all below it), so that plans stay short.
+    """
     df = df.withColumn("mu", mu)
-    for i in range(P):
-        for j in range(i + 1):
-            rest = cov(i, j) + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            value = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}_{j}")
-            df = df.withColumn(f"l{i}_{j}", value)
+
+    def rest(i: int, j: int) -> Column:
+        value = cov(i, j) + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
+        for k in range(j):
+            value = value - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+        return value
+
+    for j in range(P):
+        df = df.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(rest(j, j), F.lit(FLOOR[j] ** 2 / 4))))
+        df = df.withColumns({f"l{i}_{j}": rest(i, j) / F.col(f"l{j}_{j}") for i in range(j + 1, P)}) if j + 1 < P else df
     return df.select(*keep, "mu", F.array(*[F.col(f"l{i}_{j}") for i, j in LOW]).alias("chol"))
 
 
@@ -167,10 +189,10 @@ def _sums(x: list[Column]) -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in LOW]]
 
 
-def _moments(df: DataFrame, factor: float) -> DataFrame:
-    """(k, start, mu, chol) from the columns of `_sums`; the scatter is taken times `factor`."""
+def _moments(df: DataFrame, factor: float, keep: list[str] = ["k", "start"]) -> DataFrame:
+    """`keep`, mu and chol from the columns of `_sums`; the scatter is taken times `factor`."""
     mean = [F.col(f"s{i}") / F.col("n") for i in range(P)]
-    return _factored(df, ["k", "start"], F.array(*mean), lambda i, j: (F.col(f"s{i}_{j}") / F.col("n") - F.col("mu")[i] * F.col("mu")[j]) * factor)
+    return _factored(df, keep, F.array(*mean), lambda i, j: (F.col(f"s{i}_{j}") / F.col("n") - F.col("mu")[i] * F.col("mu")[j]) * factor)
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -197,28 +219,28 @@ def _start(rows: DataFrame) -> DataFrame:
 
 def _with(rows: DataFrame, params: DataFrame, key: str) -> DataFrame:
     """Rows with `at`, the parameters of their group; rows of hot groups are not gathered."""
-    params = params.select(F.col("k").alias("pk"), F.struct("start", "mu", "chol").alias("at"))
+    params = params.select(F.col("k").alias("pk"), F.struct("start", "mu", "chol", "det").alias("at"))
     return rows.join(params, rows[key].eqNullSafe(params["pk"])).drop("pk")
 
 
 def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: new centre and factor of every group and start."""
+    """One concentration step: new centre and factor of every group and start, and `old`, the log determinant before."""
     x = [F.col("x")[i] for i in range(P)]
     binned = (
         _squared(_with(rows, params, "k"), "at")
         .withColumn("b", F.floor(F.log(F.col("distance") + 1e-9) * BINS))
-        .groupBy("k", F.col("at.start").alias("start"), "b")
+        .groupBy("k", F.col("at.start").alias("start"), F.col("at.det").alias("old"), "b")  # one old a start
         .agg(*_sums(x))
     )
     w = Window.partitionBy("k", "start")
     before = F.coalesce(F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = binned.withColumn("before", before).withColumn("all", F.sum("n").over(w)).where(F.col("before") < H * F.col("all"))
     names = ["n", *[c for c in binned.columns if c.startswith("s") and c != "start"]]
-    sums = written(near.groupBy("k", "start").agg(*[F.sum(c).alias(c) for c in names]), "mcd-sums")
+    sums = written(near.groupBy("k", "start").agg(F.first("old").alias("old"), *[F.sum(c).alias(c) for c in names]), "mcd-sums")
     whole = F.broadcast(sums.where("k is null").select("start", F.struct(*names).alias("whole")))  # a row a start
     share = F.when(F.col("k").isNull(), 0.0).otherwise(PRIOR / F.col("whole.n"))
-    leaned = sums.join(whole, "start").select("k", "start", *[(F.col(c) + share * F.col(f"whole.{c}")).alias(c) for c in names])
-    return _moments(leaned, _consistency(P, H))
+    leaned = sums.join(whole, "start").select("k", "start", "old", *[(F.col(c) + share * F.col(f"whole.{c}")).alias(c) for c in names])
+    return _moments(leaned, _consistency(P, H), ["k", "start", "old"])
 
 
 def _log_determinant(chol: Column) -> Column:
@@ -233,17 +255,16 @@ def estimates(rows: DataFrame) -> DataFrame:
     """(k, mu, chol): centre and factor of every group, from rows (g, x) that pass the base rule."""
     both = _both(rows)
     with owned() as work:
-        params = written(_start(both), "mcd-start")
+        det = _log_determinant(F.col("chol"))
+        params = written(_start(both).withColumn("det", det), "mcd-start")
         for step in range(STEPS):
-            new = written(_concentrate(both, params), "mcd-step")
-            key = lambda df, name: df.select("k", "start", _log_determinant(F.col("chol")).alias(name))
-            old = key(params, "old").withColumnsRenamed({"k": "ok", "start": "os"})
-            pairs = key(new, "new").join(old, F.col("k").eqNullSafe(F.col("ok")) & (F.col("start") == F.col("os")))
-            fall = pairs.agg(F.max(F.col("old") - F.col("new"))).first()[0]
-            params = new
+            seen = Observation()  # the fall is seen as the step is written, without another job
+            new = _concentrate(both, params).withColumn("det", det)
+            params = written(new.observe(seen, F.max(F.col("old") - F.col("det")).alias("fall")), "mcd-step")
+            fall = seen.get["fall"]
             if step and (fall is None or fall < STILL):
                 break
-        least = F.min_by(F.struct("mu", "chol"), _log_determinant(F.col("chol")))
+        least = F.min_by(F.struct("mu", "chol"), "det")
         best = params.where("k is not null").groupBy("k").agg(least.alias("at")).select("k", "at.mu", "at.chol")
     best = written(best, "mcd")
     work.drop(rows.sparkSession)
@@ -252,9 +273,13 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 def _verdict(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Adds `distance` (squared) by the estimate of the group; null where no row of the group passed the base rule."""
+    return _squared(_owned(rows, params), "own").drop("pk", "own")
+
+
+def _owned(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Rows with `own`, the estimate of their group."""
     own = params.select(F.col("k").alias("pk"), F.struct("mu", "chol").alias("own"))
-    joined = rows.join(own, rows["g"].eqNullSafe(own["pk"]), "left")
-    return _squared(joined, "own").drop("pk", "own")
+    return rows.join(own, rows["g"].eqNullSafe(own["pk"]), "left")
 
 
 def quality_rules(
@@ -284,11 +309,13 @@ def keep_good(
 ) -> DataFrame:
     """The rows of `docs`, all columns, that the rules keep.
 
-    The rows that pass the base rule are written with their vectors, so that texts are looked at
-    once and never shuffled.
+    All rows are written with their vectors (null if the base rule failed), so that texts are looked at
+    once and never shuffled.  A filter before the write would be pushed below the statistics, with copies
+    of them that are computed again.
     """
-    s = F.col("s")
-    rows = docs.select(F.struct("*").alias("row"), _group(F.col(lang_col), F.col(source_col)).alias("g"), statistics(F.col(text_col)).alias("s"))
-    rows = written(rows.where(~base_failed(s)).select("row", "g", F.array(*vector(s)).alias("x")), "quality-rows")
+    x = let(statistics(F.col(text_col)), lambda s: F.when(~base_failed(s), F.array(*vector(s))))
+    rows = docs.select(F.struct("*").alias("row"), _group(F.col(lang_col), F.col(source_col)).alias("g"), x.alias("x"))
+    rows = written(rows, "quality-rows").where("x is not null")
     params = estimates(rows.select("g", "x"))
-    return _verdict(rows, params).where(F.coalesce("distance", F.lit(0.0)) <= cutoff).select("row.*")
+    distance = _distance(F.col("x"), F.col("own.mu"), F.col("own.chol"))
+    return _owned(rows, params).where(F.coalesce(distance, F.lit(0.0)) <= cutoff).select("row.*")

@@ -497,3 +497,17 @@ def test_folds_of_the_queries(spark):
         out = query(spark, d).collect()
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % of == left) and 0 <= r.score <= 1 for r in out)
         assert len(out) == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+def test_a_filter_by_distance_holds_each_step_once(spark):
+    rng, p = np.random.default_rng(5), quality_rules.P
+    chol = [float(v) for i in range(p) for v in [*rng.normal(size=i), 1 + rng.random()]]
+    rows = spark.createDataFrame([(("a" if i % 2 else None, "s"), rng.normal(size=p).tolist(), i) for i in range(40)], "g struct<lang:string,source:string>, x array<double>, i int")
+    params = spark.createDataFrame([((None, "s"), rng.normal(size=p).tolist(), chol)], "k struct<lang:string,source:string>, mu array<double>, chol array<double>")
+    wanted = {r.i: r.distance for r in quality_rules._verdict(rows, params).collect()}
+    distance = quality_rules._distance(F.col("x"), F.col("own.mu"), F.col("own.chol"))
+    found = quality_rules._owned(rows, params).select("i", distance.alias("d"))
+    assert {r.i: r.d for r in found.collect()} == wanted and {i for i, d in wanted.items() if d is None} == set(range(1, 40, 2))
+    kept = quality_rules._owned(rows, params).where(F.coalesce(distance, F.lit(0.0)) <= 9.0).select("i")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("chol") < 100
+    assert {r.i for r in kept.collect()} == {i for i, d in wanted.items() if d is None or d <= 9.0}
